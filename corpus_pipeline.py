@@ -1,11 +1,22 @@
-"""Corpus pipeline over ``documents``: four stages, each written before the next one reads it."""
+"""Corpus pipeline over ``documents``: four stages, each written before the next one reads it.
+
+Quality rules, exact dedup, near dedup, packing.  All stages but the last return
+the columns of ``documents``, for the documents that they keep.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import exact_dedup
+from panelspark.llm import exact_dedup, minhash, packing, quality_rules
 from panelspark.llm._shared import written
+from panelspark.llm.queries import vocabulary
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that the fixed part or the learned list rejects go."""
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, rules).where("kept").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +24,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each class stays."""
+    return minhash.drop_near_copies(docs)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: the pieces of every document in sequences of 1024 tokens."""
+    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack(pieces, capacity=1024)
+
+
+STAGES = [("quality rules", keep_good), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("best-fit packing", pack_documents)]
 
-#: The stages learn from labels and pack by a heuristic, which SQL cannot express.
+#: The stages learn from labels, sketch and pack by a heuristic, which SQL cannot express.
 ORACLE_SQL = None
 
 
