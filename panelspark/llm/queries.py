@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, exact_dedup, minhash, packing, quality_rules, sharding
+from panelspark.llm import byte_bpe, exact_dedup, minhash, packing, quality_rules, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,43 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The rules (host, path, verdict) that the query is asked to apply.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by the rules, and by the list of addresses on spam hosts.
+
+    The list is made from the pages themselves: the canonical addresses whose
+    host starts with ``spam``.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    canonical = url_filter.canonical_url(F.col("url"))
+    listed = pages.where(canonical.startswith("spam")).select("url", F.lit("block").alias("verdict"))
+    return url_filter.judge_urls(pages, rules, listed, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://(.*)$', 1, 's') ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM h)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN starts_with(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '^www\.', ''), 'spam') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     return minhash.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
@@ -74,6 +111,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_url_filter": op4_url_filter,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -82,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
 }
