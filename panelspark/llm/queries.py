@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, exact_dedup, minhash, packing, quality_rules, sharding, url_filter
+from panelspark.llm import byte_bpe, exact_dedup, license_scan, minhash, packing, quality_rules, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ FROM r
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence that one of its lines states, if any."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     return minhash.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_url_filter": op4_url_filter,
+    "op5_license_scan": op5_license_scan,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
