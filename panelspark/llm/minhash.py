@@ -15,10 +15,12 @@ about k ln k darts for k coordinates, whatever the number of elements.
 
 Candidates.  Signatures are cut into bands; sets that agree in a whole band meet
 in a bucket.  In every bucket the members are compared with one leader.  Members
-that then still belong to different components are compared with other leaders,
-in rounds, until no bucket joins a new pair; what remains across components is
-compared pair by pair, if sizes allow the threshold.  Members of one component
-are never compared again, so a large group costs one comparison a member.
+that then still belong to different components are compared with another leader;
+what remains across components is compared pair by pair.  Members of one
+component are never compared again, so a large group of close copies costs a few
+comparisons a member.  A pair is only compared if its sizes allow the threshold
+and a sketch of two bits a coordinate comes within 3.5 deviations of it, which
+the join itself tests.
 
 Texts with equal shingles are one node from the start, so copies are never
 expanded.  All comparisons are exact weighted Jaccard on the shingles.
@@ -46,8 +48,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 #: Bits of the bitmaps that mark rows to look at; 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
-#: Rounds of comparison with leaders, at least and at most, before the rest is compared pair by pair.
-ROUNDS = (2, 5)
+#: Rounds of comparison with leaders before the rest is compared pair by pair.
+ROUNDS = 2
+#: Deviations that the sketch's estimate may lie below the threshold.
+SLACK = 3.5
 #: Height of the first slab, as a power of two.
 FIRST_SLAB = -6
 #: Words that are hashed together, and elements whose darts are thrown together.
@@ -152,6 +156,21 @@ def _band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, 32 coordinates a long."""
+    n, k = signatures.shape
+    two = np.zeros((n, -(-k // 32) * 32), np.uint64)
+    two[:, :k] = signatures & np.uint64(3)
+    places = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return (two.reshape(n, -1, 32) << places).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def most_mismatches(k: int, threshold: float) -> int:
+    """Sketch coordinates that may differ: two bits agree with probability s + (1 - s) / 4."""
+    agree = threshold + (1 - threshold) / 4
+    return int(k * (1 - agree) + SLACK * (k * agree * (1 - agree)) ** 0.5)
+
+
 def _chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Cells of the texts of a batch, some texts at a time: first row, and one array a text."""
     hashes, first, got, size = _WordHash(), 0, [], 0
@@ -167,21 +186,24 @@ def _chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[np.
 
 
 def set_bands(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, text_key, node`` (128-bit hash of the weighted set), ``cells``, ``bands``."""
+    """Per row: ``doc_id, text_key, node`` (128-bit hash of the weighted set), ``cells``, ``bands``, ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, cells in _chunks(batch.column(2)):
                 starts = np.cumsum([0, *map(len, cells)])
-                keys = _band_keys(dart_signatures(np.concatenate(cells), starts, bands * rows, seed), bands, rows)
+                signatures = dart_signatures(np.concatenate(cells), starts, bands * rows, seed)
+                keys, sketches = _band_keys(signatures, bands, rows), _sketches(signatures)
                 some = batch.slice(first, len(cells))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype="i4") * bands), pa.array(keys.ravel()))
                 nodes = pa.array([xxhash.xxh3_128_digest(c.tobytes()) for c in cells], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), nodes, pa.array(np.diff(starts)), lists], ["doc_id", "text_key", "node", "cells", "bands"])
+                wide = sketches.shape[1]
+                more = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype="i4") * wide), pa.array(sketches.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), nodes, pa.array(np.diff(starts)), lists, more], ["doc_id", "text_key", "node", "cells", "bands", "sketch"])
 
     text = text_or_empty(text_col)
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, text_key long, node binary, cells long, bands array<long>")
+    return rows_in.mapInArrow(run, "doc_id long, text_key long, node binary, cells long, bands array<long>, sketch array<long>")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -248,38 +270,40 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     ``kept`` marks the row whose id names the class.
     """
     sets = written(set_bands(docs, bands, rows, seed, id_col, text_col), "near-sets")
-    nodes = written(sets.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("cells").alias("cells"), F.min("bands").alias("bands")), "near-nodes")
-    spread = nodes.select("node", "cells", F.explode("bands").alias("bucket"))
+    nodes = written(sets.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("cells").alias("cells"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "near-nodes")
+    spread = nodes.select("node", "cells", "sketch", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = written(maybe_listed(spread, [F.col("bucket")], written(key_filter(shared, ["bucket"], FILTER_BITS), "near-marks"), FILTER_BITS, "maybe").where("maybe").drop("maybe"), "near-members")
+    parts = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(-(-bands * rows // 32))]
+    members = maybe_listed(spread, [F.col("bucket")], written(key_filter(shared, ["bucket"], FILTER_BITS), "near-marks"), FILTER_BITS, "maybe").where("maybe")
+    members = written(members.select("bucket", "node", "cells", *parts), "near-members")
     wanted = members.select("node").distinct().join(nodes, "node").select("one.doc_id", "one.text_key", "node")
     elements = _elements(docs, wanted, id_col, text_col)
 
+    sketch = [f"s{i}" for i in range(len(parts))]
+    as_other = {c: f"other_{c}" for c in ("node", "cells", "component", *sketch)}
+    differ = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"other_{c}")).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"other_{c}")), 1))).bitwiseAND(F.lit(0x5555555555555555))) for c in sketch), F.lit(0))
+    fits = (F.col("component") != F.col("other_component")) & (F.least("cells", "other_cells") >= threshold * F.greatest("cells", "other_cells")) & (differ <= most_mismatches(bands * rows, threshold))
     links = members.sparkSession.createDataFrame([], "a binary, b binary")
     tested, labels = links, None
-    fits = F.least("cells", "other_cells") >= threshold * F.greatest("cells", "other_cells")
-    for turn in range(ROUNDS[1] + 1):
+    for turn in range(ROUNDS + 1):
         at = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         at = at if labels is None else written(at, "near-placed")
-        mixed = at.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "cells", "component")).alias("lead")).where("least <> most")
-        last = turn == ROUNDS[1]
-        if not last:
-            other = written(mixed.select("bucket", F.col("lead.node").alias("other"), F.col("lead.cells").alias("other_cells"), F.col("lead.component").alias("other_component")), "near-leaders")
+        lead = F.min_by(F.struct("node", "cells", "component", *sketch), F.xxhash64("node", F.lit(turn)))
+        mixed = written(at.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), lead.alias("lead")).where("least <> most"), "near-leaders")
+        if turn < ROUNDS:
+            other = mixed.select("bucket", "lead.*").withColumnsRenamed(as_other)
+            pairs = at.join(other, (at["bucket"] == other["bucket"]) & fits)
         else:
-            rest = at.join(mixed.select("bucket"), "bucket", "left_semi")
-            at = written(rest, "near-rest")
-            other = at.select("bucket", F.col("node").alias("other"), F.col("cells").alias("other_cells"), F.col("component").alias("other_component"))
-        pairs = at.join(other, "bucket").where((F.col("component") != F.col("other_component")) & fits)
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            rest = written(at.join(mixed.select("bucket"), "bucket", "left_semi"), "near-rest")
+            other = rest.withColumnsRenamed(as_other | {"bucket": "other_bucket"})
+            pairs = rest.join(other, (F.col("bucket") == F.col("other_bucket")) & (F.col("node") < F.col("other_node")) & fits)
+        pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "near-pairs")
         found = written(_similar(pairs, elements, threshold), "near-links")
         tested = tested.unionByName(pairs)
-        none = found.isEmpty()
-        if not none:
+        if not found.isEmpty():
             links = links.unionByName(found)
-            labels = components(links)
-        if last or (none and turn + 1 >= ROUNDS[0] and pairs.isEmpty()):
-            break
+            labels = written(components(links), "near-labels")
 
     names = nodes.select("node", F.col("one.doc_id").alias("id"))
     named = names.join(labels, "node", "left") if labels is not None else names.withColumn("component", F.col("node"))
