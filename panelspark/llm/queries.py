@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, exact_dedup, license_scan, line_dedup, minhash, packing, quality_rules, sharding, url_filter
+from panelspark.llm import byte_bpe, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, quality_rules, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.fit(docs))
 
 
+def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a model of the documents that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz_lm.score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     return minhash.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
+    "op6_katz_lm": op6_katz_lm,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
