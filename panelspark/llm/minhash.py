@@ -20,7 +20,10 @@ what remains across components is compared pair by pair.  Members of one
 component are never compared again, so a large group of close copies costs a few
 comparisons a member.  A pair is only compared if its sizes allow the threshold
 and a sketch of two bits a coordinate comes within 3.5 deviations of it, which
-the join itself tests.
+the join itself tests.  Buckets that are still large, as of copies that differ
+from each other by more than the threshold, are cut into blocks; a task takes two
+blocks, counts common shingles by an inverted index, and returns only the links
+that join components, never the pairs.
 
 Texts with equal shingles are one node from the start, so copies are never
 expanded.  All comparisons are exact weighted Jaccard on the shingles.
@@ -35,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,6 +54,8 @@ BANDS, ROWS = 24, 6
 FILTER_BITS = 1 << 23
 #: Rounds of comparison with leaders before the rest is compared pair by pair.
 ROUNDS = 2
+#: Members up to which a bucket's remaining pairs go through a join; larger ones are compared in blocks of ``BLOCK``.
+MOST_JOINED, BLOCK = 48, 1000
 #: Deviations that the sketch's estimate may lie below the threshold.
 SLACK = 3.5
 #: Height of the first slab, as a power of two.
@@ -223,9 +229,9 @@ def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("text"))
     marks = written(key_filter(wanted, ["doc_id", "text_key"], FILTER_BITS), "near-marks")
     rows = maybe_listed(rows, [F.col("doc_id"), F.col("text_key")], marks, FILTER_BITS, "maybe").where("maybe").drop("maybe")
-    left, right = rows.alias("l"), wanted.alias("r")
-    found = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key")))
-    return written(found.select("r.node", "l.text").mapInArrow(run, "node binary, elements binary").dropDuplicates(["node"]), "near-elements")
+    key = F.xxhash64("doc_id", "text_key")
+    found = rows.select(key.alias("of"), "text").join(wanted.select(key.alias("of"), "node"), "of").dropDuplicates(["of"])
+    return written(found.select("node", "text").mapInArrow(run, "node binary, elements binary"), "near-elements")
 
 
 def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -251,6 +257,42 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _block_links(rest: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` that join components inside large buckets.
+
+    ``rest``: ``bucket, node, component, members``.  A bucket of n members has
+    ``(n / BLOCK) ** 2 / 2`` pairs of blocks, a task each; a member goes to
+    ``n / BLOCK`` of them.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rest.select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("partner"))
+    rows = rows.select("bucket", "node", "component", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint32) for x in pdf["elements"]]
+        size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        holder = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
+        mine = np.split(code, np.cumsum(size)[:-1])
+        label = pd.factorize(pdf["component"])[0]
+        out = []
+        for x, codes in enumerate(mine):
+            there = np.concatenate([holder[begin[c] : begin[c + 1]] for c in codes])
+            both = np.bincount(there, minlength=len(sets))
+            near = np.flatnonzero((both >= threshold * (size + size[x] - both) - 1e-9) & (label != label[x]))
+            for y in near:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    out.append((pdf["node"].iat[x], pdf["node"].iat[y]))
+        return pd.DataFrame([(min(a, b), max(a, b)) for a, b in out], columns=["a", "b"])
+
+    marks = written(key_filter(rest.select("node"), ["node"], FILTER_BITS), "near-marks")
+    some = maybe_listed(elements, [F.col("node")], marks, FILTER_BITS, "maybe").where("maybe").select("node", "elements")
+    return rows.join(some, "node").groupBy("bucket", "i", "j").applyInPandas(link, "a binary, b binary")
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted multisets."""
     z = np.concatenate([x, y])
@@ -294,12 +336,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             other = mixed.select("bucket", "lead.*").withColumnsRenamed(as_other)
             pairs = at.join(other, (at["bucket"] == other["bucket"]) & fits)
         else:
-            rest = written(at.join(mixed.select("bucket"), "bucket", "left_semi"), "near-rest")
-            other = rest.withColumnsRenamed(as_other | {"bucket": "other_bucket"})
-            pairs = rest.join(other, (F.col("bucket") == F.col("other_bucket")) & (F.col("node") < F.col("other_node")) & fits)
+            rest = at.join(mixed.select("bucket"), "bucket", "left_semi")
+            rest = written(rest.join(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket"), "near-rest")
+            few = rest.where(F.col("members") <= MOST_JOINED).drop("members")
+            other = few.withColumnsRenamed(as_other | {"bucket": "other_bucket"})
+            pairs = few.join(other, (F.col("bucket") == F.col("other_bucket")) & (F.col("node") < F.col("other_node")) & fits)
         pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "near-pairs")
         found = written(_similar(pairs, elements, threshold), "near-links")
+        if turn == ROUNDS:
+            found = written(found.unionByName(_block_links(rest.where(F.col("members") > MOST_JOINED), elements, threshold)), "near-links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
