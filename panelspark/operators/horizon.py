@@ -43,7 +43,7 @@ def forward_excess(returns: DataFrame, macro: DataFrame, horizon: int, policy: s
         raise ValueError(f"policy must be one of {POLICIES}")
     grid = monthly_grid(restrict_to_macro(returns, macro), horizon).join(macro.select("month_idx", "rf"), "month_idx", "left")
     r = F.when(F.col("extension"), F.col("rf") if policy == "risk_free" else F.lit(0.0)).otherwise(F.col("ret"))
-    grid = grid.withColumn("r", F.greatest(r, F.lit(FLOOR)))
+    grid = grid.withColumn("r", F.when(r.isNotNull(), F.greatest(r, F.lit(FLOOR))))  # greatest alone would pass over a null
     w = Window.partitionBy("entity").orderBy("month_idx").rangeBetween(1, horizon)
     gone = lambda c: F.expm1(F.sum(F.log1p(c)).over(w))
     full = (F.count("r").over(w) == horizon) & (F.count("rf").over(w) == horizon) & (F.col("month_idx") + horizon <= F.col("panel_end"))

@@ -157,7 +157,7 @@ def cln_macro_predictors(s, d):
     return I.macro_predictors(raw)
 
 
-@query("cln_factors", "SELECT month, mktrf / 100 AS mktrf, smb / 100 AS smb, hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma, rf / 100 AS rf_french, mom / 100 AS mom FROM factors JOIN (SELECT month, rf FROM macro) USING (month)", "mktrf smb hml rmw cma rf_french mom")
+@query("cln_factors", "SELECT month, mktrf / 100 AS mktrf, smb / 100 AS smb, hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma, rf / 100 AS rf_french, mom / 100 AS mom FROM factors JOIN (SELECT month, rf FROM macro) USING (month)", "mktrf smb hml rmw cma rf_french mom", digits=11)
 def cln_factors(s, d):
     p = _panel(s, d)
     f = T.factors(p).drop("month_idx")
@@ -458,12 +458,12 @@ def wf_coefficient_stability(s, d):
 # 2.7 portfolios
 
 
-@query("pf_decile_returns", "SELECT month, decile, ret FROM decret", "ret")
+@query("pf_decile_returns", "SELECT month, decile, ret FROM decret", "ret", digits=11)
 def pf_decile_returns(s, d):
     return P.decile_returns(_dec(s, d), "y")
 
 
-@query("pf_decile_returns_weighted", "SELECT month, decile, ret FROM decretw", "ret")
+@query("pf_decile_returns_weighted", "SELECT month, decile, ret FROM decretw", "ret", digits=11)
 def pf_decile_returns_weighted(s, d):
     return P.decile_returns(_dec(s, d), "y", weight="cap")
 
@@ -472,7 +472,7 @@ def _ls(s, d):
     return P.long_short(P.decile_returns(_dec(s, d), "y"))
 
 
-@query("pf_long_short", "SELECT month, ret FROM ls", "ret")
+@query("pf_long_short", "SELECT month, ret FROM ls", "ret", digits=11)
 def pf_long_short(s, d):
     return _ls(s, d)
 

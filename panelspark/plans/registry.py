@@ -13,26 +13,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", panel: str | None = "l_partkey"):
-    """Registers a query; ``doubles`` are the columns that both sides round to 6 digits."""
+def query(name: str, sql: str | None = None, doubles: str = "", panel: str | None = "l_partkey", digits: int = 6):
+    """Registers a query; ``doubles`` are the columns that both sides round to ``digits``.
+
+    More digits where values lie halfway between two numbers of six.
+    """
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql is not None:
-            ORACLE[name] = oracle(sql, doubles, panel)
+            ORACLE[name] = oracle(sql, doubles, panel, digits)
         return f
 
     return add
 
 
-def oracle(sql: str, doubles: str = "", panel: str | None = "l_partkey") -> str:
+def oracle(sql: str, doubles: str = "", panel: str | None = "l_partkey", digits: int = 6) -> str:
     """The SQL with the panel, deciles and their kin as common tables, and rounded doubles."""
     head = ""
     if panel:
         parts = [f"panel AS ({panel_sql(panel)})"] + [f"{n} AS ({q})" for n, q in COMMON.items() if n in _needed(sql)]
         head = "WITH " + ",\n".join(parts) + "\n"
     names = doubles.split()
-    body = f"SELECT * REPLACE ({', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in names)}) FROM ({sql})" if names else sql
+    body = f"SELECT * REPLACE ({', '.join(f'round({n}, {digits}) + 0.0 AS {n}' for n in names)}) FROM ({sql})" if names else sql
     return head + body
 
 
@@ -95,7 +98,7 @@ COMMON = {
     "ends": "SELECT max(month_idx) AS panel_end FROM panel",
     "spans": "SELECT entity, min(month_idx) AS a, max(month_idx) AS b, count(*) AS n FROM panel GROUP BY 1",
     "grid": "SELECT g.entity, g.month_idx, p.ret, g.month_idx > g.b AS ext, CASE WHEN g.b < panel_end THEN 'delisted' ELSE 'listed_at_end' END AS status, panel_end, m.rf FROM (SELECT entity, b, panel_end, unnest(range(a, least(b + 6, panel_end) + 1)) AS month_idx FROM spans, ends) g LEFT JOIN panel p ON p.entity = g.entity AND p.month_idx = g.month_idx LEFT JOIN macro m ON m.month_idx = g.month_idx",
-    "forward": "SELECT entity, month_idx, status, CASE WHEN nr = 6 AND nf = 6 AND month_idx + 6 <= panel_end THEN (exp(sr) - 1) - (exp(sf) - 1) END AS target, n_observed FROM (SELECT *, count(r) OVER w AS nr, count(rf) OVER w AS nf, sum(ln(1 + r)) OVER w AS sr, sum(ln(1 + rf)) OVER w AS sf, CAST(coalesce(sum(CASE WHEN ext THEN 0 ELSE 1 END) OVER w, 0) AS BIGINT) AS n_observed FROM (SELECT *, greatest(CASE WHEN ext THEN rf ELSE ret END, -0.999999) AS r FROM grid) WINDOW w AS (PARTITION BY entity ORDER BY month_idx RANGE BETWEEN 1 FOLLOWING AND 6 FOLLOWING)) WHERE NOT ext AND ret IS NOT NULL",
+    "forward": "SELECT entity, month_idx, status, CASE WHEN nr = 6 AND nf = 6 AND month_idx + 6 <= panel_end THEN (exp(sr) - 1) - (exp(sf) - 1) END AS target, n_observed FROM (SELECT *, count(r) OVER w AS nr, count(rf) OVER w AS nf, sum(ln(1 + r)) OVER w AS sr, sum(ln(1 + rf)) OVER w AS sf, CAST(coalesce(sum(CASE WHEN ext THEN 0 ELSE 1 END) OVER w, 0) AS BIGINT) AS n_observed FROM (SELECT *, CASE WHEN CASE WHEN ext THEN rf ELSE ret END IS NOT NULL THEN greatest(CASE WHEN ext THEN rf ELSE ret END, -0.999999) END AS r FROM grid) WINDOW w AS (PARTITION BY entity ORDER BY month_idx RANGE BETWEEN 1 FOLLOWING AND 6 FOLLOWING)) WHERE NOT ext AND ret IS NOT NULL",
     "w": "SELECT leg, month, month_idx, entity, 1.0 / count(*) OVER (PARTITION BY leg, month) AS w, ret AS r FROM (SELECT 'long' AS leg, * FROM dec WHERE decile = 10 UNION ALL SELECT 'short', * FROM dec WHERE decile = 1)",
     "pos": "SELECT leg, month, month_idx, row_number() OVER (PARTITION BY leg ORDER BY month_idx) AS p FROM (SELECT DISTINCT leg, month, month_idx FROM w)",
     "nowt": "SELECT w.leg, p, entity, w FROM w JOIN pos USING (leg, month_idx)",
