@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-#: Bits in one bitmap of the built-in bitmap functions.
-_BITMAP_BITS = 32768
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -54,20 +51,19 @@ def squeezed(column: str | Column) -> Column:
 
 
 def key_filter(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
-    """Bitmap of the hashed ``columns`` of ``keys``: at most ``bits / 32768`` rows of 4 KB.
+    """Bitmap of the hashed ``columns`` of ``keys``, as words of 64 bits: at most ``bits / 64`` rows.
 
     Its size depends on ``bits`` alone, never on the number of keys, so it may
     be broadcast.  Keys that share a bit only let more rows through.
     """
-    at = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
-    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bitmap"))
-
-
-def maybe_listed(df: DataFrame, columns: list[Column], bitmaps: DataFrame, bits: int, flag: str) -> DataFrame:
-    """``df`` with boolean ``flag``: false only if ``columns`` are surely not in ``bitmaps``."""
-    at = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
-    position = F.bitmap_bit_position(at)
-    probe = df.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__at", position)
-    byte = "cast(conv(hex(substring(__bitmap, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"
-    hit = F.coalesce(F.expr(f"shiftright({byte}, cast(__at % 8 as int)) & 1 = 1"), F.lit(False))
-    return probe.join(F.broadcast(bitmaps), "__bucket", "left").withColumn(flag, hit).drop("__bucket", "__bitmap", "__at")
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def maybe_listed(df: DataFrame, columns: list[Column], bitmap: DataFrame, bits: int, flag: str) -> DataFrame:
+    """``df`` with boolean ``flag``: false only if ``columns`` are surely not in ``bitmap``."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    probe = df.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6))
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__at & 63 as int)) & 1 = 1"), F.lit(False))
+    return probe.join(F.broadcast(bitmap), "__word", "left").withColumn(flag, hit).drop("__word", "__bits", "__at")

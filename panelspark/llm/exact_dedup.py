@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm._shared import key_filter, maybe_listed, squeezed, written
 
-#: Bits of the bitmaps that mark surviving keys; 1 MB, whatever the input.
+#: Bits of the bitmaps that mark surviving keys; 131072 words, whatever the input.
 FILTER_BITS = 1 << 23
 
 

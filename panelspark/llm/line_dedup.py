@@ -39,10 +39,10 @@ from panelspark.llm._shared import key_filter, maybe_listed, squeezed, text_or_e
 from panelspark.llm.components import components
 
 MOST_EDITS, LEAST_CHARS = 2, 24
-#: Bits of the bitmaps of shared keys and of lines to fetch; 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
-#: Documents whose keys one bucket of the key exchange is meant to take.
-BUCKET_DOCS = 3000
+#: Bits of the bitmaps of shared keys and of lines to fetch; 524288 words, whatever the input.
+FILTER_BITS = 1 << 25
+#: Lines whose keys one bucket of the key exchange is meant to take.
+BUCKET_LINES = 30_000
 #: Keys that a task gathers before it sends them.
 MOST_KEYS = 2_000_000
 
@@ -151,7 +151,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with a word: ``doc_id, line_no`` (from 0), ``line`` and its hash ``node``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", F.trim(squeezed("raw")).alias("line")).where("line <> ''")
+    # most lines have single spaces only, and need no pattern
+    ragged = F.contains("raw", F.lit("  "))
+    for blank in "\t\x0b\x0c\r":
+        ragged = ragged | F.contains("raw", F.lit(blank))
+    rows = rows.select("doc_id", "line_no", F.trim(F.when(ragged, squeezed("raw")).otherwise(F.col("raw"))).alias("line")).where("line <> ''")
     return rows.withColumn("node", F.unhex(F.md5(F.encode("line", "UTF-8"))))
 
 
@@ -236,12 +240,15 @@ def _members(lines: DataFrame, most_edits: int) -> DataFrame:
     return lines.select("node", "line").mapInArrow(run, "node binary, chars int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
-def edit_links(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b, distance``: all pairs of different lines within the distance, by their hashes."""
+def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``a, b, distance``: all pairs of different lines within the distance, by their hashes.
+
+    ``lines``: as from :func:`lines_of`, written, as they are read three times.
+    """
     if least_chars <= most_edits:
         raise ValueError("least_chars must be above most_edits")
-    lines = lines_of(docs, id_col, text_col).where(F.length("line") >= least_chars)
-    buckets = max(8, docs.count() // BUCKET_DOCS)
+    buckets = max(8, lines.count() // BUCKET_LINES)
+    lines = lines.where(F.length("line") >= least_chars)
     marks = written(key_filter(shared_keys(lines, most_edits, buckets), ["key"], FILTER_BITS), "line-marks")
     members = _members(lines, most_edits).select("node", "chars", "s0", "s1", "s2", "s3", F.posexplode("keys").alias("at", "key"))
     members = maybe_listed(members, [F.col("key")], marks, FILTER_BITS, "maybe").where("maybe")
@@ -276,12 +283,12 @@ def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
     ``n_links`` counts the different lines within the distance, ``class_size``
     all lines of the class with their copies.
     """
-    links = edit_links(docs, most_edits, least_chars, id_col, text_col)
+    lines = written(lines_of(docs, id_col, text_col), "line-table")
+    links = edit_links(lines, most_edits, least_chars)
     both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     counts = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     linked = written(components(links).join(counts, "node"), "line-linked")
-    rows = written(lines_of(docs, id_col, text_col).select("doc_id", "line_no", "node"), "line-rows")
-    rows = rows.join(linked, "node", "left").select("doc_id", "line_no", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = lines.select("doc_id", "line_no", "node").join(linked, "node", "left").select("doc_id", "line_no", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = written(rows, "line-placed")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     classes = written(rows.groupBy("component").agg(F.min(first).alias("one"), F.count(F.lit(1)).alias("class_size")), "line-classes")

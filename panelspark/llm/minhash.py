@@ -50,7 +50,7 @@ from panelspark.llm.components import components
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-#: Bits of the bitmaps that mark rows to look at; 1 MB, whatever the input.
+#: Bits of the bitmaps that mark rows to look at; 131072 words, whatever the input.
 FILTER_BITS = 1 << 23
 #: Rounds of comparison with leaders before the rest is compared pair by pair.
 ROUNDS = 2
