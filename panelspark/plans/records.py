@@ -69,9 +69,9 @@ def jr_ensemble_key(s, d):
     return _runs(s, d).groupBy("model").agg(G.ensemble_key(F.collect_set("label"), F.lit("{}")).alias("experiment"))
 
 
-@query("jr_latest", f"SELECT key, max(logged_at) AS logged_at FROM ({_RUNS}) GROUP BY 1", panel=None)
+@query("jr_latest", f"SELECT key, strftime(max(logged_at), '%Y-%m-%d') AS logged_at FROM ({_RUNS}) GROUP BY 1", panel=None)
 def jr_latest(s, d):
-    return G.latest(_runs(s, d)).select("key", F.col("logged_at").cast("date").alias("logged_at"))
+    return G.latest(_runs(s, d)).select("key", F.date_format("logged_at", "yyyy-MM-dd").alias("logged_at"))
 
 
 @query("jr_ranking", f"SELECT o_orderkey, r2_test, row_number() OVER (PARTITION BY model ORDER BY r2_test DESC, o_orderkey) = 1 AS best_of_model FROM ({_RUNS})", "r2_test", None)

@@ -143,3 +143,19 @@ def macro_predictors(df: DataFrame) -> DataFrame:
         "month", (log("d12") - log("index")).alias("macro_dp"), (log("e12") - log("index")).alias("macro_ep"), F.col("bm").alias("macro_bm"), F.col("ntis").alias("macro_ntis"),
         F.col("tbl").alias("macro_tbl"), (F.col("lty") - F.col("tbl")).alias("macro_tms"), (F.col("baa") - F.col("aaa")).alias("macro_dfy"), F.col("svar").alias("macro_svar"),
     )
+
+
+def write_manifest(selection: DataFrame, path: str) -> None:
+    """Kept and excluded features with their null rates, as JSON: a row a feature."""
+    selection.select("feature", "null_rate", "kept").write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, fallback: Sequence[str]) -> list[str]:
+    """Kept features of a manifest in name order, or all of ``fallback`` where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("feature string, null_rate double, kept boolean").json(path).where("kept").orderBy("feature").collect()  # a row a feature
+    except AnalysisException:
+        return list(fallback)
+    return [r["feature"] for r in rows]

@@ -206,3 +206,10 @@ def test_measures_need_two_months(spark):
     got = {r["portfolio"]: r for r in P.measures(df, p_value=True).collect()}
     assert got["a"]["sharpe"] is None and got["a"]["n_months"] == 1
     assert got["b"]["max_drawdown"] == 0  # a first-month loss is no drawdown
+
+
+def test_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(None, 1.0), (2.0, 1.0)], "a double, b double")
+    assert I.read_manifest(spark, str(tmp_path / "none"), ["a", "b"]) == ["a", "b"]
+    I.write_manifest(I.select_by_null_rate(df, ["a", "b", "c"], 0.35), str(tmp_path / "manifest"))
+    assert I.read_manifest(spark, str(tmp_path / "manifest"), ["a", "b"]) == ["b"]
