@@ -16,7 +16,9 @@ from panelspark.llm.queries import vocabulary
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the fixed part or the learned list rejects go."""
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("kept").select("row.*")
+    # written first: a filter on the verdict would be pushed into the statistics and repeat their work
+    judged = written(quality_rules.judge(docs, rules).select("row", "kept"), "judged")
+    return judged.where("kept").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
