@@ -66,8 +66,9 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
     """Walk-forward training over ``rows`` (with ``window_id`` and ``block``).
 
     Per window every combination is fitted on the training rows; the highest
-    validation R2 wins, over all stages, and predicts the test rows once.  Fits
-    are Spark jobs over the window's rows; the driver holds scores only.
+    validation R2 wins, over all stages, and predicts the test rows once.  Boosted
+    trees are cut after the best number of them on the validation rows, before
+    they are scored.  Fits are Spark jobs over the window's rows; the driver holds scores only.
     """
     spark = rows.sparkSession
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.na.drop(subset=[*features, target])).withColumnRenamed(target, "label")
@@ -79,9 +80,12 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
         best, top, best_params, best_scores, best_stage = None, float("-inf"), {}, None, 0
         for stage, combos in enumerate([spec.combos, *spec.stages]):
             for params in combos(best_params) if callable(combos) else combos:
-                model = spec.make(params).fit(block["train"])
-                if isinstance(spec.make(params), GBTRegressor):
+                maker = spec.make(params)
+                model = maker.fit(block["train"])
+                if isinstance(maker, GBTRegressor):
                     params = params | {"best_trees": _best_prefix(model, block["validation"])}
+                    if params["best_trees"] < maker.getMaxIter():  # a tree depends on its place and the seed, so these are the same first trees
+                        model = maker.setMaxIter(params["best_trees"]).fit(block["train"])
                 train_r2, n_train = _score(model, block["train"], "label")
                 valid_r2, _ = _score(model, block["validation"], "label")
                 tried.append((window, stage, str(params), train_r2, valid_r2))

@@ -188,6 +188,30 @@ def test_models_train_and_tell_the_truth(spark):
     assert M.grid(a=[1, 2], b=[3]) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
 
 
+def test_boosting_stops_where_validation_says(spark):
+    random.seed(3)
+    noise = lambda x: (x > 0.5) + random.gauss(0, 1)
+    data = [(i, i % 7, x, z, noise(x), 1, b) for b, n in (("train", 60), ("validation", 400), ("test", 40)) for i in range(n) for x, z in [(random.random(), random.random())]]
+    df = spark.createDataFrame(data, "entity long, month int, x double, z double, y double, window_id int, block string").coalesce(1)
+    combos = M.grid(depth=[5], trees=[12], rate=[0.5])
+    t = M.train(M.Spec("boosting", M.boosting, combos), df, ["x", "z"], "y")
+    got = t.results.first()
+    ready = M.VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df.withColumnRenamed("y", "label"))
+    part = lambda b: ready.where(F.col("block") == b)
+    full = M.boosting(combos[0]).fit(part("train"))
+    errors = full.evaluateEachIteration(part("validation"), "squared")
+    best = errors.index(min(errors)) + 1
+    assert best < 12 and f"'best_trees': {best}" in got["params"]
+    first = lambda v: sum(w * m.predict(v) for w, m in zip(full.treeWeights[:best], full.trees[:best]))
+    want = {r["entity"]: first(r["features"]) for r in part("test").collect()}
+    assert {r["entity"]: r["prediction"] for r in t.predictions.collect()} == pytest.approx(want)
+    squares = [r["label"] ** 2 for r in part("validation").collect()]
+    assert got["r2_validation"] == pytest.approx(1 - min(errors) * len(squares) / sum(squares))
+    used = {r["predictor"]: r["coefficient"] for r in t.weights.collect()}
+    cut = M.boosting(combos[0] | {"trees": best}).fit(part("train")).featureImportances.toArray()
+    assert [used["x"], used["z"]] == pytest.approx(list(cut))
+
+
 def test_journal(spark, tmp_path):
     path = str(tmp_path / "journal")
     assert G.read_table(spark, path).count() == 0
