@@ -15,7 +15,8 @@ templates do not confirm, becomes ``unknown``.
 The penalty leaves few n-grams with a weight.  A line without any of them has the
 features of an empty line, so it is ``none``.  Each such n-gram has a word, its
 cue, that plain lines have least often; only texts that contain a cue are split
-into lines and scored.  That skips work, not cases.
+into lines, and only lines with a cue among their words are scored.  That skips
+work, not cases; should an empty line not be ``none``, all lines are scored.
 
 Defined results: null and empty texts have no licence.  Of a document's licence
 lines, a confirmed one speaks for it before others, then the most probable, then
@@ -108,12 +109,12 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Scanner:
-    """A fitted classifier: n-gram counter, regression, temperature, and words to look for."""
+    """A fitted classifier: n-gram counter, regression, temperature, and words to look for (None: score every line)."""
 
     counter: CountVectorizerModel
     model: LogisticRegressionModel
     temperature: float
-    cues: list[str]
+    cues: list[str] | None
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``words``) and ``p``, the calibrated probability of each class.
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Scanner:
     plain = rows.where("class = 'none'").select(F.explode("words").alias("w")).where(F.col("w").isin(listed)).groupBy("w").count()
     often = {r["w"]: r["count"] for r in plain.collect()}
     cues = {min(g, key=lambda w: (often.get(w, 0), -len(w), w)) for g in used}
-    scanner.cues = sorted(c for c in cues if not any(o != c and o in c for o in cues))
+    scanner.cues = sorted(cues) if model.interceptVector.toArray().argmax() == CLASSES.index("none") else None
     return scanner
 
 
@@ -179,8 +180,9 @@ def _triples(words: Column) -> Column:
 def _may_have(text: Column, cues: list[str]) -> Column:
     """False only if no word of the text is a cue."""
     out = F.lit(False)
-    for cue in cues:
-        if len(cue) > 4:
+    anywhere = [c for c in cues if len(c) > 4]
+    for cue in anywhere:
+        if not any(o != cue and o in cue for o in anywhere):  # else the shorter one is found where this one is
             out = out | F.contains(text, F.lit(cue))
     short = "|".join(re.escape(c) for c in cues if len(c) <= 4)
     return out | text.rlike(rf"(?<![\p{{L}}\p{{N}}])({short})(?![\p{{L}}\p{{N}}])") if short else out
@@ -192,10 +194,11 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     ``licence``: a family, ``unknown``, or null where no line is licence talk.
     """
     text = text_or_empty(text_col)
-    cues = F.array(*map(F.lit, scanner.cues)).cast("array<string>")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("paragraph"), _words(line).alias("words"))), lambda x: F.arrays_overlap(x["words"], cues))
+    cues = F.array(*map(F.lit, scanner.cues or [])).cast("array<string>")
+    worth = lambda x: F.size(x["words"]) > 0 if scanner.cues is None else F.arrays_overlap(x["words"], cues)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("paragraph"), _words(line).alias("words"))), worth)
     rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("at", "doc_id", F.when(_may_have(F.lower("text"), scanner.cues), lines).alias("lines"))
+    rows = rows.select("at", "doc_id", F.when(F.lit(True) if scanner.cues is None else _may_have(F.lower("text"), scanner.cues), lines).alias("lines"))
     rows = written(rows, "licence-lines")
 
     each = rows.select("at", F.explode("lines").alias("x")).select("at", "x.paragraph", "x.words")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -221,6 +222,17 @@ def test_licence_scan(docs, corpus, empty):
     assert license_scan.scan(empty, scanner).count() == 0
 
 
+def test_licence_cues_skip_work_not_cases(corpus):
+    scanner = license_scan.fit(corpus)
+    used = abs(scanner.model.coefficientMatrix.toArray()).max(0) > 0
+    words = sorted({w for g, u in zip(scanner.counter.vocabulary, used) if u for w in g.split(" ")})
+    said = ["Licensed to Acme Corp.", "Licensed under the ISC terms", "Copyright holders", *words, *(f"{w}x" for w in words), "a plain line"]
+    new = corpus.sparkSession.createDataFrame([*enumerate(said), (-1, "\n".join(said))], "doc_id long, text string").unionByName(corpus.select("doc_id", "text"))
+    with_cues, without = (sorted(map(str, license_scan.scan(new, x).collect())) for x in (scanner, replace(scanner, cues=None)))
+    assert with_cues == without
+    assert all(any(w in scanner.cues for w in g.split(" ")) for g, u in zip(scanner.counter.vocabulary, used) if u)
+
+
 def test_katz_model(docs, corpus, empty, monkeypatch):
     monkeypatch.setattr(katz_lm, "BLOCK_DOCS", 60)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
