@@ -1,8 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two different lines are linked when their edit distance is at most ``most_edits``.
-A line is cut into ``most_edits + 1`` even segments: lines within the distance
-have one segment in common, at nearly the same place.  So every line is indexed
+Two different lines are linked when their edit distance is at most ``most_edits``,
+or at most one where the shorter of them is under ``least_chars``.
+A line is cut into ``most_edits + 1`` even segments (short lines into two): lines
+within the distance have one segment in common, at nearly the same place.  So every line is indexed
 under its segments, and probes, for its own length and up to ``most_edits`` less,
 those of its substrings that could be such a segment.  The places to try follow
 from the edits that may lie on either side of the segment, about
@@ -15,8 +16,8 @@ under the remaining keys meet in a join, filtered by a parity sketch of their
 character pairs, and are verified by a banded bit-parallel edit distance.
 
 Lines are compared after each run of blanks became one space and the ends were
-trimmed; lines without a word are left out.  Lines under ``least_chars`` are only
-equal or different: a few edits make any short line any other.
+trimmed; lines without a word are left out.  Lines under ``short_chars`` are only
+equal or different: an edit makes any word of that size another one.
 
 Defined results: null and empty texts have no lines.  Equal lines are one class
 from the start and are never paired.  Rows that repeat an id are separate: each
@@ -27,18 +28,19 @@ document and line; that line is kept.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm._shared import key_filter, maybe_listed, squeezed, text_or_empty, written
 from panelspark.llm.components import components
 
-MOST_EDITS, LEAST_CHARS = 2, 24
+MOST_EDITS, LEAST_CHARS, SHORT_CHARS = 2, 24, 6
 #: Bits of the bitmaps of shared keys and of lines to fetch; 524288 words, whatever the input.
 FILTER_BITS = 1 << 25
 #: Lines whose keys one bucket of the key exchange is meant to take.
@@ -54,17 +56,35 @@ def segments(size: int, parts: int) -> list[tuple[int, int]]:
     return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
 
 
-def probes(size: int, most_edits: int) -> list[tuple[int, int, int, int]]:
+@dataclass(frozen=True)
+class Bounds:
+    """Edits that a pair may have, by the length of its shorter line."""
+
+    most_edits: int = MOST_EDITS
+    least_chars: int = LEAST_CHARS
+    short_chars: int = SHORT_CHARS
+
+    def edits(self, size: int) -> int:
+        return self.most_edits if size >= self.least_chars else min(1, self.most_edits) if size >= self.short_chars else 0
+
+    def column(self, chars: Column) -> Column:
+        """The same for lines that have ``short_chars`` at least."""
+        return F.when(chars >= self.least_chars, self.most_edits).otherwise(min(1, self.most_edits))
+
+
+def probes(size: int, bounds: Bounds) -> list[tuple[int, int, int, int]]:
     """Length, segment number, start and end of the substrings that a line of ``size`` tries.
 
-    Before segment i (from 0) at most i edits may lie, and behind it at most
-    ``most_edits - i``, if the earlier segments are to have been in vain.
+    Before segment i (from 0) at most i edits may lie, and behind it at most the
+    other line's edits less i, if the earlier segments are to have been in vain.
     """
     out = []
-    for other in range(max(1, size - most_edits), size + 1):
-        more = size - other
-        for i, (start, n) in enumerate(segments(other, most_edits + 1)):
-            behind = most_edits - i
+    for other in range(max(min(bounds.short_chars, bounds.least_chars), size - bounds.most_edits), size + 1):
+        more, most = size - other, bounds.edits(other)
+        if more > most:
+            continue
+        for i, (start, n) in enumerate(segments(other, most + 1)):
+            behind = most - i
             first = max(0, start - i, start + more - behind)
             last = min(size - n, start + i, start + more + behind)
             out += [(other, i, at, at + n) for at in range(first, last + 1)]
@@ -74,13 +94,13 @@ def probes(size: int, most_edits: int) -> list[tuple[int, int, int, int]]:
 class _Plan(dict):
     """Per line length: (salt, start, end) of its index keys and of its probe keys."""
 
-    def __init__(self, most_edits: int) -> None:
-        self.most_edits = most_edits
+    def __init__(self, bounds: Bounds) -> None:
+        self.bounds = bounds
 
     def __missing__(self, size: int):
         salt = lambda other, i: (other * 64 + i) & 0xFFFFFFFFFFFF
-        own = [(salt(size, i), a, a + n) for i, (a, n) in enumerate(segments(size, self.most_edits + 1))]
-        tried = [(salt(other, i), a, b) for other, i, a, b in probes(size, self.most_edits)]
+        own = [(salt(size, i), a, a + n) for i, (a, n) in enumerate(segments(size, self.bounds.edits(size) + 1))]
+        tried = [(salt(other, i), a, b) for other, i, a, b in probes(size, self.bounds)]
         plan = self[size] = (own, [p for p in tried if p not in own])
         return plan
 
@@ -159,11 +179,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.withColumn("node", F.unhex(F.md5(F.encode("line", "UTF-8"))))
 
 
-def shared_keys(lines: DataFrame, most_edits: int, buckets: int) -> DataFrame:
+def shared_keys(lines: DataFrame, bounds: Bounds, buckets: int) -> DataFrame:
     """``key``: the keys that an indexed line and another line have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen, keys, nodes, counts = _Plan(most_edits), set(), [], [], []
+        plan, seen, keys, nodes, counts = _Plan(bounds), set(), [], [], []
         for batch in batches:
             for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if node in seen:
@@ -213,11 +233,11 @@ def _packed(keys: list[int], nodes: list[int], counts: list[tuple[int, int]], bu
     return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "low", "high", "indexed"])
 
 
-def _members(lines: DataFrame, most_edits: int) -> DataFrame:
+def _members(lines: DataFrame, bounds: Bounds) -> DataFrame:
     """Per line: ``node, chars``, sketch ``s0 .. s3``, and ``keys``, the index keys first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = _Plan(most_edits), set()
+        plan, seen = _Plan(bounds), set()
         for batch in batches:
             nodes, chars, sketches, keys, ends = [], [], [], [], [0]
             for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -240,25 +260,29 @@ def _members(lines: DataFrame, most_edits: int) -> DataFrame:
     return lines.select("node", "line").mapInArrow(run, "node binary, chars int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
-def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """``a, b, distance``: all pairs of different lines within the distance, by their hashes.
 
     ``lines``: as from :func:`lines_of`, written, as they are read three times.
     """
     if least_chars <= most_edits:
         raise ValueError("least_chars must be above most_edits")
+    if short_chars < 2:
+        raise ValueError("short_chars must be 2 at least")
+    bounds = Bounds(most_edits, least_chars, short_chars)
     buckets = max(8, lines.count() // BUCKET_LINES)
-    lines = lines.where(F.length("line") >= least_chars)
-    marks = written(key_filter(shared_keys(lines, most_edits, buckets), ["key"], FILTER_BITS), "line-marks")
-    members = _members(lines, most_edits).select("node", "chars", "s0", "s1", "s2", "s3", F.posexplode("keys").alias("at", "key"))
+    lines = lines.where(F.length("line") >= min(short_chars, least_chars))
+    marks = written(key_filter(shared_keys(lines, bounds, buckets), ["key"], FILTER_BITS), "line-marks")
+    members = _members(lines, bounds).select("node", "chars", "s0", "s1", "s2", "s3", F.posexplode("keys").alias("at", "key"))
     members = maybe_listed(members, [F.col("key")], marks, FILTER_BITS, "maybe").where("maybe")
-    members = members.select("key", "node", "chars", "s0", "s1", "s2", "s3", (F.col("at") <= most_edits).alias("indexed"))
+    members = members.select("key", "node", "chars", "s0", "s1", "s2", "s3", (F.col("at") <= bounds.column(F.col("chars"))).alias("indexed"))
     members = written(members.distinct(), "line-members")
 
     left = members.where("indexed").alias("x")
     right = members.alias("y")
     flips = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & F.col("y.chars").between(F.col("x.chars"), F.col("x.chars") + most_edits) & (flips <= 4 * most_edits)
+    most = bounds.column(F.col("x.chars"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & F.col("y.chars").between(F.col("x.chars"), F.col("x.chars") + most) & (flips <= 4 * most)
     pairs = left.join(right, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     pairs = written(pairs.distinct(), "line-pairs")
 
@@ -269,22 +293,24 @@ def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = [edit_distance(x, y, most_edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            both = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            most = [bounds.edits(min(len(x), len(y))) for x, y in both]
+            far = [edit_distance(x, y, m) for (x, y), m in zip(both, most)]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.int32())], ["a", "b", "distance"])
-            yield out.filter(pa.array([d <= most_edits for d in far], pa.bool_()))
+            yield out.filter(pa.array([d <= m for d, m in zip(far, most)], pa.bool_()))
 
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "line": "y"}), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, distance int"), "line-links")
 
 
-def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short_chars: int = SHORT_CHARS) -> DataFrame:
     """One row per line: ``doc_id, line_no, class_doc_id, class_line_no, class_size, n_links, kept``.
 
     ``n_links`` counts the different lines within the distance, ``class_size``
     all lines of the class with their copies.
     """
     lines = written(lines_of(docs, id_col, text_col), "line-table")
-    links = edit_links(lines, most_edits, least_chars)
+    links = edit_links(lines, most_edits, least_chars, short_chars)
     both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     counts = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     linked = written(components(links).join(counts, "node"), "line-linked")

@@ -328,6 +328,21 @@ def test_line_classes(spark, docs, empty):
     assert line_dedup.line_classes(empty).count() == 0
 
 
+def test_short_lines_within_one_edit(spark):
+    random.seed(4)
+    lines = set()
+    for size in [5, 6, 7, 9, 12, 17, 21, 22, 23, 24, 25, 26] * 3:
+        x = "".join(random.choice("abcdefgh") for _ in range(size))
+        at = random.randrange(size)
+        lines |= {x, x[:at] + "Q" + x[at + 1 :], x[:at] + x[at + 1 :], x[:at] + "R" + x[at:], "S" + x[:at] + "T" + x[at:], x + "UV"}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    most = lambda a, b: 2 if min(len(a), len(b)) >= 24 else 1 if min(len(a), len(b)) >= 6 else 0
+    links = [sum(a != b and abs(len(a) - len(b)) <= 2 and line_dedup.edit_distance(a, b, 2) <= most(a, b) for b in lines) for a in lines]
+    assert [r["n_links"] for r in line_dedup.line_classes(df).orderBy("doc_id").collect()] == links
+    assert sum(n > 0 and len(x) < 24 for n, x in zip(links, lines)) > 50
+
+
 def test_dart_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 50, 600):
