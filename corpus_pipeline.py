@@ -7,18 +7,18 @@ the columns of ``documents``, for the documents that they keep.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.llm import exact_dedup, minhash, packing, quality_rules
-from panelspark.llm._shared import written
+from panelspark.llm._shared import discard, written
 from panelspark.llm.queries import vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the fixed part or the learned list rejects go."""
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # written first: a filter on the verdict would be pushed into the statistics and repeat their work
-    judged = written(quality_rules.judge(docs, rules).select("row", "kept"), "judged")
-    return judged.where("kept").select("row.*")
+    # no filter on the verdict: it would be pushed into the statistics and repeat their work
+    return quality_rules.judge(docs, rules).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, from the documents table."""
+    """All stages in turn, from the documents table; a stage's input goes when its output stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Places of the tables of :func:`written` that are still there.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -38,7 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing will read again; other DataFrames are left alone."""
+    for table in tables:
+        place = _PLACES.pop(table, None)
+        if place is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -50,6 +65,15 @@ def squeezed(column: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(column), BLANKS, " ")
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a bitmap for so many keys: 16 a key, from 2**16 up to 2**26.
+
+    A bitmap has 1,048,576 words at most, whatever the input.  Beyond 2**22 keys
+    it lets more and more other rows through, so an exact join has to follow.
+    """
+    return 1 << min(26, max(16, (16 * keys - 1).bit_length()))
+
+
 def key_filter(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
     """Bitmap of the hashed ``columns`` of ``keys``, as words of 64 bits: at most ``bits / 64`` rows.
 

@@ -44,14 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm._shared import key_filter, maybe_listed, text_or_empty, written
+from panelspark.llm._shared import discard, filter_bits, key_filter, maybe_listed, text_or_empty, written
 from panelspark.llm.components import components
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-#: Bits of the bitmaps that mark rows to look at; 131072 words, whatever the input.
-FILTER_BITS = 1 << 23
 #: Rounds of comparison with leaders before the rest is compared pair by pair.
 ROUNDS = 2
 #: Members up to which a bucket's remaining pairs go through a join; larger ones are compared in blocks of ``BLOCK``.
@@ -212,10 +210,19 @@ def set_bands(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int =
     return rows_in.mapInArrow(run, "doc_id long, text_key long, node binary, cells long, bands array<long>, sketch array<long>")
 
 
+def _listed(rows: DataFrame, columns: list[str], keys: DataFrame, name: list[str]) -> DataFrame:
+    """The rows whose ``columns`` may be among the ``name`` columns of the written table ``keys``.
+
+    A bitmap of bounded size lets others through as well; what follows joins the keys themselves.
+    """
+    bits = filter_bits(keys.count())
+    return maybe_listed(rows, [F.col(c) for c in columns], key_filter(keys, name, bits), bits, "maybe").where("maybe").drop("maybe")
+
+
 def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``node, elements``: sorted 32-bit hashes of the cells, for one text of each node in ``wanted``.
 
-    ``wanted``: ``doc_id, text_key, node``.  Two texts' elements meet by chance in
+    ``wanted``: ``doc_id, text_key, node``, written.  Two texts' elements meet by chance in
     one of 2**32, too rarely to move a similarity by more than a millionth.
     """
 
@@ -227,15 +234,14 @@ def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("text"))
-    marks = written(key_filter(wanted, ["doc_id", "text_key"], FILTER_BITS), "near-marks")
-    rows = maybe_listed(rows, [F.col("doc_id"), F.col("text_key")], marks, FILTER_BITS, "maybe").where("maybe").drop("maybe")
+    rows = _listed(rows, ["doc_id", "text_key"], wanted, ["doc_id", "text_key"])
     key = F.xxhash64("doc_id", "text_key")
     found = rows.select(key.alias("of"), "text").join(wanted.select(key.alias("of"), "node"), "of").dropDuplicates(["of"])
     return written(found.select("node", "text").mapInArrow(run, "node binary, elements binary"), "near-elements")
 
 
 def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a, b``) whose texts are similar enough.
+    """The pairs (``a, b``, a written table) whose texts are similar enough, written.
 
     Both joins have one row a node on the element side, and the pairs' side may
     be split, so a leader of a large group is no bottleneck.
@@ -250,11 +256,13 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    marks = written(key_filter(nodes, ["node"], FILTER_BITS), "near-marks")
-    some = maybe_listed(elements, [F.col("node")], marks, FILTER_BITS, "maybe").where("maybe").select("node", "elements")
+    nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-asked")
+    some = written(_listed(elements, ["node"], nodes, ["node"]), "near-some")
+    discard(nodes)
     joined = pairs.join(some.withColumnsRenamed({"node": "b", "elements": "y"}), "b").join(some.withColumnsRenamed({"node": "a", "elements": "x"}), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    found = written(joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "near-links")
+    discard(some)
+    return found
 
 
 def _block_links(rest: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -288,8 +296,8 @@ def _block_links(rest: DataFrame, elements: DataFrame, threshold: float) -> Data
                     out.append((pdf["node"].iat[x], pdf["node"].iat[y]))
         return pd.DataFrame([(min(a, b), max(a, b)) for a, b in out], columns=["a", "b"])
 
-    marks = written(key_filter(rest.select("node"), ["node"], FILTER_BITS), "near-marks")
-    some = maybe_listed(elements, [F.col("node")], marks, FILTER_BITS, "maybe").where("maybe").select("node", "elements")
+    nodes = written(rest.select("node").distinct(), "near-asked")
+    some = _listed(elements, ["node"], nodes, ["node"])
     return rows.join(some, "node").groupBy("bucket", "i", "j").applyInPandas(link, "a binary, b binary")
 
 
@@ -313,22 +321,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     """
     sets = written(set_bands(docs, bands, rows, seed, id_col, text_col), "near-sets")
     nodes = written(sets.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("cells").alias("cells"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "near-nodes")
-    spread = nodes.select("node", "cells", "sketch", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+    sets_slim = written(sets.select("doc_id", "text_key", "node"), "near-sets")
+    discard(sets)
     parts = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(-(-bands * rows // 32))]
-    members = maybe_listed(spread, [F.col("bucket")], written(key_filter(shared, ["bucket"], FILTER_BITS), "near-marks"), FILTER_BITS, "maybe").where("maybe")
-    members = written(members.select("bucket", "node", "cells", *parts), "near-members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("one.doc_id", "one.text_key", "node")
+    members = _bucket_members(nodes, parts)
+    wanted = written(members.select("node").distinct().join(nodes, "node").select("one.doc_id", "one.text_key", "node"), "near-wanted")
     elements = _elements(docs, wanted, id_col, text_col)
+    names = written(nodes.select("node", F.col("one.doc_id").alias("id")), "near-names")
+    discard(nodes, wanted)
 
     sketch = [f"s{i}" for i in range(len(parts))]
     as_other = {c: f"other_{c}" for c in ("node", "cells", "component", *sketch)}
     differ = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"other_{c}")).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"other_{c}")), 1))).bitwiseAND(F.lit(0x5555555555555555))) for c in sketch), F.lit(0))
     fits = (F.col("component") != F.col("other_component")) & (F.least("cells", "other_cells") >= threshold * F.greatest("cells", "other_cells")) & (differ <= most_mismatches(bands * rows, threshold))
     links = members.sparkSession.createDataFrame([], "a binary, b binary")
-    tested, labels = links, None
+    tested, labels, tables = links, None, []
     for turn in range(ROUNDS + 1):
-        at = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = members.withColumn("component", F.col("node")) if labels is None else members.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         at = at if labels is None else written(at, "near-placed")
         lead = F.min_by(F.struct("node", "cells", "component", *sketch), F.xxhash64("node", F.lit(turn)))
         mixed = written(at.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), lead.alias("lead")).where("least <> most"), "near-leaders")
@@ -343,24 +352,43 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             pairs = few.join(other, (F.col("bucket") == F.col("other_bucket")) & (F.col("node") < F.col("other_node")) & fits)
         pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "near-pairs")
-        found = written(_similar(pairs, elements, threshold), "near-links")
+        found = _similar(pairs, elements, threshold)
+        tables += [pairs, found]
         if turn == ROUNDS:
             found = written(found.unionByName(_block_links(rest.where(F.col("members") > MOST_JOINED), elements, threshold)), "near-links")
+            tables += [found, rest]
+        discard(mixed, at)
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
-            labels = written(components(links), "near-labels")
+            discard(*([labels] if labels is not None else []))
+            labels = components(links)
+    discard(members, elements, *tables)
 
-    names = nodes.select("node", F.col("one.doc_id").alias("id"))
-    named = names.join(labels, "node", "left") if labels is not None else names.withColumn("component", F.col("node"))
+    named = names.join(labels.select("node", "component"), "node", "left") if labels is not None else names.withColumn("component", F.col("node"))
     named = written(named.select("node", F.coalesce("component", "node").alias("component")), "near-named")
-    placed = written(sets.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "component"), "near-rows")
+    placed = written(sets_slim.join(named, "node").select("doc_id", "text_key", "component"), "near-rows")
+    discard(sets_slim, named, names, *([labels] if labels is not None else []))
     classes = written(placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"), F.count(F.lit(1)).alias("class_size")), "near-classes")
     out = placed.join(classes, "component")
     kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key"))
     return out.select("doc_id", "text_key", F.col("one.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
+def _bucket_members(nodes: DataFrame, parts: list) -> DataFrame:
+    """``bucket, node, cells`` and the sketch, for the buckets that hold two nodes or more.
+
+    A bitmap keeps most lone bands from the exact join with the shared buckets,
+    which moves two numbers a band; cells and sketches join afterwards, by node.
+    """
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "near-shared")
+    held = _listed(spread, ["bucket"], shared, ["bucket"]).join(shared, "bucket", "left_semi")
+    members = written(held.join(nodes.select("node", "cells", *parts), "node").select("bucket", "node", "cells", *[f"s{i}" for i in range(len(parts))]), "near-members")
+    discard(shared)
+    return members
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns, one row for each class.
 
@@ -368,9 +396,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of larger classes are shuffled, by id and text.
     """
     classes = written(near_classes(docs, id_col=id_col, text_col=text_col, **options).where("class_size > 1"), "near-copies")
-    marks = written(key_filter(classes, ["doc_id", "text_key"], FILTER_BITS), "near-marks")
+    bits = filter_bits(classes.count())
+    marks = key_filter(classes, ["doc_id", "text_key"], bits)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"))
-    rows = maybe_listed(rows, [F.col("doc_id"), F.col("text_key")], marks, FILTER_BITS, "maybe")
+    rows = maybe_listed(rows, [F.col("doc_id"), F.col("text_key")], marks, bits, "maybe")
     single = rows.where(~F.col("maybe")).select("row.*")
     verdict = classes.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.max("kept").alias("kept"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
