@@ -35,7 +35,7 @@ from panelspark.llm.pretokens import pretokens
 #: Pieces that one bucket is meant to have.
 BUCKET_PIECES = 40_000
 #: Pre-tokens whose ids a worker remembers; it starts afresh beyond that.
-MOST_REMEMBERED = 1_500_000
+MOST_REMEMBERED = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
