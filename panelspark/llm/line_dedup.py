@@ -2,18 +2,25 @@
 
 Two different lines are linked when their edit distance is at most ``most_edits``,
 or at most one where the shorter of them is under ``least_chars``.
-A line is cut into ``most_edits + 1`` even segments (short lines into two): lines
-within the distance have one segment in common, at nearly the same place.  So every line is indexed
-under its segments, and probes, for its own length and up to ``most_edits`` less,
-those of its substrings that could be such a segment.  The places to try follow
-from the edits that may lie on either side of the segment, about
-``most_edits ** 2 / 2`` less than all shifts.
+A line is cut into ``most_edits + 1`` even segments: lines within the distance have
+one segment in common, at nearly the same place.  So every line is indexed under
+its segments, and probes, for its own length and up to ``most_edits`` less, those
+of its substrings that could be such a segment.  The places to try follow from the
+edits that may lie on either side of the segment, about ``most_edits ** 2 / 2``
+less than all shifts.
+
+Segments of lines under ``least_chars`` would be a few characters that many lines
+share.  Such lines, and those of just ``least_chars``, are indexed under all
+strings that come from deleting one character: lines one edit apart share such a
+string, or one of them is such a string of the other.  A string has no more
+lines than it has places and the alphabet letters.
 
 The keys of all lines are many and nearly all of them are alone, so tasks send
 packed arrays of keys, each with the smallest and the largest line seen under it;
 a key with one line only is gone before any line is looked at again.  The lines
 under the remaining keys meet in a join, filtered by a parity sketch of their
 character pairs, and are verified by a banded bit-parallel edit distance.
+Only lines under shared keys are sketched and moved.
 
 Lines are compared after each run of blanks became one space and the ends were
 trimmed; lines without a word are left out.  Lines under ``short_chars`` are only
@@ -37,12 +44,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm._shared import key_filter, maybe_listed, squeezed, text_or_empty, written
+from panelspark.llm._shared import discard, filter_bits, key_filter, maybe_listed, squeezed, text_or_empty, written
 from panelspark.llm.components import components
 
 MOST_EDITS, LEAST_CHARS, SHORT_CHARS = 2, 24, 6
-#: Bits of the bitmaps of shared keys and of lines to fetch; 524288 words, whatever the input.
-FILTER_BITS = 1 << 25
 #: Lines whose keys one bucket of the key exchange is meant to take.
 BUCKET_LINES = 30_000
 #: Keys that a task gathers before it sends them.
@@ -67,6 +72,10 @@ class Bounds:
     def edits(self, size: int) -> int:
         return self.most_edits if size >= self.least_chars else min(1, self.most_edits) if size >= self.short_chars else 0
 
+    def deletes(self, size: int) -> bool:
+        """Whether lines of ``size`` are indexed under the strings with a character less."""
+        return self.most_edits > 0 and self.short_chars <= size <= self.least_chars
+
     def column(self, chars: Column) -> Column:
         """The same for lines that have ``short_chars`` at least."""
         return F.when(chars >= self.least_chars, self.most_edits).otherwise(min(1, self.most_edits))
@@ -79,10 +88,8 @@ def probes(size: int, bounds: Bounds) -> list[tuple[int, int, int, int]]:
     other line's edits less i, if the earlier segments are to have been in vain.
     """
     out = []
-    for other in range(max(min(bounds.short_chars, bounds.least_chars), size - bounds.most_edits), size + 1):
+    for other in range(max(bounds.least_chars, size - bounds.most_edits), size + 1):
         more, most = size - other, bounds.edits(other)
-        if more > most:
-            continue
         for i, (start, n) in enumerate(segments(other, most + 1)):
             behind = most - i
             first = max(0, start - i, start + more - behind)
@@ -99,17 +106,27 @@ class _Plan(dict):
 
     def __missing__(self, size: int):
         salt = lambda other, i: (other * 64 + i) & 0xFFFFFFFFFFFF
-        own = [(salt(size, i), a, a + n) for i, (a, n) in enumerate(segments(size, self.bounds.edits(size) + 1))]
+        long = size >= self.bounds.least_chars
+        own = [(salt(size, i), a, a + n) for i, (a, n) in enumerate(segments(size, self.bounds.edits(size) + 1))] if long else []
         tried = [(salt(other, i), a, b) for other, i, a, b in probes(size, self.bounds)]
         plan = self[size] = (own, [p for p in tried if p not in own])
         return plan
 
 
+#: Salt of the strings with a character less; no length has it.
+_DELETED = 1 << 60
+
+
 def line_keys(line: str, plan: _Plan) -> tuple[list[int], list[int]]:
     """64-bit index keys and further probe keys of a line."""
-    own, tried = plan[len(line)]
+    size = len(line)
+    own, tried = plan[size]
     h = xxhash.xxh3_64_intdigest
-    return [h(line[a:b], s) for s, a, b in own], [h(line[a:b], s) for s, a, b in tried]
+    keys = [h(line[a:b], s) for s, a, b in own]
+    if plan.bounds.deletes(size):
+        less = {line[:i] + line[i + 1 :] for i in range(size)}
+        keys += [h(x, _DELETED) for x in (less if size == plan.bounds.least_chars else less | {line})]
+    return keys, [h(line[a:b], s) for s, a, b in tried]
 
 
 def sketch(line: str) -> bytes:
@@ -234,12 +251,12 @@ def _packed(keys: list[int], nodes: list[int], counts: list[tuple[int, int]], bu
 
 
 def _members(lines: DataFrame, bounds: Bounds) -> DataFrame:
-    """Per line: ``node, chars``, sketch ``s0 .. s3``, and ``keys``, the index keys first."""
+    """Per line: ``node, chars``, and ``keys``, of which the first ``own`` are index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = _Plan(bounds), set()
         for batch in batches:
-            nodes, chars, sketches, keys, ends = [], [], [], [], [0]
+            nodes, chars, first, keys, ends = [], [], [], [], [0]
             for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if node in seen:
                     continue
@@ -250,14 +267,24 @@ def _members(lines: DataFrame, bounds: Bounds) -> DataFrame:
                 ends.append(len(keys))
                 nodes.append(node)
                 chars.append(len(line))
-                sketches.append(sketch(line))
+                first.append(len(own))
             if len(seen) > 500_000:
                 seen.clear()
-            four = np.frombuffer(b"".join(sketches), "<i8").reshape(-1, 4)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(chars, pa.int32()), *[pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)], lists], ["node", "chars", "s0", "s1", "s2", "s3", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(chars, pa.int32()), pa.array(first, pa.int32()), lists], ["node", "chars", "own", "keys"])
+
+    return lines.select("node", "line").mapInArrow(run, "node binary, chars int, own int, keys array<long>")
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``node, line`` with the sketch as ``s0 .. s3``."""
 
-    return lines.select("node", "line").mapInArrow(run, "node binary, chars int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            four = np.frombuffer(b"".join(map(sketch, batch.column(1).to_pylist())), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)]], ["node", "line", "s0", "s1", "s2", "s3"])
+
+    return texts.mapInArrow(run, "node binary, line string, s0 long, s1 long, s2 long, s3 long")
 
 
 def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
@@ -272,25 +299,23 @@ def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
     bounds = Bounds(most_edits, least_chars, short_chars)
     buckets = max(8, lines.count() // BUCKET_LINES)
     lines = lines.where(F.length("line") >= min(short_chars, least_chars))
-    marks = written(key_filter(shared_keys(lines, bounds, buckets), ["key"], FILTER_BITS), "line-marks")
-    members = _members(lines, bounds).select("node", "chars", "s0", "s1", "s2", "s3", F.posexplode("keys").alias("at", "key"))
-    members = maybe_listed(members, [F.col("key")], marks, FILTER_BITS, "maybe").where("maybe")
-    members = members.select("key", "node", "chars", "s0", "s1", "s2", "s3", (F.col("at") <= bounds.column(F.col("chars"))).alias("indexed"))
-    members = written(members.distinct(), "line-members")
-
-    left = members.where("indexed").alias("x")
-    right = members.alias("y")
+    shared = written(shared_keys(lines, bounds, buckets), "line-shared")
+    members = _members(lines, bounds).select("node", "chars", "own", F.posexplode("keys").alias("at", "key"))
+    members = _listed(members, "key", shared).join(shared, "key", "left_semi")
+    members = written(members.groupBy("key", "node").agg(F.max("chars").alias("chars"), F.max(F.col("at") < F.col("own")).alias("indexed")), "line-members")
+    nodes = written(members.select("node").distinct(), "line-nodes")
+    texts = _listed(lines.select("node", "line"), "node", nodes).groupBy("node").agg(F.min("line").alias("line"))
+    texts = written(_sketched(texts.join(nodes, "node", "left_semi")), "line-texts")
+    sketches = members.join(texts.drop("line"), "node")
+
+    left = sketches.where("indexed").alias("x")
+    right = sketches.alias("y")
     flips = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
     most = bounds.column(F.col("x.chars"))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & F.col("y.chars").between(F.col("x.chars"), F.col("x.chars") + most) & (flips <= 4 * most)
     pairs = left.join(right, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     pairs = written(pairs.distinct(), "line-pairs")
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(key_filter(nodes, ["node"], FILTER_BITS), "line-marks")
-    texts = maybe_listed(lines.select("node", "line"), [F.col("node")], wanted, FILTER_BITS, "maybe").where("maybe").select("node", "line")
-    texts = written(texts.groupBy("node").agg(F.min("line").alias("line")), "line-texts")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
@@ -299,8 +324,17 @@ def edit_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.int32())], ["a", "b", "distance"])
             yield out.filter(pa.array([d <= m for d, m in zip(far, most)], pa.bool_()))
 
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "line": "y"}), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, distance int"), "line-links")
+    texts_only = texts.select("node", "line")
+    both = pairs.join(texts_only.withColumnsRenamed({"node": "a", "line": "x"}), "a").join(texts_only.withColumnsRenamed({"node": "b", "line": "y"}), "b")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, distance int"), "line-links")
+    discard(shared, members, nodes, texts, pairs)
+    return links
+
+
+def _listed(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in the written table ``keys``; a bitmap of bounded size lets some others through."""
+    bits = filter_bits(keys.count())
+    return maybe_listed(rows, [F.col(column)], key_filter(keys, [column], bits), bits, "maybe").where("maybe").drop("maybe")
 
 
 def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short_chars: int = SHORT_CHARS) -> DataFrame:
@@ -313,9 +347,11 @@ def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
     links = edit_links(lines, most_edits, least_chars, short_chars)
     both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     counts = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    linked = written(components(links).join(counts, "node"), "line-linked")
+    labels = components(links)
+    linked = written(labels.select("node", "component").join(counts, "node"), "line-linked")
     rows = lines.select("doc_id", "line_no", "node").join(linked, "node", "left").select("doc_id", "line_no", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = written(rows, "line-placed")
+    discard(lines, links, labels, linked)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     classes = written(rows.groupBy("component").agg(F.min(first).alias("one"), F.count(F.lit(1)).alias("class_size")), "line-classes")
     out = rows.join(classes, "component")
