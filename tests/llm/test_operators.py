@@ -233,45 +233,68 @@ def test_licence_cues_skip_work_not_cases(corpus):
     assert all(any(w in scanner.cues for w in g.split(" ")) for g, u in zip(scanner.counter.vocabulary, used) if u)
 
 
-def test_katz_model(docs, corpus, empty, monkeypatch):
-    monkeypatch.setattr(katz_lm, "BLOCK_DOCS", 60)
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_model(docs, corpus, empty, monkeypatch, order, tmp_path):
+    monkeypatch.setattr(katz_lm, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(katz_lm, "PART_TOKENS", 1000)
+    monkeypatch.setattr(katz_lm, "PIECE", 50)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r["doc_id"]: r for r in katz_lm.score_documents(corpus, held).collect()}
-    words = {r["doc_id"]: (r["text"] or "").encode().translate(katz_lm._LOWER).split() + [b""] for r in corpus.collect()}
+    got = {r["doc_id"]: r for r in katz_lm.score_documents(corpus, held, order, model_dir=str(tmp_path / "model")).collect()}
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    words = {r["doc_id"]: (r["text"] or "").encode().translate(lower).split() + [b""] for r in corpus.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    uni, pairs, contexts = Counter(), Counter(), Counter()
+    seen = [Counter() for _ in range(order + 1)]  # by number of words
+    after = [Counter() for _ in range(order)]  # contexts by number of words
     for i, w in words.items():
         if not out[i]:
-            before = [b" ", *w[:-1]]
-            uni.update(w)
-            pairs.update(zip(before, w))
-            contexts.update(before)
-    n, v = sum(uni.values()), len(uni)
+            padded = [b" "] * (order - 1) + w
+            for at in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    seen[k][tuple(padded[at - k + 1 : at + 1])] += 1
+                    after[k - 1][tuple(padded[at - k + 1 : at])] += 1
+    n, v = sum(seen[1].values()), len(seen[1])
     of = lambda c: [sum(x == r for x in c.values()) for r in range(7)]
-    d1, d2 = katz_lm.discounts(of(uni)), katz_lm.discounts(of(pairs))
-    freed = sum((1 - d1[min(c, 6)]) * c for c in uni.values())
-    own = lambda w: d1[min(uni[w], 6)] * uni[w] / n if uni[w] else freed / n
+    d = [None, *[katz_lm.discounts(of(c)) for c in seen[1:]]]
+    freed = sum((1 - d[1][min(c, 6)]) * c for c in seen[1].values())
     mass, left = defaultdict(float), defaultdict(float)
-    for (h, w), c in pairs.items():
-        mass[h] += own(w)
-        left[h] += (1 - d2[min(c, 6)]) * c
 
     def p(h, w):
-        if not contexts[h]:
-            return own(w)
-        whole, spare = contexts[h] + (left[h] <= 0), left[h] if left[h] > 0 else 1
-        c = pairs[h, w]
-        return d2[min(c, 6)] * c / whole if c else spare / whole / (1 - mass[h]) * own(w)
-
+        c, k = seen[len(h) + 1][*h, w], len(h) + 1
+        if not h:
+            return d[1][min(c, 6)] * c / n if c else freed / n
+        if not after[k - 1][h]:
+            return p(h[1:], w)
+        whole, spare = after[k - 1][h] + (left[h] <= 0), left[h] if left[h] > 0 else 1
+        return d[k][min(c, 6)] * c / whole if c else spare / whole / (1 - mass[h]) * p(h[1:], w)
+
+    for k in range(2, order + 1):
+        for (*h, w), c in seen[k].items():
+            mass[tuple(h)] += p(tuple(h[1:]), w)
+            left[tuple(h)] += (1 - d[k][min(c, 6)]) * c
     for i, w in words.items():
-        assert got[i]["score"] == pytest.approx(sum(np.log10(p(h, x)) for h, x in zip([b" ", *w[:-1]], w)))
-        assert got[i]["base_score"] == pytest.approx(sum(np.log10((uni[x] + 1) / (n + v + 1)) for x in w))
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(w), sum(x in uni for x in w), n, out[i])
-    for h in (b"the", b" ", b"is"):
-        assert sum(p(h, w) for w in uni) + p(h, b"unknown word") == pytest.approx(1)
-    assert katz_lm.score_documents(docs, held).count() == docs.count()
-    assert katz_lm.score_documents(empty, held).count() == 0
-    assert katz_lm.score_documents(docs, F.lit(True)).where("train_tokens = 0").count() == docs.count()
+        padded = [b" "] * (order - 1) + w
+        assert got[i]["score"] == pytest.approx(sum(np.log10(p(tuple(padded[j : j + order - 1]), x)) for j, x in enumerate(w)))
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((seen[1][x,] + 1) / (n + v + 1)) for x in w))
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(w), sum((x,) in seen[1] for x in w), n, out[i])
+    for h in list(after[order - 1])[:3]:
+        assert sum(p(h, w) for (w,) in seen[1]) + p(h, b"unknown word") == pytest.approx(1)
+    stored = corpus.sparkSession.read.parquet(str(tmp_path / "model"))
+    assert sum(len(r["counts"]) // 8 for r in stored.where(F.col("order") == order).collect()) == len(seen[order])
+    assert not [t for t in corpus.sparkSession.catalog.listTables() if t.name.startswith("katz_")]
+    if order == 2:
+        edges = katz_lm.score_documents(docs, held).collect()
+        assert sorted(str((r["doc_id"], r["n_tokens"])) for r in edges) == sorted(str((r["doc_id"], len((r["text"] or "").split()) + 1)) for r in docs.collect())
+        assert katz_lm.score_documents(empty, held).count() == 0
+        assert katz_lm.score_documents(docs, F.lit(True)).where("train_tokens = 0").count() == docs.count()
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(katz_lm, "CHUNK_BYTES", 16)
+    texts = [b"", b" \t", b"One tWo  three", b"two", "na\xefve \u65e5\u672c x".encode(), b"y" * 100]
+    h, n = katz_lm.tokens(texts, katz_lm.WordHashes())
+    assert n.tolist() == [1, 1, 4, 2, 4, 2]
+    words = [w for t in texts for w in [*t.lower().split(), None]]
+    assert len(words) == len(h) and len(set(words)) == len(set(h.tolist())) and all((words[i] == words[j]) == (h[i] == h[j]) for i in range(len(h)) for j in range(len(h)))
 
 
 def test_edit_distance():
