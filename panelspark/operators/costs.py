@@ -32,9 +32,9 @@ def entity_returns(df: DataFrame, ret: str = "ret") -> DataFrame:
 
 
 def drifted(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",)) -> DataFrame:
-    """Weights after their month's returns, as shares again; a missing return is 0."""
+    """Weights after their month's returns, as shares again; a missing return is 0, and shares of a leg that lost all are null."""
     grown = weights.join(returns, ["month_idx", "entity"], "left").withColumn("g", F.col("w") * (1 + F.coalesce("r", F.lit(0.0))))
-    return grown.withColumn("drifted", F.col("g") / F.sum("g").over(Window.partitionBy(*by, "month_idx"))).drop("g", "r")
+    return grown.withColumn("drifted", F.try_divide(F.col("g"), F.sum("g").over(Window.partitionBy(*by, "month_idx")))).drop("g", "r")
 
 
 def turnover(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",)) -> DataFrame:
@@ -109,12 +109,14 @@ def break_even(rows: DataFrame, borrow_bps: float = 0.0, exposure: float = 1.0,
     borrow = borrow_bps / 10_000 / 12 * exposure
     one = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("g"), F.avg("turnover").alias("q"), F.var_samp("ret").alias("v"), F.var_samp("turnover").alias("s"), F.covar_samp("ret", "turnover").alias("k"))
     m = F.col("g") - borrow
-    stat = lambda c: (m - c * F.col("q")) / F.sqrt((F.col("v") - 2 * c * F.col("k") + c * c * F.col("s")) / F.col("n"))
+    # null for a net return that never varies, which counts as not significant
+    stat = lambda c: F.try_divide(m - c * F.col("q"), F.sqrt(F.greatest(F.col("v") - 2 * c * F.col("k") + c * c * F.col("s"), F.lit(0.0)) / F.col("n")))
     a = F.col("q") ** 2 - t * t * F.col("s") / F.col("n")
     b = -2 * m * F.col("q") + 2 * t * t * F.col("k") / F.col("n")
     c = m**2 - t * t * F.col("v") / F.col("n")
     root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
-    low, high = F.least((-b - root) / (2 * a), (-b + root) / (2 * a)), F.greatest((-b - root) / (2 * a), (-b + root) / (2 * a))
+    roots = F.try_divide(-b - root, 2 * a), F.try_divide(-b + root, 2 * a)
+    low, high = F.least(*roots), F.greatest(*roots)
     found = F.when(low >= 0, low).otherwise(high)
     top = most_bps / 10_000
     significant = F.when(F.col("n") < 3, F.lit(None)).when(F.coalesce(stat(F.lit(0.0)), F.lit(0.0)) < t, F.lit(0.0)).when(stat(F.lit(top)) > t, F.lit(float("inf"))).otherwise(found * 10_000)
@@ -131,8 +133,8 @@ def sensitivity(rows: DataFrame, grid: Sequence[float], borrow_bps: float = 0.0,
 
 
 def turnover_summary(turnovers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, yearly sum, and months of holding: one over a quarter of the mean."""
-    return turnovers.groupBy(*by).agg(F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * 12).alias("annual_turnover"), (4 / F.avg("turnover")).alias("holding_months"), F.count("turnover").alias("n_months"))
+    """Mean, yearly sum, and months of holding: one over a quarter of the mean, null without turnover."""
+    return turnovers.groupBy(*by).agg(F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * 12).alias("annual_turnover"), F.try_divide(F.lit(4.0), F.avg("turnover")).alias("holding_months"), F.count("turnover").alias("n_months"))
 
 
 def long_short_with_costs(df: DataFrame, trade_bps: float, borrow_bps: float = 0.0, n: int = 10, weight: str | None = None, ret: str = "ret") -> DataFrame:

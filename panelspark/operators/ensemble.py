@@ -66,12 +66,16 @@ def past_sums(monthly: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def inverse_mse_weights(monthly: DataFrame, models: Sequence[str], window: int = 60, least: int = 24) -> DataFrame:
-    """``month, model, w``: past mean squared errors inverted; equal under ``least`` months."""
+    """``month, model, w``: past mean squared errors inverted; equal under ``least`` months.
+
+    Models without any past error share the whole weight among them.
+    """
     k = len(models)
     past = past_sums(monthly, k, window)
     enough = F.col("n_past") >= least
     mse = lambda i: (F.col("yy") - 2 * F.col(f"xy_{i}") + F.col(f"xx_{i}_{i}")) / F.col("n")
-    inverse = [F.when(enough, 1 / mse(i)).otherwise(F.lit(1.0)) for i in range(k)]
+    exact = F.greatest(F.lit(False), *[mse(i) <= 0 for i in range(k)])
+    inverse = [F.when(~enough, 1.0).when(exact, (mse(i) <= 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), mse(i))) for i in range(k)]
     rows = past.select("month", "month_idx", (~enough).alias("fallback"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (inverse[i] / sum(inverse[1:], inverse[0])).alias("w")) for i, m in enumerate(models)])).alias("x"))
     return rows.select("month", "month_idx", "fallback", "x.model", "x.w")
 
@@ -129,8 +133,10 @@ def expand(weights: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def combine(long: DataFrame, weights: DataFrame, keys: Sequence[str] = ("entity", "month")) -> DataFrame:
-    """Sum of weight times prediction of each row; months without a weight raise when ``check_months`` finds them."""
-    return long.join(F.broadcast(weights.select("month", "model", "w")), ["month", "model"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("prediction")).alias("prediction"))
+    """Sum of weight times prediction of each row.  A month and model without a weight fail the job."""
+    rows = long.join(F.broadcast(weights.select("month", "model", "w")), ["month", "model"], "left")
+    w = F.when(F.col("w").isNull(), F.raise_error(F.concat(F.lit("no weight for "), "model", F.lit(" in month "), F.col("month").cast("string"))).cast("double")).otherwise(F.col("w"))
+    return rows.groupBy(*keys).agg(F.sum(w * F.col("prediction")).alias("prediction"))
 
 
 def check_months(long: DataFrame, weights: DataFrame) -> DataFrame:

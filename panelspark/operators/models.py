@@ -77,29 +77,30 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
     for window in ids:
         own = data.where(F.col("window_id") == window).persist()
         block = {b: own.where(F.col("block") == b) for b in ("train", "validation", "test")}
-        best, top, best_params, best_scores, best_stage = None, float("-inf"), {}, None, 0
+        best, top, best_params, best_scores, best_stage, best_trees = None, float("-inf"), {}, None, 0, None
         for stage, combos in enumerate([spec.combos, *spec.stages]):
             for params in combos(best_params) if callable(combos) else combos:
                 maker = spec.make(params)
-                model = maker.fit(block["train"])
+                model, trees = maker.fit(block["train"]), None
                 if isinstance(maker, GBTRegressor):
-                    params = params | {"best_trees": _best_prefix(model, block["validation"])}
-                    if params["best_trees"] < maker.getMaxIter():  # a tree depends on its place and the seed, so these are the same first trees
-                        model = maker.setMaxIter(params["best_trees"]).fit(block["train"])
+                    trees = _best_prefix(model, block["validation"])
+                    if trees < maker.getMaxIter():  # a tree depends on its place and the seed, so these are the same first trees
+                        model = maker.setMaxIter(trees).fit(block["train"])
                 train_r2, n_train = _score(model, block["train"], "label")
                 valid_r2, _ = _score(model, block["validation"], "label")
-                tried.append((window, stage, str(params), train_r2, valid_r2))
+                tried.append((window, stage, str(params), trees, train_r2, valid_r2))
                 if valid_r2 is not None and valid_r2 > top:
-                    best, top, best_params, best_stage, best_scores = model, valid_r2, params, stage, (n_train, train_r2, valid_r2)
+                    best, top, best_params, best_stage, best_trees, best_scores = model, valid_r2, params, stage, trees, (n_train, train_r2, valid_r2)
         test_r2, _ = _score(best, block["test"], "label")
-        results.append((window, str(best_params), best_stage, best_scores[0], best_scores[1], best_scores[2], test_r2))
+        results.append((window, str(best_params), best_stage, best_trees, best_scores[0], best_scores[1], best_scores[2], test_r2))
         values = best.coefficients if hasattr(best, "coefficients") else best.featureImportances
         weights += [(window, f, float(v)) for f, v in zip(features, values.toArray())]
         part = best.transform(block["test"]).select(*keys, F.col("label").alias(target), "prediction", "window_id").withColumn("model", F.lit(spec.name))
         predicted = part if predicted is None else predicted.unionByName(part)
+        own.unpersist()
     table = lambda r, s: spark.createDataFrame(r, s)
-    tried_df = table(tried, "window_id int, stage int, params string, r2_train double, r2_validation double")
-    out = table(results, "window_id int, params string, stage int, n_train long, r2_train double, r2_validation double, r2_test double")
+    tried_df = table(tried, "window_id int, stage int, params string, best_trees int, r2_train double, r2_validation double")
+    out = table(results, "window_id int, params string, stage int, best_trees int, n_train long, r2_train double, r2_validation double, r2_test double")
     chosen = tried_df.join(F.broadcast(out.select("window_id", "params", F.lit(True).alias("selected"))), ["window_id", "params"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("gap", F.col("r2_train") - F.col("r2_validation"))
     return Trained(predicted, chosen, out, table(weights, "window_id int, predictor string, coefficient double"))
 
@@ -130,12 +131,15 @@ def search_diagnostics(tried: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def importance_table(weights: DataFrame) -> DataFrame:
-    """Importances scaled to 100 a window: mean, deviation, mean rank and percent of windows without use."""
+    """Importances scaled to 100 a window: mean, deviation, mean rank and percent of windows without use.
+
+    A window in which nothing was used has no shares.
+    """
     from pyspark.sql.window import Window
 
     from panelspark.operators.xsection import average_rank
 
-    share = 100 * F.col("coefficient") / F.sum("coefficient").over(Window.partitionBy("window_id"))
+    share = 100 * F.try_divide("coefficient", F.sum("coefficient").over(Window.partitionBy("window_id")))
     rows = weights.withColumn("share", share).withColumn("place", average_rank("share", ["window_id"], descending=True))
     return rows.groupBy("predictor").agg(F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("sd_share"), F.avg("place").alias("mean_rank"), (100 * F.avg((F.col("coefficient") == 0).cast("double"))).alias("pct_unused"))
 
@@ -148,7 +152,3 @@ def out_of_bag_r2(rows: DataFrame, features: Sequence[str], target: str, params:
         part = forest(params).fit(data.where(F.col("__s") != s)).transform(data.where(F.col("__s") == s)).select("label", "prediction")
         out = part if out is None else out.unionByName(part)
     return out.agg(r2_zero("label", "prediction").alias("oob_r2"), F.count(F.lit(1)).alias("n"))
-
-
-def empty_predictions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "entity long, month string, y double, prediction double, window_id int, model string")

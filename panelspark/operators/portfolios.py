@@ -232,7 +232,7 @@ def evaluate_groups(df: DataFrame, signal: str, target: str, group: str = "size_
     spread = long_short(decile_returns(ranked, target, by=[*keys, "month"]), n, by=[*keys, "month"])
     perf = measures(spread, keys)
     ic = rank_ic_summary(rank_ic(both, signal, target, by=[*keys, "month"]), keys).select(*keys, "ic_mean", "ic_t")
-    fit = both.groupBy(*keys).agg((1 - F.sum((F.col(target) - F.col(signal)) ** 2) / F.sum(F.col(target) ** 2)).alias("r2"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months_available"))
+    fit = both.groupBy(*keys).agg((1 - F.try_divide(F.sum((F.col(target) - F.col(signal)) ** 2), F.sum(F.col(target) ** 2))).alias("r2"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months_available"))
     out = fit.join(perf, keys, "left").join(ic, keys, "left")
     return out.withColumn("n_months_without", F.col("n_months_available") - F.coalesce("n_months", F.lit(0)))
 
@@ -244,7 +244,7 @@ def describe_groups(df: DataFrame, group: str = "size_group", size: str = "cap")
     whole = df.agg(F.sum(size).alias("__all"))
     one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months"), F.min(size).alias("size_min"), q.alias("q"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
     out = one.crossJoin(F.broadcast(whole)).join(monthly, group)
-    return out.select(group, "n_rows", "n_entities", "n_months", "mean_per_month", "min_per_month", "max_per_month", "size_min", F.get("q", F.lit(0)).alias("size_p25"), F.get("q", F.lit(1)).alias("size_median"), "size_mean", F.get("q", F.lit(2)).alias("size_p75"), "size_max", (F.col("__s") / F.col("__all")).alias("share_of_total"))
+    return out.select(group, "n_rows", "n_entities", "n_months", "mean_per_month", "min_per_month", "max_per_month", "size_min", F.get("q", F.lit(0)).alias("size_p25"), F.get("q", F.lit(1)).alias("size_median"), "size_mean", F.get("q", F.lit(2)).alias("size_p75"), "size_max", F.try_divide("__s", "__all").alias("share_of_total"))
 
 
 def group_bounds(df: DataFrame, group: str = "size_group", size: str = "cap") -> DataFrame:
@@ -265,8 +265,8 @@ def best_by(table: DataFrame, model: str, group: str, columns: Sequence[str]) ->
 
 
 def scale_ratio(df: DataFrame, short: str, long: str) -> DataFrame:
-    """Deviations of two targets and the ratio of their variances."""
-    return df.agg(F.stddev_samp(short).alias("sd_short"), F.stddev_samp(long).alias("sd_long")).withColumn("variance_ratio", (F.col("sd_long") / F.col("sd_short")) ** 2)
+    """Deviations of two targets and the ratio of their variances, null where the short one is constant."""
+    return df.agg(F.stddev_samp(short).alias("sd_short"), F.stddev_samp(long).alias("sd_long")).withColumn("variance_ratio", F.try_divide("sd_long", "sd_short") ** 2)
 
 
 def rank_disagreement(table: DataFrame, accuracy: str = "r2", value: str = "sharpe") -> DataFrame:

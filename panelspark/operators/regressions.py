@@ -102,9 +102,9 @@ def fama_macbeth(panel: DataFrame, names: Sequence[str], target: str) -> DataFra
 
 
 def window_significance(slopes: DataFrame, windows: DataFrame, least: int = 6) -> DataFrame:
-    """Per training window and predictor: share of months with abs(t) >= 1.96, and signed coherence mean(b) / mean(abs(b))."""
+    """Per training window and predictor: share of months with abs(t) >= 1.96 (never where the error is 0), and signed coherence mean(b) / mean(abs(b))."""
     rows = slopes.join(F.broadcast(windows.where("block = 'train'").select("window_id", "month")), "month")
-    strong = (F.abs(F.col("coefficient") / F.col("std_error")) >= 1.96).cast("double")
+    strong = F.coalesce(F.abs(F.try_divide("coefficient", "std_error")) >= 1.96, F.lit(False)).cast("double")
     size = F.avg(F.abs("coefficient"))
     out = rows.groupBy("window_id", "predictor").agg(F.count(F.lit(1)).alias("n_months"), F.avg(strong).alias("share_significant"), F.when(size > 0, F.avg("coefficient") / size).alias("coherence"))
     return out.where(F.col("n_months") >= least)
@@ -179,16 +179,19 @@ def factor_series(factors: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def factor_benchmark(factors: DataFrame, names: Sequence[str], rule: str = "equal", window: int = 60, least: int = 24) -> DataFrame:
-    """A portfolio of factors: equal mean, or past inverse variances (equal under ``least`` months)."""
+    """A portfolio of factors: equal mean, or past inverse variances (equal under ``least`` months).
+
+    A factor that never varied has no weight; without any weight the return is null.
+    """
     long = factor_series(factors, names)
     if rule == "equal":
         return long.groupBy("month", "month_idx").agg(F.avg("ret").alias("ret"))
     if rule != "inverse_variance":
         raise ValueError("equal or inverse_variance")
     past = Window.partitionBy("portfolio").orderBy("month_idx").rowsBetween(-window, -1)
-    rows = long.withColumn("n", F.count("ret").over(past)).withColumn("i", 1 / F.var_samp("ret").over(past))
+    rows = long.withColumn("n", F.count("ret").over(past)).withColumn("i", F.try_divide(F.lit(1.0), F.var_samp("ret").over(past)))
     rows = rows.withColumn("w", F.when(F.col("n") >= least, F.col("i")).otherwise(F.lit(1.0)))
-    return rows.groupBy("month", "month_idx").agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("ret"))
+    return rows.groupBy("month", "month_idx").agg(F.try_divide(F.sum(F.col("w") * F.col("ret")), F.sum("w")).alias("ret"))
 
 
 def report_alphas(alphas: DataFrame, factor_model: str, by: Sequence[str] = ("portfolio",)) -> DataFrame:

@@ -82,8 +82,11 @@ def restrict_start(panel: DataFrame, year: int) -> DataFrame:
 
 
 def r2_zero(y: str = "y", prediction: str = "prediction") -> Column:
-    """1 - sum of squared errors over the sum of squares: the benchmark forecasts 0."""
-    return 1 - F.sum((F.col(y) - F.col(prediction)) ** 2) / F.sum(F.col(y) ** 2)
+    """1 - sum of squared errors over the sum of squares: the benchmark forecasts 0.
+
+    Null where the target is 0 throughout.
+    """
+    return 1 - F.try_divide(F.sum((F.col(y) - F.col(prediction)) ** 2), F.sum(F.col(y) ** 2))
 
 
 def r2_table(rows: DataFrame, by: Sequence[str]) -> DataFrame:

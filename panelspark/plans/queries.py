@@ -404,7 +404,7 @@ def wf_pooled_r2(s, d):
     return W.r2_table(W.assign(_preds(s, d), _win(s, d)), ["model", "block"])
 
 
-@query("wf_gram", "SELECT month, month_idx, n, yy, xy_0, xy_1, xx_0_0, xx_0_1, xx_1_1 FROM errs", "yy xy_0 xy_1 xx_0_0 xx_0_1 xx_1_1")
+@query("wf_gram", "SELECT month, month_idx, n, yy, xy_0, xy_1, xx_0_0, xx_0_1, xx_1_1 FROM errs", "yy xy_0 xy_1 xx_0_0 xx_0_1 xx_1_1", digits=11)
 def wf_gram(s, d):
     return E.gram(_ex(s, d), ["pred_a", "pred_b"], "y")
 
@@ -495,7 +495,7 @@ def pf_long_only(s, d):
     return P.long_only(_ex(s, d), "pred_a", "y", 0.1)
 
 
-@query("pf_cohorts", "SELECT month, decile, avg(p_ret) AS ret, max(n_cohorts) AS n_cohorts FROM (SELECT p.month, f.decile, p.ret AS p_ret, f.month_idx AS formation FROM (SELECT entity, month_idx, decile, unnest(range(1, 7)) AS k FROM dec WHERE decile IS NOT NULL) f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.month_idx + f.k) JOIN (SELECT month, count(DISTINCT formation) AS n_cohorts FROM (SELECT p.month, f.month_idx AS formation FROM (SELECT entity, month_idx, unnest(range(1, 7)) AS k FROM dec WHERE decile IS NOT NULL) f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.month_idx + f.k) GROUP BY 1) USING (month) GROUP BY 1, 2", "ret")
+@query("pf_cohorts", "SELECT month, decile, avg(p_ret) AS ret, max(n_cohorts) AS n_cohorts FROM (SELECT p.month, f.decile, p.ret AS p_ret, f.month_idx AS formation FROM (SELECT entity, month_idx, decile, unnest(range(1, 7)) AS k FROM dec WHERE decile IS NOT NULL) f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.month_idx + f.k) JOIN (SELECT month, count(DISTINCT formation) AS n_cohorts FROM (SELECT p.month, f.month_idx AS formation FROM (SELECT entity, month_idx, unnest(range(1, 7)) AS k FROM dec WHERE decile IS NOT NULL) f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.month_idx + f.k) GROUP BY 1) USING (month) GROUP BY 1, 2", "ret", digits=11)
 def pf_cohorts(s, d):
     return P.cohorts(_ex(s, d), "pred_a", "ret", 6)
 
@@ -516,7 +516,7 @@ def pf_constructions(s, d):
     return P.compare_constructions(_ex(s, d), "pred_a", "y", "cap")
 
 
-@query("pf_benchmarks", "SELECT size_group, month, avg(y) AS equal_weighted, sum(cap * y) / sum(cap) AS size_weighted FROM grouped GROUP BY 1, 2", "equal_weighted size_weighted")
+@query("pf_benchmarks", "SELECT size_group, month, avg(y) AS equal_weighted, sum(cap * y) / sum(cap) AS size_weighted FROM grouped GROUP BY 1, 2", "equal_weighted size_weighted", digits=11)
 def pf_benchmarks(s, d):
     return P.universe_benchmarks(X.size_group(_ex(s, d), X.TERCILES), "y", "cap", by=["size_group"])
 

@@ -201,7 +201,7 @@ def test_boosting_stops_where_validation_says(spark):
     full = M.boosting(combos[0]).fit(part("train"))
     errors = full.evaluateEachIteration(part("validation"), "squared")
     best = errors.index(min(errors)) + 1
-    assert best < 12 and f"'best_trees': {best}" in got["params"]
+    assert best < 12 and got["best_trees"] == best and got["params"] == str(combos[0])
     first = lambda v: sum(w * m.predict(v) for w, m in zip(full.treeWeights[:best], full.trees[:best]))
     want = {r["entity"]: first(r["features"]) for r in part("test").collect()}
     assert {r["entity"]: r["prediction"] for r in t.predictions.collect()} == pytest.approx(want)
@@ -212,6 +212,39 @@ def test_boosting_stops_where_validation_says(spark):
     assert [used["x"], used["z"]] == pytest.approx(list(cut))
 
 
+def test_constant_series_divide_nothing(spark):
+    zero = spark.createDataFrame([("g", 0.0, 0.1), ("h", 1.0, 1.0), ("h", 1.0, 0.0)], "g string, y double, prediction double")
+    assert sorted(rows(W.r2_table(zero, ["g"]))) == [("g", None, 1), ("h", 0.5, 2)]
+    lost = spark.createDataFrame([("long", 1, 7, 0.5), ("long", 1, 8, 0.5)], "leg string, month_idx int, entity int, w double")
+    gone = spark.createDataFrame([(1, 7, -1.0), (1, 8, -1.0)], "month_idx int, entity int, r double")
+    assert [r["drifted"] for r in C.drifted(lost, gone).collect()] == [None, None]
+    still = spark.createDataFrame([(0.01, 0.0)] * 3, "ret double, turnover double")
+    assert rows(C.turnover_summary(still)) == [(0.0, 0.0, None, 3)]
+    assert rows(C.break_even(still)) == [(3, None, 0.0)]
+    slopes = spark.createDataFrame([(f"2000{m:02}", "x", 0.5, 0.0) for m in range(1, 8)], "month string, predictor string, coefficient double, std_error double")
+    train = slopes.select(F.lit(1).alias("window_id"), F.lit("train").alias("block"), "month")
+    assert rows(R.window_significance(slopes, train)) == [(1, "x", 7, 0.0, 1.0)]
+    flat = spark.createDataFrame([(f"m{m:02}", m, 0.01) for m in range(30)], "month string, month_idx int, a double")
+    assert {r["month"]: r["ret"] for r in R.factor_benchmark(flat, ["a"], "inverse_variance").collect()}["m29"] is None
+    assert rows(P.scale_ratio(flat, "a", "a")) == [(0.0, 0.0, None)]
+    unused = spark.createDataFrame([(1, "x", 0.0), (1, "z", 0.0)], "window_id int, predictor string, coefficient double")
+    assert {(r["mean_share"], r["pct_unused"]) for r in M.importance_table(unused).collect()} == {(None, 100.0)}
+
+
+def test_error_free_model_has_all_the_weight(spark):
+    wide = spark.createDataFrame([(f"m{m:02}", m, 1, float(m), float(m), 0.0) for m in range(30)], "month string, month_idx int, entity int, y double, a double, b double")
+    weights = E.inverse_mse_weights(E.gram(wide, ["a", "b"], "y"), ["a", "b"])
+    assert {r["model"]: r["w"] for r in weights.where("month_idx = 29").collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_combining_a_month_without_weights_fails(spark):
+    long = spark.createDataFrame([(1, "m1", "a", 2.0), (1, "m2", "a", 3.0)], "entity int, month string, model string, prediction double")
+    weights = spark.createDataFrame([("m1", "a", 0.5)], "month string, model string, w double")
+    assert rows(E.combine(long.where("month = 'm1'"), weights)) == [(1, "m1", 1.0)]
+    with pytest.raises(Exception, match="no weight for a in month m2"):
+        E.combine(long, weights).collect()
+
+
 def test_journal(spark, tmp_path):
     path = str(tmp_path / "journal")
     assert G.read_table(spark, path).count() == 0
