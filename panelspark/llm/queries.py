@@ -50,35 +50,53 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+#: Hosts whose addresses are listed, with all their subdomains.
+SPAM_HOSTS = ["casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "spam-farm.example.com"]
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL by the rules, and by the list of addresses on spam hosts.
+    """Every page's URL by the rules, and by a list of addresses on spam hosts.
 
-    The list is made from the pages themselves: the canonical addresses whose
-    host starts with ``spam``.
+    The list is made from the pages themselves: what was seen over ``http`` on a
+    spam host.  It decides by the canonical address: other spellings of a listed
+    page (``https``, tracking, a closing slash) are blocked, other pages of the host
+    are not.
     """
     pages = _table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    canonical = url_filter.canonical_url(F.col("url"))
-    listed = pages.where(canonical.startswith("spam")).select("url", F.lit("block").alias("verdict"))
+    host = url_filter.host_and_path(F.col("url"))[0]
+    spam = F.lit(False)
+    for name in SPAM_HOSTS:
+        spam = spam | (host == name) | host.endswith("." + name)
+    listed = pages.where(F.col("url").startswith("http://") & spam).select("url", F.lit("block").alias("verdict"))
     return url_filter.judge_urls(pages, rules, listed, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP4_SQL = r"""
 WITH u AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://(.*)$', 1, 's') ELSE '' END AS rest FROM pages),
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://(.*)$', 1, 's') ELSE '' END AS rest FROM pages),
 h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1, 's'), '&'), lambda p: p <> ''
+           AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref|ref_src|mc_cid|mc_eid|sessionid|sid)(=|$)', 'i'))) AS asked FROM u),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', ''), '^www\.|\.$', '', 'g')
+         || regexp_replace(path, '/+$', '') || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS canonical
+  FROM h),
+listed AS (
+  SELECT DISTINCT canonical FROM c WHERE starts_with(url, 'http://') AND canonical <> ''
+    AND regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|spam-farm)\.example\.com$')),
 r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM h)
+  FROM c)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN starts_with(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '^www\.', ''), 'spam') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN contains(url, '://') AND canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 

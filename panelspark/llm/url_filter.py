@@ -18,9 +18,11 @@ longest rule wins; of rules as long, that with the longer host.  Rules come
 before listed URLs; a URL that neither lists gets the default.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path,
-fits no rule and gets the default.  Repeated rows are judged one by one.  Of
-listed keys that repeat, ``block`` wins.  Null hosts, paths or URLs in the lists
-are ignored.
+fits no rule and gets the default.  A canonical form that is empty (as of
+``http://www./``) is never listed.  Repeated rows are judged one by one.  Of listed
+keys that repeat, ``block`` wins.  Null hosts, paths or URLs in the lists are
+ignored.  Columns of the pages that are named like a result are replaced by it.
+An empty table of pages gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ PROBES = 6
 #: Listed keys that one block is meant to have.
 BLOCK_KEYS = 16
 
+#: Rules up to which they are broadcast; more go through the same hash join as listed URLs.
+MOST_RULES = 10_000
+
 #: Query parameters that only track visits.
 TRACKING = r"(utm_[a-z]+|gclid|fbclid|ref|ref_src|mc_cid|mc_eid|sessionid|sid)"
 
@@ -90,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: s
 
     ``rules``: ``host, path, verdict``.  ``listed``: ``url, verdict``.
     """
-    carry = pages.columns if carry is None else carry
+    carry = [c for c in (pages.columns if carry is None else carry) if c not in ("host", "path", "canonical", "rule", "verdict")]
     url = F.col(url_col)
     host, path = host_and_path(url)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), url.alias("url"), host.alias("host"), path.alias("path"))
@@ -99,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: s
 
     rule = rules.where("host is not null and path is not null")
     by_rule = rule.select(_rule_key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_chars"), "verdict")
-    urls = listed.where(F.instr("url", "://") > 0).select(F.concat(F.lit("url "), canonical_url(F.col("url"))).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("host_chars"), "verdict")
+    urls = listed.where((F.instr("url", "://") > 0) & (canonical_url(F.col("url")) != "")).select(F.concat(F.lit("url "), canonical_url(F.col("url"))).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("host_chars"), "verdict")
     keys = by_rule.unionByName(urls).groupBy("key").agg(F.first("rule").alias("rule"), F.first("host_chars").alias("host_chars"), F.max("verdict").alias("verdict"))
     keys = written(keys, "url-keys")
     blocks, n = _blocks(keys.select("key"))
@@ -112,11 +117,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: s
     prefixes = F.expr("transform(filter(lengths, n -> n <= length(path)), n -> substring(path, 1, n))")
     candidates = F.expr("flatten(transform(suffixes, h -> transform(prefixes, p -> concat('rule ', h, ' ', p))))")
     tried = tried.withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
-    tried = tried.select("at", F.explode(F.array_append(F.when(F.col("host") != "", candidates).otherwise(F.array().cast("array<string>")), F.concat(F.lit("url "), F.coalesce("canonical", F.lit(""))))).alias("key"))
+    tried = tried.select("at", F.explode(F.array_append(F.when(F.col("host") != "", candidates).otherwise(F.array().cast("array<string>")), F.concat(F.lit("url "), F.col("canonical")))).alias("key")).where("key is not null")
     probed = tried.withColumn("block", _block(F.col("key"), n)).withColumn("bits", _bits(F.col("key"))).join(F.broadcast(blocks), "block")
     maybe = probed.where(F.expr("forall(bits, b -> (shiftright(element_at(array(w0, w1, w2, w3), cast(b div 64 as int) + 1), cast(b % 64 as int)) & 1) = 1)"))
 
-    hits = maybe.select("at", "key").join(keys, "key")
+    # a rule may fit most pages, so rules do not go through the shuffle by key if they are few
+    of_rule = F.col("key").startswith("rule ")
+    few = keys.where(of_rule).count() <= MOST_RULES
+    by_rule, by_url = keys.where(of_rule), keys.where(~of_rule)
+    hits = maybe.where(of_rule).select("at", "key").join(F.broadcast(by_rule) if few else by_rule, "key")
+    hits = hits.unionByName(maybe.where(~of_rule).select("at", "key").join(by_url, "key"))
     rank = F.struct(F.col("rule").isNotNull().alias("by_rule"), F.length(F.coalesce("rule", F.lit(""))).alias("chars"), "host_chars", "key")
     best = hits.groupBy("at").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
     out = rows.join(best, "at", "left")

@@ -207,6 +207,16 @@ def test_url_filter(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert url_filter.judge_urls(pages.limit(0), rules, listed, carry=["page_id"]).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0), listed.limit(0), carry=["page_id"]).collect()} == {"allow"}
+    whole = url_filter.judge_urls(pages, rules, listed)
+    assert whole.columns == ["page_id", "url", "at", "host", "path", "canonical", "rule", "verdict"]
+    assert sorted(map(str, whole.select("page_id", "rule", "verdict", "host").collect())) == sorted(f"Row(page_id={i}, rule={r!r}, verdict={v!r}, host={h!r})" for i, r, v, h in want)
+
+
+def test_an_empty_canonical_form_lists_nothing(spark):
+    pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://www./"), (4, "http://a/")], "page_id long, url string")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("http://www./", "block"), ("http://a", "block")], "url string, verdict string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules, listed).collect()} == {1: "allow", 2: "allow", 3: "allow", 4: "block"}
 
 
 def test_licence_scan(docs, corpus, empty):
