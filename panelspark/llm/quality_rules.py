@@ -12,8 +12,7 @@ few hundred numbers, whatever the number of labelled rows.
 
 Defined results: null text has no words and no lines; its statistics are 0.
 Labels that are null are ignored; with no labelled bad rows the list is empty
-and rejects nothing.  Windows of words are told apart by a hash of at least 44
-bits together with their place, see :func:`text_statistics`.
+and rejects nothing.
 """
 
 from __future__ import annotations
@@ -50,9 +49,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A 3-word window counts as repeated when the text has it twice or more.  The
     windows of a text are sorted as one number each, made of the window's hash
     and its place, so equal windows become neighbours without a shuffle.  The
-    place takes as many bits as the text needs, the hash has the rest: 44 bits
-    or more up to a million words, where two different windows of an average
-    text meet with probability below 1e-10.
+    place takes as many bits as the text needs, the hash has the rest; neighbours
+    with the same hash count as equal only if their words are.
     """
     text = text_or_empty(text_col)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"))
@@ -67,7 +65,9 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     window = "xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))"
     df = df.withColumn("keys", F.expr(f"sort_array(if(n_words < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> shiftleft(shiftright({window}, bits), bits) | i)))"))
-    same = lambda other: f"shiftright(k, bits) <=> shiftright(get(keys, {other}), bits)"
+    place = "cast({} & (shiftleft(1L, bits) - 1) as int)".format  # of a key
+    words = lambda other: " and ".join(f"get(w, {place('k')} + {i}) = get(w, {place(f'get(keys, {other})')} + {i})" for i in range(3))
+    same = lambda other: f"(coalesce(shiftright(k, bits) = shiftright(get(keys, {other}), bits) and {words(other)}, false))"
     df = df.withColumn("twice", F.expr(f"sort_array(array_compact(transform(keys, (k, j) -> if({same('j - 1')} or {same('j + 1')}, k & (shiftleft(1L, bits) - 1), null))))"))
     covered = "aggregate(transform(twice, (p, j) -> coalesce(least(3L, get(twice, j + 1) - p), 3L)), 0L, (a, x) -> a + x)"
     shrunk = lambda pattern: F.length("joined") - F.length(F.regexp_replace("joined", pattern, ""))
@@ -151,6 +151,8 @@ def learn_rules(rows: DataFrame, most_rules: int = 12, most_conditions: int = 3,
 
     A rule counts only if, after pruning, at least ``least_precision`` of what
     it rejects on the pruning rows is bad, and it rejects ``least_rows`` bad rows.
+    One that does not is no rule, but its rows are set aside, too, so that the
+    next one is grown elsewhere.
     """
     quantiles = rows.agg(*[F.percentile_approx(n, [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias(n) for n in RATIOS], *[F.percentile_approx(F.when(F.col("is_bad"), F.col(n)), [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias("bad_" + n) for n in RATIOS]).first()
     cuts = {n: sorted({*(quantiles[n] or []), *(quantiles["bad_" + n] or [])}) for n in RATIOS}
@@ -158,9 +160,10 @@ def learn_rules(rows: DataFrame, most_rules: int = 12, most_conditions: int = 3,
     rows = written(rows.withColumn("bins", bins), "binned-statistics")
     grow, prune = rows.where(~F.col("held")), rows.where("held")
     rules: list[list[tuple[str, str, float]]] = []
-    while len(rules) < most_rules:
+    done: list[list[tuple[str, str, float]]] = []
+    while len(done) < most_rules:
         rule: list[tuple[str, str, float]] = []
-        left = grow.where(~_any(rules))
+        left = grow.where(~_any(done))
         while len(rule) < most_conditions:
             counts = left.where(_all(rule)).select(F.explode("bins").alias("b"), "is_bad").groupBy("b.name", "b.bin").agg(F.count_if("is_bad").alias("p"), F.count_if(~F.col("is_bad")).alias("n")).collect()  # statistics x bins rows
             found = _best_condition(counts, cuts)
@@ -171,11 +174,12 @@ def learn_rules(rows: DataFrame, most_rules: int = 12, most_conditions: int = 3,
                 break
         if not rule:
             break
-        pruned = _prune(prune.where(~_any(rules)), rule)
-        p, n = _counts(rows.where(~_any(rules)), [pruned])[0]
-        if p < least_rows or p < least_precision * (p + n):
-            break
-        rules.append(pruned)
+        pruned = _prune(prune.where(~_any(done)), rule)
+        held_bad, held_good = _counts(prune.where(~_any(done)), [pruned])[0]
+        all_bad, _ = _counts(rows.where(~_any(done)), [pruned])[0]
+        done.append(pruned)
+        if all_bad >= least_rows and held_bad and held_bad >= least_precision * (held_bad + held_good):
+            rules.append(pruned)
     return DecisionList(rules)
 
 
