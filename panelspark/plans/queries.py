@@ -738,7 +738,16 @@ def tc_break_even_zero(s, d):
     return C.break_even(_net(s, d), 100).select("n", "zero_mean_bps")
 
 
-@query("tc_break_even_significance")
+BREAK_EVEN_SQL = """
+SELECT n, m / q * 10000 AS zero_mean_bps,
+  CASE WHEN n < 3 THEN NULL WHEN coalesce(m / nullif(sqrt(v / n), 0), 0) < 1.96 THEN 0.0 WHEN (m - 0.05 * q) / sqrt((v - 0.1 * k + 0.0025 * s) / n) > 1.96 THEN CAST('Infinity' AS DOUBLE)
+    ELSE 10000 * CASE WHEN least(r1, r2) >= 0 THEN least(r1, r2) ELSE greatest(r1, r2) END END AS significance_bps
+FROM (SELECT *, (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS r1, (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS r2
+  FROM (SELECT *, q * q - 1.96 * 1.96 * s / n AS a, 2 * 1.96 * 1.96 * k / n - 2 * m * q AS b, m * m - 1.96 * 1.96 * v / n AS c
+    FROM (SELECT count(*) AS n, avg(ret) + 0.01 - 0.01 / 12 AS m, avg(turnover) AS q, var_samp(ret) AS v, var_samp(turnover) AS s, covar_samp(ret, turnover) AS k FROM net WHERE turnover IS NOT NULL)))"""
+
+
+@query("tc_break_even_significance", BREAK_EVEN_SQL, "zero_mean_bps significance_bps", "l_suppkey")
 def tc_break_even_significance(s, d):
     rows = _net(s, d).withColumn("ret", F.col("ret") + 0.01)
     return C.break_even(rows, 100)
