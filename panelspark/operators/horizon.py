@@ -37,11 +37,14 @@ def forward_excess(returns: DataFrame, macro: DataFrame, horizon: int, policy: s
     ``macro``: ``month_idx, rf``.  The target of month t compounds months t+1 to
     t+H of the return and of the rate, and subtracts.  It is null if a month is
     missing or if t+H lies behind the panel's end.  In extension months the return
-    is the rate, or 0.
+    is the rate, or 0.  A month with returns inside the macro table's span but
+    without a rate fails the job.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     grid = monthly_grid(restrict_to_macro(returns, macro), horizon).join(macro.select("month_idx", "rf"), "month_idx", "left")
+    unrated = F.col("ret").isNotNull() & F.col("rf").isNull()
+    grid = grid.withColumn("rf", F.when(unrated, F.raise_error(F.concat(F.lit("no rate for month "), F.col("month_idx").cast("string"))).cast("double")).otherwise(F.col("rf")))
     r = F.when(F.col("extension"), F.col("rf") if policy == "risk_free" else F.lit(0.0)).otherwise(F.col("ret"))
     grid = grid.withColumn("r", F.when(r.isNotNull(), F.greatest(r, F.lit(FLOOR))))  # greatest alone would pass over a null
     w = Window.partitionBy("entity").orderBy("month_idx").rangeBetween(1, horizon)

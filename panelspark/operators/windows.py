@@ -62,9 +62,14 @@ def summarise(table: DataFrame) -> DataFrame:
 
 
 def embargo(table: DataFrame, horizon: int) -> DataFrame:
-    """Without the last ``horizon`` months of training and validation, whose targets reach into the next block."""
-    w = Window.partitionBy("window_id", "block").orderBy(F.desc("month_idx"))
-    return table.withColumn("__r", F.row_number().over(w)).where((F.col("block") == "test") | (F.col("__r") > horizon)).drop("__r")
+    """Without the last ``horizon`` months of training and validation, whose targets reach into the next block.
+
+    A block that would be left without a month fails the job.
+    """
+    w = Window.partitionBy("window_id", "block")
+    empty = F.raise_error(F.concat(F.lit("the embargo empties block "), "block", F.lit(" of window "), F.col("window_id").cast("string"))).cast("boolean")
+    rows = table.withColumn("__r", F.row_number().over(w.orderBy(F.desc("month_idx")))).withColumn("__n", F.count(F.lit(1)).over(w))
+    return rows.where(F.when(F.col("block") == "test", True).when(F.col("__n") <= horizon, empty).otherwise(F.col("__r") > horizon)).drop("__r", "__n")
 
 
 def assign(panel: DataFrame, table: DataFrame) -> DataFrame:

@@ -245,6 +245,18 @@ def test_combining_a_month_without_weights_fails(spark):
         E.combine(long, weights).collect()
 
 
+def test_expectations_fail_the_job(spark):
+    returns = spark.createDataFrame([(1, m, 0.01) for m in range(1, 6)], "entity int, month_idx int, ret double")
+    macro = spark.createDataFrame([(1, 0.0), (2, None), (3, 0.0), (4, 0.0), (5, 0.0)], "month_idx int, rf double")
+    with pytest.raises(Exception, match="no rate for month 2"):
+        H.forward_excess(returns, macro, 2).collect()
+    blocks = [(1, b, m) for b, ms in (("train", (1, 2, 3)), ("validation", (4, 5)), ("test", (6,))) for m in ms]
+    table = spark.createDataFrame(blocks, "window_id int, block string, month_idx int")
+    assert sorted(r["month_idx"] for r in W.embargo(table, 1).collect()) == [1, 2, 4, 6]
+    with pytest.raises(Exception, match="the embargo empties block validation of window 1"):
+        W.embargo(table, 2).collect()
+
+
 def test_journal(spark, tmp_path):
     path = str(tmp_path / "journal")
     assert G.read_table(spark, path).count() == 0
