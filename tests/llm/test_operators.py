@@ -227,11 +227,37 @@ def test_licence_scan(docs, corpus, empty):
     new = corpus.sparkSession.createDataFrame([(1, "Hello.\nReleased under the MIT License."), (2, "All rights reserved"), (3, None), (4, "plain words only"), (5, "This program: you can redistribute it and/or modify it under the terms of the GNU General Public License.")], "doc_id long, text string")
     got = {r["doc_id"]: (r["licence"], r["confirmed"]) for r in license_scan.scan(new, scanner).collect()}
     assert got[1] == ("mit", True) and got[3] == (None, False) and got[4] == (None, False) and got[5] == ("gpl", True)
-    assert got[2][1] is False
+    assert got[2] == ("unknown", False)
     assert license_scan.scan(docs, scanner).count() == docs.count()
     assert license_scan.scan(empty, scanner).count() == 0
 
 
+def test_licence_tags_addresses_and_other_licences(corpus):
+    scanner = license_scan.fit(corpus)
+    said = {
+        "http://www.apache.org/licenses/LICENSE-2.0": "apache", "SPDX-License-Identifier: MIT": "mit", "The MIT License (MIT)": "mit", "Licensed under GPLv3": "gpl", "Licensed under LGPL v3": "lgpl",
+        "Copyright 2020 ISC License": "unknown", "Licensed under the EUPL": "unknown", "SPDX-License-Identifier: ISC": "unknown",
+        "She passed her license exam": None, "driver license": None, "the general public": None, "foundation of the house": None,
+    }
+    new = corpus.sparkSession.createDataFrame([*enumerate(said)], "doc_id long, text string")
+    got = {list(said)[r["doc_id"]]: r["licence"] for r in license_scan.scan(new, scanner).collect()}
+    assert got == said
+
+
+def test_licence_training_rows(corpus):
+    rows = license_scan.training_rows(corpus.unionByName(corpus)).collect()
+    drawn = [tuple(r["words"]) for r in rows if r["drawn"]]
+    assert len(drawn) == len(set(drawn))  # copies count once
+    assert {r["class"] for r in rows} == set(license_scan.CLASSES)
+    whole = {tuple(t.split(" ")) for c in license_scan.FAMILIES for t in license_scan.TEMPLATES[c]}
+    assert not any(r["held"] and not r["drawn"] and tuple(r["words"]) in whole for r in rows)
+    shares = {}
+    for r in rows:
+        if not r["held"]:
+            shares[r["class"]] = shares.get(r["class"], 0) + r["weight"]
+    assert shares["none"] == pytest.approx(500) and shares["mit"] == pytest.approx(500 / (len(license_scan.CLASSES) - 1))
+
+
 def test_licence_cues_skip_work_not_cases(corpus):
     scanner = license_scan.fit(corpus)
     used = abs(scanner.model.coefficientMatrix.toArray()).max(0) > 0
