@@ -124,6 +124,21 @@ def break_even(rows: DataFrame, borrow_bps: float = 0.0, exposure: float = 1.0,
     return one.select(*by, "n", zero.alias("zero_mean_bps"), significant.alias("significance_bps"))
 
 
+def margins(table: DataFrame, assumed_bps: float) -> DataFrame:
+    """What both thresholds of :func:`break_even` leave above an assumed cost."""
+    return table.withColumn("margin_bps", F.col("zero_mean_bps") - assumed_bps).withColumn("significance_margin_bps", F.col("significance_bps") - assumed_bps)
+
+
+def drags(rows: DataFrame, by: Sequence[str] = (), periods: int = 12) -> DataFrame:
+    """Yearly gross and net mean, what trading and borrowing take a year, and their share of the gross mean (null where it is 0).
+
+    ``rows``: those of :func:`long_short_with_costs`; a month without a cost row costs 0.
+    """
+    mean = lambda c: periods * F.avg(F.coalesce(c, F.lit(0.0)))
+    one = rows.where("ret is not null").groupBy(*by).agg(mean(F.col("ret")).alias("gross_annual"), mean(F.col("net")).alias("net_annual"), mean(F.col("trade_cost")).alias("trade_drag_annual"), mean(F.col("borrow_cost")).alias("borrow_drag_annual"))
+    return one.withColumn("drag_ratio", F.try_divide(F.col("trade_drag_annual") + F.col("borrow_drag_annual"), "gross_annual"))
+
+
 def sensitivity(rows: DataFrame, grid: Sequence[float], borrow_bps: float = 0.0, exposure: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Measures of the net return for each cost of a grid, all in one job."""
     costs = rows.sparkSession.createDataFrame([(float(g),) for g in grid], "cost_bps double")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.operators.portfolios import decile_returns, long_short, measures, with_decile
+from panelspark.operators.windows import r2_table
+
 METHODS = ("equal", "manual", "validation_r2", "inverse_mse", "least_squares")
 
 
@@ -127,14 +130,52 @@ def least_squares_weights(monthly: DataFrame, models: Sequence[str], window: int
     return past_sums(monthly, k, window).mapInPandas(solve, "month string, month_idx int, fallback boolean, model string, w double")
 
 
+def weight_table(monthly: DataFrame, scores: DataFrame, models: Sequence[str], method: str, window: int = 60, least: int = 24, manual: Mapping[str, float] | None = None) -> DataFrame:
+    """``method, month, month_idx, fallback, model, w``: every rule in one form, a row per month of ``monthly`` and model.
+
+    Constant rules never fall back, but for scores that are all 0 or less, which share evenly.
+    """
+    check(models, method, window, least, manual)
+    if method == "inverse_mse":
+        out = inverse_mse_weights(monthly, models, window, least)
+    elif method == "least_squares":
+        out = least_squares_weights(monthly, models, window, least)
+    else:
+        weights = constant_weights(scores.where(F.col("model").isin(list(models))), method, manual)
+        useless = scores.agg(~F.coalesce(F.bool_or(F.col("validation_r2") > 0), F.lit(False))).first()[0] if method == "validation_r2" else False
+        out = monthly.select("month", "month_idx", F.lit(useless).alias("fallback")).crossJoin(F.broadcast(weights))
+    return out.select(F.lit(method).alias("method"), "month", "month_idx", "fallback", "model", "w")
+
+
+def fallback_counts(weights: DataFrame) -> DataFrame:
+    """Per method: months, and months in which the rule fell back on equal weights."""
+    months = weights.groupBy("method", "month").agg(F.bool_or("fallback").alias("fallback"))
+    return months.groupBy("method").agg(F.count(F.lit(1)).alias("n_months"), F.count_if("fallback").alias("n_fallback"))
+
+
+def replay(long: DataFrame, weights: DataFrame, target: str = "y", n: int = 10) -> DataFrame:
+    """One row a method: R2 of its predictions, measures of its long-short portfolio, months that fell back.
+
+    ``weights`` holds any number of methods; their predictions and portfolios are one job, keyed by method.
+    """
+    rows = combine(long.crossJoin(F.broadcast(weights.select("method").distinct())), weights, ["method", "entity", "month"], ["method", "month", "model"])
+    rows = rows.join(long.groupBy("entity", "month").agg(F.first(target).alias(target)), ["entity", "month"])
+    spread = long_short(decile_returns(with_decile(rows, "prediction", n, by=["method", "month"]), target, by=["method", "month"]), n, by=["method", "month"])
+    return r2_table(rows, ["method"]).join(measures(spread, ["method"]), "method", "left").join(fallback_counts(weights).select("method", "n_fallback"), "method")
+
+
+def mean_weights(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("method", "model").agg(F.avg("w").alias("mean_w"))
+
+
 def expand(weights: DataFrame, months: DataFrame) -> DataFrame:
     """Constant weights for every month, in the form of the rolling ones."""
     return months.select("month").distinct().crossJoin(F.broadcast(weights))
 
 
-def combine(long: DataFrame, weights: DataFrame, keys: Sequence[str] = ("entity", "month")) -> DataFrame:
+def combine(long: DataFrame, weights: DataFrame, keys: Sequence[str] = ("entity", "month"), on: Sequence[str] = ("month", "model")) -> DataFrame:
     """Sum of weight times prediction of each row.  A month and model without a weight fail the job."""
-    rows = long.join(F.broadcast(weights.select("month", "model", "w")), ["month", "model"], "left")
+    rows = long.join(F.broadcast(weights.select(*on, "w")), list(on), "left")
     w = F.when(F.col("w").isNull(), F.raise_error(F.concat(F.lit("no weight for "), "model", F.lit(" in month "), F.col("month").cast("string"))).cast("double")).otherwise(F.col("w"))
     return rows.groupBy(*keys).agg(F.sum(w * F.col("prediction")).alias("prediction"))
 
@@ -151,3 +192,9 @@ def error_correlation(wide: DataFrame, models: Sequence[str], target: str = "y")
     one = errors.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], one.columns, "pair", "corr")
     return long.select(F.split("pair", r"\|")[0].alias("model_1"), F.split("pair", r"\|")[1].alias("model_2"), "corr")
+
+
+def correlation_summary(correlations: DataFrame) -> DataFrame:
+    """Mean, smallest and largest correlation of two different models' errors."""
+    off = correlations.where("model_1 <> model_2")
+    return off.agg(F.avg("corr").alias("mean_corr"), F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr"))

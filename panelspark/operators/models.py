@@ -81,14 +81,16 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
         for stage, combos in enumerate([spec.combos, *spec.stages]):
             for params in combos(best_params) if callable(combos) else combos:
                 maker = spec.make(params)
-                model, trees = maker.fit(block["train"]), None
+                model, trees, at_budget = maker.fit(block["train"]), None, None
                 if isinstance(maker, GBTRegressor):
                     trees = _best_prefix(model, block["validation"])
+                    at_budget = trees == maker.getMaxIter()
                     if trees < maker.getMaxIter():  # a tree depends on its place and the seed, so these are the same first trees
                         model = maker.setMaxIter(trees).fit(block["train"])
                 train_r2, n_train = _score(model, block["train"], "label")
                 valid_r2, _ = _score(model, block["validation"], "label")
-                tried.append((window, stage, str(params), trees, train_r2, valid_r2))
+                at_depth = max(t.depth for t in model.trees) == maker.getMaxDepth() if hasattr(model, "trees") else None
+                tried.append((window, stage, str(params), trees, at_budget, at_depth, train_r2, valid_r2))
                 if valid_r2 is not None and valid_r2 > top:
                     best, top, best_params, best_stage, best_trees, best_scores = model, valid_r2, params, stage, trees, (n_train, train_r2, valid_r2)
         test_r2, _ = _score(best, block["test"], "label")
@@ -99,7 +101,7 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
         predicted = part if predicted is None else predicted.unionByName(part)
         own.unpersist()
     table = lambda r, s: spark.createDataFrame(r, s)
-    tried_df = table(tried, "window_id int, stage int, params string, best_trees int, r2_train double, r2_validation double")
+    tried_df = table(tried, "window_id int, stage int, params string, best_trees int, at_budget boolean, at_depth boolean, r2_train double, r2_validation double")
     out = table(results, "window_id int, params string, stage int, best_trees int, n_train long, r2_train double, r2_validation double, r2_test double")
     chosen = tried_df.join(F.broadcast(out.select("window_id", "params", F.lit(True).alias("selected"))), ["window_id", "params"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("gap", F.col("r2_train") - F.col("r2_validation"))
     return Trained(predicted, chosen, out, table(weights, "window_id int, predictor string, coefficient double"))
@@ -124,10 +126,12 @@ def grid_summary(tried: DataFrame) -> DataFrame:
 
 
 def search_diagnostics(tried: DataFrame, results: DataFrame) -> DataFrame:
-    """Percent of windows that a later stage won, and mean number of combinations a window."""
+    """Percent of windows that a later stage won, mean number of combinations a window, and percent of combinations
+    whose best number of trees is all that were allowed, or whose trees reach the depth allowed (null without trees)."""
     won = results.agg((100 * F.avg((F.col("stage") > 0).cast("double"))).alias("pct_later_stage"))
     n = tried.groupBy("window_id").count().agg(F.avg("count").alias("mean_combinations"))
-    return won.crossJoin(n)
+    pct = lambda c: 100 * F.avg(F.col(c).cast("double"))
+    return won.crossJoin(n).crossJoin(tried.agg(pct("at_budget").alias("pct_at_budget"), pct("at_depth").alias("pct_at_depth")))
 
 
 def importance_table(weights: DataFrame) -> DataFrame:

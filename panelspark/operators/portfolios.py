@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -121,6 +121,29 @@ def compare_constructions(df: DataFrame, signal: str, target: str, weight: str,
     return out
 
 
+def construction_gaps(series: DataFrame, reference: str = "long_short_equal", by: str = "construction") -> DataFrame:
+    """Measures of each construction, and how far its Sharpe ratio is from the reference's."""
+    table = measures(series, [by])
+    base = table.where(F.col(by) == reference).select(F.col("sharpe").alias("__s"))
+    return table.crossJoin(F.broadcast(base)).withColumn("sharpe_gap", F.col("sharpe") - F.col("__s")).drop("__s")
+
+
+def compare_horizons(parts: Mapping[int, DataFrame], signal: str, target: str, monthly: str, n: int = 10) -> DataFrame:
+    """One row a horizon: rank IC against its own target, its portfolio held a month at a time, and the Sharpe gap to the shortest.
+
+    Each part has ``entity, month``, the signal, its own ``target`` and the ``monthly`` return; all are one job, keyed by horizon.
+    """
+    rows = None
+    for h, part in parts.items():
+        part = part.select(F.lit(h).alias("horizon"), "entity", "month", signal, target, monthly)
+        rows = part if rows is None else rows.unionByName(part)
+    ic = rank_ic_summary(rank_ic(rows, signal, target, by=["horizon", "month"]), ["horizon"]).select("horizon", "ic_mean", "ic_t", F.col("n_months").alias("n_months_ic"))
+    spread = long_short(decile_returns(with_decile(rows, signal, n, by=["horizon", "month"]), monthly, by=["horizon", "month"]), n, by=["horizon", "month"])
+    out = ic.join(measures(spread, ["horizon"]), "horizon", "left")
+    base = out.where(F.col("horizon") == min(parts)).select(F.col("sharpe").alias("__s"))
+    return out.crossJoin(F.broadcast(base)).withColumn("sharpe_gap", F.col("sharpe") - F.col("__s")).drop("__s")
+
+
 def universe_benchmarks(df: DataFrame, target: str, weight: str, by: Sequence[str] = (), keys: Sequence[str] = ("entity", "month")) -> DataFrame:
     """Equal- and size-weighted mean of all entities of a month, once each."""
     once = df.dropDuplicates([*by, *keys])
@@ -251,6 +274,11 @@ def group_bounds(df: DataFrame, group: str = "size_group", size: str = "cap") ->
     return df.where(F.col(group).isNotNull()).groupBy("month", group).agg(F.min(size).alias("size_min"), F.percentile(size, F.lit(0.5)).alias("size_median"), F.max(size).alias("size_max"), F.count(F.lit(1)).alias("n"))
 
 
+def largest(df: DataFrame, size: str = "cap", n: int = 10) -> DataFrame:
+    """The ``n`` largest sizes and whose they are; ties by entity, then month."""
+    return df.where(F.col(size).isNotNull()).orderBy(F.desc(size), "entity", "month").limit(n).select("entity", "month", size)
+
+
 def partition_check(df: DataFrame, group: str = "size_group") -> DataFrame:
     """Entity-months in groups, left out, and in all; the first two make the third."""
     once = df.dropDuplicates(["entity", "month"])

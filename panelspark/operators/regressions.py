@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelspark.operators.ensemble import gram, gram_names
+from panelspark.operators.joins import common_months
+from panelspark.operators.portfolios import measures
 
 #: Nested factor models, from one factor to six.
 MODELS = {"CAPM": ["mktrf"], "FF3": ["mktrf", "smb", "hml"], "FF5": ["mktrf", "smb", "hml", "rmw", "cma"], "FF5+MOM": ["mktrf", "smb", "hml", "rmw", "cma", "mom"]}
@@ -213,6 +215,21 @@ def verdict(models: DataFrame, benchmark_sharpe: DataFrame, alphas: DataFrame, t
     return rows.select("portfolio", "sharpe", (F.col("sharpe") - F.col("__b")).alias("sharpe_gap"), (F.coalesce("t_alpha", F.lit(0.0)) >= t).alias("alpha_significant"))
 
 
+def compare_to_factors(models: DataFrame, benchmark: DataFrame, factors: DataFrame, alphas: DataFrame) -> DataFrame:
+    """Measures of models, benchmark and single factors over the months that all share, with annual alpha, in order.
+
+    The first three hold ``portfolio, month, ret``; ``alphas`` ``portfolio, alpha_annual``.  Factors have
+    no alpha.  ``place`` counts models first, then the benchmark, then factors, each by Sharpe ratio.
+    """
+    kinds = ("model", "benchmark", "factor")
+    parts = [part.select(F.lit(kind).alias("kind"), "portfolio", "month", "ret") for kind, part in zip(kinds, (models, benchmark, factors))]
+    series = common_months(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    table = measures(series, ["kind", "portfolio"]).join(F.broadcast(alphas.select("portfolio", "alpha_annual")), "portfolio", "left")
+    table = table.withColumn("alpha_annual", F.when(F.col("kind") != "factor", F.col("alpha_annual")))
+    order = Window.orderBy(F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")), F.desc_nulls_last("sharpe"), "portfolio")  # a row a portfolio
+    return table.withColumn("place", F.row_number().over(order))
+
+
 def factor_coverage(series: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Months per portfolio that have factors; and the months that have none."""
     have = factors.select("month").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -516,6 +518,19 @@ def pf_constructions(s, d):
     return P.compare_constructions(_ex(s, d), "pred_a", "y", "cap")
 
 
+_CON = f"SELECT 'long_short_equal' AS portfolio, month, ret FROM ls UNION ALL SELECT * FROM (SELECT 'long_short_weighted', month, max(CASE WHEN decile = 10 THEN ret END) - max(CASE WHEN decile = 1 THEN ret END) AS ret FROM decretw GROUP BY month) WHERE ret IS NOT NULL UNION ALL SELECT 'long_only_equal', month, e FROM ({_LO}) UNION ALL SELECT 'long_only_weighted', month, c FROM ({_LO})"
+
+
+@query("pf_construction_gaps", f"SELECT portfolio AS construction, * EXCLUDE (portfolio), sharpe - max(CASE WHEN portfolio = 'long_short_equal' THEN sharpe END) OVER () AS sharpe_gap FROM ({measures_sql('(' + _CON + ')')})", f"{MEASURES} sharpe_gap")
+def pf_construction_gaps(s, d):
+    return P.construction_gaps(P.compare_constructions(_ex(s, d), "pred_a", "y", "cap"))
+
+
+@query("pf_largest", "SELECT entity, month, cap FROM panel ORDER BY cap DESC, entity, month LIMIT 10", "cap")
+def pf_largest(s, d):
+    return P.largest(_panel(s, d))
+
+
 @query("pf_benchmarks", "SELECT size_group, month, avg(y) AS equal_weighted, sum(cap * y) / sum(cap) AS size_weighted FROM grouped GROUP BY 1, 2", "equal_weighted size_weighted", digits=11)
 def pf_benchmarks(s, d):
     return P.universe_benchmarks(X.size_group(_ex(s, d), X.TERCILES), "y", "cap", by=["size_group"])
@@ -580,12 +595,16 @@ def pf_best_group(s, d):
     return P.best_by(ic.groupBy("model", "size_group").agg(F.avg("ic").alias("ic")), "model", "size_group", ["ic"])
 
 
-@query("pf_horizon_comparison", f"SELECT 1 AS horizon, ic_mean, n_months FROM (SELECT avg(ic) AS ic_mean, count(ic) AS n_months FROM ({_IC}) WHERE model = 'a') UNION ALL SELECT 6, avg(ic), count(ic) FROM (SELECT month, CASE WHEN count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT month, rank() OVER (PARTITION BY month ORDER BY pred_a) + (count(*) OVER (PARTITION BY month, pred_a) - 1) / 2.0 AS a, rank() OVER (PARTITION BY month ORDER BY target) + (count(*) OVER (PARTITION BY month, target) - 1) / 2.0 AS b FROM (SELECT panel.*, round(target, 9) AS target FROM panel JOIN forward USING (entity, month_idx) WHERE target IS NOT NULL)) GROUP BY 1)", "ic_mean", "l_suppkey")
+_HZ = "SELECT 1 AS horizon, entity, month, pred_a, y AS target, y FROM ex UNION ALL SELECT 6, p.entity, p.month, p.pred_a, round(f.target, 9), p.y FROM ex p JOIN forward f ON p.entity = f.entity AND p.month_idx = f.month_idx WHERE f.target IS NOT NULL"
+_HZ_IC = f"SELECT horizon, avg(ic) AS ic_mean, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS ic_t, count(ic) AS n_months_ic FROM (SELECT horizon, month, CASE WHEN count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT horizon, month, rank() OVER (PARTITION BY horizon, month ORDER BY pred_a) + (count(*) OVER (PARTITION BY horizon, month, pred_a) - 1) / 2.0 AS a, rank() OVER (PARTITION BY horizon, month ORDER BY target) + (count(*) OVER (PARTITION BY horizon, month, target) - 1) / 2.0 AS b FROM ({_HZ})) GROUP BY 1, 2) GROUP BY 1"
+_HZ_LS = f"SELECT * FROM (SELECT CAST(horizon AS VARCHAR) AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM ({decile_sql('(' + _HZ + ')', 'pred_a', 'horizon, month')}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
+
+
+@query("pf_horizon_comparison", f"SELECT horizon, ic_mean, ic_t, n_months_ic, n_months, {', '.join(MEASURES.split())}, sharpe - first(sharpe) OVER (ORDER BY horizon) AS sharpe_gap FROM ({_HZ_IC}) i LEFT JOIN ({measures_sql('(' + _HZ_LS + ')')}) m ON m.portfolio = CAST(i.horizon AS VARCHAR)", f"ic_mean ic_t {MEASURES} sharpe_gap", "l_suppkey")
 def pf_horizon_comparison(s, d):
     p = _ex(s, d, "l_suppkey")
     far = H.forward_excess(p, T.macro(p), 6).where("target is not null").select("entity", "month_idx", F.round("target", 9).alias("target"))
-    one = P.rank_ic(p, "pred_a", "y").agg(F.lit(1).alias("horizon"), F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_months"))
-    return one.unionByName(P.rank_ic(p.join(far, ["entity", "month_idx"]), "pred_a", "target").agg(F.lit(6).alias("horizon"), F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_months")))
+    return P.compare_horizons({1: p.withColumn("target", F.col("y")), 6: p.join(far, ["entity", "month_idx"])}, "pred_a", "target", "y")
 
 
 @query("pf_scale_ratio", "SELECT stddev_samp(y) AS sd_short, stddev_samp(target) AS sd_long, (stddev_samp(target) / stddev_samp(y)) ** 2 AS variance_ratio FROM ex JOIN forward USING (entity, month_idx)", "sd_short sd_long variance_ratio", "l_suppkey")
@@ -643,17 +662,42 @@ def en_combine(s, d):
     return E.combine(_preds(s, d), E.inverse_mse_weights(_monthly(s, d), ["a", "b"]))
 
 
-@query("en_compare_methods", "SELECT method, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2, count(*) AS n FROM (SELECT 'equal' AS method, y, (pred_a + pred_b) / 2 AS prediction FROM ex UNION ALL SELECT 'inverse_mse', y, wa * pred_a + wb * pred_b FROM ex JOIN iw USING (month)) GROUP BY 1", "r2")
+_LSW = "SELECT month, n_past < 24 AS fallback, CASE WHEN n_past < 24 THEN 0.5 ELSE least(greatest(((sa - sb) - (ab - bb)) / (aa - 2 * ab + bb), 0), 1) END AS w FROM (SELECT month, count(*) OVER v AS n_past, sum(xy_0) OVER v AS sa, sum(xy_1) OVER v AS sb, sum(xx_0_0) OVER v AS aa, sum(xx_0_1) OVER v AS ab, sum(xx_1_1) OVER v AS bb FROM errs WINDOW v AS (ORDER BY month_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))"
+_MW = f"SELECT 'equal' AS method, month, CAST(0.5 AS DOUBLE) AS wa, CAST(0.5 AS DOUBLE) AS wb, false AS fallback FROM errs UNION ALL SELECT 'manual', month, 0.3, 0.7, false FROM errs UNION ALL SELECT 'validation_r2', month, CASE WHEN ra + rb > 0 THEN ra / (ra + rb) ELSE 0.5 END, CASE WHEN ra + rb > 0 THEN rb / (ra + rb) ELSE 0.5 END, ra + rb <= 0 FROM errs, (SELECT greatest(1 - sum((y - pred_a) ** 2) / sum(y ** 2), 0) AS ra, greatest(1 - sum((y - pred_b) ** 2) / sum(y ** 2), 0) AS rb FROM ex) UNION ALL SELECT 'inverse_mse', month, wa, wb, fallback FROM iw UNION ALL SELECT 'least_squares', month, w, 1 - w, fallback FROM ({_LSW})"
+_MP = f"SELECT method, e.entity, e.month, y, wa * pred_a + wb * pred_b AS prediction FROM ex e JOIN ({_MW}) m ON e.month = m.month"
+_MLS = f"SELECT * FROM (SELECT method AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM ({decile_sql('(' + _MP + ')', 'prediction', 'method, month')}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
+
+
+def _all_weights(s, d):
+    monthly = _monthly(s, d)
+    scores = W.r2_table(_preds(s, d), ["model"]).select("model", F.col("r2").alias("validation_r2"))
+    every = [E.weight_table(monthly, scores, ["a", "b"], m, manual={"a": 0.3, "b": 0.7}) for m in E.METHODS]
+    return reduce(DataFrame.unionByName, every)
+
+
+@query("en_weight_table", f"SELECT method, month, fallback, 'a' AS model, wa AS w FROM ({_MW}) UNION ALL SELECT method, month, fallback, 'b', wb FROM ({_MW})", "w")
+def en_weight_table(s, d):
+    return _all_weights(s, d).drop("month_idx")
+
+
+@query("en_fallback_counts", f"SELECT method, count(*) AS n_months, count(*) FILTER (fallback) AS n_fallback FROM ({_MW}) GROUP BY 1")
+def en_fallback_counts(s, d):
+    return E.fallback_counts(_all_weights(s, d))
+
+
+@query("en_mean_weights", f"SELECT method, 'a' AS model, avg(wa) AS mean_w FROM ({_MW}) GROUP BY 1 UNION ALL SELECT method, 'b', avg(wb) FROM ({_MW}) GROUP BY 1", "mean_w")
+def en_mean_weights(s, d):
+    return E.mean_weights(_all_weights(s, d))
+
+
+@query("en_compare_methods", f"SELECT r.*, m.* EXCLUDE (portfolio), n_fallback FROM (SELECT method, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2, count(*) AS n FROM ({_MP}) GROUP BY 1) r LEFT JOIN ({measures_sql('(' + _MLS + ')')}) m ON m.portfolio = r.method JOIN (SELECT method, count(*) FILTER (fallback) AS n_fallback FROM ({_MW}) GROUP BY 1) f ON f.method = r.method", f"r2 {MEASURES}")
 def en_compare_methods(s, d):
-    long, panel = _preds(s, d), _ex(s, d)
-    scores = W.r2_table(long, ["model"]).select("model", F.col("r2").alias("validation_r2"))
-    ways = {"equal": E.expand(E.constant_weights(scores, "equal"), panel), "inverse_mse": E.inverse_mse_weights(_monthly(s, d), ["a", "b"]).select("month", "model", "w")}
-    every = None
-    for name, w in ways.items():
-        w = w.select(F.lit(name).alias("method"), "month", "model", "w")
-        every = w if every is None else every.unionByName(w)
-    rows = long.join(F.broadcast(every), ["month", "model"]).groupBy("method", "entity", "month").agg(F.sum(F.col("w") * F.col("prediction")).alias("prediction"), F.first("y").alias("y"))
-    return W.r2_table(rows, ["method"])
+    return E.replay(_preds(s, d), _all_weights(s, d))
+
+
+@query("en_error_correlation_summary", "SELECT c AS mean_corr, c AS min_corr, c AS max_corr FROM (SELECT corr(y - pred_a, y - pred_b) AS c FROM ex)", "mean_corr min_corr max_corr")
+def en_error_correlation_summary(s, d):
+    return E.correlation_summary(E.error_correlation(_ex(s, d).select("y", F.col("pred_a").alias("a"), F.col("pred_b").alias("b")), ["a", "b"]))
 
 
 @query("en_error_correlation", "SELECT 'a' AS model_1, 'a' AS model_2, 1.0 AS corr UNION ALL SELECT 'a', 'b', corr(y - pred_a, y - pred_b) FROM ex UNION ALL SELECT 'b', 'b', 1.0", "corr")
@@ -771,9 +815,14 @@ def tc_gross_vs_net(s, d):
     return P.measures(both).select("portfolio", "mean_annual", "sharpe")
 
 
-@query("tc_margin", "SELECT (g - 0.01 / 12) / q * 10000 - 10 AS margin_bps FROM (SELECT avg(ret) AS g, avg(turnover) AS q FROM net WHERE turnover IS NOT NULL)", "margin_bps", "l_suppkey")
+@query("tc_margin", f"SELECT *, zero_mean_bps - 10 AS margin_bps, significance_bps - 10 AS significance_margin_bps FROM ({BREAK_EVEN_SQL.replace(' + 0.01 - ', ' - ')})", "zero_mean_bps significance_bps margin_bps significance_margin_bps", "l_suppkey")
 def tc_margin(s, d):
-    return C.break_even(_net(s, d), 100).select((F.col("zero_mean_bps") - 10).alias("margin_bps"))
+    return C.margins(C.break_even(_net(s, d), 100), 10)
+
+
+@query("tc_drags", "SELECT *, (trade_drag_annual + borrow_drag_annual) / gross_annual AS drag_ratio FROM (SELECT 12 * avg(ret) AS gross_annual, 12 * avg(net) AS net_annual, 12 * avg(coalesce(turnover * 0.001, 0)) AS trade_drag_annual, 12 * avg(CASE WHEN cost IS NULL THEN 0 ELSE 0.01 / 12 END) AS borrow_drag_annual FROM net)", "gross_annual net_annual trade_drag_annual borrow_drag_annual drag_ratio", "l_suppkey")
+def tc_drags(s, d):
+    return C.drags(_net(s, d))
 
 
 @query("tc_consistency", "SELECT CAST(0.0 AS DOUBLE) AS largest_gap, count(*) AS n_months FROM grossw", "largest_gap", "l_suppkey")
@@ -833,10 +882,34 @@ def fa_benchmark_equal(s, d):
     return R.factor_benchmark(T.factors(_panel(s, d)), T.FACTORS)
 
 
-@query("fa_comparison", "SELECT portfolio, n_months, mean_annual, sharpe FROM (" + measures_sql(f"(SELECT 'ls' AS portfolio, month, ret FROM ls UNION ALL SELECT portfolio, month, ret FROM ({_FLONG}) WHERE month IN (SELECT month FROM ls))") + ")", "mean_annual sharpe")
+_FBENCH = "SELECT 'benchmark' AS portfolio, month, (mktrf + smb + hml + rmw + cma + mom) / 6 AS ret FROM factors"
+_FALL = f"SELECT 'ls' AS portfolio, month, ret FROM ls UNION ALL SELECT portfolio, month, ret FROM ({_FBENCH}) WHERE month IN (SELECT month FROM ls) UNION ALL SELECT portfolio, month, ret FROM ({_FLONG}) WHERE month IN (SELECT month FROM ls)"
+
+
+_FALPHA = f"SELECT portfolio, 12 * regr_intercept(ret, mktrf) AS alpha_annual FROM (SELECT 'ls' AS portfolio, month, ret FROM ls UNION ALL {_FBENCH}) JOIN factors USING (month) GROUP BY 1"
+_FKIND = "CASE portfolio WHEN 'ls' THEN 'model' WHEN 'benchmark' THEN 'benchmark' ELSE 'factor' END AS kind, CASE portfolio WHEN 'ls' THEN 1 WHEN 'benchmark' THEN 2 ELSE 3 END AS k"
+
+
+@query("fa_comparison", f"SELECT * EXCLUDE (k), row_number() OVER (ORDER BY k, sharpe DESC NULLS LAST, portfolio) AS place FROM (SELECT *, {_FKIND} FROM ({measures_sql('(' + _FALL + ')')})) LEFT JOIN ({_FALPHA}) USING (portfolio)", f"{MEASURES} alpha_annual")
 def fa_comparison(s, d):
-    series = _ls(s, d).select(F.lit("ls").alias("portfolio"), "month", "ret").unionByName(R.factor_series(T.factors(_panel(s, d)), T.FACTORS).select("portfolio", "month", "ret"))
-    return P.measures(J.common_months(series)).select("portfolio", "n_months", "mean_annual", "sharpe")
+    factors = T.factors(_panel(s, d))
+    model = _ls(s, d).withColumn("portfolio", F.lit("ls"))
+    bench = R.factor_benchmark(factors, T.FACTORS).withColumn("portfolio", F.lit("benchmark"))
+    both = model.select("portfolio", "month", "ret").unionByName(bench.select("portfolio", "month", "ret"))
+    alphas = R.one_factor(both, factors).withColumn("alpha_annual", 12 * F.col("alpha"))
+    return R.compare_to_factors(model, bench, R.factor_series(factors, T.FACTORS), alphas)
+
+
+@query("fa_net_alphas")
+def fa_net_alphas(s, d):
+    """Factor alphas of gross and net returns, equal and size-weighted, and which lose their significance."""
+    df, factors = _dec(s, d, "l_suppkey"), T.factors(_panel(s, d, "l_suppkey"))
+    parts = [C.long_short_with_costs(df, 10, 100, weight=w).select(F.lit(n).alias("portfolio"), "month", F.col("ret").alias("gross"), "net") for n, w in (("equal", None), ("weighted", "cap"))]
+    rows = reduce(DataFrame.unionByName, parts)
+    gross, net = (R.factor_alphas(rows.select("portfolio", "month", F.col(c).alias("ret")), factors) for c in ("gross", "net"))
+    lost = R.lost_significance(gross, net).select("portfolio", "factor_model", F.lit(True).alias("lost"))
+    both = gross.select("portfolio", "factor_model", F.col("alpha_annual").alias("gross_alpha"), F.col("t_alpha").alias("t_gross")).join(net.select("portfolio", "factor_model", F.col("alpha_annual").alias("net_alpha"), F.col("t_alpha").alias("t_net")), ["portfolio", "factor_model"])
+    return both.join(lost, ["portfolio", "factor_model"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
 
 
 @query("fa_verdict", "SELECT portfolio, sharpe, sharpe - (SELECT sharpe FROM (" + measures_sql("(SELECT 'b' AS portfolio, month, (mktrf + smb + hml + rmw + cma + mom) / 6 AS ret FROM factors)") + ")) AS sharpe_gap FROM (" + measures_sql("(SELECT 'ls' AS portfolio, month, ret FROM ls)") + ")", "sharpe sharpe_gap")

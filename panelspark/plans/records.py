@@ -41,6 +41,13 @@ def ml_boosting(s, d):
     return M.train(M.Spec("boosting", M.boosting, M.grid(depth=[2], trees=[6])), _rows(s, d), FEATURES, "y").predictions
 
 
+@query("ml_search_diagnostics")
+def ml_search_diagnostics(s, d):
+    spec = M.Spec("boosting", M.boosting, M.grid(depth=[2], trees=[4]), [lambda best: [best | {"rate": 0.3}]])
+    done = M.train(spec, _rows(s, d), FEATURES, "y")
+    return M.search_diagnostics(done.grid, done.results)
+
+
 @query("ml_out_of_bag")
 def ml_out_of_bag(s, d):
     rows = _rows(s, d).where("window_id = 1 and block = 'train'")
