@@ -169,7 +169,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Scanner:
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")).cast("double") - 1)
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=MOST_NGRAMS).fit(_vocabulary(rows))
     train = counter.transform(rows.where("not held").withColumn("grams", _ngrams(F.col("words"))))
-    model = LogisticRegression(family="multinomial", maxIter=60, regParam=3e-4, elasticNetParam=0.5, standardization=False, weightCol="weight").fit(train)
+    model = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-3, elasticNetParam=0.5, standardization=False, weightCol="weight").fit(train)
 
     scanner = Scanner(counter, model, 1.0, [])
     held = written(scanner._raw(rows.where("held")), "licence-held")
