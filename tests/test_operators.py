@@ -282,3 +282,22 @@ def test_manifest(spark, tmp_path):
     assert I.read_manifest(spark, str(tmp_path / "none"), ["a", "b"]) == ["a", "b"]
     I.write_manifest(I.select_by_null_rate(df, ["a", "b", "c"], 0.35), str(tmp_path / "manifest"))
     assert I.read_manifest(spark, str(tmp_path / "manifest"), ["a", "b"]) == ["b"]
+
+
+def test_weight_table_falls_back_without_a_useful_score(spark):
+    from panelspark.operators import ensemble as E
+
+    months = spark.createDataFrame([("200001", 0), ("200002", 1)], "month string, month_idx int")
+    scores = spark.createDataFrame([("a", -0.1), ("b", -0.2)], "model string, validation_r2 double")
+    got = E.weight_table(months, scores, ["a", "b"], "validation_r2").collect()
+    assert len(got) == 4 and all(r["fallback"] and r["w"] == 0.5 for r in got)
+    assert E.fallback_counts(E.weight_table(months, scores, ["a", "b"], "equal")).first()["n_fallback"] == 0
+
+
+def test_lost_significance(spark):
+    from panelspark.operators import regressions as R
+
+    table = lambda rows: spark.createDataFrame(rows, "portfolio string, factor_model string, t_alpha double")
+    gross = table([("a", "CAPM", 2.5), ("b", "CAPM", 2.5), ("c", "CAPM", 1.0), ("d", "CAPM", 2.5)])
+    net = table([("a", "CAPM", 1.0), ("b", "CAPM", 2.1), ("c", "CAPM", 0.5), ("d", "CAPM", None)])
+    assert sorted(r["portfolio"] for r in R.lost_significance(gross, net).collect()) == ["a", "d"]
