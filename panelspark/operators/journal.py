@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +70,8 @@ def append(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]
     append_new(read_table(spark, path, schema), rows, keys).write.mode("append").parquet(path)
 
 
-def latest(history: DataFrame, key: str = "key", time: str = "logged_at") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(time))
+def latest(history: DataFrame, key: str | Sequence[str] = "key", at: str = "logged_at") -> DataFrame:
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(at))
     return history.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -98,6 +99,14 @@ def run_counts(journal: DataFrame) -> DataFrame:
     return journal.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("duration_s").alias("mean_duration_s"), F.max("r2_test").alias("best_r2_test"))
 
 
-def metrics_table(spark: SparkSession, step: str, values: Mapping) -> DataFrame:
-    """Named values of a step as ``step, name, value_json``; write it after each part, so that earlier parts survive a failure."""
-    return spark.createDataFrame([(step, k, json.dumps(v, default=float)) for k, v in values.items()], "step string, name string, value_json string")
+def save_metrics(spark: SparkSession, path: str, step: str, values: Mapping) -> None:
+    """Adds named values of a step to a report; call it after each part, so that earlier parts survive a failure."""
+    rows = [(step, k, json.dumps(v, default=float)) for k, v in values.items()]
+    table = spark.createDataFrame(rows, "step string, name string, value_json string")
+    table.withColumn("saved_at", F.lit(time.time_ns())).write.mode("append").parquet(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """``step, name, value_json``: the last value saved under each name; a missing report is empty."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("step", "name", "value_json")] + [T.StructField("saved_at", T.LongType())])
+    return latest(read_table(spark, path, schema), ("step", "name"), "saved_at").drop("saved_at")

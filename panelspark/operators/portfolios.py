@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.operators.xsection import average_rank, decile, top_fraction
+from panelspark.operators.xsection import average_rank, decile, top_fraction, whole_quantiles
 
 
 def with_decile(df: DataFrame, signal: str, n: int = 10, by: Sequence[str] = ("month",), tie: str = "entity") -> DataFrame:
@@ -261,12 +261,11 @@ def evaluate_groups(df: DataFrame, signal: str, target: str, group: str = "size_
 
 
 def describe_groups(df: DataFrame, group: str = "size_group", size: str = "cap") -> DataFrame:
-    q = F.percentile(size, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     df = df.where(F.col(group).isNotNull())
     monthly = df.groupBy(group, "month").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.avg("n").alias("mean_per_month"), F.min("n").alias("min_per_month"), F.max("n").alias("max_per_month"))
     whole = df.agg(F.sum(size).alias("__all"))
-    one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months"), F.min(size).alias("size_min"), q.alias("q"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
-    out = one.crossJoin(F.broadcast(whole)).join(monthly, group)
+    one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months"), F.min(size).alias("size_min"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
+    out = one.crossJoin(F.broadcast(whole)).join(monthly, group).join(whole_quantiles(df, size, (0.25, 0.5, 0.75), [group]), group)
     return out.select(group, "n_rows", "n_entities", "n_months", "mean_per_month", "min_per_month", "max_per_month", "size_min", F.get("q", F.lit(0)).alias("size_p25"), F.get("q", F.lit(1)).alias("size_median"), "size_mean", F.get("q", F.lit(2)).alias("size_p75"), "size_max", F.try_divide("__s", "__all").alias("share_of_total"))
 
 

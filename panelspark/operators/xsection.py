@@ -9,17 +9,68 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.sources.scratch import written
+
 
 def quantiles(column: str, at: Sequence[float]) -> Column:
-    """Linearly interpolated quantiles as an array."""
+    """Linearly interpolated quantiles as an array; for the groups of a cross-section, whose values one task holds."""
     return F.percentile(column, F.array(*[F.lit(float(a)) for a in at]))
 
 
+#: Rank error of Spark's quantile sketch, and half the width of the brackets made from it, as shares of the rows.
+SKETCH_ACCURACY, BRACKET = 10_000, 5e-4
+#: Rows up to which a group is taken whole.
+SMALL_GROUP = 20_000
+
+
+def whole_quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by, q``: exact interpolated quantiles of whole columns, however many rows a group has.
+
+    :func:`quantiles` holds all values of a group in one task; here none does.  A
+    sketch of fixed size brackets each quantile by two values, and one count gives
+    the rows between brackets as a number and those inside one by value: a
+    thousandth of the rows a quantile, whose ranks are then exact.  Groups of up to
+    ``SMALL_GROUP`` rows are one bracket.  A bracket that missed its ranks would fail
+    the job.  For few groups, such as the columns of a table: their brackets are
+    broadcast.  Groups without values have null quantiles.
+    """
+    at = [float(a) for a in at]
+    shares = [x for a in at for x in (max(a - BRACKET, 0.0), min(a + BRACKET, 1.0))]
+    sketch = F.percentile_approx(column, shares, SKETCH_ACCURACY)
+    stats = df.groupBy(*by).agg(F.count(column).alias("__n"), F.min(column).alias("__lo"), F.max(column).alias("__hi"), sketch.alias("__b"))
+    small = F.col("__n") <= SMALL_GROUP
+    for i in range(len(at)):
+        stats = stats.withColumn(f"__lo{i}", F.when(small, F.col("__lo")).otherwise(F.get("__b", F.lit(2 * i))))
+        stats = stats.withColumn(f"__hi{i}", F.when(small, F.col("__hi")).otherwise(F.get("__b", F.lit(2 * i + 1))))
+    stats = stats.drop("__lo", "__hi", "__b")
+    x = F.col(column)
+    values = df.select(*by, x).where(x.isNotNull())
+    near = values.join(F.broadcast(stats), list(by)) if by else values.crossJoin(F.broadcast(stats))
+    inside = reduce(lambda a, b: a | b, [x.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in range(len(at))])
+    region = sum(((x > F.col(f"__hi{i}")).cast("int") for i in range(len(at))), F.lit(0))
+    entries = near.groupBy(*by, region.alias("__r"), F.when(inside, x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"), F.max(x).alias("__top"), F.max("__n").alias("__n"))
+    entries = entries.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*by).orderBy("__top").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def ranked(rank: Column) -> Column:
+        """The value of a rank from 0, and whether a bracket held it."""
+        return F.min(F.when(F.col("__cum") > rank, F.struct("__top", F.col("__x").isNotNull().alias("ok"))))
+
+    places = [(F.col("__n") - 1) * F.lit(a) for a in at]
+    found = entries.groupBy(*by).agg(*[ranked(f(p)).alias(f"__{n}{i}") for i, p in enumerate(places) for n, f in (("f", F.floor), ("c", F.ceil))], F.max("__n").alias("__n"))
+    missed = reduce(lambda a, b: a | b, [~F.col(f"__{n}{i}.ok") for i in range(len(at)) for n in "fc"])
+    between = [F.when(F.ceil(p) == F.floor(p), F.col(f"__f{i}.__top")).otherwise((F.ceil(p) - p) * F.col(f"__f{i}.__top") + (p - F.floor(p)) * F.col(f"__c{i}.__top")) for i, p in enumerate(places)]
+    q = F.when(missed, F.raise_error(F.lit(f"a bracket of {column} missed its quantile"))).otherwise(F.array(*between))
+    found = F.broadcast(found.select(*by, q.alias("q")))
+    groups = stats.select(*by, F.col("__n").isNotNull().alias("__all"))
+    return groups.join(found, list(by) if by else F.lit(True), "left").select(*by, "q")
+
+
 def _cut(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str]) -> DataFrame:
     return df.join(df.groupBy(*by).agg(quantiles(column, at).alias("__q")), list(by))
 
@@ -46,11 +97,14 @@ def to_wide(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Da
 
 
 def impute_median(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
-    """Month median, then the median of the column so filled, then 0."""
+    """Month median, then the median of the column so filled, then 0.
+
+    The column filled by months is written once; two passes find its median.
+    """
     group = [*by, "feature"]
     month = long.groupBy(*group).agg(F.percentile("x", F.lit(0.5)).alias("__m"))
-    filled = long.join(month, group).withColumn("x", F.coalesce("x", "__m")).drop("__m")
-    whole = filled.groupBy("feature").agg(F.percentile("x", F.lit(0.5)).alias("__g"))
+    filled = written(long.join(month, group).withColumn("x", F.coalesce("x", "__m")).drop("__m"), "filled")
+    whole = whole_quantiles(filled, "x", [0.5], ["feature"]).select("feature", F.get("q", F.lit(0)).alias("__g"))
     return filled.join(F.broadcast(whole), "feature").withColumn("x", F.coalesce("x", "__g", F.lit(0.0))).drop("__g")
 
 
@@ -80,7 +134,8 @@ def rank_transform(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame
 
 
 def normalise(df: DataFrame, keys: Sequence[str], features: Sequence[str], by: Sequence[str] = ("month",)) -> DataFrame:
-    """Imputation, clipping and ranks of all features; other columns are kept beside."""
+    """Imputation, clipping and ranks of all features; other columns are kept beside.  The rows are written once."""
+    df = written(df, "universe")
     long = rank_transform(winsorize(impute_median(to_long(df, keys, features), by), by=by), by)
     return df.drop(*features).join(to_wide(long, keys, features), list(keys))
 

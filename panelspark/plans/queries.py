@@ -12,6 +12,7 @@ from panelspark.operators import costs as C
 from panelspark.operators import ensemble as E
 from panelspark.operators import horizon as H
 from panelspark.operators import joins as J
+from panelspark.operators import journal as G
 from panelspark.operators import portfolios as P
 from panelspark.operators import regressions as R
 from panelspark.operators import windows as W
@@ -19,6 +20,7 @@ from panelspark.operators import xsection as X
 from panelspark.plans.registry import MEASURES, decile_sql, measures_sql, query
 from panelspark.sources import ingest as I
 from panelspark.sources import testpanel as T
+from panelspark.sources.scratch import new_place
 
 
 def _panel(spark: SparkSession, d: str, entity: str = "l_partkey") -> DataFrame:
@@ -63,6 +65,59 @@ def snk_append_new(s, d):
     return I.append_new(orders.where("o_orderkey % 3 = 0"), orders, ["o_orderkey"])
 
 
+@query("snk_overwrite", "SELECT entity, month, CAST(substring(month, 1, 4) AS INT) AS year, pred_a FROM panel WHERE month_idx % 2 = 0", "pred_a")
+def snk_overwrite(s, d):
+    """Two writes of a model's predictions to one place: the second one stands, and the other model's place is untouched."""
+    rows = _panel(s, d).select("entity", "month", "month_idx", F.substring("month", 1, 4).cast("int").alias("year"), "pred_a")
+    root = new_place(s, "outputs")
+    place, other = (I.output_path(root, "predictions", m, 6) for m in ("a", "b"))
+    I.write_table(rows.where("month_idx % 2 = 0"), other, ["year"])
+    I.write_table(rows, place, ["year"])
+    I.write_table(I.scan(s, other), place, ["year"])
+    return I.scan(s, place, ["entity", "month", "year", "pred_a"])
+
+
+@query("snk_append", "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS model, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS horizon, CAST(NULL AS INT) AS n_windows FROM orders", panel=None)
+def snk_append(s, d):
+    """A journal written twice: keys that are there stay as they are, others come in; absent columns read as null."""
+    orders = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("model"), "o_orderkey")
+    path = new_place(s, "journal")
+    G.append(s, path, orders.where("o_orderkey % 3 = 0").select("key", "model", F.lit(1).alias("horizon")))
+    G.append(s, path, orders.select("key", "model", F.lit(2).alias("horizon")))
+    return G.read_table(s, path).select("key", "model", "horizon", "n_windows")
+
+
+@query("snk_manifest", "SELECT feature, null_rate FROM (SELECT 'f1' AS feature, avg(CASE WHEN f1 IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'f2', avg(CASE WHEN f2 IS NULL THEN 1.0 ELSE 0 END) FROM panel UNION ALL SELECT 'f3', avg(CASE WHEN f3 IS NULL THEN 1.0 ELSE 0 END) FROM panel) WHERE null_rate <= 0.1", "null_rate")
+def snk_manifest(s, d):
+    p, path = _panel(s, d), new_place(s, "manifest")
+    I.write_manifest(I.select_by_null_rate(p, ["f1", "f2", "f3", "f9"], 0.1), path)
+    return I.null_rates(p, I.read_manifest(s, path, []))
+
+
+@query("snk_report", "SELECT 'panel' AS step, 'n_rows' AS name, count(*)::DOUBLE AS value FROM panel UNION ALL SELECT 'panel', 'mean_ret', avg(ret) FROM panel UNION ALL SELECT 'windows', 'n_windows', count(DISTINCT window_id)::DOUBLE FROM win", "value")
+def snk_report(s, d):
+    """Figures of two steps, one of them reported twice; the report is read back with the last value of each."""
+    path, p = new_place(s, "report"), _panel(s, d)
+    G.save_metrics(s, path, "panel", {"n_rows": -1, "mean_ret": None})
+    one = p.agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m")).first()
+    G.save_metrics(s, path, "panel", {"n_rows": one["n"], "mean_ret": one["m"]})
+    G.save_metrics(s, path, "windows", {"n_windows": _win(s, d).select("window_id").distinct().count()})
+    return G.load_metrics(s, path).select("step", "name", F.col("value_json").cast("double").alias("value"))
+
+
+@query("src_factor_text", "SELECT month, round(mktrf, 6) AS mktrf, CASE WHEN month_idx % 5 <> 0 THEN round(smb, 6) END AS smb FROM factors", "mktrf smb")
+def src_factor_text(s, d):
+    """The factors as a text file with notes, a header and yearly lines, read back."""
+    f = T.factors(_panel(s, d))
+    number = lambda c: F.format_string("%.6f", c)
+    months = f.select(F.concat_ws(",", "month", number("mktrf"), F.when(F.col("month_idx") % 5 != 0, number("smb")).otherwise("x")).alias("value"))
+    years = f.select(F.concat(F.substring("month", 1, 4), F.lit(", 1.0, 2.0")).alias("value")).distinct()
+    head = s.createDataFrame([("a note",), (",Mkt-RF,SMB",)], "value string")
+    path = new_place(s, "factor-text")
+    head.unionByName(months).unionByName(years).write.text(path)
+    return I.factor_text(s, path)
+
+
 # 2.2 cleaning
 
 
@@ -411,12 +466,14 @@ def wf_gram(s, d):
     return E.gram(_ex(s, d), ["pred_a", "pred_b"], "y")
 
 
-_OLS1 = "SELECT window_id, regr_slope(y, f3) AS b, regr_intercept(y, f3) AS a FROM ex JOIN win USING (month) WHERE block = 'train' GROUP BY 1"
+#: Slope, intercept and their standard errors of y on f3.
+_FIT = "regr_slope(y, f3) AS b, regr_intercept(y, f3) AS a, sqrt(greatest(regr_syy(y, f3) - regr_slope(y, f3) * regr_sxy(y, f3), 0) / (count(*) - 2) / regr_sxx(y, f3)) AS sb, sqrt(greatest(regr_syy(y, f3) - regr_slope(y, f3) * regr_sxy(y, f3), 0) / (count(*) - 2) * (1.0 / count(*) + avg(f3) ** 2 / regr_sxx(y, f3))) AS sa"
+_OLS1 = f"SELECT window_id, {_FIT} FROM ex JOIN win USING (month) WHERE block = 'train' GROUP BY 1"
 
 
-@query("wf_window_ols", f"SELECT window_id, 'f3' AS predictor, b AS coefficient FROM ({_OLS1}) UNION ALL SELECT window_id, 'intercept', a FROM ({_OLS1})", "coefficient")
+@query("wf_window_ols", f"SELECT window_id, 'f3' AS predictor, b AS coefficient, sb AS std_error FROM ({_OLS1}) UNION ALL SELECT window_id, 'intercept', a, sa FROM ({_OLS1})", "coefficient std_error")
 def wf_window_ols(s, d):
-    return R.window_ols(_ex(s, d), _win(s, d), ["f3"], "y").drop("std_error")
+    return R.window_ols(_ex(s, d), _win(s, d), ["f3"], "y")
 
 
 @query("wf_window_ols_r2", f"SELECT block, 1 - sum((y - a - b * f3) ** 2) / sum(y ** 2) AS r2, count(*) AS n FROM (SELECT * FROM ex JOIN win USING (month)) JOIN ({_OLS1}) USING (window_id) GROUP BY 1", "r2")
@@ -457,6 +514,31 @@ def wf_coefficient_stability(s, d):
     return R.coefficient_stability(R.window_ols(_ex(s, d), _win(s, d), ["f1", "f2", "f3"], "y"))
 
 
+_FITS = f"SELECT month, month_idx, {_FIT} FROM ex GROUP BY 1, 2 HAVING count(*) > 2 AND regr_slope(y, f3) IS NOT NULL"
+_BOTH_SLOPES = f"SELECT 'f3' AS predictor, month, month_idx, b AS v, sb AS se FROM ({_FITS}) UNION ALL SELECT 'intercept', month, month_idx, a, sa FROM ({_FITS})"
+
+
+def _fama_macbeth_sql(predictor: str) -> str:
+    rows = f"(SELECT v, row_number() OVER (ORDER BY month_idx) AS p FROM ({_BOTH_SLOPES}) WHERE predictor = '{predictor}')"
+    return f"SELECT '{predictor}' AS predictor, *, abs(t_stat) > 1.959963984540054 AS significant FROM ({_NW.replace('sl x, sl y', f'{rows} x, {rows} y').replace('FROM sl)', f'FROM {rows})')})"
+
+
+@query("wf_fama_macbeth_one", f"{_fama_macbeth_sql('f3')} UNION ALL {_fama_macbeth_sql('intercept')}", "mean nw_se t_stat share_positive")
+def wf_fama_macbeth_one(s, d):
+    """One predictor, so that SQL can say the same; the p-value's normal law is in the flag."""
+    return R.fama_macbeth(_ex(s, d), ["f3"], "y").drop("p_value")
+
+
+@query("wf_window_significance_one", f"SELECT window_id, predictor, count(*) AS n_months, avg(CASE WHEN abs(v / nullif(se, 0)) >= 1.96 THEN 1.0 ELSE 0 END) AS share_significant, avg(v) / avg(abs(v)) AS coherence FROM ({_BOTH_SLOPES}) JOIN win USING (month) WHERE block = 'train' GROUP BY 1, 2 HAVING count(*) >= 6", "share_significant coherence")
+def wf_window_significance_one(s, d):
+    return R.window_significance(R.monthly_slopes(_ex(s, d), ["f3"], "y"), _win(s, d))
+
+
+@query("wf_coefficient_stability_one", f"SELECT 'f3' AS predictor, avg(abs(b)) AS mean_abs, 100 * avg(CASE WHEN b <> 0 THEN 1.0 ELSE 0 END) AS pct_selected, avg(b) FILTER (b <> 0) AS mean_if_selected, CASE WHEN count(*) FILTER (b > 0) >= 0.5 * count(*) FILTER (b <> 0) THEN 1 ELSE -1 END AS dominant_sign, 100.0 * greatest(count(*) FILTER (b > 0), count(*) FILTER (b < 0)) / count(*) FILTER (b <> 0) AS pct_agreement, count(*) FILTER (b > 0) = 0 OR count(*) FILTER (b < 0) = 0 AS sign_stable FROM ({_OLS1})", "mean_abs pct_selected mean_if_selected pct_agreement")
+def wf_coefficient_stability_one(s, d):
+    return R.coefficient_stability(R.window_ols(_ex(s, d), _win(s, d), ["f3"], "y"))
+
+
 # 2.7 portfolios
 
 
@@ -565,12 +647,13 @@ def pf_rank_ic_summary(s, d):
 
 
 _BOTH = "SELECT p.*, g.size_group FROM preds p JOIN grouped g ON p.entity = g.entity AND p.month = g.month UNION ALL SELECT *, 'all' FROM preds"
+_GROUP_IC = _IC.replace("model, month", "model, size_group, month").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3").replace("FROM preds", f"FROM ({_BOTH})")
 
 
-@query("pf_evaluate_groups", f"SELECT model, size_group, n_rows, n_entities, n_months_available, r2, sharpe, mean_annual FROM (SELECT model || '|' || size_group AS portfolio, model, size_group, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT month) AS n_months_available, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2 FROM ({_BOTH}) GROUP BY 1, 2, 3) LEFT JOIN ({measures_sql('(SELECT * FROM (SELECT model || chr(124) || size_group AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM (' + decile_sql('(' + _BOTH + ')', 'prediction', 'model, size_group, month') + ') GROUP BY 1, 2) WHERE ret IS NOT NULL)')}) USING (portfolio)", "r2 sharpe mean_annual")
+@query("pf_evaluate_groups", f"SELECT model, size_group, n_rows, n_entities, n_months_available, r2, n_months, {', '.join(MEASURES.split())}, ic_mean, ic_t, n_months_available - coalesce(n_months, 0) AS n_months_without FROM (SELECT model || '|' || size_group AS portfolio, model, size_group, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT month) AS n_months_available, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2 FROM ({_BOTH}) GROUP BY 1, 2, 3) LEFT JOIN ({measures_sql('(SELECT * FROM (SELECT model || chr(124) || size_group AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM (' + decile_sql('(' + _BOTH + ')', 'prediction', 'model, size_group, month') + ') GROUP BY 1, 2) WHERE ret IS NOT NULL)')}) USING (portfolio) LEFT JOIN (SELECT model, size_group, CASE WHEN count(ic) >= 2 THEN avg(ic) END AS ic_mean, CASE WHEN count(ic) >= 2 AND stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS ic_t FROM ({_GROUP_IC}) WHERE ic IS NOT NULL GROUP BY 1, 2) USING (model, size_group)", f"r2 {MEASURES} ic_mean ic_t")
 def pf_evaluate_groups(s, d):
     rows = X.size_group(_preds(s, d), X.TERCILES)
-    return P.evaluate_groups(rows, "prediction", "y").select("model", "size_group", "n_rows", "n_entities", "n_months_available", "r2", "sharpe", "mean_annual")
+    return P.evaluate_groups(rows, "prediction", "y")
 
 
 @query("pf_describe_groups", "SELECT size_group, n_rows, n_entities, n_months, mean_per_month, min_per_month, max_per_month, size_min, size_p25, size_median, size_mean, size_p75, size_max, total / (SELECT sum(cap) FROM panel) AS share_of_total FROM (SELECT size_group, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT month) AS n_months, min(cap) AS size_min, quantile_cont(cap, 0.25) AS size_p25, quantile_cont(cap, 0.5) AS size_median, avg(cap) AS size_mean, quantile_cont(cap, 0.75) AS size_p75, max(cap) AS size_max, sum(cap) AS total FROM grouped GROUP BY 1) JOIN (SELECT size_group, avg(n) AS mean_per_month, min(n) AS min_per_month, max(n) AS max_per_month FROM (SELECT size_group, month, count(*) AS n FROM grouped GROUP BY 1, 2) GROUP BY 1) USING (size_group)", "mean_per_month size_min size_p25 size_median size_mean size_p75 size_max share_of_total")
@@ -652,9 +735,9 @@ def en_inverse_mse(s, d):
     return E.inverse_mse_weights(_monthly(s, d), ["a", "b"])
 
 
-@query("en_least_squares", "SELECT month, n_past < 24 AS fallback, 'a' AS model, w FROM (SELECT month, n_past, CASE WHEN n_past < 24 THEN 0.5 ELSE least(greatest(((sa - sb) - (ab - bb)) / (aa - 2 * ab + bb), 0), 1) END AS w FROM (SELECT month, count(*) OVER v AS n_past, sum(xy_0) OVER v AS sa, sum(xy_1) OVER v AS sb, sum(xx_0_0) OVER v AS aa, sum(xx_0_1) OVER v AS ab, sum(xx_1_1) OVER v AS bb FROM errs WINDOW v AS (ORDER BY month_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)))", "w")
+@query("en_least_squares", "SELECT month, fallback, unnest(['a', 'b']) AS model, unnest([w, 1 - w]) AS w FROM (SELECT month, n_past < 24 AS fallback, CASE WHEN n_past < 24 THEN 0.5 ELSE least(greatest(((sa - sb) - (ab - bb)) / (aa - 2 * ab + bb), 0), 1) END AS w FROM (SELECT month, count(*) OVER v AS n_past, sum(xy_0) OVER v AS sa, sum(xy_1) OVER v AS sb, sum(xx_0_0) OVER v AS aa, sum(xx_0_1) OVER v AS ab, sum(xx_1_1) OVER v AS bb FROM errs WINDOW v AS (ORDER BY month_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)))", "w")
 def en_least_squares(s, d):
-    return E.least_squares_weights(_monthly(s, d), ["a", "b"]).where("model = 'a'").select("month", "fallback", "model", "w")
+    return E.least_squares_weights(_monthly(s, d), ["a", "b"]).select("month", "fallback", "model", "w")
 
 
 @query("en_combine", "SELECT entity, month, wa * pred_a + wb * pred_b AS prediction FROM panel JOIN iw USING (month)", "prediction")
@@ -859,9 +942,24 @@ def fa_report(s, d):
     return R.report_alphas(_alphas(s, d), "FF5")
 
 
-@query("fa_capm_alpha", "SELECT portfolio, regr_intercept(ret, mktrf) AS alpha, regr_intercept(ret, mktrf) * 12 AS alpha_annual, count(*) AS n_months FROM (SELECT 'ls' AS portfolio, month, ret FROM ls) JOIN factors USING (month) GROUP BY 1", "alpha alpha_annual")
+#: Alpha of a series (portfolio, month, ret) under one factor, with Newey-West errors of three lags and the small-sample factor.
+_CAPM = """
+ SELECT portfolio, n AS n_months, a AS alpha, 12 * a AS alpha_annual, a / sqrt(va * n / (n - 2)) AS t_alpha, r2, sqrt(ee / (n - 2)) * sqrt(12) AS residual_vol,
+   12 * a / (sqrt(ee / (n - 2)) * sqrt(12)) AS information_ratio, b AS beta, b / sqrt(vb * n / (n - 2)) AS t_beta
+ FROM (SELECT *, (SELECT sum(CASE WHEN v.p = u.p THEN 1 ELSE 2 * (1 - (v.p - u.p) / 4.0) END * u.ga * v.ga) FROM gs u, gs v WHERE u.portfolio = v.portfolio AND v.p - u.p BETWEEN 0 AND 3 AND u.portfolio = f.portfolio) AS va,
+    (SELECT sum(CASE WHEN v.p = u.p THEN 1 ELSE 2 * (1 - (v.p - u.p) / 4.0) END * u.gb * v.gb) FROM gs u, gs v WHERE u.portfolio = v.portfolio AND v.p - u.p BETWEEN 0 AND 3 AND u.portfolio = f.portfolio) AS vb,
+    (SELECT sum(e * e) FROM gs u WHERE u.portfolio = f.portfolio) AS ee FROM fit f)"""
+_CAPM_WITH = """
+ WITH rows AS (SELECT portfolio, month, ret AS y, mktrf AS x, row_number() OVER (PARTITION BY portfolio ORDER BY month) AS p FROM ({series}) JOIN factors USING (month)),
+ fit AS (SELECT portfolio, count(*) AS n, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM rows GROUP BY 1),
+ gs AS (SELECT portfolio, p, y - a - b * x AS e, (1.0 / n + mx * mx / sxx - mx / sxx * x) * (y - a - b * x) AS ga, (x - mx) / sxx * (y - a - b * x) AS gb FROM rows JOIN fit USING (portfolio))"""
+_LS_CAPM = _CAPM_WITH.format(series="SELECT 'ls' AS portfolio, month, ret FROM ls") + _CAPM
+
+
+@query("fa_capm_alpha", _LS_CAPM, "alpha alpha_annual t_alpha r2 residual_vol information_ratio beta t_beta")
 def fa_capm_alpha(s, d):
-    return _alphas(s, d).where("factor_model = 'CAPM'").select("portfolio", "alpha", "alpha_annual", "n_months")
+    one = _alphas(s, d).where("factor_model = 'CAPM'")
+    return one.select("portfolio", "n_months", "alpha", "alpha_annual", "t_alpha", "r2", "residual_vol", "information_ratio", F.get("betas", F.lit(0)).alias("beta"), F.get("t_betas", F.lit(0)).alias("t_beta"))
 
 
 _FLONG = " UNION ALL ".join(f"SELECT '{f}' AS portfolio, month, month_idx, {f} AS ret FROM factors" for f in T.FACTORS)
@@ -912,11 +1010,11 @@ def fa_net_alphas(s, d):
     return both.join(lost, ["portfolio", "factor_model"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
 
 
-@query("fa_verdict", "SELECT portfolio, sharpe, sharpe - (SELECT sharpe FROM (" + measures_sql("(SELECT 'b' AS portfolio, month, (mktrf + smb + hml + rmw + cma + mom) / 6 AS ret FROM factors)") + ")) AS sharpe_gap FROM (" + measures_sql("(SELECT 'ls' AS portfolio, month, ret FROM ls)") + ")", "sharpe sharpe_gap")
+@query("fa_verdict", "SELECT portfolio, sharpe, sharpe - (SELECT sharpe FROM (" + measures_sql("(SELECT 'b' AS portfolio, month, (mktrf + smb + hml + rmw + cma + mom) / 6 AS ret FROM factors)") + ")) AS sharpe_gap, coalesce(t_alpha, 0) >= 1.96 AS alpha_significant FROM (" + measures_sql("(SELECT 'ls' AS portfolio, month, ret FROM ls)") + ") LEFT JOIN (" + _LS_CAPM + ") USING (portfolio)", "sharpe sharpe_gap")
 def fa_verdict(s, d):
     bench = P.measures(R.factor_benchmark(T.factors(_panel(s, d)), T.FACTORS).withColumn("portfolio", F.lit("b"))).select("sharpe")
     models = P.measures(_ls(s, d).withColumn("portfolio", F.lit("ls")))
-    return R.verdict(models, bench, _alphas(s, d).where("factor_model = 'FF5'")).drop("alpha_significant")
+    return R.verdict(models, bench, _alphas(s, d).where("factor_model = 'CAPM'"))
 
 
 @query("fa_coverage", "SELECT month FROM panel WHERE month_idx % 9 = 0 GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions.keys import nan_to_null
+from panelspark.operators.xsection import whole_quantiles
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -116,16 +117,16 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 def extremes(df: DataFrame, column: str, high: float = 5.0, low: float = -0.95) -> DataFrame:
     """Counts beyond two bounds, and tail quantiles."""
-    q = F.percentile(column, F.array(*map(F.lit, (0.001, 0.01, 0.5, 0.99, 0.999))))
-    one = df.agg(F.count_if(F.col(column) > high).alias("n_high"), F.count_if(F.col(column) < low).alias("n_low"), q.alias("q"))
+    one = df.agg(F.count_if(F.col(column) > high).alias("n_high"), F.count_if(F.col(column) < low).alias("n_low"))
+    one = one.crossJoin(F.broadcast(whole_quantiles(df, column, (0.001, 0.01, 0.5, 0.99, 0.999))))
     return one.select("n_high", "n_low", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q001", "q01", "q50", "q99", "q999"))])
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of each column, long."""
     long = df.select(*columns).unpivot([], list(columns), "feature", "x")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = long.groupBy("feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    agg = long.groupBy("feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    agg = agg.join(F.broadcast(whole_quantiles(long, "x", (0.25, 0.5, 0.75), ["feature"])), "feature")
     return agg.select("feature", "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 

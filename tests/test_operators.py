@@ -64,6 +64,32 @@ def test_imputation_levels(spark):
     assert got == {(1, "a", "f"): 1.0, (2, "a", "f"): 1.0, (1, "b", "f"): 1.0, (1, "a", "g"): 0.0}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_whole_quantiles_are_exact(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(X, "SMALL_GROUP", 0)
+        monkeypatch.setattr(X, "BRACKET", 0.02)
+    random.seed(6)
+    data = [("a", random.gauss(0, 1)) for _ in range(3001)] + [("b", float(random.randrange(4))) for _ in range(2000)] + [("c", None), ("a", None), ("d", 7.0), ("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(data, "g string, x double")
+    at = [0.001, 0.25, 0.5, 0.999]
+    got = {r["g"]: r["q"] for r in X.whole_quantiles(df, "x", at, ["g"]).collect()}
+    for g in "abde":
+        assert got[g] == pytest.approx(list(np.quantile([x for k, x in data if k == g and x is not None], at)), abs=1e-12)
+    assert got["c"] is None
+    assert X.whole_quantiles(df, "x", at).first()["q"] == pytest.approx(list(np.quantile([x for _, x in data if x is not None], at)), abs=1e-12)
+    assert rows(X.whole_quantiles(df.limit(0), "x", [0.5])) == [([None],)]
+
+
+def test_a_bracket_that_misses_fails_the_job(spark, monkeypatch):
+    monkeypatch.setattr(X, "SMALL_GROUP", 0)
+    monkeypatch.setattr(X, "SKETCH_ACCURACY", 3)
+    monkeypatch.setattr(X, "BRACKET", 0.0)
+    df = spark.range(100000).select(F.col("id").cast("double").alias("x"))
+    with pytest.raises(Exception, match="missed its quantile"):
+        X.whole_quantiles(df, "x", [0.37]).collect()
+
+
 def test_size_groups_are_checked():
     for bad in [("other", (0.5,), ("a", "b")), ("percentile", (0.5,), ("a",)), ("percentile", (0.6, 0.5), ("a", "b", "c")), ("percentile", (2.0,), ("a", "b")), ("fixed", (1.0,), (None, None)), ("fixed", (1.0,), ("a", "a"))]:
         with pytest.raises(ValueError):
