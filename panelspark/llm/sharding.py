@@ -4,9 +4,14 @@ The rows lie in source partitions.  A communication matrix says how many rows of
 each source partition go to each shard; drawn from the multivariate
 hypergeometric law with the partition sizes as row sums and the shard sizes as
 column sums, it has the law that a uniform permutation of all rows would give.
-Each partition then permutes its rows, deals them out by its line of the matrix,
-and each shard permutes what it got.  Both permutations are orders by a seeded
-hash, the second one over sub-blocks of a shard, so no task sorts a whole shard.
+Each partition permutes its rows where they are read and deals them out by its
+line of the matrix; then the rows are exchanged, once, and each shard permutes
+what it got.  Both permutations are orders by a seeded hash, the first one a
+sort inside the partition, the second one over sub-blocks of a shard, so no task
+sorts a whole shard and no texts move.
+
+The draws are in double precision: they leave out outcomes less likely than
+1e-20 times the likeliest.
 
 Defined results: a null text counts as empty.  Rows that agree in id and text
 are interchangeable: both get a place, in either order.  An empty table gives an
@@ -15,9 +20,9 @@ empty table.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,51 +30,38 @@ from pyspark.sql.window import Window
 
 from panelspark.llm._shared import text_or_empty, written
 
-#: Rows that one source partition or sub-block is meant to have.
+#: Rows that one sub-block of a shard is meant to have.
 BLOCK_ROWS = 50_000
-#: Most source partitions, and so most lines of the matrix that the driver draws.
+#: Most source partitions, and so most lines of the matrix that the driver draws; more are read together.
 MOST_PARTS = 4096
 
 
-def _hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """Number of good ones among ``drawn`` of ``good + bad``, drawn exactly.
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """Number of good ones among ``drawn`` of ``good + bad``.
 
-    Inverts the distribution function outwards from the mode, where the ratio of
-    neighbouring probabilities is a fraction of small numbers.
+    Inverts the distribution function over the outcomes within 10 deviations, and
+    50 more, of the mode; neighbouring probabilities have a ratio of small fractions.
     """
     low, high = max(0, drawn - bad), min(good, drawn)
     if low == high:
         return low
     mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    # weights relative to the mode's, outwards until they no longer count
-    up, down = [], []
-    w, k = 1.0, mode
-    while k < high and w > 1e-18:
-        w *= (good - k) * (drawn - k) / ((k + 1) * (bad - drawn + k + 1))
-        k += 1
-        up.append(w)
-    w, k = 1.0, mode
-    while k > low and w > 1e-18:
-        w *= k * (bad - drawn + k) / ((good - k + 1) * (drawn - k + 1))
-        k -= 1
-        down.append(w)
-    u = rng.random() * (1.0 + sum(up) + sum(down))
-    u -= 1.0
-    if u < 0:
-        return mode
-    for step, weights in ((1, up), (-1, down)):
-        for i, w in enumerate(weights, 1):
-            u -= w
-            if u < 0:
-                return mode + step * i
-    return mode
+    share = good / (good + bad)
+    reach = 50 + int(10 * (drawn * share * (1 - share)) ** 0.5)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    up = np.arange(mode, last, dtype=float)  # from k to k + 1
+    down = np.arange(mode, first, -1, dtype=float)  # from k to k - 1
+    above = np.cumprod((good - up) * (drawn - up) / ((up + 1) * (bad - drawn + up + 1)))
+    below = np.cumprod(down * (bad - drawn + down) / ((good - down + 1) * (drawn - down + 1)))
+    ends = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return first + min(int(np.searchsorted(ends, rng.random() * ends[-1], side="right")), len(ends) - 1)
 
 
 def communication_matrix(part_sizes: Sequence[int], shard_sizes: Sequence[int], seed: int = 0) -> list[list[int]]:
     """Rows of each source partition for each shard; line and column sums are exact."""
     if sum(part_sizes) != sum(shard_sizes):
         raise ValueError("partitions and shards must hold the same number of rows")
-    rng, left, matrix = random.Random(seed), list(shard_sizes), []
+    rng, left, matrix = np.random.default_rng(seed), list(shard_sizes), []
     for size in part_sizes:
         line, rest, pool = [], size, sum(left)
         for room in left:
@@ -108,20 +100,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: st
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    raw = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    raw = docs.coalesce(MOST_PARTS).select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     spread = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
-    keyed = written(raw.withColumn("spread", spread).withColumn("first", F.xxhash64(F.lit(seed + 1), "spread")).withColumn("second", F.xxhash64(F.lit(seed + 2), "spread")), "shard-rows")
+    keyed = raw.withColumn("first", F.xxhash64(F.lit(seed + 1), spread)).withColumn("second", F.xxhash64(F.lit(seed + 2), spread))
+    # the number of a row counts from 0 in its partition, whose own number stands above bit 33
+    place = keyed.sortWithinPartitions("first", "doc_id", "text_crc32").withColumn("at", F.monotonically_increasing_id())
+    keyed = written(place.select("doc_id", "size", "text_crc32", "second", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank")), "shard-rows")
 
-    total = keyed.count()
-    parts = max(1, min(MOST_PARTS, -(-total // BLOCK_ROWS)))
-    keyed = keyed.withColumn("part", F.pmod("spread", F.lit(parts)))
     counts = sorted((r["part"], r["count"]) for r in keyed.groupBy("part").count().collect())  # MOST_PARTS rows at most
+    total = sum(n for _, n in counts)
     sizes = shard_sizes(total, shards)
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     lines = _matrix_frame(spark, [p for p, _ in counts], matrix)
 
-    inside = Window.partitionBy("part").orderBy("first", "doc_id", "text_crc32")
-    dealt = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(lines), "part")
+    dealt = keyed.join(F.broadcast(lines), "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda end: end <= F.col("rank"))))
     blocks = max(1, -(-total // (shards * BLOCK_ROWS)))
     dealt = dealt.withColumn("block", F.floor(F.pmod("second", F.lit(1 << 40)) / (1 << 40) * blocks))

@@ -76,6 +76,30 @@ def test_sharding_is_exact_and_even(docs, corpus, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_deals_partitions_by_the_matrix(spark):
+    """Rows in seven partitions of different sizes: every shard gets its share of each, in no order of theirs."""
+    df = spark.range(0, 4000, 1, 5).union(spark.range(4000, 4001, 1, 1)).union(spark.range(4001, 4400, 1, 1)).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert df.select(F.spark_partition_id()).distinct().count() == 7
+    got = sharding.shard_documents(df, shards=4).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4400))
+    for shard in range(4):
+        own = [r["doc_id"] for r in sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])]
+        assert len(own) == 1100 and abs(np.corrcoef(own, np.arange(1100))[0, 1]) < 0.12
+        for low in range(0, 4000, 800):
+            assert sum(low <= i < low + 800 for i in own) == pytest.approx(200, abs=60)
+    other = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_documents(df, shards=4, seed=1).collect()}
+    assert sum(other[r["doc_id"]] == (r["shard"], r["slot"]) for r in got) < 20
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_documents(df, shards=4).collect()}
+
+
+def test_hypergeometric_draws_of_large_tables():
+    rng = np.random.default_rng(0)
+    x = [sharding._hypergeometric(rng, 10**9, 15 * 10**9, 24_000_000) for _ in range(300)]
+    sd = (24e6 / 16 * 15 / 16) ** 0.5
+    assert np.mean(x) == pytest.approx(1.5e6, abs=4 * sd / 300**0.5) and np.std(x) == pytest.approx(sd, rel=0.15)
+    assert {sharding._hypergeometric(rng, 3, 0, 2), sharding._hypergeometric(rng, 0, 3, 2)} == {2, 0}
+
+
 def test_communication_matrix_follows_the_law():
     sizes, shards = [5, 3, 4], [6, 6]
     m = Counter()
