@@ -19,7 +19,7 @@ that then still belong to different components are compared with another leader;
 what remains across components is compared pair by pair.  Members of one
 component are never compared again, so a large group of close copies costs a few
 comparisons a member.  A pair is only compared if its sizes allow the threshold
-and a sketch of two bits a coordinate comes within 5 deviations of it, which
+and a sketch of two bits a coordinate comes within 3.5 deviations of it, which
 the join itself tests.  Buckets that are still large, as of copies that differ
 from each other by more than the threshold, are cut into blocks; a task takes two
 blocks, counts common shingles by an inverted index, and returns only the links
@@ -55,7 +55,7 @@ ROUNDS = 2
 #: Members up to which a bucket's remaining pairs go through a join; larger ones are compared in blocks of ``BLOCK``.
 MOST_JOINED, BLOCK = 48, 1000
 #: Deviations that the sketch's estimate may lie below the threshold.
-SLACK = 5.0
+SLACK = 3.5
 #: Height of the first slab, as a power of two.
 FIRST_SLAB = -6
 #: Words that are hashed together, and elements whose darts are thrown together.
