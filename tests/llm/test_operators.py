@@ -207,6 +207,25 @@ def test_best_fit_respects_all_capacities(rule):
         packing.best_fit(np.array([101]), (100, 3, 10_000), (1, 1, 1))
 
 
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+@pytest.mark.parametrize("capacity", [(100, 3, 9801), (100, 100, 10_000), (100, 7, 10_000)])
+def test_best_fit_against_a_scan_of_all_sequences(rule, capacity):
+    weights = (1.0, 0.3, 0.2)
+    w = [x / c / c for x, c in zip(weights, capacity)]
+    lengths = np.random.default_rng(1).integers(1, 90, 300)
+    sequence, _ = packing.best_fit(lengths, capacity, weights, rule)
+    left = []
+    for n, chosen in zip(lengths.tolist(), sequence.tolist()):
+        need = (n, 1, n * n)
+        bad = {i: sum(x * (r - q) ** 2 if rule == "residual" else -x * r * q for x, r, q in zip(w, room, need)) for i, room in enumerate(left) if all(r >= q for r, q in zip(room, need))}
+        if bad:
+            assert bad[chosen] == pytest.approx(min(bad.values()), abs=1e-12)
+        else:
+            assert chosen == len(left)
+            left.append(capacity)
+        left[chosen] = tuple(r - q for r, q in zip(left[chosen], need))
+
+
 def test_special_token_text_is_left_to_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
