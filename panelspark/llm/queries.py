@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, quality_rules, sharding, tree_bpe, url_filter
+from panelspark.llm import byte_bpe, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, quality_rules, sharding, token_align, tree_bpe, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +143,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned, with the corpus-wide counts of their links."""
+    return token_align.alignment_figures(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the vocabulary's merges, long ones in leaves, and decoded again."""
     return tree_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_align": op11_token_align,
     "op13_tree_bpe": op13_tree_bpe,
 }
 
