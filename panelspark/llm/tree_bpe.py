@@ -63,14 +63,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _newer_letters(tokenizer_json: str) -> list[str]:
-    """Letters and numbers that the installed pattern engine knows, but the tokenizer's own tables do not yet."""
+def _newer_letters(tokenizer_json: str) -> str:
+    """Ranges of letters and numbers that the installed pattern engine knows, but the tokenizer's own tables do not yet."""
     from tokenizers import Tokenizer
 
     split = Tokenizer.from_str(tokenizer_json).pre_tokenizer.pre_tokenize_str
     own = regex.compile(r"[\p{L}\p{N}]")
     unsure = [c for c in map(chr, range(0x80, 0x110000)) if category(c) == "Cn" and own.match(c)]
-    return [c for c in unsure if len(split("." + c)) == 1]
+    newer = np.array([ord(c) for c in unsure if len(split("." + c)) == 1], np.int64)
+    runs = np.split(newer, np.flatnonzero(np.diff(newer) > 1) + 1) if len(newer) else []
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
 
 
 class TreeBPE:
@@ -91,18 +93,19 @@ class TreeBPE:
             if len(raw[t]) == 1:
                 self.byte_id[raw[t][0]] = i
         self.pairs: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        made_before: set[int] = set()
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             a, b, made = (model["vocab"][t] for t in (a, b, a + b))
-            if made in self.parts:
+            if made in made_before:
                 raise ValueError("two merges make one entry")
-            self.pairs[a, b], self.parts[made] = rank << 24 | made, (a, b)
+            self.pairs[a, b] = rank << 24 | made
+            made_before.add(made)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if special else {}
         self.entries |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         newer = _newer_letters(source)
-        self._newer = regex.compile("[" + "".join(newer) + "]") if newer else None
+        self._newer = re.compile(f"[{newer}]") if newer else None
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -162,23 +165,20 @@ class TreeBPE:
         return self._by_scan(ids) if len(ids) <= LEAF_BYTES else self._by_heap(ids)
 
     def _by_scan(self, ids: list[int]) -> list[int]:
-        """Merges of a short run: all places of the pair of lowest rank at a time, from the left."""
-        pairs = self.pairs
-        while len(ids) > 1:
-            best = min(map(pairs.get, zip(ids, ids[1:]), repeat(_NONE)))
+        """Merges of a short run, whose pairs are all looked through for the lowest rank."""
+        get = self.pairs.get
+        found = list(map(get, zip(ids, ids[1:]), repeat(_NONE)))
+        while found:
+            best = min(found)
             if best == _NONE:
                 break
-            made = best & 0xFFFFFF
-            a, b = self.parts[made]
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == a and ids[i + 1] == b:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i, made = found.index(best), best & 0xFFFFFF
+            ids[i : i + 2] = [made]
+            del found[i]
+            if i < len(found):
+                found[i] = get((made, ids[i + 1]), _NONE)
+            if i:
+                found[i - 1] = get((ids[i - 1], made), _NONE)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
