@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, quality_rules, sharding, token_align, tree_bpe, url_filter
+from panelspark.llm import byte_bpe, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, phrases, quality_rules, sharding, token_align, tree_bpe, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +148,37 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignment_figures(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two or three words of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, most=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(list_slice(w, i, i + size - 1), ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS v(size)),
+f AS (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, f FROM f WHERE size = 3) GROUP BY 1, 2),
+c AS (
+  SELECT f.lang, f.phrase, f.f AS a, size, w FROM f LEFT JOIN longer USING (lang, phrase)
+  WHERE size > 1 AND 100 * coalesce(longer, 0) < 50 * f.f),
+cut AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS part1, array_to_string(w[2:], ' ') AS part2 FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE size = 3),
+s AS (
+  SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = part1 JOIN f AS y ON y.lang = cut.lang AND y.phrase = part2),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the vocabulary's merges, long ones in leaves, and decoded again."""
     return tree_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -165,10 +196,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_align": op11_token_align,
+    "op12_phrases": op12_phrases,
     "op13_tree_bpe": op13_tree_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op4_url_filter": OP4_SQL,
+    "op12_phrases": OP12_SQL,
 }
