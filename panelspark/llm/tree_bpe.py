@@ -106,7 +106,7 @@ class TreeBPE:
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         newer = _newer_letters(source)
         self._newer = re.compile(f"[{newer}]") if newer else None
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens and special tokens, which together are the text."""
@@ -123,18 +123,11 @@ class TreeBPE:
 
     def piece(self, piece: str) -> bytes:
         """Ids of a pre-token or special token, as little-endian 32-bit numbers."""
-        found = self.known.get(piece)
-        if found is None:
-            found = np.array([self.special[piece]] if piece in self.special else self.encode_bytes(piece.encode()), "<u4").tobytes()
-            if len(piece) <= LONGEST_REMEMBERED:
-                if len(self.known) >= MOST_REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+        return self.known[piece]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, pre-token by pre-token."""
-        return b"".join(map(self.piece, self.split(text)))
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.entries.__getitem__, ids))
@@ -279,6 +272,22 @@ def join_tree(bpe: TreeBPE, leaves: list[Node]) -> Node:
     return leaves[0]
 
 
+class _Remembered(dict):
+    """Pre-token or special token to its ids as little-endian 32-bit numbers."""
+
+    def __init__(self, bpe: TreeBPE) -> None:
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        special = self.bpe.special.get(piece)
+        ids = np.array(self.bpe.encode_bytes(piece.encode()) if special is None else [special], "<u4").tobytes()
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= MOST_REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, special: bool = True) -> TreeBPE:
     """A worker's encoder of a vocabulary file, with what it remembers."""
