@@ -3,9 +3,9 @@
 Texts are lower-cased (A to Z only), split into pieces at punctuation and line
 ends, and pieces into words; all that follows is done for each language by itself.
 
-1. Tasks cut their rows into chunks and write each chunk's words as codes, and the
-   hashes and counts of its different n-grams (1 to ``longest`` words), dealt by hash
-   into partitions.
+1. Tasks cut their rows into chunks, written as codes of words.  Chunks send the
+   hashes and counts of their different n-grams (1 to ``longest`` words) to
+   partitions, which are ranges of hashes, as steps from one hash to the next.
 2. A partition merges its chunks' counts into one Misra-Gries summary: counters of
    n-grams; when there are more than its capacity, the count next below the kept
    ones is taken off all of them.  The capacity exceeds the partition's mass divided
@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 from panelspark.llm._shared import discard, text_or_empty, written
 
 #: Bytes of text that a chunk is meant to have, and occurrences of n-grams that a partition is meant to take.
-CHUNK_BYTES, PARTITION_MASS = 8_000_000, 8_000_000
+CHUNK_BYTES, PARTITION_MASS = 4_000_000, 4_000_000
 
 #: Characters that end a piece, and those that separate words inside a piece.
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -87,8 +87,12 @@ class Chunk:
         key = lang[at] * np.int64(n) + codes[at]
         hash_of = lambda start: _mix(_hashes([x.encode() for x in langs])[lang[start]] ^ hashed[codes[start]])
         for k in range(longest):
-            each, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            start = at[first]
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=-1) != 0
+            place = np.flatnonzero(new)
+            first = order[place]
+            counts, start, inverse = np.diff(place, append=len(key)), at[first], np.empty(len(key), np.int64)
+            inverse[order] = np.cumsum(new) - 1
             own = hash_of(start) if k == 0 else _mix((before[which[first]] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) + hashed[codes[start + k]])
             self.first.append(start)
             self.counts.append(counts)
@@ -104,14 +108,32 @@ class Chunk:
         parts = [self.codes[start + j].tolist() for j in range(k + 1)]
         return [self.langs[i] for i in self.lang[start].tolist()], [b" ".join(map(self.words.__getitem__, x)).decode() for x in zip(*parts)]
 
-    def sent(self, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths, places, hashes and partitions of all n-grams, ordered by partition and hash."""
+    def sent(self, partitions: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, places, hashes of so many bits and partitions of all n-grams, ordered by hash; partitions are ranges of hashes."""
         length = np.repeat(np.arange(len(self.first)), [len(x) for x in self.first])
         place = np.concatenate([np.arange(len(x)) for x in self.first])
-        hashes = np.concatenate(self.hashes)
-        to = (_mix(hashes) % np.uint64(partitions)).astype(np.int64)
-        order = np.lexsort((hashes, to))
-        return length[order], place[order], hashes[order], to[order]
+        hashes = np.concatenate(self.hashes) >> np.uint64(64 - bits)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        ranges = [(i << bits) // partitions for i in range(1, partitions)]
+        return length[order], place[order], hashes, np.searchsorted(np.array(ranges, np.uint64), hashes, "right")
+
+
+def hash_bits(mass: int) -> int:
+    """Bits of hash that leave few n-grams with another's hash: 128 values for each occurrence.
+
+    Two n-grams of one hash only survive more easily; counts are exact in any case.
+    """
+    return min(63, max(32, mass.bit_length() + 7))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of the numbers, all first bytes first, then all second ones: small numbers leave runs of zeros, which compress."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unpack(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def misra_gries(summary: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray], capacity: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
@@ -195,27 +217,28 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
     chunks = written(rows.mapInArrow(_chunks, CHUNK), "chunks")
     mass = (chunks.agg(F.sum("occurrences")).first()[0] or 0) * longest
-    partitions = max(8, -(-mass // PARTITION_MASS))
+    partitions, bits = max(8, -(-mass // PARTITION_MASS)), hash_bits(mass)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 chunk, *parts = (batch.column(c)[i].as_py() for c in range(5))
                 own = _read(*parts, longest)
-                length, place, hashes, to = own.sent(partitions)
+                length, place, hashes, to = own.sent(partitions, bits)
                 counts = np.concatenate(own.counts)[np.concatenate([[0], np.cumsum([len(x) for x in own.counts])])[length] + place]
                 used, begin = np.unique(to, return_index=True)
                 ends = np.append(begin[1:], len(to))
-                narrow = counts.astype("<u4") if counts.max(initial=0) >= 1 << 16 else counts.astype("<u2")
-                columns = [used.astype(np.int32), np.full(len(used), chunk), [hashes[a:b].tobytes() for a, b in zip(begin, ends)], [narrow[a:b].tobytes() for a, b in zip(begin, ends)]]
+                steps, counts = np.diff(hashes, prepend=hashes[:1]), counts.astype("<u4")
+                steps[begin] = hashes[begin]
+                columns = [used.astype(np.int32), np.full(len(used), chunk), [_pack(steps[a:b]) for a, b in zip(begin, ends)], [_pack(counts[a:b]) for a, b in zip(begin, ends)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["partition", "chunk", "hashes", "counts"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, "<u8") for x in group["hashes"]]
-        counts = [np.frombuffer(x, f"<u{len(x) // max(1, len(h))}").astype(np.int64) for x, h in zip(group["counts"], hashes)]
+        hashes = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in group["hashes"]]
+        counts = [_unpack(x, "<u4").astype(np.int64) for x in group["counts"]]
         survivors, _ = surviving(list(zip(hashes, counts)), least)
-        bits = [np.packbits(np.isin(h, survivors)).tobytes() for h in hashes]
-        return pd.DataFrame({"partition": group["partition"], "chunk": group["chunk"], "n": [len(h) for h in hashes], "bits": bits})
+        kept = [np.packbits(np.isin(h, survivors)).tobytes() for h in hashes]
+        return pd.DataFrame({"partition": group["partition"], "chunk": group["chunk"], "n": [len(h) for h in hashes], "bits": kept})
 
     sent = chunks.select("chunk", "langs", "lang", "words", "codes").mapInArrow(send, "partition int, chunk long, hashes binary, counts binary")
     told = written(sent.groupBy("partition").applyInPandas(answer, "partition int, chunk long, n long, bits binary"), "survivors")
@@ -225,7 +248,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
         if not len(own) or not len(answers):
             return pd.DataFrame([], columns=names)
         chunk = _read(*own.iloc[0][["langs", "lang", "words", "codes"]], longest)
-        length, place, *_ = chunk.sent(partitions)
+        length, place, *_ = chunk.sent(partitions, bits)
         answers = answers.sort_values("partition")
         kept = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(n)) for b, n in zip(answers["bits"], answers["n"])]).astype(bool)
         out = []
