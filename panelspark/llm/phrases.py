@@ -44,7 +44,9 @@ from pyspark.sql.window import Window
 from panelspark.llm._shared import discard, text_or_empty, written
 
 #: Bytes of text that a chunk is meant to have, and occurrences of n-grams that a partition is meant to take.
-CHUNK_BYTES, PARTITION_MASS = 4_000_000, 4_000_000
+CHUNK_BYTES, PARTITION_MASS = 3_000_000, 4_000_000
+#: Rows that a task turns into Python objects at a time.
+SLICE = 256
 
 #: Characters that end a piece, and those that separate words inside a piece.
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -56,7 +58,7 @@ _FOLD = bytes(0xFF if i in PIECE_ENDS else 32 if i in BLANKS else i + 32 if 65 <
 
 def words_of(text: bytes) -> list[bytes]:
     """A text's words and piece ends, in a row."""
-    return text.translate(_FOLD).replace(_END, b" \xff ").split(b" ")
+    return text.translate(_FOLD).replace(_END, b" \xff ").split()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -172,41 +174,62 @@ def surviving(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[n
     return summary[0][summary[1] + lost >= least], lost
 
 
-#: A chunk: languages and words, and the tokens as codes of both.
-CHUNK = "chunk long, langs array<string>, lang binary, words binary, codes binary, occurrences long"
+#: A chunk: languages and words; each text's language and number of tokens; the tokens as codes of words.
+CHUNK = "chunk long, langs array<string>, lang binary, tokens binary, words binary, codes binary, occurrences long"
+COLUMNS = [c.split()[0] for c in CHUNK.split(", ")]
+
+
+class _Codes(dict):
+    """Words to numbers, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
+
+
+def _narrow(codes: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, without the highest ones that are all 0."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return planes[: max(1, 4 - next((i for i, x in enumerate(planes[::-1]) if x.any()), 4))].tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((4, n), np.uint8)
+    some = np.frombuffer(packed, np.uint8).reshape(-1, n) if n else planes[:0]
+    planes[: len(some)] = some
+    return planes.T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of (language, text) rows."""
-    task, k, size, rows = TaskContext.get().partitionId(), 0, 0, []
+    task, k = TaskContext.get().partitionId(), 0
+    langs, words, codes, lang, tokens, size = _Codes(), _Codes({_END: 0}), [], [], [], 0
 
     def made() -> pa.RecordBatch:
-        langs, words = {}, {_END: 0, b"": 0}
-        codes, lang, n = [], [], []
-        for name, text in rows:
-            own = [words.setdefault(w, len(words) - 1) for w in words_of(text) if w]
-            codes.extend(own)
-            codes.append(0)
-            n.append(len(own) + 1)
-            lang.append(langs.setdefault(name, len(langs)))
-        del words[b""]
-        codes, of = np.array(codes, "<u4"), np.repeat(np.array(lang, "<u4"), n)
-        occurrences = int((codes != 0).sum())
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((task << 32 | k, pa.int64()), (list(langs), pa.list_(pa.string())), (of.tobytes(), pa.binary()), (b" ".join(words), pa.binary()), (codes.tobytes(), pa.binary()), (occurrences, pa.int64()))], [c.split()[0] for c in CHUNK.split(", ")])
+        all_codes = np.concatenate(codes)
+        values = [task << 32 | k, list(langs), np.array(lang, "<u4").tobytes(), np.array(tokens, "<u4").tobytes(), b" ".join(words), _narrow(all_codes), int((all_codes != 0).sum())]
+        kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], COLUMNS)
 
     for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append(row)
-            size += len(row[1])
-            if size >= CHUNK_BYTES:
-                yield made()
-                k, size, rows = k + 1, 0, []
-    if rows:
+        for begin in range(0, len(batch), SLICE):
+            some = batch.slice(begin, SLICE)
+            for name, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                own = np.array([*map(words.__getitem__, words_of(text)), 0], "<u4")
+                codes.append(own)
+                lang.append(langs[name])
+                tokens.append(len(own))
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield made()
+                    k, langs, words, codes, lang, tokens, size = k + 1, _Codes(), _Codes({_END: 0}), [], [], [], 0
+    if codes:
         yield made()
 
 
-def _read(langs, lang, words, codes, longest: int) -> Chunk:
-    return Chunk(list(langs), np.frombuffer(lang, "<u4").astype(np.int64), words.split(b" "), np.frombuffer(codes, "<u4").astype(np.int64), longest)
+def _read(langs, lang, tokens, words, codes, longest: int) -> Chunk:
+    tokens = np.frombuffer(tokens, "<u4").astype(np.int64)
+    return Chunk(list(langs), np.repeat(np.frombuffer(lang, "<u4").astype(np.int64), tokens), words.split(b" "), _wide(codes, int(tokens.sum())), longest)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -222,7 +245,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                chunk, *parts = (batch.column(c)[i].as_py() for c in range(5))
+                chunk, *parts = (batch.column(c)[i].as_py() for c in COLUMNS[:6])
                 own = _read(*parts, longest)
                 length, place, hashes, to = own.sent(partitions, bits)
                 counts = np.concatenate(own.counts)[np.concatenate([[0], np.cumsum([len(x) for x in own.counts])])[length] + place]
@@ -240,14 +263,14 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
         kept = [np.packbits(np.isin(h, survivors)).tobytes() for h in hashes]
         return pd.DataFrame({"partition": group["partition"], "chunk": group["chunk"], "n": [len(h) for h in hashes], "bits": kept})
 
-    sent = chunks.select("chunk", "langs", "lang", "words", "codes").mapInArrow(send, "partition int, chunk long, hashes binary, counts binary")
+    sent = chunks.select(*COLUMNS[:6]).mapInArrow(send, "partition int, chunk long, hashes binary, counts binary")
     told = written(sent.groupBy("partition").applyInPandas(answer, "partition int, chunk long, n long, bits binary"), "survivors")
 
     def count(own: pd.DataFrame, answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
         names = ["lang", "phrase", "size", "f"]
         if not len(own) or not len(answers):
             return pd.DataFrame([], columns=names)
-        chunk = _read(*own.iloc[0][["langs", "lang", "words", "codes"]], longest)
+        chunk = _read(*own.iloc[0][COLUMNS[1:6]], longest)
         length, place, *_ = chunk.sent(partitions, bits)
         answers = answers.sort_values("partition")
         kept = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(n)) for b, n in zip(answers["bits"], answers["n"])]).astype(bool)
@@ -260,15 +283,17 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
 
     counted = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(count, "lang string, phrase string, size int, f long")
     exact = written(counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-counts")
-    words = written(chunks.mapInArrow(_lang_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
+    words = written(chunks.select("langs", "lang", "tokens", "codes").mapInArrow(_lang_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
     discard(chunks, told)
     return exact, words
 
 
 def _lang_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for langs, lang, codes in zip(batch.column("langs").to_pylist(), batch.column("lang").to_pylist(), batch.column("codes").to_pylist()):
-            n = np.bincount(np.frombuffer(lang, "<u4")[np.frombuffer(codes, "<u4") != 0], minlength=len(langs))
+        for langs, lang, tokens, codes in zip(*(batch.column(c).to_pylist() for c in ("langs", "lang", "tokens", "codes"))):
+            tokens = np.frombuffer(tokens, "<u4").astype(np.int64)
+            of = np.repeat(np.frombuffer(lang, "<u4"), tokens)
+            n = np.bincount(of[_wide(codes, len(of)) != 0], minlength=len(langs))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(n, pa.int64())], ["lang", "n"])
 
 
