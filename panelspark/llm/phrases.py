@@ -5,7 +5,8 @@ ends, and pieces into words; all that follows is done for each language by itsel
 
 1. Tasks cut their rows into chunks, written as codes of words.  Chunks send the
    hashes and counts of their different n-grams (1 to ``longest`` words) to
-   partitions, which are ranges of hashes, as steps from one hash to the next.
+   ranges of hashes, as steps from one hash to the next.  A task takes a range, and
+   deals with one hash partition of it after the other.
 2. A partition merges its chunks' counts into one Misra-Gries summary: counters of
    n-grams; when there are more than its capacity, the count next below the kept
    ones is taken off all of them.  The capacity exceeds the partition's mass divided
@@ -17,10 +18,10 @@ ends, and pieces into words; all that follows is done for each language by itsel
 4. Joins on (language, phrase) bring the counts of each phrase's two parts, for all
    cuts; a longer phrase takes out the shorter ones inside that it explains.
 
-Partitions are so many that each one's mass stays below ``PARTITION_MASS``.
-Messages are one a chunk and partition with something to say; ``CHUNK_BYTES`` and
-``PARTITION_MASS`` bound a task's memory and should grow with the executors, as
-larger ones mean fewer messages.  An n-gram arrives once a chunk, however frequent.
+Ranges are so many that each one's mass stays about ``TASK_MASS``.  Messages are one
+a chunk and range with something to say; ``CHUNK_BYTES`` and ``TASK_MASS`` bound a
+task's memory and should grow with the executors, as larger ones mean fewer
+messages.  An n-gram arrives once a chunk, however frequent.
 
 Defined results: null text is the empty text, which has no words; a null language is
 ``und``.  Rows that repeat an id count each.  Equal scores go by count, then by the
@@ -30,7 +31,7 @@ Counts may reach 10^15; beyond that, decimals overflow and the job fails.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ from pyspark.sql.window import Window
 
 from panelspark.llm._shared import discard, text_or_empty, written
 
-#: Bytes of text that a chunk is meant to have, and occurrences of n-grams that a partition is meant to take.
-CHUNK_BYTES, PARTITION_MASS = 3_000_000, 4_000_000
+#: Bytes of text that a chunk is meant to have, and occurrences of n-grams that a task of partitions, and one partition, are meant to take.
+CHUNK_BYTES, TASK_MASS, PARTITION_MASS = 3_000_000, 8_000_000, 1_000_000
 #: Rows that a task turns into Python objects at a time.
 SLICE = 256
 
@@ -174,6 +175,23 @@ def surviving(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[n
     return summary[0][summary[1] + lost >= least], lost
 
 
+def answers(hashes: Iterable[bytes], counts: Iterable[bytes], least: int) -> list[tuple[int, bytes]]:
+    """To each message of a range of hashes: how many n-grams it has, and a bit for each one, set if it survives."""
+    hashes, counts = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in hashes], [_unpack(x, "<u4") for x in counts]
+    low, high = (f(int(h[i]) for h in hashes) for f, i in ((min, 0), (max, -1)))
+    n = max(1, -(-sum(int(c.sum(dtype=np.int64)) for c in counts) // PARTITION_MASS))
+    cuts = np.array([low + (high + 1 - low) * i // n for i in range(1, n)], np.uint64)
+    at = [[0, *np.searchsorted(h, cuts).tolist(), len(h)] for h in hashes]
+    kept: list[list[np.ndarray]] = [[] for _ in hashes]
+    for i in range(n):
+        own = [(h[a[i] : a[i + 1]], c[a[i] : a[i + 1]]) for h, c, a in zip(hashes, counts, at)]
+        survivors, _ = surviving([x for x in own if len(x[0])], least)
+        for k, (h, _) in zip(kept, own):
+            place = np.searchsorted(survivors, h)
+            k.append(survivors[np.minimum(place, len(survivors) - 1)] == h if len(survivors) else np.zeros(len(h), bool))
+    return [(len(h), np.packbits(np.concatenate(k)).tobytes()) for h, k in zip(hashes, kept)]
+
+
 #: A chunk: languages and words; each text's language and number of tokens; the tokens as codes of words.
 CHUNK = "chunk long, langs array<string>, lang binary, tokens binary, words binary, codes binary, occurrences long"
 COLUMNS = [c.split()[0] for c in CHUNK.split(", ")]
@@ -240,7 +258,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
     chunks = written(rows.mapInArrow(_chunks, CHUNK), "chunks")
     mass = (chunks.agg(F.sum("occurrences")).first()[0] or 0) * longest
-    partitions, bits = max(8, -(-mass // PARTITION_MASS)), hash_bits(mass)
+    partitions, bits = max(8, -(-mass // TASK_MASS)), hash_bits(mass)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,11 +275,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["partition", "chunk", "hashes", "counts"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in group["hashes"]]
-        counts = [_unpack(x, "<u4").astype(np.int64) for x in group["counts"]]
-        survivors, _ = surviving(list(zip(hashes, counts)), least)
-        kept = [np.packbits(np.isin(h, survivors)).tobytes() for h in hashes]
-        return pd.DataFrame({"partition": group["partition"], "chunk": group["chunk"], "n": [len(h) for h in hashes], "bits": kept})
+        return pd.DataFrame([(p, c, n, kept) for p, c, (n, kept) in zip(group["partition"], group["chunk"], answers(group["hashes"], group["counts"], least))], columns=["partition", "chunk", "n", "bits"])
 
     sent = chunks.select(*COLUMNS[:6]).mapInArrow(send, "partition int, chunk long, hashes binary, counts binary")
     told = written(sent.groupBy("partition").applyInPandas(answer, "partition int, chunk long, n long, bits binary"), "survivors")

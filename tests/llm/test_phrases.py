@@ -54,6 +54,7 @@ def test_collocations(spark, monkeypatch, longest, least, most, sizes):
     """Nulls, a null language, overlaps, ties, clashing names; also many small chunks and partitions."""
     if sizes:
         monkeypatch.setattr(phrases, "CHUNK_BYTES", sizes[0])
+        monkeypatch.setattr(phrases, "TASK_MASS", 8 * sizes[1])
         monkeypatch.setattr(phrases, "PARTITION_MASS", sizes[1])
     rows = EDGES + some_rows(80)
     docs = spark.createDataFrame([(lang, t, 1, "p", 2) for lang, t in rows], "lang string, text string, f int, phrase string, chunk int").repartition(3)
