@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 from panelspark.llm._shared import discard, text_or_empty, written
 
 #: Bytes of text that a chunk is meant to have, and occurrences of n-grams that a task of partitions, and one partition, are meant to take.
-CHUNK_BYTES, TASK_MASS, PARTITION_MASS = 3_000_000, 8_000_000, 1_000_000
+CHUNK_BYTES, TASK_MASS, PARTITION_MASS = 3_000_000, 4_000_000, 1_000_000
 #: Rows that a task turns into Python objects at a time.
 SLICE = 256
 
@@ -131,12 +131,17 @@ def hash_bits(mass: int) -> int:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Bytes of the numbers, all first bytes first, then all second ones: small numbers leave runs of zeros, which compress."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """Numbers as planes of bytes, the lowest first, without the highest ones that are all 0."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return planes[: max(1, x.itemsize - next((i for i, p in enumerate(planes[::-1]) if p.any()), x.itemsize))].tobytes()
 
 
-def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+def _unpack(packed: bytes, n: int, kind: str) -> np.ndarray:
+    planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
+    if n:
+        some = np.frombuffer(packed, np.uint8).reshape(-1, n)
+        planes[: len(some)] = some
+    return planes.T.copy().view(kind).ravel()
 
 
 def misra_gries(summary: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray], capacity: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
@@ -175,9 +180,10 @@ def surviving(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[n
     return summary[0][summary[1] + lost >= least], lost
 
 
-def answers(hashes: Iterable[bytes], counts: Iterable[bytes], least: int) -> list[tuple[int, bytes]]:
+def answers(n_grams: Iterable[int], hashes: Iterable[bytes], counts: Iterable[bytes], least: int) -> list[tuple[int, bytes]]:
     """To each message of a range of hashes: how many n-grams it has, and a bit for each one, set if it survives."""
-    hashes, counts = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in hashes], [_unpack(x, "<u4") for x in counts]
+    sizes = list(n_grams)
+    hashes, counts = [np.cumsum(_unpack(x, n, "<u8"), dtype=np.uint64) for x, n in zip(hashes, sizes)], [_unpack(x, n, "<u4") for x, n in zip(counts, sizes)]
     low, high = (f(int(h[i]) for h in hashes) for f, i in ((min, 0), (max, -1)))
     n = max(1, -(-sum(int(c.sum(dtype=np.int64)) for c in counts) // PARTITION_MASS))
     cuts = np.array([low + (high + 1 - low) * i // n for i in range(1, n)], np.uint64)
@@ -205,19 +211,6 @@ class _Codes(dict):
         return code
 
 
-def _narrow(codes: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, without the highest ones that are all 0."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return planes[: max(1, 4 - next((i for i, x in enumerate(planes[::-1]) if x.any()), 4))].tobytes()
-
-
-def _wide(packed: bytes, n: int) -> np.ndarray:
-    planes = np.zeros((4, n), np.uint8)
-    some = np.frombuffer(packed, np.uint8).reshape(-1, n) if n else planes[:0]
-    planes[: len(some)] = some
-    return planes.T.copy().view("<u4").ravel().astype(np.int64)
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of (language, text) rows."""
     task, k = TaskContext.get().partitionId(), 0
@@ -225,7 +218,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def made() -> pa.RecordBatch:
         all_codes = np.concatenate(codes)
-        values = [task << 32 | k, list(langs), np.array(lang, "<u4").tobytes(), np.array(tokens, "<u4").tobytes(), b" ".join(words), _narrow(all_codes), int((all_codes != 0).sum())]
+        values = [task << 32 | k, list(langs), np.array(lang, "<u4").tobytes(), np.array(tokens, "<u4").tobytes(), b" ".join(words), _pack(all_codes), int((all_codes != 0).sum())]
         kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], COLUMNS)
 
@@ -247,7 +240,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(langs, lang, tokens, words, codes, longest: int) -> Chunk:
     tokens = np.frombuffer(tokens, "<u4").astype(np.int64)
-    return Chunk(list(langs), np.repeat(np.frombuffer(lang, "<u4").astype(np.int64), tokens), words.split(b" "), _wide(codes, int(tokens.sum())), longest)
+    return Chunk(list(langs), np.repeat(np.frombuffer(lang, "<u4").astype(np.int64), tokens), words.split(b" "), _unpack(codes, int(tokens.sum()), "<u4").astype(np.int64), longest)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -271,13 +264,13 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                 ends = np.append(begin[1:], len(to))
                 steps, counts = np.diff(hashes, prepend=hashes[:1]), counts.astype("<u4")
                 steps[begin] = hashes[begin]
-                columns = [used.astype(np.int32), np.full(len(used), chunk), [_pack(steps[a:b]) for a, b in zip(begin, ends)], [_pack(counts[a:b]) for a, b in zip(begin, ends)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["partition", "chunk", "hashes", "counts"])
+                columns = [used.astype(np.int32), np.full(len(used), chunk), ends - begin, [_pack(steps[a:b]) for a, b in zip(begin, ends)], [_pack(counts[a:b]) for a, b in zip(begin, ends)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["partition", "chunk", "n", "hashes", "counts"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(p, c, n, kept) for p, c, (n, kept) in zip(group["partition"], group["chunk"], answers(group["hashes"], group["counts"], least))], columns=["partition", "chunk", "n", "bits"])
+        return pd.DataFrame([(p, c, n, kept) for p, c, (n, kept) in zip(group["partition"], group["chunk"], answers(group["n"], group["hashes"], group["counts"], least))], columns=["partition", "chunk", "n", "bits"])
 
-    sent = chunks.select(*COLUMNS[:6]).mapInArrow(send, "partition int, chunk long, hashes binary, counts binary")
+    sent = chunks.select(*COLUMNS[:6]).mapInArrow(send, "partition int, chunk long, n long, hashes binary, counts binary")
     told = written(sent.groupBy("partition").applyInPandas(answer, "partition int, chunk long, n long, bits binary"), "survivors")
 
     def count(own: pd.DataFrame, answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -307,7 +300,7 @@ def _lang_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, lang, tokens, codes in zip(*(batch.column(c).to_pylist() for c in ("langs", "lang", "tokens", "codes"))):
             tokens = np.frombuffer(tokens, "<u4").astype(np.int64)
             of = np.repeat(np.frombuffer(lang, "<u4"), tokens)
-            n = np.bincount(of[_wide(codes, len(of)) != 0], minlength=len(langs))
+            n = np.bincount(of[_unpack(codes, len(of), "<u4") != 0], minlength=len(langs))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(n, pa.int64())], ["lang", "n"])
 
 
