@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from panelspark.operators.portfolios import decile_returns, long_short, measures, with_decile
 from panelspark.operators.windows import r2_table
+from panelspark.operators.xsection import correlation
 
 METHODS = ("equal", "manual", "validation_r2", "inverse_mse", "least_squares")
 
@@ -186,10 +187,10 @@ def check_months(long: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def error_correlation(wide: DataFrame, models: Sequence[str], target: str = "y") -> DataFrame:
-    """``model_1, model_2, corr`` of forecast errors, all pairs in one aggregate."""
+    """``model_1, model_2, corr`` of forecast errors, all pairs in one aggregate; null for a model whose errors never vary."""
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i:]]
     errors = wide.select(*[(F.col(target) - F.col(m)).alias(m) for m in models])
-    one = errors.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = errors.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], one.columns, "pair", "corr")
     return long.select(F.split("pair", r"\|")[0].alias("model_1"), F.split("pair", r"\|")[1].alias("model_2"), "corr")
 

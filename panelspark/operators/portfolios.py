@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.operators.xsection import average_rank, decile, top_fraction, whole_quantiles
+from panelspark.operators.xsection import average_rank, correlation, decile, top_fraction, whole_quantiles
 
 
 def with_decile(df: DataFrame, signal: str, n: int = 10, by: Sequence[str] = ("month",), tie: str = "entity") -> DataFrame:
@@ -157,51 +155,39 @@ def wealth(series: DataFrame, by: Sequence[str] = ("portfolio",)) -> DataFrame:
     return series.where("ret is not null").withColumn("wealth", F.product(1 + F.col("ret")).over(w))
 
 
-def _t_tail(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    if x >= (a + 1) / (a + b + 2):
-        return 1 - _beta(b, a, 1 - x)
-    return _beta(a, b, x)
-
-
-def _beta(a: float, b: float, x: float) -> float:
-    if x <= 0:
-        return 0.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if x < 1 else 0.0
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or 1e-300)
-        c = (1 + step / c) or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
-
-
-@F.pandas_udf(T.DoubleType())
-def student_p(t: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a t statistic of n observations."""
-    return pd.Series([_t_tail(a, b - 1) if a == a and b == b and b > 1 else None for a, b in zip(t, n)], dtype="float64")
+def student_p(t: Column, n: Column) -> Column:
+    """Two-sided p-value of a t statistic of ``n`` observations, right to some 1e-14.
+
+    With whole degrees of freedom the distribution is a finite series in
+    cos^2 = df / (df + t^2): n / 2 terms, added up in the JVM.
+    """
+    df = (n - 1).cast("long")
+    even, cos2 = df % 2 == 0, df / (df + t * t)
+    sine = F.abs(t) / F.sqrt(df + t * t)
+    more = F.when(even, (df - 2) / 2).otherwise((df - 3) / 2).cast("long")
+    start = F.struct(F.when(even, F.lit(1.0)).otherwise(F.sqrt(cos2)).alias("term"), F.when(even, F.lit(1.0)).otherwise(F.sqrt(cos2)).alias("total"))
+
+    def step(x: Column, j: Column) -> Column:
+        term = x["term"] * cos2 * F.when(even, (2 * j - 1) / (2 * j)).otherwise(2 * j / (2 * j + 1))
+        return F.struct(term.alias("term"), (x["total"] + term).alias("total"))
+
+    places = F.when(more >= 1, F.sequence(F.lit(1).cast("long"), more)).otherwise(F.array().cast("array<bigint>"))
+    series = F.aggregate(places, start, step, lambda x: x["total"])
+    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    inside = F.when(even, sine * series).otherwise((angle + F.when(df > 1, sine * series).otherwise(F.lit(0.0))) * (2 / math.pi))
+    return F.when((df >= 1) & t.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
 
 
 def measures(series: DataFrame, by: Sequence[str] = ("portfolio",), periods: int = 12, p_value: bool = False) -> DataFrame:
     """Performance of each portfolio; all null under two months.
 
     The drawdown's peak starts at the first wealth value, so a loss in the first
-    month is none.  Skewness and excess kurtosis are those of the population.
+    month is none; after a loss of everything in it there is no drawdown to speak
+    of (null).  Skewness and excess kurtosis are those of the population.
     """
     path = wealth(series, by)
     peak = F.max("wealth").over(Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
-    path = path.withColumn("__dd", F.col("wealth") / peak - 1)
+    path = path.withColumn("__dd", F.try_divide("wealth", peak) - 1)
     n = F.count("ret")
     out = path.groupBy(*by).agg(
         n.alias("n_months"), F.avg("ret").alias("__m"), F.stddev_samp("ret").alias("__s"), F.sqrt(F.avg(F.least("ret", F.lit(0.0)) ** 2)).alias("__d"),
@@ -223,15 +209,15 @@ def measures(series: DataFrame, by: Sequence[str] = ("portfolio",), periods: int
         when(F.col("__sk")).alias("skewness"),
         when(F.col("__ku")).alias("kurtosis"),
     )
-    return out.withColumn("p_value", student_p(F.col("t_stat"), F.col("n_months").cast("double"))) if p_value else out
+    return out.withColumn("p_value", student_p(F.col("t_stat"), F.col("n_months"))) if p_value else out
 
 
 def rank_ic(df: DataFrame, signal: str, target: str, by: Sequence[str] = ("month",), least: int = 10) -> DataFrame:
     """Correlation of average ranks in each cross-section; null under ``least`` rows or without variance."""
     df = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
     ranked = df.withColumn("__a", average_rank(signal, by)).withColumn("__b", average_rank(target, by))
-    ok = (F.count(F.lit(1)) >= least) & (F.stddev_pop("__a") > 0) & (F.stddev_pop("__b") > 0)
-    return ranked.groupBy(*by).agg(F.when(ok, F.corr("__a", "__b")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    ok = F.count(F.lit(1)) >= least
+    return ranked.groupBy(*by).agg(F.when(ok, correlation("__a", "__b")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def rank_ic_summary(ic: DataFrame, by: Sequence[str] = (), periods: int = 12) -> DataFrame:

@@ -75,7 +75,8 @@ def newey_west(series: DataFrame, value: str, by: Sequence[str] = ("predictor",)
     """Mean of each series with a Newey-West error: ``n, mean, nw_se, t_stat, share_positive``.
 
     Lags: given, or ``max(1, floor(4 (T / 100)^(2/9)))``.  Products of a value with
-    later ones come from one self-join on the position, weights by Bartlett.
+    later ones come from one self-join on the position, weights by Bartlett.  A
+    single value has no error with ``small_sample``.
     """
     rows = series.where(F.col(value).isNotNull())
     stat = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("share_positive"))
@@ -86,7 +87,7 @@ def newey_west(series: DataFrame, value: str, by: Sequence[str] = ("predictor",)
     other = at.select(*by, F.col("p").alias("q"), F.col("e").alias("e2"))
     weight = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(2 * (1 - F.col("lag") / (F.col("lags") + 1)))
     total = ahead.join(other, [*by, "q"]).groupBy(*by).agg(F.sum(weight * F.col("e") * F.col("e2")).alias("s"))
-    scale = F.col("n") / (F.col("n") - 1) if small_sample else F.lit(1.0)
+    scale = F.try_divide("n", F.col("n") - 1) if small_sample else F.lit(1.0)
     out = stat.join(total, list(by)).withColumn("nw_se", F.sqrt(F.greatest(F.col("s"), F.lit(0.0)) * scale) / F.col("n"))
     return out.select(*by, "n", "lags", "mean", "nw_se", F.when(F.col("nw_se") > 0, F.col("mean") / F.col("nw_se")).alias("t_stat"), "share_positive")
 

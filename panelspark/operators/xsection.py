@@ -124,6 +124,12 @@ def average_rank(order: Column | str, by: Sequence[str], descending: bool = Fals
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation over the rows that have both; null without variance on either side, where ``corr`` would divide by 0."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def rank_transform(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
     """Average ranks mapped to [-1, 1]; 0 where at most one value is."""
     group = [*by, "feature"]

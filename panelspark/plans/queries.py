@@ -628,7 +628,13 @@ def pf_measures(s, d):
     return P.measures(_series(s, d))
 
 
-@query("pf_p_values")
+#: Student's two-sided p-value with whole degrees of freedom nu, as a finite series.
+_STUDENT = """greatest(0, 1 - CASE WHEN nu % 2 = 0
+  THEN s * list_sum(list_transform(range(0, nu // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)) * c2 ** j))
+  ELSE 2 / pi() * (asin(s) + CASE WHEN nu > 1 THEN s * list_sum(list_transform(range(0, (nu - 1) // 2), lambda j: exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * c2 ** (j + 0.5))) ELSE 0 END) END)"""
+
+
+@query("pf_p_values", f"SELECT portfolio, t_stat, {_STUDENT} AS p_value FROM (SELECT portfolio, t_stat, n_months - 1 AS nu, (n_months - 1) / (n_months - 1 + t_stat ** 2) AS c2, abs(t_stat) / sqrt(n_months - 1 + t_stat ** 2) AS s FROM ({measures_sql(f'({_SERIES})')}))", "t_stat p_value")
 def pf_p_values(s, d):
     return P.measures(_series(s, d), p_value=True).select("portfolio", "t_stat", "p_value")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import journal as G
 from panelspark.operators import models as M
+from panelspark.operators import penalised as N
 from panelspark.operators import windows as W
 from panelspark.plans.registry import query
 from panelspark.sources import testpanel as T
@@ -30,6 +31,49 @@ def ml_elastic_net(s, d):
     return M.grid_summary(M.train(spec, _rows(s, d), FEATURES, "y").grid)
 
 
+ALPHAS, RATIOS = [1e-4, 1e-3, 1e-2], [0.5, 1.0]
+_BLOCKS = "SELECT window_id, block, count(*) AS n, sum(f3) AS x, sum(y) AS y, sum(f3 * f3) AS xx, sum(f3 * y) AS xy, sum(y * y) AS yy FROM ex JOIN win USING (month) WHERE f3 IS NOT NULL GROUP BY 1, 2"
+_NET = f"""SELECT window_id, alpha, l1_ratio, b, sy - b * sx AS a, n FROM (SELECT t.*, p.*, x / n AS sx, y / n AS sy,
+  sign(xy / n - x / n * y / n) * greatest(abs(xy / n - x / n * y / n) - alpha * l1_ratio, 0) / (xx / n - (x / n) ** 2 + alpha * (1 - l1_ratio)) AS b
+ FROM ({_BLOCKS}) t, (SELECT alpha, l1_ratio FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) AS u(alpha), (VALUES {', '.join(f'({r}::DOUBLE)' for r in RATIOS)}) AS v(l1_ratio)) p WHERE block = 'train')"""
+_R2 = lambda k: f"1 - ({k}.yy - 2 * (m.a * {k}.y + m.b * {k}.xy) + m.a ** 2 * {k}.n + 2 * m.a * m.b * {k}.x + m.b ** 2 * {k}.xx) / {k}.yy"
+_NETS = f"""SELECT m.window_id, m.alpha, m.l1_ratio, CASE WHEN m.b <> 0 THEN 1 ELSE 0 END AS n_used, m.a, m.b, t.n AS n_train, {_R2('t')} AS r2_train, {_R2('v')} AS r2_validation, {_R2('s')} AS r2_test
+ FROM ({_NET}) m JOIN ({_BLOCKS}) t ON t.window_id = m.window_id AND t.block = 'train' LEFT JOIN ({_BLOCKS}) v ON v.window_id = m.window_id AND v.block = 'validation' LEFT JOIN ({_BLOCKS}) s ON s.window_id = m.window_id AND s.block = 'test'"""
+
+
+def _net(s: SparkSession, d: str, names: list[str]) -> N.Path:
+    p = T.panel(s, d).withColumn("y", F.col("ret") - F.col("rf"))
+    return N.elastic_net_path(p, W.windows(p, W.WindowPlan("rolling", 3, 2, 1, 1, 2, 1)), names, "y", ALPHAS, RATIOS)
+
+
+@query("ml_elastic_net_one", f"SELECT window_id, alpha, l1_ratio, n_used, r2_train, r2_validation, r2_train - r2_validation AS gap, row_number() OVER (PARTITION BY window_id ORDER BY r2_validation DESC NULLS LAST, alpha, l1_ratio) = 1 AS selected FROM ({_NETS})", "r2_train r2_validation gap")
+def ml_elastic_net_one(s, d):
+    """All windows and penalties of one predictor, whose solution is a soft threshold in SQL."""
+    return _net(s, d, ["f3"]).grid
+
+
+@query("ml_elastic_net_windows", f"SELECT window_id, alpha, l1_ratio, n_train, n_used, r2_train, r2_validation, r2_test FROM ({_NETS}) QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY r2_validation DESC NULLS LAST, alpha, l1_ratio) = 1", "r2_train r2_validation r2_test")
+def ml_elastic_net_windows(s, d):
+    return _net(s, d, ["f3"]).results
+
+
+@query("ml_elastic_net_coefficients", f"SELECT window_id, unnest(['intercept', 'f3']) AS predictor, unnest([a, b]) AS coefficient FROM (SELECT * FROM ({_NETS}) QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY r2_validation DESC NULLS LAST, alpha, l1_ratio) = 1)", "coefficient")
+def ml_elastic_net_coefficients(s, d):
+    return _net(s, d, ["f3"]).coefficients
+
+
+@query("ml_elastic_net_path")
+def ml_elastic_net_path(s, d):
+    """All windows and penalties of three predictors, from one scan."""
+    return _net(s, d, ["f1", "f2", "f3"]).grid
+
+
+@query("ml_elastic_net_by_two", f"SELECT *, rank() OVER (ORDER BY greatest(\"l1_ratio_0.5\", \"l1_ratio_1.0\") DESC NULLS LAST) AS rank FROM (SELECT alpha, avg(r2_validation) FILTER (l1_ratio = 0.5) AS \"l1_ratio_0.5\", avg(r2_validation) FILTER (l1_ratio = 1) AS \"l1_ratio_1.0\" FROM ({_NETS}) GROUP BY 1)", '"l1_ratio_0.5" "l1_ratio_1.0"')
+def ml_elastic_net_by_two(s, d):
+    """The grid by its two axes."""
+    return N.grid_by_two(_net(s, d, ["f3"]).grid, "alpha", "l1_ratio", RATIOS)
+
+
 @query("ml_forest")
 def ml_forest(s, d):
     spec = M.Spec("forest", M.forest, M.grid(depth=[3], trees=[8]), [lambda best: [best | {"leaf": 20}]])

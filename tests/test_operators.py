@@ -165,10 +165,17 @@ def test_combination_is_checked():
             E.check(*bad)
 
 
-def test_student_p():
-    assert P._t_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
-    assert P._t_tail(5.0, 2) == pytest.approx(0.03774955, abs=1e-7)
-    assert P._t_tail(0.0, 5) == pytest.approx(1.0)
+def test_student_p(spark):
+    """Known values, and the series against numbers from the density, for odd and even degrees of freedom."""
+    known = [(2.0, 11, 0.07338803), (5.0, 3, 0.03774955), (0.0, 6, 1.0), (1.0, 2, 0.5), (-2.0, 11, 0.07338803), (None, 9, None), (1.0, 1, None)]
+    for t, n in [(0.3, 4), (1.7, 145), (2.5, 144), (0.9, 1001)]:
+        x = np.linspace(0, t, 200_001)
+        nu = n - 1
+        density = np.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi) * (1 + x * x / nu) ** (-(nu + 1) / 2)
+        known.append((t, n, 1 - 2 * float(np.trapezoid(density, x))))
+    df = spark.createDataFrame(known, "t double, n long, want double").select("want", P.student_p(F.col("t"), F.col("n")).alias("p"))
+    for r in df.collect():
+        assert (r["want"] is None and r["p"] is None) or r["p"] == pytest.approx(r["want"], abs=1e-7)
 
 
 def test_spanned_portfolio_has_no_alpha(spark):
@@ -327,3 +334,59 @@ def test_lost_significance(spark):
     gross = table([("a", "CAPM", 2.5), ("b", "CAPM", 2.5), ("c", "CAPM", 1.0), ("d", "CAPM", 2.5)])
     net = table([("a", "CAPM", 1.0), ("b", "CAPM", 2.1), ("c", "CAPM", 0.5), ("d", "CAPM", None)])
     assert sorted(r["portfolio"] for r in R.lost_significance(gross, net).collect()) == ["a", "d"]
+
+
+def test_no_variance_gives_null(spark):
+    """Constant signals, errors that never vary, a total loss at the start, and one month: null, and the job goes on."""
+    flat = spark.createDataFrame([(m, e, 1.0 if m == "a" else float(e), float(e * e % 7)) for m in "ab" for e in range(12)], "month string, entity int, s double, y double")
+    ic = dict(rows(P.rank_ic(flat, "s", "y").select("month", "ic")))
+    assert ic["a"] is None and -1 <= ic["b"] <= 1
+    wide = spark.createDataFrame([(float(i), float(i), float(i * i), None if i == 3 else i / 2 + i % 2) for i in range(6)], "y double, a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in rows(E.error_correlation(wide, ["a", "b", "c"]))}
+    assert got["a", "a"] is None and got["a", "b"] is None and got["b", "b"] == pytest.approx(1.0)
+    some = [i for i in range(6) if i != 3]
+    assert got["b", "c"] == pytest.approx(np.corrcoef([i - i * i for i in some], [i - i / 2 - i % 2 for i in some])[0, 1])
+    lost = spark.createDataFrame([("p", "1", -1.0), ("p", "2", 0.5), ("q", "1", 0.5), ("q", "2", -1.0)], "portfolio string, month string, ret double")
+    assert {r["portfolio"]: r["max_drawdown"] for r in P.measures(lost).collect()} == {"p": None, "q": -1.0}
+    one = spark.createDataFrame([("x", 1, 0.5)], "predictor string, month_idx int, v double")
+    for small in (True, False):
+        r = R.newey_west(one, "v", small_sample=small).first()
+        assert r["n"] == 1 and r["mean"] == 0.5 and r["t_stat"] is None
+
+
+def test_elastic_net_from_sums_is_spark_mls(spark):
+    """One scan for the whole grid against a fit over rows for each window and penalty."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from panelspark.operators import penalised
+
+    rng = random.Random(8)
+    data = []
+    for m in range(1, 37):
+        for e in range(12):
+            x = [rng.gauss(0, 1), rng.gauss(5, 3), rng.gauss(0, 0.2)]
+            data.append((e, f"{2000 + (m - 1) // 12}{(m - 1) % 12 + 1:02d}", m, *x, None if e == 11 else 1.0, 0.5 * x[0] - 0.2 * x[1] + 0.3 * x[2] + rng.gauss(0, 1)))
+    df = spark.createDataFrame(data, "entity int, month string, month_idx int, f1 double, f2 double, f3 double, f4 double, y double")
+    table = W.windows(df, W.WindowPlan("expanding", 1, 1, 1))
+    names, alphas, ratios = ["f1", "f2", "f3", "f4"], [0.0, 0.05, 0.3, 10.0], [0.0, 0.5, 1.0]
+    path = penalised.elastic_net_path(df, table, names, "y", alphas, ratios)
+    grid = {(r["alpha"], r["l1_ratio"]): r for r in path.grid.collect()}
+    assert len(grid) == 12
+    vector = VectorAssembler(inputCols=names, outputCol="features").transform(W.assign(df, table).na.drop()).withColumnRenamed("y", "label").persist()
+    part = {b: vector.where(F.col("block") == b) for b in ("train", "validation", "test")}
+    for (a, ratio), r in grid.items():
+        model = M.elastic_net({"alpha": a, "l1_ratio": ratio}).setTol(1e-12).fit(part["train"])
+        for block in ("train", "validation"):
+            assert r[f"r2_{block}"] == pytest.approx(M._score(model, part[block], "label")[0], abs=1e-6)
+        assert r["n_used"] == sum(abs(c) > 1e-9 for c in model.coefficients)
+    best = max(grid.values(), key=lambda r: r["r2_validation"])
+    chosen = path.results.first()
+    assert (chosen["alpha"], chosen["l1_ratio"]) == (best["alpha"], best["l1_ratio"]) and [k for k, r in grid.items() if r["selected"]] == [(best["alpha"], best["l1_ratio"])]
+    model = M.elastic_net({"alpha": best["alpha"], "l1_ratio": best["l1_ratio"]}).setTol(1e-12).fit(part["train"])
+    b = {r["predictor"]: r["coefficient"] for r in path.coefficients.collect()}
+    assert [b[c] for c in ["intercept", *names]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-6) and b["f4"] == 0.0
+    assert chosen["r2_test"] == pytest.approx(M._score(model, part["test"], "label")[0], abs=1e-6)
+    two = penalised.grid_by_two(path.grid, "alpha", "l1_ratio", ratios).collect()
+    assert sorted(two[0].asDict()) == ["alpha", "l1_ratio_0.0", "l1_ratio_0.5", "l1_ratio_1.0", "rank"] and len(two) == 4
+    nothing = penalised.elastic_net_path(df.limit(0), table, names, "y", alphas, ratios)
+    assert nothing.grid.count() == nothing.results.count() == nothing.coefficients.count() == 0

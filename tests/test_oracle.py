@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelspark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = """cln_coercion cln_profile cln_macro_fill jn_lagged_macro jn_cohort_self_join xs_normalise xs_decile xs_size_groups hz_forward_excess hz_diagnosis
-wf_embargo wf_newey_west wf_window_ols pf_measures pf_evaluate_groups pf_cohorts pf_rank_ic en_inverse_mse en_least_squares tc_turnover tc_buffer tc_net_returns
-fa_benchmark fa_one_factor jr_experiment_key jr_model_tables""".split()
+#: Oracles of the panel part; those of the text part are in tests/llm.
+NAMES = sorted(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def lines(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, duck, sf, name):
     df = entry.queries()[name](spark, sf)
     relation = duck.sql(entry.oracle_sql()[name])
