@@ -26,7 +26,10 @@ def linear(params: Params) -> LinearRegression:
 
 
 def elastic_net(params: Params) -> LinearRegression:
-    """The penalty is on the features as they are, without scaling."""
+    """The penalty is on the features as they are, without scaling.
+
+    Spark ML divides the ridge part by the target's deviation; ``penalised`` does not.
+    """
     return LinearRegression(regParam=params["alpha"], elasticNetParam=params["l1_ratio"], maxIter=1000, standardization=False)
 
 

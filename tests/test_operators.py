@@ -374,15 +374,22 @@ def test_elastic_net_from_sums_is_spark_mls(spark):
     assert len(grid) == 12
     vector = VectorAssembler(inputCols=names, outputCol="features").transform(W.assign(df, table).na.drop()).withColumnRenamed("y", "label").persist()
     part = {b: vector.where(F.col("block") == b) for b in ("train", "validation", "test")}
+    sd = part["train"].agg(F.stddev_pop("label")).first()[0]
+
+    def spark_ml(a, ratio):
+        """Spark ML divides the ridge part of the penalty by the label's deviation; undone here."""
+        reg = a * ratio + a * (1 - ratio) * sd
+        return M.elastic_net({"alpha": reg, "l1_ratio": a * ratio / reg if reg else 0.0}).setTol(1e-12).fit(part["train"])
+
     for (a, ratio), r in grid.items():
-        model = M.elastic_net({"alpha": a, "l1_ratio": ratio}).setTol(1e-12).fit(part["train"])
+        model = spark_ml(a, ratio)
         for block in ("train", "validation"):
             assert r[f"r2_{block}"] == pytest.approx(M._score(model, part[block], "label")[0], abs=1e-6)
         assert r["n_used"] == sum(abs(c) > 1e-9 for c in model.coefficients)
     best = max(grid.values(), key=lambda r: r["r2_validation"])
     chosen = path.results.first()
     assert (chosen["alpha"], chosen["l1_ratio"]) == (best["alpha"], best["l1_ratio"]) and [k for k, r in grid.items() if r["selected"]] == [(best["alpha"], best["l1_ratio"])]
-    model = M.elastic_net({"alpha": best["alpha"], "l1_ratio": best["l1_ratio"]}).setTol(1e-12).fit(part["train"])
+    model = spark_ml(best["alpha"], best["l1_ratio"])
     b = {r["predictor"]: r["coefficient"] for r in path.coefficients.collect()}
     assert [b[c] for c in ["intercept", *names]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-6) and b["f4"] == 0.0
     assert chosen["r2_test"] == pytest.approx(M._score(model, part["test"], "label")[0], abs=1e-6)
