@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.windows import r2_zero
+from panelspark.sources.scratch import discard, new_place
 
 Params = Mapping[str, float | int | str]
 
@@ -58,6 +63,7 @@ class Trained:
     grid: DataFrame
     results: DataFrame
     weights: DataFrame
+    pipeline: PipelineModel | None
 
 
 def _score(model, rows: DataFrame, target: str) -> tuple[float | None, int]:
@@ -65,59 +71,102 @@ def _score(model, rows: DataFrame, target: str) -> tuple[float | None, int]:
     return r["r2"], r["n"]
 
 
-def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("entity", "month")) -> Trained:
+@dataclass
+class _Fit:
+    """A combination's model with its scores; of boosted trees, those of the first ``trees``."""
+
+    params: Params
+    model: object
+    trees: int | None
+    at_budget: bool | None
+    at_depth: bool | None
+    r2: dict[str, float | None]
+
+
+def _fit(spec: Spec, params: Params, block: dict[str, DataFrame], size: dict[str, tuple[int, float]]) -> _Fit:
+    maker = spec.make(params)
+    model = maker.fit(block["train"])
+    if not isinstance(maker, GBTRegressor):
+        at_depth = max(t.depth for t in model.trees) == maker.getMaxDepth() if hasattr(model, "trees") else None
+        return _Fit(params, model, None, None, at_depth, {b: _score(model, block[b], "label")[0] for b in ("train", "validation")})
+    # errors of every number of trees, in one pass a block: the best number is known without another fit
+    errors = {b: model.evaluateEachIteration(block[b], "squared") if size[b][0] else None for b in ("train", "validation")}
+    by = errors["validation"] or errors["train"]
+    trees = min(range(len(by)), key=by.__getitem__) + 1
+    r2 = {b: 1 - e[trees - 1] * size[b][0] / size[b][1] if e and size[b][1] else None for b, e in errors.items()}
+    return _Fit(params, model, trees, trees == maker.getMaxIter(), max(t.depth for t in model.trees[:trees]) == maker.getMaxDepth(), r2)
+
+
+def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("entity", "month"), threads: int = 4) -> Trained:
     """Walk-forward training over ``rows`` (with ``window_id`` and ``block``).
 
-    Per window every combination is fitted on the training rows; the highest
-    validation R2 wins, over all stages, and predicts the test rows once.  Boosted
-    trees are cut after the best number of them on the validation rows, before
-    they are scored.  Fits are Spark jobs over the window's rows; the driver holds scores only.
+    Per window every combination is fitted on the training rows, ``threads`` at a
+    time; the highest validation R2 wins, over all stages, ties to the first, and
+    predicts the test rows once.  Boosted trees are scored at the best number of them
+    on the validation rows; only the winner is fitted again with that many.  Fits are
+    Spark jobs over the window's rows; the driver holds scores only.  Rows with a
+    null feature or target are left out; a window in which no combination has a
+    validation score fails the job.
     """
     spark = rows.sparkSession
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.na.drop(subset=[*features, target])).withColumnRenamed(target, "label")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    data = assembler.transform(rows.na.drop(subset=[*features, target])).withColumnRenamed(target, "label")
     ids = sorted(r["window_id"] for r in rows.select("window_id").distinct().collect())  # a dozen windows
-    predicted, tried, results, weights = None, [], [], []
+    predicted, tried, results, weights, pipeline = None, [], [], [], None
     for window in ids:
         own = data.where(F.col("window_id") == window).persist()
         block = {b: own.where(F.col("block") == b) for b in ("train", "validation", "test")}
-        best, top, best_params, best_scores, best_stage, best_trees = None, float("-inf"), {}, None, 0, None
+        size = {r["block"]: (r["n"], r["yy"]) for r in own.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label") ** 2).alias("yy")).collect()}
+        size = {b: size.get(b, (0, 0.0)) for b in block}
+        best, best_stage = None, 0
         for stage, combos in enumerate([spec.combos, *spec.stages]):
-            for params in combos(best_params) if callable(combos) else combos:
-                maker = spec.make(params)
-                model, trees, at_budget = maker.fit(block["train"]), None, None
-                if isinstance(maker, GBTRegressor):
-                    trees = _best_prefix(model, block["validation"])
-                    at_budget = trees == maker.getMaxIter()
-                    if trees < maker.getMaxIter():  # a tree depends on its place and the seed, so these are the same first trees
-                        model = maker.setMaxIter(trees).fit(block["train"])
-                train_r2, n_train = _score(model, block["train"], "label")
-                valid_r2, _ = _score(model, block["validation"], "label")
-                at_depth = max(t.depth for t in model.trees) == maker.getMaxDepth() if hasattr(model, "trees") else None
-                tried.append((window, stage, str(params), trees, at_budget, at_depth, train_r2, valid_r2))
-                if valid_r2 is not None and valid_r2 > top:
-                    best, top, best_params, best_stage, best_trees, best_scores = model, valid_r2, params, stage, trees, (n_train, train_r2, valid_r2)
-        test_r2, _ = _score(best, block["test"], "label")
-        results.append((window, str(best_params), best_stage, best_trees, best_scores[0], best_scores[1], best_scores[2], test_r2))
-        values = best.coefficients if hasattr(best, "coefficients") else best.featureImportances
-        weights += [(window, f, float(v)) for f, v in zip(features, values.toArray())]
-        part = best.transform(block["test"]).select(*keys, F.col("label").alias(target), "prediction", "window_id").withColumn("model", F.lit(spec.name))
+            some = combos(best.params) if callable(combos) else combos
+            with ThreadPoolExecutor(threads) as pool:
+                done = list(pool.map(inheritable_thread_target(spark)(lambda p: _fit(spec, p, block, size)), some))  # noqa: B023
+            for one in done:
+                tried.append((window, stage, str(one.params), one.trees, one.at_budget, one.at_depth, one.r2["train"], one.r2["validation"]))
+                if one.r2["validation"] is not None and (best is None or one.r2["validation"] > best.r2["validation"]):
+                    best, best_stage = one, stage
+        if best is None:
+            raise ValueError(f"no combination has a validation score in window {window}")
+        model = best.model
+        if best.trees and not best.at_budget:  # a tree depends on its place and the seed, so these are the same first trees
+            model = spec.make(best.params).setMaxIter(best.trees).fit(block["train"])
+        test_r2, _ = _score(model, block["test"], "label")
+        results.append((window, str(best.params), best_stage, best.trees, size["train"][0], best.r2["train"], best.r2["validation"], test_r2))
+        values = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
+        splits = split_counts(model, len(features)) if hasattr(model, "trees") else [None] * len(features)
+        weights += [(window, f, float(v), n) for f, v, n in zip(features, values.toArray(), splits)]
+        part = model.transform(data.where((F.col("window_id") == window) & (F.col("block") == "test"))).select(*keys, F.col("label").alias(target), "prediction", "window_id").withColumn("model", F.lit(spec.name))
         predicted = part if predicted is None else predicted.unionByName(part)
+        pipeline = PipelineModel([assembler, model])
         own.unpersist()
     table = lambda r, s: spark.createDataFrame(r, s)
     tried_df = table(tried, "window_id int, stage int, params string, best_trees int, at_budget boolean, at_depth boolean, r2_train double, r2_validation double")
     out = table(results, "window_id int, params string, stage int, best_trees int, n_train long, r2_train double, r2_validation double, r2_test double")
     chosen = tried_df.join(F.broadcast(out.select("window_id", "params", F.lit(True).alias("selected"))), ["window_id", "params"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("gap", F.col("r2_train") - F.col("r2_validation"))
-    return Trained(predicted, chosen, out, table(weights, "window_id int, predictor string, coefficient double"))
+    return Trained(predicted, chosen, out, table(weights, "window_id int, predictor string, coefficient double, splits long"), pipeline)
+
 
+def split_counts(model, n_features: int) -> list[int]:
+    """How many nodes of an ensemble of trees split on each feature, from the table of nodes that the model is stored as."""
+    spark = SparkSession.active()
+    path = new_place(spark, "trees")
+    model.write().save(path)
+    nodes = spark.read.load(f"{path}/data").select("nodeData.leftChild", "nodeData.split.featureIndex")
+    found = dict(nodes.where("leftChild >= 0").groupBy("featureIndex").count().collect())
+    discard(spark, path)
+    return [found.get(i, 0) for i in range(n_features)]
 
-def _best_prefix(model, validation: DataFrame) -> int:
-    """Number of trees with the lowest validation error, from one pass over the prefixes."""
-    errors = model.evaluateEachIteration(validation, "squared")
-    return min(range(len(errors)), key=errors.__getitem__) + 1
 
+def save_model(pipeline: PipelineModel, path: str) -> None:
+    """Stores features and model of the last window; an earlier model at that place goes."""
+    pipeline.write().overwrite().save(path)
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+
+def load_model(path: str) -> PipelineModel:
+    """A stored model; its ``transform`` takes rows with the features' columns and adds ``prediction``."""
+    return PipelineModel.load(path)
 
 
 def grid_summary(tried: DataFrame) -> DataFrame:
@@ -138,7 +187,7 @@ def search_diagnostics(tried: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def importance_table(weights: DataFrame) -> DataFrame:
-    """Importances scaled to 100 a window: mean, deviation, mean rank and percent of windows without use.
+    """Importances scaled to 100 a window: mean, deviation, mean rank, percent of windows without use, mean number of splits.
 
     A window in which nothing was used has no shares.
     """
@@ -148,14 +197,59 @@ def importance_table(weights: DataFrame) -> DataFrame:
 
     share = 100 * F.try_divide("coefficient", F.sum("coefficient").over(Window.partitionBy("window_id")))
     rows = weights.withColumn("share", share).withColumn("place", average_rank("share", ["window_id"], descending=True))
-    return rows.groupBy("predictor").agg(F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("sd_share"), F.avg("place").alias("mean_rank"), (100 * F.avg((F.col("coefficient") == 0).cast("double"))).alias("pct_unused"))
+    return rows.groupBy("predictor").agg(F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("sd_share"), F.avg("place").alias("mean_rank"), (100 * F.avg((F.col("coefficient") == 0).cast("double"))).alias("pct_unused"), F.avg("splits").alias("mean_splits"))
+
+
+def bag_weight(tree: int, keys: Sequence[str]) -> Column:
+    """How often a row is in a tree's bag: Poisson with mean 1, drawn by a hash of the row's key and the tree.
+
+    Every row's bags are known without storing them, on any machine.
+    """
+    u = F.pmod(F.xxhash64(F.lit(tree), *keys), F.lit(1 << 32)) / float(1 << 32)
+    out, p, below = F.lit(9.0), math.exp(-1), []
+    total = 0.0
+    for k in range(9):
+        total += p
+        below.append((total, float(k)))
+        p /= k + 1
+    for bound, k in reversed(below):
+        out = F.when(u < bound, F.lit(k)).otherwise(out)
+    return out
+
 
+def bagged_tree(tree: int, params: Params) -> RandomForestRegressor:
+    """One tree of a forest, fitted on the rows of its bag with their weights."""
+    return forest(params).setNumTrees(1).setBootstrap(False).setSeed(tree).setWeightCol("__w")
 
-def out_of_bag_r2(rows: DataFrame, features: Sequence[str], target: str, params: Params, keys: Sequence[str] = ("entity", "month"), slices: int = 3) -> DataFrame:
-    """R2 on training rows by forests that did not see them: each slice of the keys is left out once."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.na.drop(subset=[*features, target])).withColumnRenamed(target, "label").withColumn("__s", F.pmod(F.xxhash64(*keys), F.lit(slices)))
-    out = None
-    for s in range(slices):
-        part = forest(params).fit(data.where(F.col("__s") != s)).transform(data.where(F.col("__s") == s)).select("label", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out.agg(r2_zero("label", "prediction").alias("oob_r2"), F.count(F.lit(1)).alias("n"))
+
+#: Trees whose predictions are added up before the sums are written.
+TREES_A_PASS = 24
+
+
+def out_of_bag_r2(rows: DataFrame, features: Sequence[str], target: str, params: Params, keys: Sequence[str] = ("entity", "month")) -> DataFrame:
+    """``window_id, oob_r2, n_rows, n_scored``: training rows of every window, each scored by the mean of the trees that did not see it.
+
+    Trees are fitted on bags (:func:`bag_weight`), one after the other; rows that
+    all trees saw are not scored, and rows with a null are left out.
+    """
+    spark, trees = rows.sparkSession, params.get("trees", 20)
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.where("block = 'train'").na.drop(subset=[*features, target])).select("window_id", *keys, "features", F.col(target).alias("label"))
+    out = []
+    for window in sorted(r["window_id"] for r in data.select("window_id").distinct().collect()):  # a dozen windows
+        own = data.where(F.col("window_id") == window).persist()
+        scored, places = own.withColumn("__sum", F.lit(0.0)).withColumn("__n", F.lit(0)), []
+        for tree in range(trees):
+            weight = bag_weight(tree, keys)
+            model = bagged_tree(tree, params).fit(own.withColumn("__w", weight).where("__w > 0"))
+            free = weight == 0
+            scored = model.setPredictionCol("__p").transform(scored).withColumn("__sum", F.col("__sum") + F.when(free, F.col("__p")).otherwise(0.0)).withColumn("__n", F.col("__n") + free.cast("int")).drop("__p")
+            if tree % TREES_A_PASS == TREES_A_PASS - 1:
+                places.append(new_place(spark, "bags"))
+                scored.write.parquet(places[-1])
+                scored = spark.read.schema(scored.schema).parquet(places[-1])
+        score = scored.withColumn("prediction", F.try_divide("__sum", "__n"))
+        r = score.where("__n > 0").agg(r2_zero("label", "prediction").alias("r2"), F.count(F.lit(1)).alias("n")).first()
+        out.append((window, r["r2"], own.count(), r["n"]))
+        own.unpersist()
+        discard(spark, *places)
+    return spark.createDataFrame(out, "window_id int, oob_r2 double, n_rows long, n_scored long")

@@ -11,6 +11,7 @@ from panelspark.operators import penalised as N
 from panelspark.operators import windows as W
 from panelspark.plans.registry import query
 from panelspark.sources import testpanel as T
+from panelspark.sources.scratch import new_place
 
 FEATURES = ["f2", "f3"]
 
@@ -92,10 +93,48 @@ def ml_search_diagnostics(s, d):
     return M.search_diagnostics(done.grid, done.results)
 
 
+@query("ml_boosting_importances")
+def ml_boosting_importances(s, d):
+    """Mean gain, mean splits and percent unused of each predictor over all windows."""
+    return M.importance_table(M.train(M.Spec("boosting", M.boosting, M.grid(depth=[2], trees=[6])), _rows(s, d), FEATURES, "y").weights)
+
+
 @query("ml_out_of_bag")
 def ml_out_of_bag(s, d):
-    rows = _rows(s, d).where("window_id = 1 and block = 'train'")
-    return M.out_of_bag_r2(rows, FEATURES, "y", {"depth": 3, "trees": 8})
+    """Every window's training rows, scored by the trees that did not see them."""
+    return M.out_of_bag_r2(_rows(s, d), FEATURES, "y", {"depth": 3, "trees": 8})
+
+
+_FIT = "SELECT window_id, regr_slope(y, f3) AS b, regr_intercept(y, f3) AS a FROM ex JOIN win USING (month) WHERE block = 'train' GROUP BY 1"
+_LINEAR_R2 = ", ".join(f"1 - sum((y - a - b * f3) ** 2) FILTER (block = '{k}') / sum(y ** 2) FILTER (block = '{k}') AS r2_{k}" for k in ("train", "validation", "test"))
+
+
+def _linear(s: SparkSession, d: str) -> tuple[DataFrame, M.Trained]:
+    p = T.panel(s, d).withColumn("y", F.col("ret") - F.col("rf"))
+    rows = W.assign(p, W.windows(p, W.WindowPlan("rolling", 3, 2, 1, 1, 2, 1)))
+    return rows, M.train(M.Spec("linear", M.linear, [{}]), rows, ["f3"], "y")
+
+
+@query("ml_model_sink", f"SELECT entity, month, a + b * f3 AS prediction FROM ex JOIN win USING (month) JOIN ({_FIT}) USING (window_id) WHERE block = 'test' AND window_id = (SELECT max(window_id) FROM win) AND f3 IS NOT NULL", "prediction", digits=9)
+def ml_model_sink(s, d):
+    """The last window's model, stored twice at one place, read back and applied to that window's test rows."""
+    rows, done = _linear(s, d)
+    path = new_place(s, "model")
+    for _ in range(2):
+        M.save_model(done.pipeline, path)
+    last = rows.where(F.col("block") == "test").crossJoin(F.broadcast(rows.agg(F.max("window_id").alias("__last")))).where("window_id = __last and f3 is not null")
+    return M.load_model(path).transform(last).select("entity", "month", "prediction")
+
+
+@query("ml_linear_one", f"SELECT window_id, count(*) FILTER (block = 'train') AS n_train, {_LINEAR_R2} FROM ex JOIN win USING (month) JOIN ({_FIT}) USING (window_id) WHERE f3 IS NOT NULL GROUP BY 1", "r2_train r2_validation r2_test")
+def ml_linear_one(s, d):
+    """The walk-forward loop with one predictor, whose fits SQL can express."""
+    return _linear(s, d)[1].results.select("window_id", "n_train", "r2_train", "r2_validation", "r2_test")
+
+
+@query("ml_linear_predictions", f"SELECT entity, month, window_id, y, a + b * f3 AS prediction, 'linear' AS model FROM ex JOIN win USING (month) JOIN ({_FIT}) USING (window_id) WHERE block = 'test' AND f3 IS NOT NULL", "y prediction", digits=9)
+def ml_linear_predictions(s, d):
+    return _linear(s, d)[1].predictions
 
 
 def _runs(s: SparkSession, d: str) -> DataFrame:
