@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,23 +124,26 @@ class Chunk:
 
 
 def hash_bits(mass: int) -> int:
-    """Bits of hash that leave few n-grams with another's hash: 128 values for each occurrence.
+    """Bits of hash that leave few n-grams with another's hash: 8 values for each occurrence.
 
     Two n-grams of one hash only survive more easily; counts are exact in any case.
     """
-    return min(63, max(32, mass.bit_length() + 7))
+    return min(63, max(24, mass.bit_length() + 3))
+
+
+_squeeze, _expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the lowest first, without the highest ones that are all 0."""
+    """Numbers as planes of bytes, the lowest first, without the highest ones that are all 0, compressed."""
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
-    return planes[: max(1, x.itemsize - next((i for i, p in enumerate(planes[::-1]) if p.any()), x.itemsize))].tobytes()
+    return _squeeze.compress(planes[: max(1, x.itemsize - next((i for i, p in enumerate(planes[::-1]) if p.any()), x.itemsize))].tobytes())
 
 
 def _unpack(packed: bytes, n: int, kind: str) -> np.ndarray:
     planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
     if n:
-        some = np.frombuffer(packed, np.uint8).reshape(-1, n)
+        some = np.frombuffer(_expand.decompress(packed), np.uint8).reshape(-1, n)
         planes[: len(some)] = some
     return planes.T.copy().view(kind).ravel()
 
@@ -218,7 +222,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def made() -> pa.RecordBatch:
         all_codes = np.concatenate(codes)
-        values = [task << 32 | k, list(langs), np.array(lang, "<u4").tobytes(), np.array(tokens, "<u4").tobytes(), b" ".join(words), _pack(all_codes), int((all_codes != 0).sum())]
+        values = [task << 32 | k, list(langs), np.array(lang, "<u4").tobytes(), np.array(tokens, "<u4").tobytes(), _squeeze.compress(b" ".join(words)), _pack(all_codes), int((all_codes != 0).sum())]
         kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], COLUMNS)
 
@@ -240,7 +244,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(langs, lang, tokens, words, codes, longest: int) -> Chunk:
     tokens = np.frombuffer(tokens, "<u4").astype(np.int64)
-    return Chunk(list(langs), np.repeat(np.frombuffer(lang, "<u4").astype(np.int64), tokens), words.split(b" "), _unpack(codes, int(tokens.sum()), "<u4").astype(np.int64), longest)
+    return Chunk(list(langs), np.repeat(np.frombuffer(lang, "<u4").astype(np.int64), tokens), _expand.decompress(words).split(b" "), _unpack(codes, int(tokens.sum()), "<u4").astype(np.int64), longest)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
