@@ -42,12 +42,14 @@ def windows(months: DataFrame, plan: WindowPlan) -> DataFrame:
     The first test block starts after the first year plus training and validation
     years; test blocks follow each other.  Validation lies right before the test,
     training before that: ``train_years`` long, or from the first month on.
-    Windows with an empty block are left out.  ``months`` is a handful of rows.
+    Windows with an empty block are left out; months too few for any window fail
+    the job.  ``months`` is a handful of rows.
     """
     months = months.select("month", "month_idx").distinct().withColumn("year", F.substring("month", 1, 4).cast("int"))
     span = months.agg(F.min("year").alias("first"), F.max("year").alias("last"))
     start = F.col("first") + plan.train_years + plan.validation_years
-    tests = span.where(start <= F.col("last")).select("first", F.posexplode(F.sequence(start, F.col("last"), F.lit(plan.test_years))).alias("pos", "test_year"))
+    none = F.raise_error(F.lit("the panel's years are too few for a window")).cast("boolean")
+    tests = span.where(F.when(start > F.col("last"), none).otherwise(True)).where("first is not null").select("first", F.posexplode(F.sequence(start, F.col("last"), F.lit(plan.test_years))).alias("pos", "test_year"))
     tests = tests.withColumn("window_id", F.col("pos") + 1).withColumn("v", plan.validation(F.col("pos") + 1))
     low = F.col("test_year") - F.col("v")
     oldest = F.col("first") if plan.mode == "expanding" else low - plan.train_years
@@ -83,7 +85,11 @@ def train_statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def restrict_start(panel: DataFrame, year: int) -> DataFrame:
-    return panel.where(F.substring("month", 1, 4).cast("int") >= year)
+    """The panel from a year on; a panel that ends before fails the job."""
+    of = F.substring("month", 1, 4).cast("int")
+    last = F.broadcast(panel.agg(F.max(of).alias("__last")))
+    none = F.raise_error(F.lit(f"the panel has no month from {year} on")).cast("boolean")
+    return panel.crossJoin(last).where(F.when(F.col("__last") < year, none).otherwise(of >= year)).drop("__last")
 
 
 def r2_zero(y: str = "y", prediction: str = "prediction") -> Column:

@@ -499,9 +499,34 @@ def wf_monthly_slopes(s, d):
     return R.monthly_slopes(_ex(s, d), ["f3"], "y").where("predictor = 'f3'").select("month", "coefficient")
 
 
-@query("wf_fama_macbeth")
+def _slopes_sql(names: list[str]) -> str:
+    """Monthly slopes on several predictors: each one's part that the others leave, against the target."""
+    parts = []
+    for last in ["one", *names]:
+        q = f"SELECT month, month_idx, y, 1.0::DOUBLE AS one, {', '.join(names)} FROM (SELECT *, count(*) OVER (PARTITION BY month) AS n_ FROM ex WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in names)}) WHERE n_ > {len(names) + 1}"
+        others = [c for c in ["one", *names] if c != last]
+        for i, f in enumerate(others):
+            rest = [*others[i + 1 :], last]
+            q = f"SELECT month, month_idx, y, {', '.join(f'{x} - {f} * sum({x} * {f}) OVER v / sum({f} * {f}) OVER v AS {x}' for x in rest)} FROM ({q}) WINDOW v AS (PARTITION BY month)"
+        parts.append(f"SELECT '{'intercept' if last == 'one' else last}' AS predictor, month, month_idx, sum({last} * y) / sum({last} * {last}) AS v FROM ({q}) GROUP BY month, month_idx")
+    return " UNION ALL ".join(parts)
+
+
+def _means_sql(names: list[str]) -> str:
+    """Their means with Newey-West errors of the default lags."""
+    st = "SELECT predictor, count(*) AS n, CAST(greatest(1, floor(4 * power(count(*) / 100.0, 2 / 9.0))) AS INT) AS lags, avg(v) AS mean, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END) AS share_positive FROM sl GROUP BY 1"
+    s = "SELECT x.predictor, sum(CASE WHEN z.p = x.p THEN 1 ELSE 2 * (1 - (z.p - x.p) / (lags + 1.0)) END * (x.v - mean) * (z.v - mean)) AS s FROM sl x JOIN sl z ON x.predictor = z.predictor JOIN st ON st.predictor = x.predictor WHERE z.p - x.p BETWEEN 0 AND lags GROUP BY 1"
+    return f"WITH sl AS (SELECT *, row_number() OVER (PARTITION BY predictor ORDER BY month_idx) AS p FROM ({_slopes_sql(names)})), st AS ({st}) SELECT predictor, n, lags, mean, sqrt(greatest(s, 0)) / n AS nw_se, mean / (sqrt(greatest(s, 0)) / n) AS t_stat, share_positive FROM st JOIN ({s}) USING (predictor)"
+
+
+@query("wf_fama_macbeth", f"SELECT *, abs(t_stat) > 1.959963984540054 AS significant FROM ({_means_sql(['f1', 'f2', 'f3'])})", "mean nw_se t_stat share_positive")
 def wf_fama_macbeth(s, d):
-    return R.fama_macbeth(_ex(s, d), ["f1", "f2", "f3"], "y")
+    return R.fama_macbeth(_ex(s, d), ["f1", "f2", "f3"], "y").drop("p_value")
+
+
+@query("wf_fama_macbeth_p_values")
+def wf_fama_macbeth_p_values(s, d):
+    return R.fama_macbeth(_ex(s, d), ["f1", "f2", "f3"], "y").select("predictor", "t_stat", "p_value")
 
 
 @query("wf_window_significance")
@@ -929,21 +954,48 @@ def fa_one_factor(s, d):
     return R.one_factor(_ls(s, d).withColumn("portfolio", F.lit("ls")), T.factors(_panel(s, d)))
 
 
+def _alpha_sql(series: str, lags: int = 3) -> str:
+    """Alphas of ``series`` (portfolio, month, ret) under all factor models, by residuals of one factor after the other.
+
+    What is left of the constant, h, gives alpha = sum(h y) / sum(h h), and h e / sum(h h) its Newey-West error.
+    """
+    parts = []
+    for model, names in R.MODELS.items():
+        q = f"SELECT portfolio, month, ret, ret AS y, 1.0::DOUBLE AS c, {', '.join(names)} FROM ({series}) JOIN factors USING (month) WHERE ret IS NOT NULL"
+        for i, f in enumerate(names):
+            rest = ["y", "c", *names[i + 1 :]]
+            q = f"SELECT portfolio, month, ret, {', '.join(f'{x} - {f} * sum({x} * {f}) OVER v / sum({f} * {f}) OVER v AS {x}' for x in rest)} FROM ({q}) WINDOW v AS (PARTITION BY portfolio)"
+        parts.append(f"SELECT portfolio, '{model}' AS factor_model, {len(names)} AS k, month, ret, c / sum(c * c) OVER v AS h, sum(c * y) OVER v / sum(c * c) OVER v AS alpha, y - c * sum(c * y) OVER v / sum(c * c) OVER v AS e FROM ({q}) WINDOW v AS (PARTITION BY portfolio)")
+    u = f"SELECT *, h * e AS u, row_number() OVER (PARTITION BY portfolio, factor_model ORDER BY month) AS p FROM ({' UNION ALL '.join(parts)})"
+    hac = f"SELECT x.portfolio, x.factor_model, sum(CASE WHEN z.p = x.p THEN 1 ELSE 2 * (1 - (z.p - x.p) / {lags + 1}.0) END * x.u * z.u) AS v FROM u x JOIN u z ON x.portfolio = z.portfolio AND x.factor_model = z.factor_model AND z.p - x.p BETWEEN 0 AND {lags} GROUP BY 1, 2"
+    one = "SELECT portfolio, factor_model, k, count(*) AS n, max(alpha) AS a, sum(e * e) AS ee, sum(ret * ret) - count(*) * avg(ret) ** 2 AS yy FROM u GROUP BY 1, 2, 3"
+    return f"""WITH u AS ({u}) SELECT portfolio, factor_model, n AS n_months, a AS alpha, 12 * a AS alpha_annual, a / sqrt(v * n / (n - k - 1)) AS t_alpha, 1 - ee / yy AS r2,
+      sqrt(ee / (n - k - 1)) * sqrt(12) AS residual_vol, 12 * a / (sqrt(ee / (n - k - 1)) * sqrt(12)) AS information_ratio FROM ({one}) JOIN ({hac}) USING (portfolio, factor_model)"""
+
+
+_ALPHAS = _alpha_sql("SELECT 'ls' AS portfolio, month, ret FROM ls")
+
+
 def _alphas(s, d):
     return R.factor_alphas(_ls(s, d).withColumn("portfolio", F.lit("ls")), T.factors(_panel(s, d)), lags=R.default_lags(1))
 
 
-@query("fa_alphas")
+@query("fa_alphas", _ALPHAS, "alpha alpha_annual t_alpha r2 residual_vol information_ratio")
 def fa_alphas(s, d):
-    return _alphas(s, d).drop("betas", "t_betas")
+    return _alphas(s, d).drop("betas", "t_betas", "p_alpha")
+
+
+@query("fa_alpha_p_values")
+def fa_alpha_p_values(s, d):
+    return _alphas(s, d).select("portfolio", "factor_model", "t_alpha", "p_alpha", "betas", "t_betas")
 
 
-@query("fa_absorbed_alpha")
+@query("fa_absorbed_alpha", f"SELECT portfolio, s AS alpha_small, l AS alpha_large, s - l AS absorbed FROM (SELECT portfolio, max(alpha_annual) FILTER (factor_model = 'FF5') AS s, max(alpha_annual) FILTER (factor_model = 'FF5+MOM') AS l FROM ({_ALPHAS}) GROUP BY 1)", "alpha_small alpha_large absorbed")
 def fa_absorbed_alpha(s, d):
     return R.absorbed_alpha(_alphas(s, d))
 
 
-@query("fa_report")
+@query("fa_report", f"SELECT portfolio, 100 * alpha_annual AS alpha_annual_pct, 100 * r2 AS r2_pct, 100 * residual_vol AS residual_vol_pct, t_alpha, information_ratio, n_months FROM ({_ALPHAS}) WHERE factor_model = 'FF5'", "alpha_annual_pct r2_pct residual_vol_pct t_alpha information_ratio")
 def fa_report(s, d):
     return R.report_alphas(_alphas(s, d), "FF5")
 

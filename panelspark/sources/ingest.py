@@ -67,7 +67,9 @@ def stack_models(tables: Mapping[str, DataFrame | None]) -> tuple[DataFrame, lis
 
 
 def append_new(existing: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``fresh`` whose key ``existing`` has not; append these."""
+    """Rows of ``fresh`` whose key ``existing`` has not, one a key (of several, the smallest in the columns' order); append these."""
+    columns = [c for c in fresh.columns if c not in keys]
+    fresh = fresh.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("__x")).select(*keys, "__x.*").select(*fresh.columns) if columns else fresh.distinct()
     return fresh.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
