@@ -63,6 +63,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where no letters are new."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _newer_letters(tokenizer_json: str) -> str:
     """Ranges of letters and numbers that the installed pattern engine knows, but the tokenizer's own tables do not yet."""
     from tokenizers import Tokenizer
@@ -115,7 +124,7 @@ class TreeBPE:
         return self._matches(text)
 
     def _matches(self, text: str) -> list[str]:
-        if text.isascii() or self._newer is None or not self._newer.search(text):
+        if self._newer is None or _is_latin(text) or not self._newer.search(text):
             return pretokens(text)
         # an unassigned character stands in for letters that the tokenizer takes as no letters
         ends = np.cumsum([0, *map(len, regex.findall(PATTERN, self._newer.sub("͸", text)))]).tolist()
