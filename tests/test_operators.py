@@ -397,3 +397,26 @@ def test_elastic_net_from_sums_is_spark_mls(spark):
     assert sorted(two[0].asDict()) == ["alpha", "l1_ratio_0.0", "l1_ratio_0.5", "l1_ratio_1.0", "rank"] and len(two) == 4
     nothing = penalised.elastic_net_path(df.limit(0), table, names, "y", alphas, ratios)
     assert nothing.grid.count() == nothing.results.count() == nothing.coefficients.count() == 0
+
+
+def test_out_of_bag_and_split_counts(spark):
+    """Rows scored by the trees that did not see them, one by one; splits as in the trees' text."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(9)
+    data = [(e, "200001", 1, "train", x := rng.random(), rng.random(), float(x > 0.5) + rng.gauss(0, 0.1)) for e in range(120)]
+    df = spark.createDataFrame(data, "entity int, month string, window_id int, block string, a double, b double, y double").coalesce(1)
+    params, keys = {"depth": 2, "trees": 3}, ["entity", "month"]
+    got = M.out_of_bag_r2(df, ["a", "b"], "y", params, keys).first()
+    rows_in = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).withColumnRenamed("y", "label").persist()
+    sums, labels = {}, {r["entity"]: r["label"] for r in rows_in.collect()}
+    for tree in range(3):
+        drawn = rows_in.withColumn("__w", M.bag_weight(tree, keys)).persist()
+        model = M.bagged_tree(tree, params).fit(drawn.where("__w > 0"))
+        for r in model.transform(drawn.where("__w = 0")).collect():
+            sums.setdefault(r["entity"], []).append(r["prediction"])
+        assert M.split_counts(model, 2) == [model.toDebugString.count(f"If (feature {i} ") for i in range(2)]
+    want = 1 - sum((labels[e] - np.mean(p)) ** 2 for e, p in sums.items()) / sum(labels[e] ** 2 for e in sums)
+    assert got["n_rows"] == 120 and got["n_scored"] == len(sums) < 120 and got["oob_r2"] == pytest.approx(want, abs=1e-9)
+    weights = [r[0] for r in spark.range(20000).select(M.bag_weight(5, ["id"])).collect()]
+    assert np.mean(weights) == pytest.approx(1, abs=0.03) and np.mean([w == 0 for w in weights]) == pytest.approx(math.exp(-1), abs=0.012)
