@@ -187,7 +187,8 @@ def search_diagnostics(tried: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def importance_table(weights: DataFrame) -> DataFrame:
-    """Importances scaled to 100 a window: mean, deviation, mean rank, percent of windows without use, mean number of splits.
+    """Importances scaled to 100 a window: mean, deviation, mean rank, percent of windows without use, mean number of splits
+    (null where splits are not counted).
 
     A window in which nothing was used has no shares.
     """
@@ -195,6 +196,8 @@ def importance_table(weights: DataFrame) -> DataFrame:
 
     from panelspark.operators.xsection import average_rank
 
+    if "splits" not in weights.columns:
+        weights = weights.withColumn("splits", F.lit(None).cast("long"))
     share = 100 * F.try_divide("coefficient", F.sum("coefficient").over(Window.partitionBy("window_id")))
     rows = weights.withColumn("share", share).withColumn("place", average_rank("share", ["window_id"], descending=True))
     return rows.groupBy("predictor").agg(F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("sd_share"), F.avg("place").alias("mean_rank"), (100 * F.avg((F.col("coefficient") == 0).cast("double"))).alias("pct_unused"), F.avg("splits").alias("mean_splits"))
