@@ -76,3 +76,15 @@ def expect_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if bad := {c: counts[c] for c in columns if counts[c]}:
         raise ValueError(f"nulls where none may be: {bad}")
     return df
+
+
+def not_empty(df: DataFrame, message: str) -> DataFrame:
+    """The frame itself; a job that reads it fails with ``message`` if it has no row.
+
+    Nothing runs when the plan is built: a count of the rows stands beside them
+    and reaches them as no row at all.  Use it on small results, as the count
+    may repeat what lies between the last shuffle and the frame.
+    """
+    none = F.raise_error(F.concat(F.lit(f"{message}: "), F.col("__n").cast("string"), F.lit(" rows"))).cast("boolean")
+    guard = df.agg(F.count(F.lit(1)).alias("__n")).where(F.when(F.col("__n") == 0, none).otherwise(False))
+    return df.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

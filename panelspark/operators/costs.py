@@ -7,7 +7,7 @@ the calendar's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,13 +152,24 @@ def turnover_summary(turnovers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return turnovers.groupBy(*by).agg(F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * 12).alias("annual_turnover"), F.try_divide(F.lit(4.0), F.avg("turnover")).alias("holding_months"), F.count("turnover").alias("n_months"))
 
 
-def long_short_with_costs(df: DataFrame, trade_bps: float, borrow_bps: float = 0.0, n: int = 10, weight: str | None = None, ret: str = "ret") -> DataFrame:
-    """Legs, gross return, turnover, costs and net return of a long-short on ``decile``."""
-    legs = leg_weights(df, F.col("decile") == n, "long", weight).unionByName(leg_weights(df, F.col("decile") == 1, "short", weight))
+def long_short_with_costs(df: DataFrame, trade_bps: float, borrow_bps: float = 0.0, n: int = 10, weight: str | None = None, ret: str = "ret", by: Sequence[str] = ()) -> DataFrame:
+    """Legs, gross return, turnover, costs and net return of a long-short on ``decile``.
+
+    ``by`` names portfolios (models, weightings) that share the job: every shuffle
+    is keyed by them, and the month's returns are read once for all.
+    """
+    keys, legs_by = [*by, "month"], [*by, "leg"]
+    legs = leg_weights(df, F.col("decile") == n, "long", weight, by).unionByName(leg_weights(df, F.col("decile") == 1, "short", weight, by))
     returns = entity_returns(df, ret)
-    per_leg = leg_returns(legs, returns)
+    per_leg = leg_returns(legs, returns, legs_by)
     side = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("ret")))
-    gross = per_leg.groupBy("month", "month_idx").agg((side("long") - side("short")).alias("ret")).where("ret is not null")
-    costs = monthly_costs(turnover(legs, returns), trade_bps, borrow_bps)
-    moved = costs.select("month", "turnover", "trade_cost", "borrow_cost", "cost")
-    return gross.join(moved, "month", "left").withColumn("net", F.col("ret") - F.coalesce("cost", F.lit(0.0)))
+    gross = per_leg.groupBy(*keys, "month_idx").agg((side("long") - side("short")).alias("ret")).where("ret is not null")
+    costs = monthly_costs(turnover(legs, returns, legs_by), trade_bps, borrow_bps, by=by)
+    moved = costs.select(*keys, "turnover", "trade_cost", "borrow_cost", "cost")
+    return gross.join(moved, keys, "left").withColumn("net", F.col("ret") - F.coalesce("cost", F.lit(0.0)))
+
+
+def weightings(df: DataFrame, columns: Mapping[str, str | None], by: str = "weighting", weight: str = "weight") -> DataFrame:
+    """The rows once for each named weighting, with its weight: a column's value, or 1 for None."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias(by), (F.lit(1.0) if c is None else F.col(c).cast("double")).alias(weight)) for n, c in columns.items()]))
+    return df.withColumn("__w", each).select(*df.columns, "__w.*")

@@ -11,9 +11,20 @@ POLICIES = ("risk_free", "zero")
 
 
 def restrict_to_macro(returns: DataFrame, macro: DataFrame) -> DataFrame:
-    """Returns inside the months that the macro table spans."""
+    """Returns inside the months that the macro table spans; returns of which none lies inside fail the job."""
     span = macro.agg(F.min("month_idx").alias("__a"), F.max("month_idx").alias("__b"))
-    return returns.crossJoin(F.broadcast(span)).where(F.col("month_idx").between(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    inside = F.col("month_idx").between(F.col("__a"), F.col("__b"))
+    some = returns.crossJoin(F.broadcast(span)).agg(F.count_if(~F.coalesce(inside, F.lit(False))).alias("__out"), F.count_if(inside).alias("__in"))
+    none = F.raise_error(F.concat(F.lit("no return lies in the macro table's months, outside: "), F.col("__out").cast("string"))).cast("boolean")
+    kept = F.when((F.col("__in") == 0) & (F.col("__out") > 0), none).otherwise(inside)
+    return returns.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(some)).where(kept).drop("__a", "__b", "__in", "__out")
+
+
+def coverage(returns: DataFrame, macro: DataFrame) -> DataFrame:
+    """One row: returns in all, before, inside and after the macro table's months."""
+    span = macro.agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b"))
+    m = F.col("month_idx")
+    return returns.crossJoin(F.broadcast(span)).agg(F.count(F.lit(1)).alias("n_returns"), F.count_if(m < F.col("a")).alias("n_before"), F.count_if(m.between(F.col("a"), F.col("b"))).alias("n_inside"), F.count_if(m > F.col("b")).alias("n_after"))
 
 
 def monthly_grid(returns: DataFrame, horizon: int) -> DataFrame:
@@ -37,14 +48,13 @@ def forward_excess(returns: DataFrame, macro: DataFrame, horizon: int, policy: s
     ``macro``: ``month_idx, rf``.  The target of month t compounds months t+1 to
     t+H of the return and of the rate, and subtracts.  It is null if a month is
     missing or if t+H lies behind the panel's end.  In extension months the return
-    is the rate, or 0.  A month with returns inside the macro table's span but
-    without a rate fails the job.
+    is the rate, or 0.  A month of the grid without a rate fails the job, be it one
+    with returns, a gap or an extension.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     grid = monthly_grid(restrict_to_macro(returns, macro), horizon).join(macro.select("month_idx", "rf"), "month_idx", "left")
-    unrated = F.col("ret").isNotNull() & F.col("rf").isNull()
-    grid = grid.withColumn("rf", F.when(unrated, F.raise_error(F.concat(F.lit("no rate for month "), F.col("month_idx").cast("string"))).cast("double")).otherwise(F.col("rf")))
+    grid = grid.withColumn("rf", F.when(F.col("rf").isNull(), F.raise_error(F.concat(F.lit("no rate for month "), F.col("month_idx").cast("string"))).cast("double")).otherwise(F.col("rf")))
     r = F.when(F.col("extension"), F.col("rf") if policy == "risk_free" else F.lit(0.0)).otherwise(F.col("ret"))
     grid = grid.withColumn("r", F.when(r.isNotNull(), F.greatest(r, F.lit(FLOOR))))  # greatest alone would pass over a null
     w = Window.partitionBy("entity").orderBy("month_idx").rangeBetween(1, horizon)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.functions.keys import not_empty
 from panelspark.operators.xsection import average_rank, correlation, decile, top_fraction, whole_quantiles
 
 
@@ -19,13 +20,14 @@ def with_decile(df: DataFrame, signal: str, n: int = 10, by: Sequence[str] = ("m
 def decile_returns(df: DataFrame, target: str, by: Sequence[str] = ("month",), weight: str | None = None) -> DataFrame:
     """Mean realised target of each (cross-section, decile); weighted if a weight is given.
 
-    Weighted rows need a target and a positive weight.
+    Weighted rows need a target and a positive weight; a job without any such row fails.
     """
     df = df.where(F.col("decile").isNotNull())
     if weight is None:
         return df.groupBy(*by, "decile").agg(F.avg(target).alias("ret"))
     df = df.where(F.col(target).isNotNull() & (F.col(weight) > 0))
-    return df.groupBy(*by, "decile").agg((F.sum(F.col(weight) * F.col(target)) / F.sum(weight)).alias("ret"))
+    out = df.groupBy(*by, "decile").agg((F.sum(F.col(weight) * F.col(target)) / F.sum(weight)).alias("ret"))
+    return not_empty(out, f"no row has a target and a positive {weight}")
 
 
 def long_short(deciles: DataFrame, n: int = 10, by: Sequence[str] = ("month",)) -> DataFrame:
@@ -46,48 +48,55 @@ def decile_sizes(df: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
 
 
 def long_only(df: DataFrame, signal: str, target: str, share: float, by: Sequence[str] = ("month",), weight: str | None = None, tie: str = "entity") -> DataFrame:
-    """Return of the top fraction, equally or otherwise weighted."""
+    """Return of the top fraction, equally or otherwise weighted; a job in which no row is chosen fails."""
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
     chosen = top_fraction(df, signal, target, share, by, tie)
     if weight is None:
-        return chosen.groupBy(*by).agg(F.avg(target).alias("ret"))
+        return not_empty(chosen.groupBy(*by).agg(F.avg(target).alias("ret")), f"every cross-section has fewer rows than a share of {share} needs")
     chosen = chosen.where(F.col(weight) > 0)
-    return chosen.groupBy(*by).agg((F.sum(F.col(weight) * F.col(target)) / F.sum(weight)).alias("ret"))
+    return not_empty(chosen.groupBy(*by).agg((F.sum(F.col(weight) * F.col(target)) / F.sum(weight)).alias("ret")), f"no row of the top {share} has a positive {weight}")
 
 
-def monthly_rebalance(df: DataFrame, signal: str, monthly: str, n: int = 10, weight: str | None = None) -> DataFrame:
-    """Long-short return that holds for a month what a signal of any horizon ranks."""
-    return long_short(decile_returns(with_decile(df, signal, n), monthly, weight=weight), n)
+def monthly_rebalance(df: DataFrame, signal: str, monthly: str, n: int = 10, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Long-short return that holds for a month what a signal of any horizon ranks; ``by`` names portfolios that share the job."""
+    keys = [*by, "month"]
+    return long_short(decile_returns(with_decile(df, signal, n, keys), monthly, keys, weight), n, keys)
 
 
-def cohort_positions(df: DataFrame, signal: str, monthly: str, horizon: int, n: int = 10, deciles: Sequence[int] | None = None, weight: str | None = None) -> DataFrame:
+def cohort_positions(df: DataFrame, signal: str, monthly: str, horizon: int, n: int = 10, deciles: Sequence[int] | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Formation rows, once for each of the ``horizon`` months after, with that month's return.
 
     The rows multiply by ``horizon``; name the ``deciles`` that are needed to keep
     only those before.
     """
     more = [weight] if weight else []
-    formed = with_decile(df, signal, n).where(F.col("decile").isNotNull())
+    formed = with_decile(df, signal, n, [*by, "month"]).where(F.col("decile").isNotNull())
     if deciles is not None:
         formed = formed.where(F.col("decile").isin(list(deciles)))
-    formed = formed.select("entity", F.col("month_idx").alias("formation"), "decile", *more, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("age"))
+    formed = formed.select(*by, "entity", F.col("month_idx").alias("formation"), "decile", *more, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("age"))
     formed = formed.withColumn("month_idx", F.col("formation") + F.col("age"))
-    return formed.join(df.select("entity", "month_idx", "month", monthly), ["entity", "month_idx"])
+    return formed.join(df.select(*by, "entity", "month_idx", "month", monthly), [*by, "entity", "month_idx"])
 
 
-def cohorts(df: DataFrame, signal: str, monthly: str, horizon: int, n: int = 10, weight: str | None = None) -> DataFrame:
-    """Overlapping cohorts: ``month, decile, ret, n_cohorts``, pooled over all live positions."""
-    held = cohort_positions(df, signal, monthly, horizon, n, weight=weight)
-    live = held.groupBy("month").agg(F.countDistinct("formation").alias("n_cohorts"))
-    return decile_returns(held, monthly, weight=weight).join(live, "month")
+def cohorts(df: DataFrame, signal: str, monthly: str, horizon: int, n: int = 10, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Overlapping cohorts: ``by, month, decile, ret, n_cohorts``, pooled over all live positions."""
+    keys = [*by, "month"]
+    held = cohort_positions(df, signal, monthly, horizon, n, weight=weight, by=by)
+    live = held.groupBy(*keys).agg(F.countDistinct("formation").alias("n_cohorts"))
+    return decile_returns(held, monthly, keys, weight).join(live, keys)
 
 
-def annual_rebalance(df: DataFrame, signal: str, target: str, horizon: int, n: int = 10, weight: str | None = None) -> DataFrame:
-    """Long-short of the H-month target in the months that are a multiple of ``min(H, 12)`` after the first."""
-    start = df.where(F.col(signal).isNotNull()).agg(F.min("month_idx").alias("__start"))
-    kept = df.crossJoin(F.broadcast(start)).where((F.col("month_idx") - F.col("__start")) % min(horizon, 12) == 0).drop("__start")
-    return long_short(decile_returns(with_decile(kept, signal, n), target, weight=weight), n)
+def annual_rebalance(df: DataFrame, signal: str, target: str, horizon: int, n: int = 10, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Long-short of the H-month target in the months that are a multiple of ``min(H, 12)`` after the first.
+
+    With ``by``, each portfolio counts from its own first month.
+    """
+    keys = [*by, "month"]
+    start = F.broadcast(df.where(F.col(signal).isNotNull()).groupBy(*by).agg(F.min("month_idx").alias("__start")))
+    kept = df.join(start, list(by)) if by else df.crossJoin(start)
+    kept = kept.where((F.col("month_idx") - F.col("__start")) % min(horizon, 12) == 0).drop("__start")
+    return long_short(decile_returns(with_decile(kept, signal, n, keys), target, keys, weight), n, keys)
 
 
 CONSTRUCTIONS = ("monthly", "cohorts", "annual")
@@ -103,27 +112,29 @@ def constructions(principal: str, which: str | Sequence[str] = "all") -> list[st
     return names
 
 
-def compare_constructions(df: DataFrame, signal: str, target: str, weight: str, share: float = 0.1, n: int = 10) -> DataFrame:
-    """``construction, month, ret``: long-short and long-only, equal and weighted."""
-    ranked = with_decile(df, signal, n)
+def compare_constructions(df: DataFrame, signal: str, target: str, weight: str, share: float = 0.1, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """``by, construction, month, ret``: long-short and long-only, equal and weighted."""
+    keys = [*by, "month"]
+    ranked = with_decile(df, signal, n, keys)
     parts = {
-        "long_short_equal": long_short(decile_returns(ranked, target), n),
-        "long_short_weighted": long_short(decile_returns(ranked, target, weight=weight), n),
-        "long_only_equal": long_only(df, signal, target, share),
-        "long_only_weighted": long_only(df, signal, target, share, weight=weight),
+        "long_short_equal": long_short(decile_returns(ranked, target, keys), n, keys),
+        "long_short_weighted": long_short(decile_returns(ranked, target, keys, weight), n, keys),
+        "long_only_equal": long_only(df, signal, target, share, keys),
+        "long_only_weighted": long_only(df, signal, target, share, keys, weight),
     }
     out = None
     for name, part in parts.items():
-        part = part.select(F.lit(name).alias("construction"), "month", "ret")
+        part = part.select(*by, F.lit(name).alias("construction"), "month", "ret")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def construction_gaps(series: DataFrame, reference: str = "long_short_equal", by: str = "construction") -> DataFrame:
-    """Measures of each construction, and how far its Sharpe ratio is from the reference's."""
-    table = measures(series, [by])
-    base = table.where(F.col(by) == reference).select(F.col("sharpe").alias("__s"))
-    return table.crossJoin(F.broadcast(base)).withColumn("sharpe_gap", F.col("sharpe") - F.col("__s")).drop("__s")
+def construction_gaps(series: DataFrame, reference: str = "long_short_equal", by: str = "construction", within: Sequence[str] = ()) -> DataFrame:
+    """Measures of each construction, and how far its Sharpe ratio is from the reference's (of the same ``within``)."""
+    table = measures(series, [*within, by])
+    base = F.broadcast(table.where(F.col(by) == reference).select(*within, F.col("sharpe").alias("__s")))
+    both = table.join(base, list(within)) if within else table.crossJoin(base)
+    return both.withColumn("sharpe_gap", F.col("sharpe") - F.col("__s")).drop("__s")
 
 
 def compare_horizons(parts: Mapping[int, DataFrame], signal: str, target: str, monthly: str, n: int = 10) -> DataFrame:

@@ -7,15 +7,17 @@ back: one shuffle of the rows, and a small table on the other side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.sources.scratch import written
+from panelspark.sources.scratch import discard, new_place
 
 
 def quantiles(column: str, at: Sequence[float]) -> Column:
@@ -23,52 +25,116 @@ def quantiles(column: str, at: Sequence[float]) -> Column:
     return F.percentile(column, F.array(*[F.lit(float(a)) for a in at]))
 
 
-#: Rank error of Spark's quantile sketch, and half the width of the brackets made from it, as shares of the rows.
-SKETCH_ACCURACY, BRACKET = 10_000, 5e-4
-#: Rows up to which a group is taken whole.
-SMALL_GROUP = 20_000
+#: Rank error of Spark's quantile sketch as a share of the rows, points asked of it, and rows of an interval that one task takes whole.
+SKETCH_ACCURACY, POINTS, SMALL_GROUP = 10_000, 256, 20_000
+
+
+@dataclass
+class _Search:
+    """A rank (from 0) of one group's values, known to lie in an open interval of values (None: without end)."""
+
+    rank: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    sketch: list[float] | None = None
+    value: float | None = None
+
+    def candidates(self) -> tuple[float | None, float | None]:
+        """Two of the sketch's points around the rank; the interval's own ends if there is no sketch of it."""
+        if not self.sketch:
+            return self.low, self.high
+        at = (self.rank - self.below + 0.5) / self.inside
+        slack = 0.0 if self.inside <= POINTS // 2 else 2 / SKETCH_ACCURACY + 1 / self.inside
+        first = max(int((at - slack) * POINTS), 0) if slack else round(at * POINTS)
+        last = min(int((at + slack) * POINTS) + 1, POINTS) if slack else first
+        return self.sketch[first], self.sketch[last]
+
+    def learn(self, a: float | None, b: float | None, before: int, at_a: int, between: int, at_b: int, sketch: list[float] | None) -> None:
+        """Narrows the interval by the counts of its values before, at, between and at the candidates."""
+        place = self.rank - self.below
+        if not self.sketch:
+            self.sketch = sketch
+        elif place < before:
+            self.high, self.inside, self.sketch = a, before, None
+        elif place < before + at_a:
+            self.value = a
+        elif place < before + at_a + between:
+            self.low, self.high, self.below, self.inside, self.sketch = a, b, self.below + before + at_a, between, sketch
+        elif place < before + at_a + between + at_b:
+            self.value = b
+        else:
+            passed = before + at_a + between + at_b
+            self.low, self.below, self.inside, self.sketch = b, self.below + passed, self.inside - passed, None
 
 
 def whole_quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``by, q``: exact interpolated quantiles of whole columns, however many rows a group has.
 
-    :func:`quantiles` holds all values of a group in one task; here none does.  A
-    sketch of fixed size brackets each quantile by two values, and one count gives
-    the rows between brackets as a number and those inside one by value: a
-    thousandth of the rows a quantile, whose ranks are then exact.  Groups of up to
-    ``SMALL_GROUP`` rows are one bracket.  A bracket that missed its ranks would fail
-    the job.  For few groups, such as the columns of a table: their brackets are
-    broadcast.  Groups without values have null quantiles.
+    :func:`quantiles` holds all values of a group in one task; here none does, and
+    nothing is sorted or ranked by a window.  Each pass is one aggregate of fixed
+    size: it counts the values around two candidates of each wanted rank and
+    sketches those between them, which narrows the interval some hundredfold; an
+    interval of at most ``SMALL_GROUP`` values is sorted whole.  Counts alone
+    decide, so a sketch that misses costs a pass, never the result.  Passes run
+    when this is called: two for small columns, three up to some 10^6 values, four
+    up to 10^8.  ``df`` is read by each, and the driver keeps a few numbers a group
+    and rank: use it for few groups, such as the columns of a table.  Groups
+    without values have a null ``q``, a whole column without values an array of nulls;
+    null keys are a group.
     """
-    at = [float(a) for a in at]
-    shares = [x for a in at for x in (max(a - BRACKET, 0.0), min(a + BRACKET, 1.0))]
-    sketch = F.percentile_approx(column, shares, SKETCH_ACCURACY)
-    stats = df.groupBy(*by).agg(F.count(column).alias("__n"), F.min(column).alias("__lo"), F.max(column).alias("__hi"), sketch.alias("__b"))
-    small = F.col("__n") <= SMALL_GROUP
-    for i in range(len(at)):
-        stats = stats.withColumn(f"__lo{i}", F.when(small, F.col("__lo")).otherwise(F.get("__b", F.lit(2 * i))))
-        stats = stats.withColumn(f"__hi{i}", F.when(small, F.col("__hi")).otherwise(F.get("__b", F.lit(2 * i + 1))))
-    stats = stats.drop("__lo", "__hi", "__b")
-    x = F.col(column)
-    values = df.select(*by, x).where(x.isNotNull())
-    near = values.join(F.broadcast(stats), list(by)) if by else values.crossJoin(F.broadcast(stats))
-    inside = reduce(lambda a, b: a | b, [x.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in range(len(at))])
-    region = sum(((x > F.col(f"__hi{i}")).cast("int") for i in range(len(at))), F.lit(0))
-    entries = near.groupBy(*by, region.alias("__r"), F.when(inside, x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"), F.max(x).alias("__top"), F.max("__n").alias("__n"))
-    entries = entries.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*by).orderBy("__top").rowsBetween(Window.unboundedPreceding, 0)))
-
-    def ranked(rank: Column) -> Column:
-        """The value of a rank from 0, and whether a bracket held it."""
-        return F.min(F.when(F.col("__cum") > rank, F.struct("__top", F.col("__x").isNotNull().alias("ok"))))
-
-    places = [(F.col("__n") - 1) * F.lit(a) for a in at]
-    found = entries.groupBy(*by).agg(*[ranked(f(p)).alias(f"__{n}{i}") for i, p in enumerate(places) for n, f in (("f", F.floor), ("c", F.ceil))], F.max("__n").alias("__n"))
-    missed = reduce(lambda a, b: a | b, [~F.col(f"__{n}{i}.ok") for i in range(len(at)) for n in "fc"])
-    between = [F.when(F.ceil(p) == F.floor(p), F.col(f"__f{i}.__top")).otherwise((F.ceil(p) - p) * F.col(f"__f{i}.__top") + (p - F.floor(p)) * F.col(f"__c{i}.__top")) for i, p in enumerate(places)]
-    q = F.when(missed, F.raise_error(F.lit(f"a bracket of {column} missed its quantile"))).otherwise(F.array(*between))
-    found = F.broadcast(found.select(*by, q.alias("q")))
-    groups = stats.select(*by, F.col("__n").isNotNull().alias("__all"))
-    return groups.join(found, list(by) if by else F.lit(True), "left").select(*by, "q")
+    at, by = [float(a) for a in at], list(by)
+    spark, x = df.sparkSession, F.col(column)
+    values = df.select(*by, x)
+    shares = [i / POINTS for i in range(POINTS + 1)]
+    first = values.groupBy(*by).agg(F.count(x).alias("__n"), F.percentile_approx(x, shares, SKETCH_ACCURACY).alias("__s")).collect()
+    found: dict[tuple, dict[int, _Search]] = {}
+    sizes = {tuple(r[c] for c in by): r["__n"] for r in first}
+    for r in first:
+        n = r["__n"]
+        ranks = {f((n - 1) * a) for a in at for f in (math.floor, math.ceil)} if n else set()
+        found[tuple(r[c] for c in by)] = {k: _Search(k, inside=n, sketch=r["__s"]) for k in ranks}
+    keys = df.select(*by).schema.fields
+    while open_ := {g: [s for s in found[g].values() if s.value is None] for g in found if any(s.value is None for s in found[g].values())}:
+        width = max(len(s) for s in open_.values())
+        bounds = [T.StructField(f"{n}{i}", t) for i in range(width) for n, t in (("__lo", T.DoubleType()), ("__hi", T.DoubleType()), ("__a", T.DoubleType()), ("__b", T.DoubleType()), ("__whole", T.BooleanType()))]
+        lines, asked = [], {}
+        for g, searches in open_.items():
+            asked[g] = [(s, *s.candidates(), s.inside <= SMALL_GROUP) for s in searches]
+            cells = [c for s, a, b, whole in asked[g] for c in (s.low, s.high, a, b, whole)]
+            lines.append((*g, *cells, *[None] * (len(bounds) - len(cells))))
+        table = F.broadcast(spark.createDataFrame(lines, T.StructType([*[T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(keys)], *bounds])))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True))
+        near = values.join(table, same) if by else values.crossJoin(table)
+        wanted = []
+        for i in range(width):
+            lo, hi, a, b, whole = (F.col(f"{n}{i}") for n in ("__lo", "__hi", "__a", "__b", "__whole"))
+            inside = x.isNotNull() & whole.isNotNull() & F.coalesce(x > lo, F.lit(True)) & F.coalesce(x < hi, F.lit(True))
+            after_a, before_b = F.coalesce(x > a, F.lit(True)), F.coalesce(x < b, F.lit(True))
+            rest = inside & ~whole
+            wanted += [
+                F.count_if(rest & ~after_a & (x != a)).alias(f"before{i}"), F.count_if(rest & (x == a)).alias(f"at_a{i}"),
+                F.count_if(rest & after_a & before_b).alias(f"between{i}"), F.count_if(rest & (x == b) & (a != b)).alias(f"at_b{i}"),
+                F.percentile_approx(F.when(rest & after_a & before_b, x), shares, SKETCH_ACCURACY).alias(f"sketch{i}"),
+                F.sort_array(F.collect_list(F.when(inside & whole, x))).alias(f"values{i}"),
+            ]
+        for r in near.groupBy(*by).agg(*wanted).collect():
+            for i, (s, a, b, whole) in enumerate(asked[tuple(r[c] for c in by)]):
+                if whole:
+                    s.value = r[f"values{i}"][s.rank - s.below]
+                else:
+                    s.learn(a, b, r[f"before{i}"], r[f"at_a{i}"], r[f"between{i}"], r[f"at_b{i}"], r[f"sketch{i}"])
+    none = None if by else [None] * len(at)
+    lines = [(*g, _interpolated(found[g], at, n) if n else none) for g, n in sizes.items()]
+    schema = T.StructType([*keys, T.StructField("q", T.ArrayType(T.DoubleType()))])
+    return spark.createDataFrame(lines, schema)
+
+
+def _interpolated(searches: dict[int, _Search], at: Sequence[float], n: int) -> list[float]:
+    places = [(n - 1) * a for a in at]
+    pairs = [(p, searches[math.floor(p)].value, searches[math.ceil(p)].value) for p in places]
+    return [low if high == low else (math.ceil(p) - p) * low + (p - math.floor(p)) * high for p, low, high in pairs]
 
 
 def _cut(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -99,13 +165,22 @@ def to_wide(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Da
 def impute_median(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
     """Month median, then the median of the column so filled, then 0.
 
-    The column filled by months is written once; two passes find its median.
+    Only columns with a cross-section that has no value at all need the second
+    median.  A count finds them when this is called; what months fill of them is
+    written for the passes of :func:`whole_quantiles` and deleted after those.
     """
     group = [*by, "feature"]
     month = long.groupBy(*group).agg(F.percentile("x", F.lit(0.5)).alias("__m"))
-    filled = written(long.join(month, group).withColumn("x", F.coalesce("x", "__m")).drop("__m"), "filled")
-    whole = whole_quantiles(filled, "x", [0.5], ["feature"]).select("feature", F.get("q", F.lit(0)).alias("__g"))
-    return filled.join(F.broadcast(whole), "feature").withColumn("x", F.coalesce("x", "__g", F.lit(0.0))).drop("__g")
+    filled = long.join(month, group).withColumn("x", F.coalesce("x", "__m")).drop("__m")
+    lacking = [r[0] for r in long.groupBy(*group).agg(F.count("x").alias("n")).where("n = 0").select("feature").distinct().collect()]
+    if not lacking:
+        return filled
+    place = new_place(long.sparkSession, "filled")
+    filled.where(F.col("feature").isin(lacking)).select("feature", "x").write.parquet(place)
+    whole = whole_quantiles(long.sparkSession.read.schema(long.select("feature", "x").schema).parquet(place), "x", [0.5], ["feature"])
+    discard(long.sparkSession, place)
+    whole = whole.select("feature", F.get("q", F.lit(0)).alias("__g"))
+    return filled.join(F.broadcast(whole), "feature", "left").withColumn("x", F.coalesce("x", "__g", F.lit(0.0))).drop("__g")
 
 
 def winsorize(long: DataFrame, low: float = 0.01, high: float = 0.99, by: Sequence[str] = ("month",)) -> DataFrame:
@@ -140,8 +215,11 @@ def rank_transform(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame
 
 
 def normalise(df: DataFrame, keys: Sequence[str], features: Sequence[str], by: Sequence[str] = ("month",)) -> DataFrame:
-    """Imputation, clipping and ranks of all features; other columns are kept beside.  The rows are written once."""
-    df = written(df, "universe")
+    """Imputation, clipping and ranks of all features; other columns are kept beside.
+
+    The rows are read several times: where they are the end of a long plan, hand in
+    :func:`~panelspark.sources.scratch.written` rows and discard them after the result.
+    """
     long = rank_transform(winsorize(impute_median(to_long(df, keys, features), by), by=by), by)
     return df.drop(*features).join(to_wide(long, keys, features), list(keys))
 

@@ -891,6 +891,41 @@ def tc_net_returns(s, d):
     return _net(s, d).select("month", "ret", "net")
 
 
+_STACKED = "(SELECT entity, month, month_idx, ret, cap, 'a' AS model, pred_a AS prediction FROM ex UNION ALL SELECT entity, month, month_idx, ret, cap, 'b', pred_b FROM ex)"
+_WEIGHTED = f"SELECT d.*, model || '_' || weighting AS portfolio, CASE WHEN weighting = 'size' THEN cap ELSE 1.0 END AS weight FROM ({decile_sql(_STACKED, 'prediction', 'model, month')}) d, (VALUES ('equal'), ('size')) t(weighting)"
+_BY_LEGS = f"""
+SELECT portfolio, leg, month, month_idx, entity, weight / sum(weight) OVER (PARTITION BY portfolio, leg, month) AS w, ret AS r
+FROM (SELECT CASE WHEN decile = 10 THEN 'long' ELSE 'short' END AS leg, * FROM ({_WEIGHTED}) WHERE decile IN (1, 10) AND weight > 0)"""
+_BY_TURNS = f"""
+WITH w AS ({_BY_LEGS}), pos AS (SELECT *, row_number() OVER (PARTITION BY portfolio, leg ORDER BY month_idx) AS p FROM (SELECT DISTINCT portfolio, leg, month, month_idx FROM w)),
+ now AS (SELECT w.portfolio, w.leg, p, entity, w FROM w JOIN pos USING (portfolio, leg, month_idx)),
+ bef AS (SELECT w.portfolio, w.leg, p + 1 AS p, entity, w * (1 + r) / sum(w * (1 + r)) OVER (PARTITION BY w.portfolio, w.leg, w.month_idx) AS d FROM w JOIN pos USING (portfolio, leg, month_idx)),
+ turn AS (SELECT portfolio, leg, p, sum(abs(coalesce(w, 0) - coalesce(d, 0))) AS turnover FROM now FULL JOIN bef USING (portfolio, leg, p, entity) GROUP BY 1, 2, 3),
+ costs AS (SELECT portfolio, month, month_idx, sum(turnover) AS turnover FROM turn JOIN pos USING (portfolio, leg, p) GROUP BY 1, 2, 3),
+ gross AS (SELECT portfolio, month, sum(CASE WHEN leg = 'long' THEN w * r END) - sum(CASE WHEN leg = 'short' THEN w * r END) AS ret FROM w GROUP BY 1, 2),
+ late AS (SELECT * FROM costs c WHERE month_idx > (SELECT min(month_idx) FROM costs o WHERE o.portfolio = c.portfolio))
+SELECT portfolio, month, ret, turnover, ret - coalesce(turnover * 0.001 + 0.01 / 12, 0) AS net FROM gross LEFT JOIN late USING (portfolio, month) WHERE ret IS NOT NULL"""
+
+
+def _portfolios(s, d):
+    """Two models by two weightings, equal and by size, as four portfolios of one job."""
+    stacked = _panel(s, d).select("entity", "month", "month_idx", "ret", "cap", F.expr("stack(2, 'a', pred_a, 'b', pred_b) as (model, prediction)"))
+    ranked = P.with_decile(stacked, "prediction", by=["model", "month"])
+    return C.weightings(ranked, {"equal": None, "size": "cap"}).withColumn("portfolio", F.concat_ws("_", "model", "weighting"))
+
+
+@query("tc_portfolios", _BY_TURNS, "ret turnover net")
+def tc_portfolios(s, d):
+    """Gross and net returns and turnover of all portfolios in one job."""
+    return C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"]).select("portfolio", "month", "ret", "turnover", "net")
+
+
+@query("tc_portfolio_measures", measures_sql(f"(SELECT portfolio, month, net AS ret FROM ({_BY_TURNS}))"), MEASURES)
+def tc_portfolio_measures(s, d):
+    net = C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"])
+    return P.measures(net.select("portfolio", "month", F.col("net").alias("ret")))
+
+
 @query("tc_break_even_zero", "SELECT n, (g - 0.01 / 12) / q * 10000 AS zero_mean_bps FROM (SELECT count(*) AS n, avg(ret) AS g, avg(turnover) AS q FROM net WHERE turnover IS NOT NULL)", "zero_mean_bps", "l_suppkey")
 def tc_break_even_zero(s, d):
     return C.break_even(_net(s, d), 100).select("n", "zero_mean_bps")
@@ -1060,8 +1095,8 @@ def fa_comparison(s, d):
 def fa_net_alphas(s, d):
     """Factor alphas of gross and net returns, equal and size-weighted, and which lose their significance."""
     df, factors = _dec(s, d, "l_suppkey"), T.factors(_panel(s, d, "l_suppkey"))
-    parts = [C.long_short_with_costs(df, 10, 100, weight=w).select(F.lit(n).alias("portfolio"), "month", F.col("ret").alias("gross"), "net") for n, w in (("equal", None), ("weighted", "cap"))]
-    rows = reduce(DataFrame.unionByName, parts)
+    both = C.weightings(df, {"equal": None, "weighted": "cap"}, "portfolio")
+    rows = C.long_short_with_costs(both, 10, 100, weight="weight", by=["portfolio"]).select("portfolio", "month", F.col("ret").alias("gross"), "net")
     gross, net = (R.factor_alphas(rows.select("portfolio", "month", F.col(c).alias("ret")), factors) for c in ("gross", "net"))
     lost = R.lost_significance(gross, net).select("portfolio", "factor_model", F.lit(True).alias("lost"))
     both = gross.select("portfolio", "factor_model", F.col("alpha_annual").alias("gross_alpha"), F.col("t_alpha").alias("t_gross")).join(net.select("portfolio", "factor_model", F.col("alpha_annual").alias("net_alpha"), F.col("t_alpha").alias("t_net")), ["portfolio", "factor_model"])

@@ -62,13 +62,14 @@ def test_imputation_levels(spark):
     long = spark.createDataFrame([(1, "a", "f", 1.0), (2, "a", "f", None), (1, "b", "f", None), (1, "a", "g", None)], "entity int, month string, feature string, x double")
     got = {(r["entity"], r["month"], r["feature"]): r["x"] for r in X.impute_median(long).collect()}
     assert got == {(1, "a", "f"): 1.0, (2, "a", "f"): 1.0, (1, "b", "f"): 1.0, (1, "a", "g"): 0.0}
+    there = X.impute_median(long.where("month = 'a' and feature = 'f'"))
+    assert sorted((r["entity"], r["x"]) for r in there.collect()) == [(1, 1.0), (2, 1.0)]
 
 
 @pytest.mark.parametrize("small", [True, False])
 def test_whole_quantiles_are_exact(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr(X, "SMALL_GROUP", 0)
-        monkeypatch.setattr(X, "BRACKET", 0.02)
     random.seed(6)
     data = [("a", random.gauss(0, 1)) for _ in range(3001)] + [("b", float(random.randrange(4))) for _ in range(2000)] + [("c", None), ("a", None), ("d", 7.0), ("e", 1.0), ("e", 2.0)]
     df = spark.createDataFrame(data, "g string, x double")
@@ -81,13 +82,24 @@ def test_whole_quantiles_are_exact(spark, monkeypatch, small):
     assert rows(X.whole_quantiles(df.limit(0), "x", [0.5])) == [([None],)]
 
 
-def test_a_bracket_that_misses_fails_the_job(spark, monkeypatch):
+def test_sketches_that_miss_cost_passes_not_results(spark, monkeypatch):
     monkeypatch.setattr(X, "SMALL_GROUP", 0)
-    monkeypatch.setattr(X, "SKETCH_ACCURACY", 3)
-    monkeypatch.setattr(X, "BRACKET", 0.0)
-    df = spark.range(100000).select(F.col("id").cast("double").alias("x"))
-    with pytest.raises(Exception, match="missed its quantile"):
-        X.whole_quantiles(df, "x", [0.37]).collect()
+    monkeypatch.setattr(X, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(X, "POINTS", 16)
+    half = F.when(F.col("id") % 2 == 0, F.lit(500.0)).otherwise(F.col("id").cast("double"))  # one value holds half of all rows
+    df = spark.range(3000).select(half.alias("x"), F.when(F.col("id") < 3, F.lit(None)).otherwise(F.col("id") % 3).alias("g"))
+    data = [(r["g"], r["x"]) for r in df.collect()]
+    at = [0.0, 0.2, 0.37, 0.5, 0.999, 1.0]
+    got = {r["g"]: r["q"] for r in X.whole_quantiles(df, "x", at, ["g"]).collect()}
+    assert set(got) == {None, 0, 1, 2}
+    for g in got:
+        assert got[g] == pytest.approx(list(np.quantile([x for k, x in data if k == g], at)), abs=1e-9)
+
+
+def test_quantiles_of_columns_use_no_window(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("x"))
+    for out in (X.whole_quantiles(df, "x", [0.5]), I.profile(df, ["x"]), I.extremes(df, "x")):
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_size_groups_are_checked():
@@ -420,3 +432,47 @@ def test_out_of_bag_and_split_counts(spark):
     assert got["n_rows"] == 120 and got["n_scored"] == len(sums) < 120 and got["oob_r2"] == pytest.approx(want, abs=1e-9)
     weights = [r[0] for r in spark.range(20000).select(M.bag_weight(5, ["id"])).collect()]
     assert np.mean(weights) == pytest.approx(1, abs=0.03) and np.mean([w == 0 for w in weights]) == pytest.approx(math.exp(-1), abs=0.012)
+
+
+def _fails(df, match):
+    with pytest.raises(Exception, match=match):
+        df.collect()
+
+
+def test_empty_results_fail_when_read(spark):
+    df = spark.createDataFrame([(i, "200001", float(i), 0.1, 0.0) for i in range(12)], "entity int, month string, s double, y double, cap double")
+    _fails(P.long_only(df, "s", "y", 0.01), "fewer rows than a share")
+    _fails(P.long_only(df, "s", "y", 0.5, weight="cap"), "positive cap")
+    _fails(P.decile_returns(P.with_decile(df, "s"), "y", weight="cap"), "positive cap")
+    assert rows(P.long_only(df, "s", "y", 0.1)) == [("200001", 0.1)]
+    assert P.long_only(df, "s", "y", 0.01).columns == ["month", "ret"]  # nothing runs before
+
+
+def test_macro_coverage(spark):
+    macro = spark.createDataFrame([(m, 0.001) for m in (10, 11, 13)], "month_idx int, rf double")
+    late = spark.createDataFrame([(1, 20, 0.1)], "entity int, month_idx int, ret double")
+    _fails(H.restrict_to_macro(late, macro), "no return lies in the macro table's months")
+    some = spark.createDataFrame([(1, 9, 0.1), (1, 10, 0.1), (1, 20, 0.1)], "entity int, month_idx int, ret double")
+    assert rows(H.restrict_to_macro(some, macro)) == [(1, 10, 0.1)]
+    assert rows(H.coverage(some, macro)) == [(3, 1, 1, 1)]
+    gap = spark.createDataFrame([(1, 10, 0.1), (1, 11, 0.1), (1, 13, 0.1)], "entity int, month_idx int, ret double")
+    _fails(H.forward_excess(gap, macro, 1), "no rate for month 12")
+
+
+@pytest.mark.parametrize("weight", [None, "cap"])
+def test_portfolios_of_one_job_equal_those_of_many(spark, weight):
+    random.seed(8)  # an entity's return is the same in all portfolios
+    data = [(m, e, f"{200000 + i}", i, random.random(), random.Random(100 * e + i).random() - 0.5, random.random()) for m in "ab" for i in range(1, 9) for e in range(30) if m == "a" or i > 2]
+    df = spark.createDataFrame(data, "model string, entity int, month string, month_idx int, s double, ret double, cap double")
+    jobs = {
+        "monthly": lambda d, by: P.monthly_rebalance(d, "s", "ret", weight=weight, by=by),
+        "cohorts": lambda d, by: P.cohorts(d, "s", "ret", 3, weight=weight, by=by),
+        "annual": lambda d, by: P.annual_rebalance(d, "s", "ret", 3, weight=weight, by=by),
+        "gaps": lambda d, by: P.construction_gaps(P.compare_constructions(d, "s", "ret", "cap", 0.2, by=by), within=by),
+        "costs": lambda d, by: C.long_short_with_costs(P.with_decile(d, "s", by=[*by, "month"]), 10, 100, weight=weight, by=by).drop("r"),
+    }
+    tidy = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+    for name, job in jobs.items():
+        together = job(df, ["model"])
+        alone = [job(df.where(F.col("model") == m).drop("model"), []).withColumn("model", F.lit(m)) for m in "ab"]
+        assert tidy(together) == tidy(alone[0].unionByName(alone[1]).select(*together.columns)), name
