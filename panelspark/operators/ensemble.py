@@ -165,6 +165,14 @@ def replay(long: DataFrame, weights: DataFrame, target: str = "y", n: int = 10)
     return r2_table(rows, ["method"]).join(measures(spread, ["method"]), "method", "left").join(fallback_counts(weights).select("method", "n_fallback"), "method")
 
 
+def components(long: DataFrame, target: str = "y", n: int = 10) -> DataFrame:
+    """What :func:`replay` tells of each rule, for the models themselves: R2 and measures of their long-short portfolios, to stand beside the rules."""
+    keys = ["model", "month"]
+    spread = long_short(decile_returns(with_decile(long, "prediction", n, by=keys), target, by=keys), n, by=keys)
+    own = r2_table(long, ["model"]).join(measures(spread, ["model"]), "model", "left")
+    return own.withColumnRenamed("model", "method").withColumn("n_fallback", F.lit(0).cast("long"))
+
+
 def mean_weights(weights: DataFrame) -> DataFrame:
     return weights.groupBy("method", "model").agg(F.avg("w").alias("mean_w"))
 

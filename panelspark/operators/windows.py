@@ -100,6 +100,13 @@ def r2_zero(y: str = "y", prediction: str = "prediction") -> Column:
     return 1 - F.try_divide(F.sum((F.col(y) - F.col(prediction)) ** 2), F.sum(F.col(y) ** 2))
 
 
+def block_table(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """R2 of each block side by side, and how far validation and test fall behind training and validation."""
+    blocks = ["train", "validation", "test"]
+    one = r2_table(rows, [*by, "block"]).groupBy(*by).pivot("block", blocks).agg(F.first("r2"))
+    return one.withColumn("gap_validation", F.col("train") - F.col("validation")).withColumn("gap_test", F.col("validation") - F.col("test"))
+
+
 def r2_table(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Pooled R2 of each group: sums first, then one ratio."""
     return rows.groupBy(*by).agg(r2_zero().alias("r2"), F.count(F.lit(1)).alias("n"))

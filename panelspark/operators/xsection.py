@@ -8,6 +8,7 @@ back: one shuffle of the rows, and a small table on the other side.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -34,97 +35,91 @@ class _Search:
     """A rank (from 0) of one group's values, known to lie in an open interval of values (None: without end)."""
 
     rank: int
+    inside: int
+    sketch: list[float] | None = None
     low: float | None = None
     high: float | None = None
     below: int = 0
-    inside: int = 0
-    sketch: list[float] | None = None
     value: float | None = None
 
-    def candidates(self) -> tuple[float | None, float | None]:
-        """Two of the sketch's points around the rank; the interval's own ends if there is no sketch of it."""
-        if not self.sketch:
-            return self.low, self.high
-        at = (self.rank - self.below + 0.5) / self.inside
-        slack = 0.0 if self.inside <= POINTS // 2 else 2 / SKETCH_ACCURACY + 1 / self.inside
-        first = max(int((at - slack) * POINTS), 0) if slack else round(at * POINTS)
-        last = min(int((at + slack) * POINTS) + 1, POINTS) if slack else first
-        return self.sketch[first], self.sketch[last]
-
-    def learn(self, a: float | None, b: float | None, before: int, at_a: int, between: int, at_b: int, sketch: list[float] | None) -> None:
-        """Narrows the interval by the counts of its values before, at, between and at the candidates."""
-        place = self.rank - self.below
-        if not self.sketch:
-            self.sketch = sketch
-        elif place < before:
-            self.high, self.inside, self.sketch = a, before, None
-        elif place < before + at_a:
-            self.value = a
-        elif place < before + at_a + between:
-            self.low, self.high, self.below, self.inside, self.sketch = a, b, self.below + before + at_a, between, sketch
-        elif place < before + at_a + between + at_b:
-            self.value = b
-        else:
-            passed = before + at_a + between + at_b
-            self.low, self.below, self.inside, self.sketch = b, self.below + passed, self.inside - passed, None
+    def cuts(self) -> list[float]:
+        """Where to cut the column next: the interval's ends, and two of its sketch's points around the rank."""
+        inner = []
+        if self.inside > SMALL_GROUP and self.sketch:
+            at, slack = (self.rank - self.below + 0.5) / self.inside, 2 / SKETCH_ACCURACY + 1 / self.inside
+            inner = [self.sketch[max(int((at - slack) * POINTS), 0)], self.sketch[min(int((at + slack) * POINTS) + 1, POINTS)]]
+        return [c for c in (self.low, *inner, self.high) if c is not None]
+
+    def expected(self) -> tuple[float | None, float | None]:
+        """The open interval between cuts that probably holds the rank."""
+        cuts = self.cuts()
+        ends = (self.low is not None) + (self.high is not None)
+        return (self.low, self.high) if len(cuts) == ends else (cuts[-3 if self.high is not None else -2], cuts[-2 if self.high is not None else -1])
 
 
 def whole_quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``by, q``: exact interpolated quantiles of whole columns, however many rows a group has.
 
     :func:`quantiles` holds all values of a group in one task; here none does, and
-    nothing is sorted or ranked by a window.  Each pass is one aggregate of fixed
-    size: it counts the values around two candidates of each wanted rank and
-    sketches those between them, which narrows the interval some hundredfold; an
-    interval of at most ``SMALL_GROUP`` values is sorted whole.  Counts alone
-    decide, so a sketch that misses costs a pass, never the result.  Passes run
-    when this is called: two for small columns, three up to some 10^6 values, four
-    up to 10^8.  ``df`` is read by each, and the driver keeps a few numbers a group
-    and rank: use it for few groups, such as the columns of a table.  Groups
+    nothing is sorted or ranked by a window.  Each pass cuts a column at a few of
+    its values and is one aggregate of fixed size: it counts the values at and
+    between the cuts, which tells the piece that holds a wanted rank, and sketches
+    the pieces where ranks are expected, which gives the next cuts some hundred
+    times closer; a piece of at most ``SMALL_GROUP`` values is sorted whole.  Counts
+    alone decide, so a sketch that misses costs a pass, never the result.  Passes
+    run when this is called: two for small columns, three up to some 10^6 values,
+    four up to 10^8.  ``df`` is read by each, and the driver keeps a few numbers a
+    group and rank: use it for few groups, such as the columns of a table.  Groups
     without values have a null ``q``, a whole column without values an array of nulls;
     null keys are a group.
     """
     at, by = [float(a) for a in at], list(by)
     spark, x = df.sparkSession, F.col(column)
-    values = df.select(*by, x)
+    values = df.select(*by, x.cast("double").alias(column))
     shares = [i / POINTS for i in range(POINTS + 1)]
-    first = values.groupBy(*by).agg(F.count(x).alias("__n"), F.percentile_approx(x, shares, SKETCH_ACCURACY).alias("__s")).collect()
-    found: dict[tuple, dict[int, _Search]] = {}
+    sketch = lambda c: F.percentile_approx(c, shares, SKETCH_ACCURACY)
+    first = values.groupBy(*by).agg(F.count(x).alias("__n"), sketch(x).alias("__s")).collect()
     sizes = {tuple(r[c] for c in by): r["__n"] for r in first}
+    found: dict[tuple, dict[int, _Search]] = {}
     for r in first:
         n = r["__n"]
         ranks = {f((n - 1) * a) for a in at for f in (math.floor, math.ceil)} if n else set()
-        found[tuple(r[c] for c in by)] = {k: _Search(k, inside=n, sketch=r["__s"]) for k in ranks}
+        found[tuple(r[c] for c in by)] = {k: _Search(k, n, r["__s"]) for k in ranks}
     keys = df.select(*by).schema.fields
-    while open_ := {g: [s for s in found[g].values() if s.value is None] for g in found if any(s.value is None for s in found[g].values())}:
-        width = max(len(s) for s in open_.values())
-        bounds = [T.StructField(f"{n}{i}", t) for i in range(width) for n, t in (("__lo", T.DoubleType()), ("__hi", T.DoubleType()), ("__a", T.DoubleType()), ("__b", T.DoubleType()), ("__whole", T.BooleanType()))]
-        lines, asked = [], {}
-        for g, searches in open_.items():
-            asked[g] = [(s, *s.candidates(), s.inside <= SMALL_GROUP) for s in searches]
-            cells = [c for s, a, b, whole in asked[g] for c in (s.low, s.high, a, b, whole)]
-            lines.append((*g, *cells, *[None] * (len(bounds) - len(cells))))
-        table = F.broadcast(spark.createDataFrame(lines, T.StructType([*[T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(keys)], *bounds])))
+    while todo := {g: some for g in found if (some := [s for s in found[g].values() if s.value is None])}:
+        cuts = {g: sorted({c for s in some for c in s.cuts()}) for g, some in todo.items()}
+        # piece 2j lies between cuts j and j + 1, piece 2j - 1 is the values equal to cut j (from 1)
+        piece = {g: lambda low, c=c: 2 * (c.index(low) + 1) if low is not None else 0 for g, c in cuts.items()}
+        modes = {g: [0] * (2 * len(c) + 1) for g, c in cuts.items()}
+        for g, some in todo.items():
+            for s in some:
+                modes[g][piece[g](s.expected()[0])] = 2 if s.inside <= SMALL_GROUP else 1
+        width = max(len(c) for c in cuts.values())
+        schema = T.StructType([*[T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(keys)], T.StructField("__mode", T.ArrayType(T.IntegerType())), *[T.StructField(f"__c{i}", T.DoubleType()) for i in range(width)]])
+        table = F.broadcast(spark.createDataFrame([(*g, modes[g], *c, *[None] * (width - len(c))) for g, c in cuts.items()], schema))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True))
-        near = values.join(table, same) if by else values.crossJoin(table)
-        wanted = []
-        for i in range(width):
-            lo, hi, a, b, whole = (F.col(f"{n}{i}") for n in ("__lo", "__hi", "__a", "__b", "__whole"))
-            inside = x.isNotNull() & whole.isNotNull() & F.coalesce(x > lo, F.lit(True)) & F.coalesce(x < hi, F.lit(True))
-            after_a, before_b = F.coalesce(x > a, F.lit(True)), F.coalesce(x < b, F.lit(True))
-            rest = inside & ~whole
-            wanted += [
-                F.count_if(rest & ~after_a & (x != a)).alias(f"before{i}"), F.count_if(rest & (x == a)).alias(f"at_a{i}"),
-                F.count_if(rest & after_a & before_b).alias(f"between{i}"), F.count_if(rest & (x == b) & (a != b)).alias(f"at_b{i}"),
-                F.percentile_approx(F.when(rest & after_a & before_b, x), shares, SKETCH_ACCURACY).alias(f"sketch{i}"),
-                F.sort_array(F.collect_list(F.when(inside & whole, x))).alias(f"values{i}"),
-            ]
-        for r in near.groupBy(*by).agg(*wanted).collect():
-            for i, (s, a, b, whole) in enumerate(asked[tuple(r[c] for c in by)]):
-                if whole:
-                    s.value = r[f"values{i}"][s.rank - s.below]
-                else:
-                    s.learn(a, b, r[f"before{i}"], r[f"at_a{i}"], r[f"between{i}"], r[f"at_b{i}"], r[f"sketch{i}"])
+        near = values.where(x.isNotNull())
+        near = near.join(table, same) if by else near.crossJoin(table)
+        passed = [F.coalesce(f(x, F.col(f"__c{i}")).cast("int"), F.lit(0)) for i in range(width) for f in (operator.gt, operator.ge)]
+        near = near.withColumn("__piece", sum(passed, F.lit(0))).withColumn("__mode", F.get("__mode", "__piece"))
+        counted = near.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("n"), sketch(F.when(F.col("__mode") == 1, x)).alias("points"), F.sort_array(F.collect_list(F.when(F.col("__mode") == 2, x))).alias("all"))
+        pieces: dict[tuple, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: r["__piece"]):
+            pieces.setdefault(tuple(r[c] for c in by), []).append(r)
+        for g, some in todo.items():
+            below = 0
+            for r in pieces[g]:
+                j, n = divmod(r["__piece"], 2)[0], r["n"]
+                for s in some:
+                    if below <= s.rank < below + n:
+                        if r["__piece"] % 2:
+                            s.value = cuts[g][j]
+                        elif r["all"]:
+                            s.value = r["all"][s.rank - below]
+                        else:
+                            s.low, s.high = cuts[g][j - 1] if j else None, cuts[g][j] if j < len(cuts[g]) else None
+                            s.below, s.inside, s.sketch = below, n, r["points"]
+                below += n
     none = None if by else [None] * len(at)
     lines = [(*g, _interpolated(found[g], at, n) if n else none) for g, n in sizes.items()]
     schema = T.StructType([*keys, T.StructField("q", T.ArrayType(T.DoubleType()))])

@@ -20,7 +20,7 @@ from panelspark.operators import xsection as X
 from panelspark.plans.registry import MEASURES, decile_sql, measures_sql, query
 from panelspark.sources import ingest as I
 from panelspark.sources import testpanel as T
-from panelspark.sources.scratch import new_place
+from panelspark.sources.scratch import new_place, written
 
 
 def _panel(spark: SparkSession, d: str, entity: str = "l_partkey") -> DataFrame:
@@ -181,7 +181,7 @@ def cln_extremes(s, d):
 
 @query("cln_profile", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS max FROM panel" for c in ("f1", "f2", "f3", "cap")), "mean std min q25 q50 q75 max")
 def cln_profile(s, d):
-    return I.profile(_panel(s, d), ["f1", "f2", "f3", "cap"])
+    return I.profile(written(_panel(s, d).select("f1", "f2", "f3", "cap"), "profiled"), ["f1", "f2", "f3", "cap"])
 
 
 @query("cln_duplicates", "SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, strftime(l_shipdate, '%Y%m'))", panel=None)
@@ -324,7 +324,7 @@ def xs_liquidity_filter(s, d):
 
 
 def _filled(s, d):
-    return X.impute_median(X.to_long(_universe(s, d), ["entity", "month"], ["f1", "f2", "f3"]))
+    return X.impute_median(X.to_long(written(_universe(s, d), "universe"), ["entity", "month"], ["f1", "f2", "f3"]))
 
 
 @query("xs_impute", "SELECT entity, month, feature, x FROM filled", "x")
@@ -344,7 +344,7 @@ def xs_rank_transform(s, d):
 
 @query("xs_normalise", "SELECT u.entity, u.month, u.cap AS cap_raw, max(CASE WHEN feature = 'f1' THEN x END) AS f1, max(CASE WHEN feature = 'f2' THEN x END) AS f2, max(CASE WHEN feature = 'f3' THEN x END) AS f3 FROM universe u JOIN ranked r ON u.entity = r.entity AND u.month = r.month GROUP BY 1, 2, 3", "cap_raw f1 f2 f3")
 def xs_normalise(s, d):
-    rows = _universe(s, d).withColumn("cap_raw", F.col("cap"))
+    rows = written(_universe(s, d).withColumn("cap_raw", F.col("cap")), "universe")
     return X.normalise(rows, ["entity", "month"], ["f1", "f2", "f3"]).select("entity", "month", "cap_raw", "f1", "f2", "f3")
 
 
@@ -709,6 +709,16 @@ def pf_best_group(s, d):
     return P.best_by(ic.groupBy("model", "size_group").agg(F.avg("ic").alias("ic")), "model", "size_group", ["ic"])
 
 
+_GROUPED = "(SELECT p.*, size_group FROM preds p JOIN (SELECT entity, month, size_group FROM grouped) g ON p.entity = g.entity AND p.month = g.month)"
+_GROUP_LS = f"SELECT * FROM (SELECT model || '_' || size_group AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM ({decile_sql(_GROUPED, 'prediction', 'model, size_group, month')}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
+
+
+@query("pf_best_group_sharpe", f"SELECT substring(portfolio, 1, 1) AS model, arg_max(substring(portfolio, 3), sharpe ORDER BY portfolio) AS best_sharpe FROM ({measures_sql('(' + _GROUP_LS + ')')}) WHERE sharpe IS NOT NULL GROUP BY 1")
+def pf_best_group_sharpe(s, d):
+    table = P.evaluate_groups(X.size_group(_preds(s, d), X.TERCILES), "prediction", "y").where("size_group <> 'all' and sharpe is not null")
+    return P.best_by(table, "model", "size_group", ["sharpe"])
+
+
 _HZ = "SELECT 1 AS horizon, entity, month, pred_a, y AS target, y FROM ex UNION ALL SELECT 6, p.entity, p.month, p.pred_a, round(f.target, 9), p.y FROM ex p JOIN forward f ON p.entity = f.entity AND p.month_idx = f.month_idx WHERE f.target IS NOT NULL"
 _HZ_IC = f"SELECT horizon, avg(ic) AS ic_mean, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS ic_t, count(ic) AS n_months_ic FROM (SELECT horizon, month, CASE WHEN count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT horizon, month, rank() OVER (PARTITION BY horizon, month ORDER BY pred_a) + (count(*) OVER (PARTITION BY horizon, month, pred_a) - 1) / 2.0 AS a, rank() OVER (PARTITION BY horizon, month ORDER BY target) + (count(*) OVER (PARTITION BY horizon, month, target) - 1) / 2.0 AS b FROM ({_HZ})) GROUP BY 1, 2) GROUP BY 1"
 _HZ_LS = f"SELECT * FROM (SELECT CAST(horizon AS VARCHAR) AS portfolio, month, avg(CASE WHEN decile = 10 THEN y END) - avg(CASE WHEN decile = 1 THEN y END) AS ret FROM ({decile_sql('(' + _HZ + ')', 'pred_a', 'horizon, month')}) GROUP BY 1, 2) WHERE ret IS NOT NULL"
@@ -747,9 +757,19 @@ def pf_model_comparison(s, d):
     return r2.groupBy("model").pivot("block", ["train", "test"]).agg(F.first("r2")).withColumn("gap", F.col("train") - F.col("test"))
 
 
+@query("pf_model_blocks", "SELECT *, train - validation AS gap_validation, validation - test AS gap_test FROM (SELECT model, max(CASE WHEN block = 'train' THEN r2 END) AS train, max(CASE WHEN block = 'validation' THEN r2 END) AS validation, max(CASE WHEN block = 'test' THEN r2 END) AS test FROM (SELECT model, block, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2 FROM preds JOIN win USING (month) GROUP BY 1, 2) GROUP BY 1)", "train validation test gap_validation gap_test")
+def pf_model_blocks(s, d):
+    return W.block_table(W.assign(_preds(s, d), _win(s, d)), ["model"])
+
+
 # 2.8 combination
 
 
+@query("en_components", f"SELECT r.model AS method, r2, n, n_months, {', '.join(MEASURES.split())}, 0 AS n_fallback FROM (SELECT model, 1 - sum((y - prediction) ** 2) / sum(y ** 2) AS r2, count(*) AS n FROM preds GROUP BY 1) r LEFT JOIN ({measures_sql('(SELECT model AS portfolio, month, ret FROM mls)')}) m ON m.portfolio = r.model", f"r2 {MEASURES}")
+def en_components(s, d):
+    return E.components(_preds(s, d))
+
+
 @query("en_constant_weights", "SELECT 'equal' AS method, model, 0.5 AS w FROM (VALUES ('a'), ('b')) t(model) UNION ALL SELECT 'validation_r2', model, CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE 0.5 END FROM (SELECT model, greatest(1 - sum((y - prediction) ** 2) / sum(y ** 2), 0) AS r FROM preds GROUP BY 1)", "w")
 def en_constant_weights(s, d):
     scores = W.r2_table(_preds(s, d), ["model"]).select("model", F.col("r2").alias("validation_r2"))
