@@ -209,9 +209,17 @@ def cln_macro_fill(s, d):
 
 @query("cln_macro_predictors", "SELECT month, ln(n_entities) - ln(index_level) AS macro_dp, CASE WHEN month_idx % 5 <> 0 THEN ln(month_idx) - ln(index_level) END AS macro_ep, rf * 2 AS macro_bm, rf AS macro_ntis, rf AS macro_tbl, rf * 2 AS macro_tms, rf AS macro_dfy, rf * rf AS macro_svar FROM macro", "macro_dp macro_ep macro_bm macro_ntis macro_tbl macro_tms macro_dfy macro_svar")
 def cln_macro_predictors(s, d):
+    return I.macro_predictors(_raw_macro(s, d))
+
+
+@query("cln_log_inputs", "SELECT 'd12' AS feature, 0 AS n_missing, count(*) FILTER (n_entities <= 0) AS n_not_positive FROM macro UNION ALL SELECT 'e12', 0, count(*) FILTER (month_idx % 5 = 0) FROM macro UNION ALL SELECT 'index', count(*) FILTER (index_level IS NULL), count(*) FILTER (index_level <= 0) FROM macro")
+def cln_log_inputs(s, d):
+    return I.log_inputs(_raw_macro(s, d))
+
+
+def _raw_macro(s, d):
     m = T.macro(_panel(s, d))
-    raw = m.select("month", F.col("n_entities").cast("double").alias("d12"), F.when(F.col("month_idx") % 5 == 0, 0.0).otherwise(F.col("month_idx").cast("double")).alias("e12"), F.col("index_level").cast("double").alias("index"), (F.col("rf") * 2).alias("bm"), F.col("rf").alias("ntis"), F.col("rf").alias("tbl"), (F.col("rf") * 3).alias("lty"), (F.col("rf") * 2).alias("baa"), F.col("rf").alias("aaa"), (F.col("rf") * F.col("rf")).alias("svar"))
-    return I.macro_predictors(raw)
+    return m.select("month", F.col("n_entities").cast("double").alias("d12"), F.when(F.col("month_idx") % 5 == 0, 0.0).otherwise(F.col("month_idx").cast("double")).alias("e12"), F.col("index_level").cast("double").alias("index"), (F.col("rf") * 2).alias("bm"), F.col("rf").alias("ntis"), F.col("rf").alias("tbl"), (F.col("rf") * 3).alias("lty"), (F.col("rf") * 2).alias("baa"), F.col("rf").alias("aaa"), (F.col("rf") * F.col("rf")).alias("svar"))
 
 
 @query("cln_factors", "SELECT month, mktrf / 100 AS mktrf, smb / 100 AS smb, hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma, rf / 100 AS rf_french, mom / 100 AS mom FROM factors JOIN (SELECT month, rf FROM macro) USING (month)", "mktrf smb hml rmw cma rf_french mom", digits=11)

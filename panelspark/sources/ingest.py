@@ -139,6 +139,12 @@ def fill_over_time(df: DataFrame, order: str, columns: Sequence[str]) -> DataFra
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in columns})
 
 
+def log_inputs(df: DataFrame, columns: Sequence[str] = ("d12", "e12", "index")) -> DataFrame:
+    """``feature, n_missing, n_not_positive``: the rows of each column for which :func:`macro_predictors` has no logarithm."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "x")
+    return long.groupBy("feature").agg(F.count_if(F.col("x").isNull()).alias("n_missing"), F.count_if(F.col("x") <= 0).alias("n_not_positive"))
+
+
 def macro_predictors(df: DataFrame) -> DataFrame:
     """Valuation and rate predictors; a logarithm of what is not positive is null."""
     log = lambda c: F.when(F.col(c) > 0, F.ln(c))
