@@ -14,6 +14,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 #: Places of the tables of :func:`written` that are still there.
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Names of those that :func:`bucketed` put into the session's catalog.
+_NAMES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +49,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, in ``buckets`` parts by the hash of ``key``: grouping by it needs no exchange."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    _PLACES[out], _NAMES[out] = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that nothing will read again; other DataFrames are left alone."""
+    """Delete tables of :func:`written` or :func:`bucketed` that nothing will read again; other DataFrames are left alone."""
     for table in tables:
-        place = _PLACES.pop(table, None)
+        name, place = _NAMES.pop(table, None), _PLACES.pop(table, None)
+        if name is not None:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if place is not None:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

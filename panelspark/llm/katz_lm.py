@@ -53,13 +53,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm._shared import discard, text_or_empty, written
+from panelspark.llm._shared import bucketed, discard, text_or_empty, written
 
 #: Highest count that is discounted.
 GOOD_TURING = 5
 #: Bytes of text that a block is meant to have, and whose n-grams a partition of a count table is meant to take.
 #: Both bound a task's memory (some 60 bytes a byte); larger ones mean fewer messages, so they should grow with the executors.
 BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Partitions of the written blocks; more blocks than that share them, and a task deals with its own one after the other.
+MOST_PARTITIONS = 50_000
 #: Tokens that a row of a block is meant to have.
 PART_TOKENS = 100_000
 #: Occurrences of a context that one partition takes; a more frequent context is split.
@@ -205,7 +207,7 @@ def _by_count(total: np.ndarray) -> list[int]:
 BLOCK = "block long, part int, ids binary, no_id binary, held_out binary, lengths binary, codes binary, keys binary, n binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Blocks of (id, text, held out) rows: parts with whole texts, and a row of words with part -1."""
     words, got, size = WordHashes(), [], 0
     for batch in batches:
@@ -214,13 +216,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = 0
         while cut < len(texts):
             done = int(sizes[cut - 1]) if cut else 0
-            end = max(cut + 1, int(np.searchsorted(sizes, done + BLOCK_BYTES - size, "right")))
+            end = max(cut + 1, int(np.searchsorted(sizes, done + block_bytes - size, "right")))
             h, n = tokens(texts.slice(cut, end - cut).to_pylist(), words)
             some = ids.slice(cut, end - cut)
             got.append((some.fill_null(0).to_numpy(), some.is_null().to_numpy(zero_copy_only=False), held[cut:end].astype(bool), n, h))
             size += int(sizes[end - 1]) - done
             cut = end
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield _block_rows(got)
                 got, size = [], 0
     if got:
@@ -301,7 +303,7 @@ class _Asked:
         self.low = np.zeros(0, np.int64) if below.whole is None else below.count[below.gram[self.at[first]]]
         self.contexts, self.first = np.unique(context[self.known], return_index=True)
         self.place = np.searchsorted(self.contexts, context[self.known])
-        pieces = 1 + self.counts[self.contexts] // PIECE
+        pieces = 1 + self.counts[self.contexts] // block.piece
         self.begin = np.cumsum(pieces) - pieces
         of, piece = np.repeat(self.contexts, pieces), np.arange(pieces.sum()) - np.repeat(self.begin, pieces)
         entry = np.where(piece == 0, keys[of], _mix(keys[of] + piece.astype(np.uint64) * _M2))
@@ -335,11 +337,11 @@ MESSAGE_NAMES = [c.split()[0] for c in MESSAGE.split(", ")]
 class _Block:
     """A block with the replies it has so far."""
 
-    def __init__(self, parts: pd.DataFrame, replies: pd.DataFrame, one: Unigrams, numbers: Numbers, starts: int) -> None:
+    def __init__(self, parts: pd.DataFrame, replies: pd.DataFrame, one: Unigrams, numbers: Numbers, starts: int, piece: int) -> None:
         parts = parts.sort_values("part")
         words, rows = parts[parts["part"] < 0], parts[parts["part"] >= 0]
         join = lambda column, kind: np.concatenate([_unpack(x, kind) for x in rows[column]])
-        self.block, self.buckets, self.starts, self.one = int(words["block"].iat[0]), numbers.buckets, starts, one
+        self.block, self.buckets, self.starts, self.one, self.piece = int(words["block"].iat[0]), numbers.buckets, starts, one, piece
         self.keys = np.frombuffer(words["keys"].iat[0], "u8")
         self.ids, self.lengths, self.codes = join("ids", "i8"), join("lengths", "u4").astype(np.int64), join("codes", "u4").astype(np.int64)
         flags = lambda column: np.frombuffer(b"".join(rows[column]), bool)
@@ -443,26 +445,27 @@ def _add_grams(group: pd.DataFrame, value) -> pd.DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``held_out``: a condition over the input's columns; the model learns from the
     other rows.  Scores are log10 probabilities.  ``model_dir``: where to leave
-    the count tables, partitioned by order.
+    the count tables, partitioned by order.  ``block_bytes`` and ``piece``: see
+    :data:`BLOCK_BYTES` and :data:`PIECE`; results do not depend on them.
     """
     if order < 1:
         raise ValueError("order must be 1 at least")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("train")).first()
-    blocks, buckets, starts = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES)), max(8, -(-(size["bytes"] or 0) // BUCKET_BYTES)), size["train"]
-    table = f"katz_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_blocks, BLOCK).write.option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(table)
+    blocks, buckets, starts = max(1, -(-(size["bytes"] or 0) // block_bytes)), max(8, -(-(size["bytes"] or 0) // BUCKET_BYTES)), size["train"]
+    # Spark refuses a table of more buckets than this setting
+    partitions = min(blocks, MOST_PARTITIONS, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    parts = bucketed(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "katz_blocks", "block", partitions)
     try:
-        parts = spark.table(table)
-        scores, tables = _score(parts, order, buckets, starts)
+        scores, tables = _score(parts, order, buckets, starts, piece)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        discard(parts)
     if model_dir:
         stored = [t.where("block = -1").select(F.lit(k).alias("order"), "bucket", "counts", "entries", "followers", "numbers") for k, t in enumerate(tables, 1)]
         for t in stored:
@@ -471,7 +474,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, id_col: str = "do
     return scores
 
 
-def _score(parts: DataFrame, order: int, buckets: int, starts: int) -> tuple[DataFrame, list[DataFrame]]:
+def _score(parts: DataFrame, order: int, buckets: int, starts: int, piece: int) -> tuple[DataFrame, list[DataFrame]]:
     """The scores, written, and the count tables of all orders with the replies."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +500,7 @@ def _score(parts: DataFrame, order: int, buckets: int, starts: int) -> tuple[Dat
     factors: dict[int, np.ndarray] = {}
 
     def orders(pdf: pd.DataFrame, got: pd.DataFrame, most: int) -> tuple[_Block, _Order]:
-        block = _Block(pdf, got, one, numbers, starts)
+        block = _Block(pdf, got, one, numbers, starts, piece)
         at = block.words()
         for k in range(2, most + 1):
             at = block.above(_Asked(block, at), k, factors[k])

@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import byte_bpe, components, exact_dedup, katz_lm, license_scan, line_dedup, minhash, packing, quality_rules, sharding, url_filter
+from panelspark.llm._shared import bucketed, discard, shared_dir
 from panelspark.llm.pretokens import PATTERN
 from panelspark.llm.queries import URL_RULES, vocabulary
 
@@ -312,13 +314,31 @@ def test_licence_cues_skip_work_not_cases(corpus):
     assert all(any(w in scanner.cues for w in g.split(" ")) for g, u in zip(scanner.counter.vocabulary, used) if u)
 
 
+def test_katz_takes_more_blocks_than_spark_has_buckets(spark, corpus, monkeypatch):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scores = lambda: {r["doc_id"]: r["score"] for r in katz_lm.score_documents(corpus, held, 3, block_bytes=20_000).collect()}
+    want, setting = scores(), "spark.sql.sources.bucketing.maxBuckets"
+    known, made = spark.conf.get(setting), []
+    monkeypatch.setattr(katz_lm, "bucketed", lambda *args: made.append((args[3], bucketed(*args))) or made[-1][1])
+    monkeypatch.setattr(katz_lm, "discard", lambda *tables: None)
+    spark.conf.set(setting, "3")
+    try:
+        assert scores() == pytest.approx(want)
+    finally:
+        spark.conf.set(setting, known)
+    ((buckets, blocks),) = made
+    assert buckets == 3 and blocks.select("block").distinct().count() > 10
+    (name,) = (t.name for t in spark.catalog.listTables() if t.name.startswith("katz_blocks_"))
+    place = Path(shared_dir(spark).removeprefix("file:")) / name
+    assert place.exists()
+    discard(blocks)
+    assert not place.exists() and not spark.catalog.tableExists(name)
+
+
 @pytest.mark.parametrize("order", [2, 3])
-def test_katz_model(docs, corpus, empty, monkeypatch, order, tmp_path):
-    monkeypatch.setattr(katz_lm, "BLOCK_BYTES", 40_000)
-    monkeypatch.setattr(katz_lm, "PART_TOKENS", 1000)
-    monkeypatch.setattr(katz_lm, "PIECE", 50)
+def test_katz_model(docs, corpus, empty, order, tmp_path):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r["doc_id"]: r for r in katz_lm.score_documents(corpus, held, order, model_dir=str(tmp_path / "model")).collect()}
+    got = {r["doc_id"]: r for r in katz_lm.score_documents(corpus, held, order, model_dir=str(tmp_path / "model"), block_bytes=40_000, piece=50).collect()}
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     words = {r["doc_id"]: (r["text"] or "").encode().translate(lower).split() + [b""] for r in corpus.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
