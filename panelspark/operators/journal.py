@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.sources.ingest import append_new
+from panelspark.sources.ingest import append_batch, append_new
 
 #: Columns of the journal; horizon and target tell runs of a model apart.
 SCHEMA = T.StructType(
@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = SCHEMA, de
     from pyspark.errors import AnalysisException
 
     try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
+        df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     have = {c.lower() for c in df.columns}
@@ -66,8 +66,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = SCHEMA, de
 
 
 def append(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str] = ("key",), schema: T.StructType = SCHEMA) -> None:
-    """Appends the rows whose key the table has not."""
-    append_new(read_table(spark, path, schema), rows, keys).write.mode("append").parquet(path)
+    """Appends the rows whose key the table has not; of writers at the same time, one row a key comes in."""
+    append_batch(spark, path, lambda: append_new(read_table(spark, path, schema), rows, keys))
 
 
 def latest(history: DataFrame, key: str | Sequence[str] = "key", at: str = "logged_at") -> DataFrame:

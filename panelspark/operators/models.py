@@ -124,7 +124,7 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
             with ThreadPoolExecutor(threads) as pool:
                 done = list(pool.map(inheritable_thread_target(spark)(lambda p: _fit(spec, p, block, size)), some))  # noqa: B023
             for one in done:
-                tried.append((window, stage, str(one.params), one.trees, one.at_budget, one.at_depth, one.r2["train"], one.r2["validation"]))
+                tried.append((window, stage, str(one.params), {k: str(v) for k, v in one.params.items()}, one.trees, one.at_budget, one.at_depth, one.r2["train"], one.r2["validation"]))
                 if one.r2["validation"] is not None and (best is None or one.r2["validation"] > best.r2["validation"]):
                     best, best_stage = one, stage
         if best is None:
@@ -142,7 +142,7 @@ def train(spec: Spec, rows: DataFrame, features: Sequence[str], target: str, key
         pipeline = PipelineModel([assembler, model])
         own.unpersist()
     table = lambda r, s: spark.createDataFrame(r, s)
-    tried_df = table(tried, "window_id int, stage int, params string, best_trees int, at_budget boolean, at_depth boolean, r2_train double, r2_validation double")
+    tried_df = table(tried, "window_id int, stage int, params string, axes map<string,string>, best_trees int, at_budget boolean, at_depth boolean, r2_train double, r2_validation double")
     out = table(results, "window_id int, params string, stage int, best_trees int, n_train long, r2_train double, r2_validation double, r2_test double")
     chosen = tried_df.join(F.broadcast(out.select("window_id", "params", F.lit(True).alias("selected"))), ["window_id", "params"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("gap", F.col("r2_train") - F.col("r2_validation"))
     return Trained(predicted, chosen, out, table(weights, "window_id int, predictor string, coefficient double, splits long"), pipeline)
@@ -177,6 +177,15 @@ def grid_summary(tried: DataFrame) -> DataFrame:
     return one.withColumn("rank_validation", F.rank().over(Window.orderBy(F.desc("r2_validation")))).withColumn("rank_gap", F.rank().over(Window.orderBy("gap")))
 
 
+def axis_table(tried: DataFrame, row: str, column: str, values: Sequence, score: str = "r2_validation") -> DataFrame:
+    """Mean score over windows and all other parameters: a row for each value of ``row``, a column for each of ``values`` of
+    ``column``, and the row's rank by its best.  Parameter values are texts; combinations without either parameter do not count."""
+    from panelspark.operators.penalised import grid_by_two
+
+    both = tried.withColumns({a: F.try_element_at("axes", F.lit(a)) for a in (row, column)})
+    return grid_by_two(both.na.drop(subset=[row, column]), row, column, [str(v) for v in values], score)
+
+
 def search_diagnostics(tried: DataFrame, results: DataFrame) -> DataFrame:
     """Percent of windows that a later stage won, mean number of combinations a window, and percent of combinations
     whose best number of trees is all that were allowed, or whose trees reach the depth allowed (null without trees)."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,17 @@ def snk_append(s, d):
     return G.read_table(s, path).select("key", "model", "horizon", "n_windows")
 
 
+@query("snk_append_writers", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(1 AS BIGINT) AS n FROM orders", panel=None)
+def snk_append_writers(s, d):
+    """Two writers at the same time whose batches share keys, and one of them once more: a row a key."""
+    orders = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("model"), "o_orderkey")
+    path, batches = new_place(s, "journal"), [orders.where(f"o_orderkey % 3 <> {k}").select("key", "model") for k in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(inheritable_thread_target(s)(lambda rows: G.append(s, path, rows)), batches))
+    G.append(s, path, batches[0])
+    return G.read_table(s, path).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("snk_manifest", "SELECT feature, null_rate FROM (SELECT 'f1' AS feature, avg(CASE WHEN f1 IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'f2', avg(CASE WHEN f2 IS NULL THEN 1.0 ELSE 0 END) FROM panel UNION ALL SELECT 'f3', avg(CASE WHEN f3 IS NULL THEN 1.0 ELSE 0 END) FROM panel) WHERE null_rate <= 0.1", "null_rate")
 def snk_manifest(s, d):
     p, path = _panel(s, d), new_place(s, "manifest")
@@ -234,6 +247,29 @@ def cln_source_profile(s, d):
     return _panel(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.avg(F.col("f1").isNull().cast("double")).alias("null_f1"))
 
 
+def _sources(s, d):
+    p = _panel(s, d)
+    return {"prices": p.select("entity", "month", "ret", "cap"), "features": p.where("month_idx % 3 <> 0 and entity % 5 <> 0").select("entity", "month", "f1", "f2", "f3"), "macro": T.macro(p).select("month", "rf")}
+
+
+@query("cln_source_profiles", """SELECT 'prices' AS source, CAST(4 AS BIGINT) AS n_columns, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT month) AS n_months, min(month) AS first_month, max(month) AS last_month, (avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN cap IS NULL THEN 1.0 ELSE 0 END)) / 2 AS null_rate FROM panel
+ UNION ALL SELECT 'features', 5, count(*), count(DISTINCT entity), count(DISTINCT month), min(month), max(month), (avg(CASE WHEN f1 IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN f2 IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN f3 IS NULL THEN 1.0 ELSE 0 END)) / 3 FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0
+ UNION ALL SELECT 'macro', 2, count(*), NULL, count(DISTINCT month), min(month), max(month), avg(CASE WHEN rf IS NULL THEN 1.0 ELSE 0 END) FROM macro""", "null_rate")
+def cln_source_profiles(s, d):
+    return I.source_profiles(_sources(s, d))
+
+
+@query("cln_source_null_rates", "SELECT 'prices' AS source, 'entity' AS feature, avg(CASE WHEN entity IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'prices' AS source, 'month' AS feature, avg(CASE WHEN month IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'prices' AS source, 'ret' AS feature, avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'prices' AS source, 'cap' AS feature, avg(CASE WHEN cap IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel UNION ALL SELECT 'features' AS source, 'entity' AS feature, avg(CASE WHEN entity IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0 UNION ALL SELECT 'features' AS source, 'month' AS feature, avg(CASE WHEN month IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0 UNION ALL SELECT 'features' AS source, 'f1' AS feature, avg(CASE WHEN f1 IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0 UNION ALL SELECT 'features' AS source, 'f2' AS feature, avg(CASE WHEN f2 IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0 UNION ALL SELECT 'features' AS source, 'f3' AS feature, avg(CASE WHEN f3 IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM panel WHERE month_idx % 3 <> 0 AND entity % 5 <> 0 UNION ALL SELECT 'macro' AS source, 'month' AS feature, avg(CASE WHEN month IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM macro UNION ALL SELECT 'macro' AS source, 'rf' AS feature, avg(CASE WHEN rf IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM macro", "null_rate")
+def cln_source_null_rates(s, d):
+    return I.source_null_rates(_sources(s, d))
+
+
+@query("cln_source_overlap", """SELECT 'prices' AS "left", 'features' AS "right", count(DISTINCT entity) AS n_left, count(DISTINCT entity) FILTER (month_idx % 3 <> 0 AND entity % 5 <> 0) AS n_right, count(DISTINCT entity) FILTER (month_idx % 3 <> 0 AND entity % 5 <> 0) AS n_both FROM panel""")
+def cln_source_overlap(s, d):
+    sources = _sources(s, d)
+    return I.source_overlap({k: sources[k] for k in ("prices", "features")}, "entity")
+
+
 # 2.3 joins
 
 

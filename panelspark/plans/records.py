@@ -81,6 +81,13 @@ def ml_forest(s, d):
     return M.importance_table(M.train(spec, _rows(s, d), FEATURES, "y").weights)
 
 
+@query("ml_forest_by_two")
+def ml_forest_by_two(s, d):
+    """The forest's grid by depth and leaf size."""
+    spec = M.Spec("forest", M.forest, M.grid(depth=[2, 4], leaf=[1, 50], trees=[4]))
+    return M.axis_table(M.train(spec, _rows(s, d), FEATURES, "y").grid, "depth", "leaf", [1, 50])
+
+
 @query("ml_boosting")
 def ml_boosting(s, d):
     return M.train(M.Spec("boosting", M.boosting, M.grid(depth=[2], trees=[6])), _rows(s, d), FEATURES, "y").predictions

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions.keys import nan_to_null
 from panelspark.operators.xsection import whole_quantiles
+from panelspark.sources.scratch import discard
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,6 +76,37 @@ def append_new(existing: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> Da
     return fresh.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def append_batch(spark: SparkSession, path: str, make: Callable[[], DataFrame], attempts: int = 20) -> None:
+    """Adds the rows of ``make()``, which may read the table at ``path``, so that no other writer's come between.
+
+    A table is a folder of numbered batches.  Rows are written aside first; their
+    folder then takes the next number by a rename that fails where the number is
+    taken.  In that case another writer came first, and the rows are made anew from
+    what the table has by then.  Readers see whole batches only; a job that is lost
+    leaves the table as it was.  The file system must rename folders atomically, as
+    HDFS does.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(conf)
+    fs.mkdirs(root)
+    context = hadoop.FileContext.getFileContext(fs.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    for _ in range(attempts):
+        names = [x.getPath().getName() for x in fs.listStatus(root)]  # one an append
+        last = max((int(n.removeprefix("batch-")) for n in names if n.startswith("batch-")), default=0)
+        aside = f"{path}/_aside-{uuid.uuid4().hex}"
+        make().write.parquet(aside)
+        try:
+            context.rename(hadoop.Path(aside), hadoop.Path(f"{path}/batch-{last + 1:09d}"), options)
+            return
+        except Py4JJavaError as e:
+            discard(spark, aside)
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+    raise RuntimeError(f"other writers of {path} came first {attempts} times")
+
+
 def number(column: str | Column) -> Column:
     """Text to double; thousands commas go, what is no number becomes null."""
     c = F.col(column) if isinstance(column, str) else column
@@ -108,6 +142,42 @@ def select_by_null_rate(df: DataFrame, candidates: Sequence[str], most: float =
     return found.unionByName(more)
 
 
+def source_profiles(sources: Mapping[str, DataFrame], entity: str = "entity", month: str = "month") -> DataFrame:
+    """One row a source: rows, columns, entities (null where it has none), months, first and last month, and the mean
+    null rate of its other columns (null without rows or other columns)."""
+    out = None
+    for name, df in sources.items():
+        others = [c for c in df.columns if c not in (entity, month)]
+        rate = sum((F.avg(F.col(c).isNull().cast("double")) for c in others), F.lit(0.0)) / len(others) if others else F.lit(None).cast("double")
+        one = df.agg(
+            F.count(F.lit(1)).alias("n_rows"), (F.countDistinct(entity) if entity in df.columns else F.lit(None).cast("long")).alias("n_entities"),
+            F.countDistinct(month).alias("n_months"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), rate.alias("null_rate"),
+        ).select(F.lit(name).alias("source"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def source_null_rates(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """``source, feature, null_rate`` of every column of every source."""
+    out = None
+    for name, df in sources.items():
+        one = null_rates(df, df.columns).withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def source_overlap(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """``left, right, n_left, n_right, n_both``: distinct keys of every two sources, from one grouping of all sources' keys; null is no key."""
+    names, marked = list(sources), None
+    for i, name in enumerate(names):
+        one = sources[name].select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("bit", F.lit(1 << i).cast("long"))
+        marked = one if marked is None else marked.unionByName(one)
+    masks = marked.groupBy("key").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    n = lambda bits: F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(F.lit(bits).cast("long")) == bits, F.col("n"))), F.lit(0))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    return masks.agg(F.array(*[F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), n(1 << i).alias("n_left"), n(1 << j).alias("n_right"), n(1 << i | 1 << j).alias("n_both")) for i, j in pairs]).alias("x")).select(F.inline("x"))
+
+
 def sector_label(code: str = "sic2") -> Column:
     return F.coalesce(F.col(code).cast("int").cast("string"), F.lit("Inconnu"))
 

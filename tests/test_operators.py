@@ -476,3 +476,41 @@ def test_portfolios_of_one_job_equal_those_of_many(spark, weight):
         together = job(df, ["model"])
         alone = [job(df.where(F.col("model") == m).drop("model"), []).withColumn("model", F.lit(m)) for m in "ab"]
         assert tidy(together) == tidy(alone[0].unionByName(alone[1]).select(*together.columns)), name
+
+
+def test_two_writers_leave_one_row_a_key(spark, tmp_path, monkeypatch):
+    """The second writer commits between the first one's read and its commit."""
+    path, schema = str(tmp_path / "journal"), "key string, model string"
+    batch = lambda model, *ks: spark.createDataFrame([(k, model) for k in ks], schema)
+    real, calls = I.append_new, []
+
+    def slow(existing, fresh, on):
+        calls.append(len(calls))
+        out = spark.createDataFrame(real(existing, fresh, on).collect(), fresh.schema)
+        if len(calls) == 1:
+            G.append(spark, path, batch("second", "b", "c"))
+        return out
+
+    monkeypatch.setattr(G, "append_new", slow)
+    G.append(spark, path, batch("first", "a", "b"))
+    assert len(calls) == 3  # the first writer made its rows twice
+    assert sorted(rows(G.read_table(spark, path).select("key", "model"))) == [("a", "first"), ("b", "second"), ("c", "second")]
+    assert sorted(p.name for p in (tmp_path / "journal").iterdir()) == ["batch-000000001", "batch-000000002"]
+    with pytest.raises(RuntimeError, match="came first"):
+        I.append_batch(spark, path, lambda: (I.append_batch(spark, path, lambda: batch("x", "x")), batch("y", "y"))[1], attempts=2)
+
+
+def test_grid_by_two_parameters(spark):
+    data = [(w, d, leaf, w + 10 * d + leaf) for w in (1, 2) for d in (2, 4) for leaf in (1, 20)]
+    tried = spark.createDataFrame([(w, {"depth": str(d), "leaf": str(leaf)}, float(s)) for w, d, leaf, s in data] + [(1, {"depth": "4"}, 999.0)], "window_id int, axes map<string,string>, r2_validation double")
+    got = {r["depth"]: r.asDict() for r in M.axis_table(tried, "depth", "leaf", [1, 20]).collect()}
+    assert got["2"] == {"depth": "2", "leaf_1": 22.5, "leaf_20": 41.5, "rank": 2} and got["4"]["leaf_20"] == 61.5 and got["4"]["rank"] == 1
+
+
+def test_source_profiles_of_empty_and_null(spark):
+    some = spark.createDataFrame([(1, "200001", None), (None, "200002", 2.0)], "entity int, month string, x double")
+    sources = {"some": some, "none": some.limit(0), "months": some.select("month")}
+    got = {r["source"]: tuple(r)[1:] for r in I.source_profiles(sources).collect()}
+    assert got == {"some": (3, 2, 1, 2, "200001", "200002", 0.5), "none": (3, 0, 0, 0, None, None, None), "months": (1, 2, None, 2, "200001", "200002", None)}
+    assert rows(I.source_overlap({"some": some, "none": some.limit(0)}, "entity")) == [("some", "none", 1, 0, 0)]
+    assert rows(I.source_overlap({"a": some.limit(0), "b": some.limit(0)}, "entity")) == [("a", "b", 0, 0, 0)]

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = """cln_coercion cln_profile cln_macro_fill cln_start_filter cln_macro_predictors cln_log_inputs jn_lagged_macro jn_cohort_self_join xs_normalise xs_decile xs_size_groups hz_forward_excess hz_diagnosis
 wf_embargo wf_newey_west wf_window_ols wf_windows pf_measures pf_evaluate_groups pf_cohorts pf_rank_ic pf_best_group pf_p_values en_inverse_mse en_least_squares en_error_correlation
-tc_turnover tc_buffer tc_net_returns tc_portfolios tc_portfolio_measures xs_impute cln_extremes pf_describe_groups pf_constructions pf_annual pf_best_group_sharpe pf_model_blocks en_components fa_benchmark fa_one_factor fa_alphas fa_absorbed_alpha jr_experiment_key jr_model_tables snk_append_new
+tc_turnover tc_buffer tc_net_returns tc_portfolios tc_portfolio_measures xs_impute cln_extremes pf_describe_groups pf_constructions pf_annual pf_best_group_sharpe pf_model_blocks en_components fa_benchmark fa_one_factor fa_alphas fa_absorbed_alpha jr_experiment_key jr_model_tables snk_append_new snk_append snk_append_writers cln_source_profiles cln_source_null_rates cln_source_overlap
 ml_elastic_net_one ml_elastic_net_windows ml_elastic_net_coefficients ml_linear_one ml_model_sink""".split()
 
 
