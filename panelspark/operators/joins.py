@@ -50,7 +50,7 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def models_wide(long: DataFrame, keys: Sequence[str], models: Sequence[str], value: str = "prediction") -> DataFrame:
     """One prediction column a model, rows that all models have."""
-    wide = long.groupBy(*keys).pivot("model", list(models)).agg(F.first(value))
+    wide = long.groupBy(*keys).agg(*[F.first(F.when(F.col("model") == m, F.col(value)), ignorenulls=True).alias(m) for m in models])  # one aggregate, where a pivot takes two
     return wide.na.drop(subset=list(models))
 
 

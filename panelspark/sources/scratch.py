@@ -1,11 +1,16 @@
-"""Tables that a job writes once and reads several times."""
+"""Tables that a job writes once and reads several times, and shuffles whose tasks grow in number with the input."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of input files for each task of a shuffle.
+TASK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +38,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(df: DataFrame) -> int:
+    """Tasks for a shuffle of rows made from the files that ``df`` reads; the session's number where that is enough.
+
+    A fixed number of shuffle partitions makes a task's memory grow with the input.
+    """
+    least, files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.inputFiles()
+    if not files:
+        return least
+    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return max(least, math.ceil((size or 0) / TASK_BYTES))
+
+
+def spread(df: DataFrame, *columns: str, n: int | None = None) -> DataFrame:
+    """Rows of equal ``columns`` in one of ``n`` tasks (:func:`parts`); the rows as they are where the session's number is enough."""
+    n = n or parts(df)
+    return df.repartition(n, *columns) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def discard(spark: SparkSession, *places: str) -> None:
     """Deletes places of :func:`new_place` that nothing will read again."""
     for place in places:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.keys import month_index
+from panelspark.sources.scratch import spread
 
 
 def panel(spark: SparkSession, sf_dir: str, entity: str = "l_partkey") -> DataFrame:
     """One row per (entity, month); sums are integers, each feature one division."""
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    base = lines.groupBy(F.col(entity).cast("long").alias("entity"), F.date_format("l_shipdate", "yyyyMM").alias("month")).agg(
+    lines = lines.select(F.col(entity).cast("long").alias("entity"), F.date_format("l_shipdate", "yyyyMM").alias("month"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    base = spread(lines, "entity").groupBy("entity", "month").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty"), cents("l_extendedprice").alias("cents"), cents("l_discount").alias("disc"), cents("l_tax").alias("tax")
     )
     d = lambda c: F.expr(c).cast("double")
