@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions.keys import not_empty
-from panelspark.operators.xsection import average_rank, correlation, decile, top_fraction, whole_quantiles
+from panelspark.operators.xsection import average_ranks, correlation, deciles, group_quantiles, top_fraction
+from panelspark.sources.scratch import parts, spread, written
 
 
 def with_decile(df: DataFrame, signal: str, n: int = 10, by: Sequence[str] = ("month",), tie: str = "entity") -> DataFrame:
-    return df.withColumn("decile", decile(signal, n, by, tie))
+    return deciles(df, signal, n, by, tie)
 
 
 def decile_returns(df: DataFrame, target: str, by: Sequence[str] = ("month",), weight: str | None = None) -> DataFrame:
@@ -74,9 +75,13 @@ def cohort_positions(df: DataFrame, signal: str, monthly: str, horizon: int, n:
     formed = with_decile(df, signal, n, [*by, "month"]).where(F.col("decile").isNotNull())
     if deciles is not None:
         formed = formed.where(F.col("decile").isin(list(deciles)))
+    n_tasks = parts(df)
     formed = formed.select(*by, "entity", F.col("month_idx").alias("formation"), "decile", *more, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("age"))
-    formed = formed.withColumn("month_idx", F.col("formation") + F.col("age"))
-    return formed.join(df.select(*by, "entity", "month_idx", "month", monthly), [*by, "entity", "month_idx"])
+    keys = [*by, "entity", "month_idx"]
+    formed = spread(formed.withColumn("month_idx", F.col("formation") + F.col("age")), *keys, n=n_tasks)
+    # a plan's size does not know of the rows that explode makes: without a hint Spark may broadcast them
+    held = spread(df.select(*by, "entity", "month_idx", "month", monthly), *keys, n=n_tasks)
+    return formed.hint("merge").join(held, keys)
 
 
 def cohorts(df: DataFrame, signal: str, monthly: str, horizon: int, n: int = 10, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -146,6 +151,7 @@ def compare_horizons(parts: Mapping[int, DataFrame], signal: str, target: str, m
     for h, part in parts.items():
         part = part.select(F.lit(h).alias("horizon"), "entity", "month", signal, target, monthly)
         rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows, "horizons")
     ic = rank_ic_summary(rank_ic(rows, signal, target, by=["horizon", "month"]), ["horizon"]).select("horizon", "ic_mean", "ic_t", F.col("n_months").alias("n_months_ic"))
     spread = long_short(decile_returns(with_decile(rows, signal, n, by=["horizon", "month"]), monthly, by=["horizon", "month"]), n, by=["horizon", "month"])
     out = ic.join(measures(spread, ["horizon"]), "horizon", "left")
@@ -226,9 +232,9 @@ def measures(series: DataFrame, by: Sequence[str] = ("portfolio",), periods: int
 def rank_ic(df: DataFrame, signal: str, target: str, by: Sequence[str] = ("month",), least: int = 10) -> DataFrame:
     """Correlation of average ranks in each cross-section; null under ``least`` rows or without variance."""
     df = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
-    ranked = df.withColumn("__a", average_rank(signal, by)).withColumn("__b", average_rank(target, by))
+    ranked = average_ranks(df.select(*by, F.col(signal).alias("__a"), F.col(target).alias("__b")), ["__a", "__b"], by)
     ok = F.count(F.lit(1)) >= least
-    return ranked.groupBy(*by).agg(F.when(ok, correlation("__a", "__b")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*by).agg(F.when(ok, correlation("__a_rank", "__b_rank")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def rank_ic_summary(ic: DataFrame, by: Sequence[str] = (), periods: int = 12) -> DataFrame:
@@ -246,28 +252,39 @@ def evaluate_groups(df: DataFrame, signal: str, target: str, group: str = "size_
 
     ``by`` and ``group`` name a row; the universe is the group ``all``.
     """
-    both = df.where(F.col(group).isNotNull()).unionByName(df.withColumn(group, F.lit("all")))
     keys = [*by, group]
-    ranked = with_decile(both, signal, n, by=[*keys, "month"])
+    both = ranked = with_decile(df.where(F.col(group).isNotNull()).unionByName(df.withColumn(group, F.lit("all"))), signal, n, by=[*keys, "month"])
     spread = long_short(decile_returns(ranked, target, by=[*keys, "month"]), n, by=[*keys, "month"])
     perf = measures(spread, keys)
     ic = rank_ic_summary(rank_ic(both, signal, target, by=[*keys, "month"]), keys).select(*keys, "ic_mean", "ic_t")
-    fit = both.groupBy(*keys).agg((1 - F.try_divide(F.sum((F.col(target) - F.col(signal)) ** 2), F.sum(F.col(target) ** 2))).alias("r2"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months_available"))
+    fit = both.groupBy(*keys).agg((1 - F.try_divide(F.sum((F.col(target) - F.col(signal)) ** 2), F.sum(F.col(target) ** 2))).alias("r2"), F.count(F.lit(1)).alias("n_rows"))
+    for column, name in (("entity", "n_entities"), ("month", "n_months_available")):
+        fit = fit.join(_distinct(both, column, keys, name), keys)
     out = fit.join(perf, keys, "left").join(ic, keys, "left")
-    return out.withColumn("n_months_without", F.col("n_months_available") - F.coalesce("n_months", F.lit(0)))
+    out = out.withColumn("n_months_without", F.col("n_months_available") - F.coalesce("n_months", F.lit(0)))
+    return out.select(*keys, "r2", "n_rows", "n_entities", "n_months_available", *[c for c in out.columns if c not in {*keys, "r2", "n_rows", "n_entities", "n_months_available"}])
+
+
+def _distinct(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
+    """Distinct values of each group; two of them in one aggregate would multiply the rows."""
+    return spread(df.select(*by, column), *by, column).distinct().groupBy(*by).agg(F.count(column).alias(name))
 
 
 def describe_groups(df: DataFrame, group: str = "size_group", size: str = "cap") -> DataFrame:
-    df = df.where(F.col(group).isNotNull())
+    df = written(df.where(F.col(group).isNotNull()).select("entity", "month", group, size), "described")
     monthly = df.groupBy(group, "month").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.avg("n").alias("mean_per_month"), F.min("n").alias("min_per_month"), F.max("n").alias("max_per_month"))
     whole = df.agg(F.sum(size).alias("__all"))
-    one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("month").alias("n_months"), F.min(size).alias("size_min"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
-    out = one.crossJoin(F.broadcast(whole)).join(monthly, group).join(whole_quantiles(df, size, (0.25, 0.5, 0.75), [group]), group)
+    one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("size_min"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
+    one = one.join(_distinct(df, "entity", [group], "n_entities"), group).join(_distinct(df, "month", [group], "n_months"), group)
+    out = one.crossJoin(F.broadcast(whole)).join(monthly, group).join(group_quantiles(df, size, (0.25, 0.5, 0.75), [group]).withColumnRenamed("__q", "q"), group, "left")
     return out.select(group, "n_rows", "n_entities", "n_months", "mean_per_month", "min_per_month", "max_per_month", "size_min", F.get("q", F.lit(0)).alias("size_p25"), F.get("q", F.lit(1)).alias("size_median"), "size_mean", F.get("q", F.lit(2)).alias("size_p75"), "size_max", F.try_divide("__s", "__all").alias("share_of_total"))
 
 
 def group_bounds(df: DataFrame, group: str = "size_group", size: str = "cap") -> DataFrame:
-    return df.where(F.col(group).isNotNull()).groupBy("month", group).agg(F.min(size).alias("size_min"), F.percentile(size, F.lit(0.5)).alias("size_median"), F.max(size).alias("size_max"), F.count(F.lit(1)).alias("n"))
+    df = df.where(F.col(group).isNotNull())
+    one = df.groupBy("month", group).agg(F.min(size).alias("size_min"), F.max(size).alias("size_max"), F.count(F.lit(1)).alias("n"))
+    median = group_quantiles(df, size, [0.5], ["month", group]).select("month", group, F.get("__q", F.lit(0)).alias("size_median"))
+    return one.join(median, ["month", group], "left").select("month", group, "size_min", "size_median", "size_max", "n")
 
 
 def largest(df: DataFrame, size: str = "cap", n: int = 10) -> DataFrame:

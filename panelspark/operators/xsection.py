@@ -2,7 +2,9 @@
 
 Every function takes ``by``, the columns that make a cross-section, so that one
 job serves all models, groups or methods.  Statistics are aggregates joined
-back: one shuffle of the rows, and a small table on the other side.
+back: one shuffle of the rows, and a small table on the other side.  Ranks and
+quantiles come from one sort over many tasks, so that a cross-section may be
+larger than a task; the sorted rows are written, as their places need two reads.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.sources.scratch import discard, new_place
+from panelspark.sources.scratch import discard, new_place, parts, spread, written
 
 
 def quantiles(column: str, at: Sequence[float]) -> Column:
@@ -132,8 +134,87 @@ def _interpolated(searches: dict[int, _Search], at: Sequence[float], n: int) ->
     return [low if high == low else (math.ceil(p) - p) * low + (p - math.floor(p)) * high for p, low, high in pairs]
 
 
+def _in_order(df: DataFrame, columns: Sequence[Column | str]) -> DataFrame:
+    """Rows sorted over all tasks, with ``__at``: number of the task (from bit 33 on) and row of the task."""
+    n, usual = parts(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *columns) if n > usual else df.repartitionByRange(*columns)
+    return ranges.sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id())
+
+
+def _stretches(rows: DataFrame, by: Sequence[str], at: str = "__at", value: str | None = None) -> DataFrame:
+    """The part of a cross-section in each task: its first row, its rows, those in tasks before, and those in all; with ``value``, also values in all."""
+    some = F.count(F.lit(1) if value is None else F.col(value))
+    one = rows.groupBy(*by, F.shiftright(at, 33).alias("__task")).agg(F.count(F.lit(1)).alias("__rows"), F.min(at).alias("__first"), some.alias("__some"))
+    whole = Window.partitionBy(*by)
+    before = F.sum("__rows").over(whole.orderBy("__task")) - F.col("__rows")
+    return one.select(*by, "__task", "__rows", "__first", before.alias("__before"), F.sum("__rows").over(whole).alias("__all"), F.sum("__some").over(whole).alias("__values"))
+
+
+def _placed(rows: DataFrame, by: Sequence[str], at: str = "__at", value: str | None = None) -> DataFrame:
+    """``__place`` (from 0) of the row that ``at`` names in its cross-section, beside ``__all`` and ``__values``."""
+    stretches = _stretches(rows, by, at, value).drop("__rows").withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(by)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.shiftright(at, 33) == F.col("__task"))
+    placed = rows.join(F.broadcast(stretches), same).withColumn("__place", F.col(at) - F.col("__first") + F.col("__before"))
+    return placed.drop("__task", "__first", "__before", *[f"__k{i}" for i in range(len(by))])
+
+
+def average_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows with ``<column>_rank``: rank from 1 in the cross-section, ties at the mean of their places; nulls rank first.
+
+    As :func:`average_rank`, where a cross-section is more than a task should hold:
+    only rows of one value meet in one.
+    """
+    n = parts(df)
+    for c in columns:
+        # Spark normalises doubles that it groups by, which no shuffle by the column itself answers to; their hash does
+        ties = Window.partitionBy(*by, "__h", c)
+        hashed = F.xxhash64(F.when(F.col(c) == 0, F.lit(0)).otherwise(F.col(c)))
+        df = spread(_in_order(df, [*by, c]).withColumn("__h", hashed), *by, "__h", n=n).withColumn(f"__{c}_at", F.min("__at").over(ties)).withColumn(f"__{c}_ties", F.count(F.lit(1)).over(ties)).drop("__at", "__h")
+    rows = written(df, "ranked")
+    for c in columns:
+        rank = F.col("__place") + 1 + (F.col(f"__{c}_ties") - 1) / 2
+        rows = _placed(rows, by, f"__{c}_at").withColumn(f"{c}_rank", rank).drop("__place", "__all", "__values")
+    return rows.drop(*[f"__{c}_{s}" for c in columns for s in ("at", "ties")])
+
+
+def group_quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``by, __q``: exact interpolated quantiles of each cross-section that has a value, one sort for all of them.
+
+    As :func:`quantiles`, without all values of a cross-section in one task.  The
+    sort runs when this is called; its rows are deleted, and the result, a row a
+    cross-section, is written.
+    """
+    spark = df.sparkSession
+    values = df.select(*by, F.col(column).cast("double").alias("__x")).where("__x is not null")
+    place = new_place(spark, "sorted")
+    ordered = _in_order(values, [*by, "__x"])
+    ordered.write.parquet(place)
+    rows = spark.read.schema(ordered.schema).parquet(place)
+    stretches = _stretches(rows, by)
+    # as Spark's percentile: a whole place is that row's value, others lie between two rows
+    spot = lambda a: (F.col("__all") - 1) * F.lit(float(a))
+    ends = F.array(*[f(spot(a)).cast("long") for a in at for f in (F.floor, F.ceil)])
+    wanted = stretches.withColumn("__rank", F.explode(F.array_distinct(ends))).where("__rank >= __before and __rank < __before + __rows")
+    wanted = wanted.select("__all", "__rank", (F.col("__first") + F.col("__rank") - F.col("__before")).alias("__at"))
+    found = rows.join(F.broadcast(wanted), "__at").groupBy(*by, "__all").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__v"))
+
+    def between(a: float) -> Column:
+        low, high = F.floor(spot(a)).cast("long"), F.ceil(spot(a)).cast("long")
+        x, y = F.col("__v")[low], F.col("__v")[high]
+        return F.when(x == y, x).otherwise((high - spot(a)) * x + (spot(a) - low) * y)
+
+    out = written(found.select(*by, F.array(*[between(a) for a in at]).alias("__q")), "quantiles")
+    discard(spark, place)
+    return out
+
+
+def _with_quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str], of: DataFrame | None = None) -> DataFrame:
+    """Rows with ``__q``, the quantiles of their cross-section (in ``of``, if given); null where it has no value."""
+    return df.na.drop(subset=list(by)).join(F.broadcast(group_quantiles(df if of is None else of, column, at, by)), list(by), "left")
+
+
 def _cut(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str]) -> DataFrame:
-    return df.join(df.groupBy(*by).agg(quantiles(column, at).alias("__q")), list(by))
+    return _with_quantiles(df, column, at, by)
 
 
 def filter_small(df: DataFrame, size: str = "cap", at: float = 0.10, by: Sequence[str] = ("month",)) -> DataFrame:
@@ -165,8 +246,7 @@ def impute_median(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
     written for the passes of :func:`whole_quantiles` and deleted after those.
     """
     group = [*by, "feature"]
-    month = long.groupBy(*group).agg(F.percentile("x", F.lit(0.5)).alias("__m"))
-    filled = long.join(month, group).withColumn("x", F.coalesce("x", "__m")).drop("__m")
+    filled = _with_quantiles(long, "x", [0.5], group).withColumn("x", F.coalesce("x", F.get("__q", F.lit(0)))).drop("__q")
     lacking = [r[0] for r in long.groupBy(*group).agg(F.count("x").alias("n")).where("n = 0").select("feature").distinct().collect()]
     if not lacking:
         return filled
@@ -181,13 +261,12 @@ def impute_median(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
 def winsorize(long: DataFrame, low: float = 0.01, high: float = 0.99, by: Sequence[str] = ("month",)) -> DataFrame:
     """Clips to two quantiles of the cross-section; all-null ones stay as they are."""
     group = [*by, "feature"]
-    q = long.groupBy(*group).agg(quantiles("x", [low, high]).alias("__q"))
     clipped = F.when(F.col("x").isNotNull(), F.least(F.greatest("x", F.get("__q", F.lit(0))), F.get("__q", F.lit(1))))
-    return long.join(q, group).withColumn("x", clipped).drop("__q")
+    return _with_quantiles(long, "x", [low, high], group).withColumn("x", clipped).drop("__q")
 
 
 def average_rank(order: Column | str, by: Sequence[str], descending: bool = False) -> Column:
-    """Rank from 1, ties at the mean of their places."""
+    """Rank from 1, ties at the mean of their places; for cross-sections that one task holds, see :func:`average_ranks`."""
     c = F.col(order) if isinstance(order, str) else order
     w = Window.partitionBy(*by).orderBy(c.desc() if descending else c.asc())
     ties = Window.partitionBy(*by, c)
@@ -203,10 +282,10 @@ def correlation(a: str, b: str) -> Column:
 def rank_transform(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
     """Average ranks mapped to [-1, 1]; 0 where at most one value is."""
     group = [*by, "feature"]
-    n = F.count("x").over(Window.partitionBy(*group))
-    ranked = long.where("x is not null").withColumn("__r", average_rank("x", group)).withColumn("__n", n)
-    scaled = F.when(F.col("__n") <= 1, F.lit(0.0)).otherwise(2 * (F.col("__r") - 1) / (F.col("__n") - 1) - 1)
-    return ranked.withColumn("x", scaled).drop("__r", "__n")
+    ranked = average_ranks(long.where("x is not null"), ["x"], group)
+    n = F.broadcast(ranked.groupBy(*group).agg(F.count("x").alias("__n")))
+    scaled = F.when(F.col("__n") <= 1, F.lit(0.0)).otherwise(2 * (F.col("x_rank") - 1) / (F.col("__n") - 1) - 1)
+    return ranked.join(n, group).withColumn("x", scaled).drop("x_rank", "__n")
 
 
 def normalise(df: DataFrame, keys: Sequence[str], features: Sequence[str], by: Sequence[str] = ("month",)) -> DataFrame:
@@ -216,28 +295,40 @@ def normalise(df: DataFrame, keys: Sequence[str], features: Sequence[str], by: S
     :func:`~panelspark.sources.scratch.written` rows and discard them after the result.
     """
     long = rank_transform(winsorize(impute_median(to_long(df, keys, features), by), by=by), by)
-    return df.drop(*features).join(to_wide(long, keys, features), list(keys))
+    n = parts(df)
+    return spread(df.drop(*features), *keys, n=n).join(to_wide(spread(long, *keys, n=n), keys, features).hint("merge"), list(keys))
 
 
 def decile(signal: str, n: int = 10, by: Sequence[str] = ("month",), tie: str = "entity") -> Column:
     """1 to ``n`` by equal-width cut of the ranks; null under ``n`` signals.
 
     Ties go by ``tie``.  Rank r of N rows falls into group
-    ``max(1, ceil((r - 1) n / (N - 1)))``, in whole numbers.
+    ``max(1, ceil((r - 1) n / (N - 1)))``, in whole numbers.  One task holds a
+    cross-section; :func:`deciles` gives the same for larger ones.
     """
     w = Window.partitionBy(*by, F.col(signal).isNull())
     r = F.row_number().over(w.orderBy(signal, tie))
     size = F.count(signal).over(w)
+    return _decile_of(signal, r, size, n)
+
+
+def _decile_of(signal: str, r: Column, size: Column, n: int) -> Column:
     place = F.greatest(F.lit(1), F.floor(((r - 1) * n + size - 2) / F.greatest(size - 1, F.lit(1))))
     return F.when(F.col(signal).isNotNull() & (size >= n), place.cast("int"))
 
 
+def deciles(df: DataFrame, signal: str, n: int = 10, by: Sequence[str] = ("month",), tie: str = "entity", name: str = "decile") -> DataFrame:
+    """Rows with :func:`decile` of their signal, from a sort over many tasks; the sorted rows are written when this is called."""
+    rows = _placed(written(_in_order(df, [*by, signal, tie]), "deciles"), by, value=signal)
+    r = F.col("__place") + 1 - (F.col("__all") - F.col("__values"))  # nulls come first
+    return rows.withColumn(name, _decile_of(signal, r, F.col("__values"), n)).drop("__at", "__place", "__all", "__values")
+
+
 def top_fraction(df: DataFrame, signal: str, target: str, share: float, by: Sequence[str] = ("month",), tie: str = "entity") -> DataFrame:
     """Rows whose descending rank is within ``share`` of their cross-section."""
-    df = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
-    w = Window.partitionBy(*by)
-    r = F.row_number().over(w.orderBy(F.desc(signal), tie))
-    return df.withColumn("__s", r / F.count(F.lit(1)).over(w)).where(F.col("__s") <= share).drop("__s")
+    rows = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
+    rows = _placed(written(_in_order(rows, [*by, F.desc(signal), tie]), "fractions"), by)
+    return rows.where((F.col("__place") + 1) / F.col("__all") <= share).drop("__at", "__place", "__all", "__values")
 
 
 @dataclass(frozen=True)
@@ -281,8 +372,8 @@ def size_group(df: DataFrame, groups: SizeGroups, size: str = "cap", by: Sequenc
         cuts = F.array(*[F.lit(float(c)) for c in groups.cuts])
         df = df.withColumn("__q", cuts)
     else:
-        base = df if universe is None else df.dropDuplicates([*by, *universe])
-        df = df.join(base.groupBy(*by).agg(quantiles(size, groups.cuts).alias("__q")), list(by))
+        base = df if universe is None else spread(df.select(*dict.fromkeys([*by, *universe, size])), *by, *universe).dropDuplicates([*by, *universe])
+        df = _with_quantiles(df, size, groups.cuts, by, base)
     out = F.lit(groups.names[-1])
     for i in reversed(range(len(groups.cuts))):
         out = F.when(F.col(size) <= F.get("__q", F.lit(i)), F.lit(groups.names[i])).otherwise(out)

@@ -514,3 +514,34 @@ def test_source_profiles_of_empty_and_null(spark):
     assert got == {"some": (3, 2, 1, 2, "200001", "200002", 0.5), "none": (3, 0, 0, 0, None, None, None), "months": (1, 2, None, 2, "200001", "200002", None)}
     assert rows(I.source_overlap({"some": some, "none": some.limit(0)}, "entity")) == [("some", "none", 1, 0, 0)]
     assert rows(I.source_overlap({"a": some.limit(0), "b": some.limit(0)}, "entity")) == [("a", "b", 0, 0, 0)]
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    from panelspark.sources import scratch
+
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+
+
+def test_cross_sections_larger_than_a_task(spark, tmp_path, small_tasks):
+    data = [(f"m{i % 2}", i, None if i % 17 == 0 else float((i * 7919 % 1000) // 3), (i * 31 % 97) / 7 if i % 5 else -0.0) for i in range(3000)]
+    spark.createDataFrame([*data, ("m2", 1, None, 1.0)], "month string, entity long, s double, y double").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    lines = lambda d: sorted(repr(r) for r in rows(d))
+    assert lines(X.deciles(df, "s")) == lines(df.withColumn("decile", X.decile("s")))
+    old = df.withColumn("s_rank", X.average_rank("s", ["month"])).withColumn("y_rank", X.average_rank("y", ["month"]))
+    ranked = X.average_ranks(df, ["s", "y"], ["month"])
+    assert lines(ranked.select(old.columns)) == lines(old)
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    got = {r["month"]: r["__q"] for r in X.group_quantiles(df, "s", at, ["month"]).collect()}
+    want = {r["month"]: r["q"] for r in df.groupBy("month").agg(X.quantiles("s", at).alias("q")).collect()}
+    assert got == {k: q for k, q in want.items() if q is not None} and set(want) - set(got) == {"m2"}
+    # one month lies in several tasks, and nothing but rows of one value meets in a window
+    assert X.written(X._in_order(df, ["month", "s", "entity"]), "t").where("month = 'm0'").select(F.shiftright("__at", 33)).distinct().count() > 1
+
+
+def test_cohort_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(4000).selectExpr("id % 100 as entity", "cast(id / 100 as int) + 24000 as month_idx", "cast(cast(id / 100 as int) + 24000 as string) as month", "rand(1) as s", "rand(2) as ret").write.parquet(str(tmp_path / "rows"))
+    held = P.cohort_positions(spark.read.parquet(str(tmp_path / "rows")), "s", "ret", 6)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [entity" in plan

@@ -34,6 +34,14 @@ def test_same_rows(spark, duck, sf, name):
     assert lines(tuple(r[c] for c in columns) for r in df.collect()) == lines(tuple(r[i] for i in order) for r in relation.fetchall())
 
 
+@pytest.mark.parametrize("name", "jn_models_wide jn_cohort_self_join xs_normalise xs_size_groups pf_rank_ic pf_evaluate_groups pf_describe_groups pf_group_bounds pf_annual tc_portfolios en_compare_methods cln_source_profiles".split())
+def test_same_rows_in_small_tasks(spark, duck, sf, name, monkeypatch):
+    from panelspark.sources import scratch
+
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 13)
+    test_same_rows(spark, duck, sf, name)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
