@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.operators.portfolios import measures
+from panelspark.sources.scratch import parts, spread, written
 
 
 def leg_weights(df: DataFrame, member: Column, leg: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -22,8 +23,9 @@ def leg_weights(df: DataFrame, member: Column, leg: str, weight: str | None = No
     raw = F.lit(1.0) if weight is None else F.col(weight)
     if weight is not None:
         rows = rows.where(F.col(weight) > 0)
-    whole = Window.partitionBy(*by, "month")
-    return rows.select(*by, F.lit(leg).alias("leg"), "month", "month_idx", "entity", (raw / F.sum(raw).over(whole)).alias("w"))
+    rows = rows.select(*by, F.lit(leg).alias("leg"), "month", "month_idx", "entity", raw.alias("__w"))
+    whole = F.broadcast(rows.groupBy(*by, "month").agg(F.sum("__w").alias("__s")))
+    return rows.join(whole, [*by, "month"]).select(*by, "leg", "month", "month_idx", "entity", (F.col("__w") / F.col("__s")).alias("w"))
 
 
 def entity_returns(df: DataFrame, ret: str = "ret") -> DataFrame:
@@ -31,13 +33,22 @@ def entity_returns(df: DataFrame, ret: str = "ret") -> DataFrame:
     return df.groupBy("month_idx", "entity").agg(F.avg(ret).alias("r"))
 
 
-def drifted(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",)) -> DataFrame:
+def with_returns(weights: DataFrame, returns: DataFrame | None) -> DataFrame:
+    """Weights with ``r``, their month's return; None where they have it."""
+    if returns is None:
+        return weights
+    n = max(parts(weights), parts(returns))
+    return spread(weights, "month_idx", "entity", n=n).join(spread(returns, "month_idx", "entity", n=n).hint("merge"), ["month_idx", "entity"], "left")
+
+
+def drifted(weights: DataFrame, returns: DataFrame | None, by: Sequence[str] = ("leg",)) -> DataFrame:
     """Weights after their month's returns, as shares again; a missing return is 0, and shares of a leg that lost all are null."""
-    grown = weights.join(returns, ["month_idx", "entity"], "left").withColumn("g", F.col("w") * (1 + F.coalesce("r", F.lit(0.0))))
-    return grown.withColumn("drifted", F.try_divide(F.col("g"), F.sum("g").over(Window.partitionBy(*by, "month_idx")))).drop("g", "r")
+    grown = with_returns(weights, returns).withColumn("g", F.col("w") * (1 + F.coalesce("r", F.lit(0.0))))
+    whole = F.broadcast(grown.groupBy(*by, "month_idx").agg(F.sum("g").alias("__s")))
+    return grown.join(whole, [*by, "month_idx"]).withColumn("drifted", F.try_divide("g", "__s")).drop("g", "r", "__s")
 
 
-def turnover(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",)) -> DataFrame:
+def turnover(weights: DataFrame, returns: DataFrame | None, by: Sequence[str] = ("leg",)) -> DataFrame:
     """``by, month, turnover, entries_exits, rebalancing``; the last two make the first.
 
     Each weight is compared with the drifted weight of the leg's previous month,
@@ -45,9 +56,11 @@ def turnover(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",
     """
     months = weights.select(*by, "month", "month_idx").distinct()
     months = months.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("month_idx")))
-    now = weights.join(months.select(*by, "month_idx", "position"), [*by, "month_idx"]).select(*by, "position", "entity", "w")
-    before = drifted(weights, returns, by).join(months.select(*by, "month_idx", "position"), [*by, "month_idx"]).select(*by, (F.col("position") + 1).alias("position"), "entity", "drifted")
-    both = now.join(before, [*by, "position", "entity"], "full_outer")
+    places = F.broadcast(months.select(*by, "month_idx", "position"))
+    now = weights.join(places, [*by, "month_idx"]).select(*by, "position", "entity", "w")
+    before = drifted(weights, returns, by).join(places, [*by, "month_idx"]).select(*by, (F.col("position") + 1).alias("position"), "entity", "drifted")
+    keys, n = [*by, "position", "entity"], parts(weights)
+    both = spread(now, *keys, n=n).join(spread(before, *keys, n=n), keys, "full_outer")
     gap = F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("drifted", F.lit(0.0)))
     common = (F.coalesce("w", F.lit(0.0)) > 0) & (F.coalesce("drifted", F.lit(0.0)) > 0)
     sums = both.groupBy(*by, "position").agg(F.sum(gap).alias("turnover"), F.sum(F.when(common, F.lit(0.0)).otherwise(gap)).alias("entries_exits"), F.sum(F.when(common, gap).otherwise(F.lit(0.0))).alias("rebalancing"))
@@ -73,9 +86,9 @@ def buffered(df: DataFrame, enter: int, stay: int, side: str = "high", by: Seque
     return rows.withColumn("held", F.max("__in").over(inside)).drop("__p", "__in", "__on", "__run")
 
 
-def leg_returns(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ("leg",)) -> DataFrame:
+def leg_returns(weights: DataFrame, returns: DataFrame | None, by: Sequence[str] = ("leg",)) -> DataFrame:
     """Sum of weight times the same month's return; a missing return is 0."""
-    rows = weights.join(returns, ["month_idx", "entity"], "left")
+    rows = with_returns(weights, returns)
     return rows.groupBy(*by, "month", "month_idx").agg(F.sum(F.col("w") * F.coalesce("r", F.lit(0.0))).alias("ret"))
 
 
@@ -152,19 +165,21 @@ def turnover_summary(turnovers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return turnovers.groupBy(*by).agg(F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * 12).alias("annual_turnover"), F.try_divide(F.lit(4.0), F.avg("turnover")).alias("holding_months"), F.count("turnover").alias("n_months"))
 
 
-def long_short_with_costs(df: DataFrame, trade_bps: float, borrow_bps: float = 0.0, n: int = 10, weight: str | None = None, ret: str = "ret", by: Sequence[str] = ()) -> DataFrame:
+def long_short_with_costs(df: DataFrame, trade_bps: float, borrow_bps: float = 0.0, n: int = 10, weight: str | None = None, ret: str = "ret", by: Sequence[str] = (), returns: DataFrame | None = None) -> DataFrame:
     """Legs, gross return, turnover, costs and net return of a long-short on ``decile``.
 
     ``by`` names portfolios (models, weightings) that share the job: every shuffle
-    is keyed by them, and the month's returns are read once for all.
+    is keyed by them, and the month's returns are read once for all.  ``returns``
+    (``month_idx, entity, r``) saves averaging them over the portfolios' rows.  The
+    legs with their returns are written when this is called.
     """
     keys, legs_by = [*by, "month"], [*by, "leg"]
     legs = leg_weights(df, F.col("decile") == n, "long", weight, by).unionByName(leg_weights(df, F.col("decile") == 1, "short", weight, by))
-    returns = entity_returns(df, ret)
-    per_leg = leg_returns(legs, returns, legs_by)
+    legs = written(with_returns(legs, entity_returns(df, ret) if returns is None else returns), "legs")
+    per_leg = leg_returns(legs.select(*legs_by, "month", "month_idx", "w", "r"), None, legs_by)
     side = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("ret")))
     gross = per_leg.groupBy(*keys, "month_idx").agg((side("long") - side("short")).alias("ret")).where("ret is not null")
-    costs = monthly_costs(turnover(legs, returns, legs_by), trade_bps, borrow_bps, by=by)
+    costs = monthly_costs(turnover(legs, None, legs_by), trade_bps, borrow_bps, by=by)
     moved = costs.select(*keys, "turnover", "trade_cost", "borrow_cost", "cost")
     return gross.join(moved, keys, "left").withColumn("net", F.col("ret") - F.coalesce("cost", F.lit(0.0)))
 
