@@ -22,7 +22,7 @@ from panelspark.operators import xsection as X
 from panelspark.plans.registry import MEASURES, decile_sql, measures_sql, query
 from panelspark.sources import ingest as I
 from panelspark.sources import testpanel as T
-from panelspark.sources.scratch import new_place, written
+from panelspark.sources.scratch import new_place, spread, written
 
 
 def _panel(spark: SparkSession, d: str, entity: str = "l_partkey") -> DataFrame:
@@ -655,8 +655,10 @@ def pf_cohorts(s, d):
 
 @query("pf_annual", "SELECT * FROM (SELECT month, avg(CASE WHEN decile = 10 THEN target END) - avg(CASE WHEN decile = 1 THEN target END) AS ret FROM dec JOIN forward USING (entity, month_idx) WHERE (month_idx - (SELECT min(month_idx) FROM panel)) % 6 = 0 GROUP BY 1) WHERE ret IS NOT NULL", "ret")
 def pf_annual(s, d):
-    p = _ex(s, d)
-    return P.annual_rebalance(J.attach_target(p, H.forward_excess(p, T.macro(p), 6).select("entity", "month_idx", "target"), ["entity", "month_idx"]), "pred_a", "target", 6)
+    p = written(_ex(s, d), "panel")
+    p, macro = spread(p, "entity"), written(T.macro(p), "macro")
+    rows = J.attach_target(p, H.forward_excess(p, macro, 6).select("entity", "month_idx", "target"), ["entity", "month_idx"])
+    return P.annual_rebalance(written(rows.select("entity", "month", "month_idx", "pred_a", "target"), "targets"), "pred_a", "target", 6)
 
 
 @query("pf_monthly_rebalance", "SELECT * FROM (SELECT month, max(CASE WHEN decile = 10 THEN r END) - max(CASE WHEN decile = 1 THEN r END) AS ret FROM (SELECT month, decile, avg(ret) AS r FROM dec GROUP BY 1, 2) GROUP BY 1) WHERE ret IS NOT NULL", "ret")
@@ -770,7 +772,7 @@ _HZ_LS = f"SELECT * FROM (SELECT CAST(horizon AS VARCHAR) AS portfolio, month, a
 
 @query("pf_horizon_comparison", f"SELECT horizon, ic_mean, ic_t, n_months_ic, n_months, {', '.join(MEASURES.split())}, sharpe - first(sharpe) OVER (ORDER BY horizon) AS sharpe_gap FROM ({_HZ_IC}) i LEFT JOIN ({measures_sql('(' + _HZ_LS + ')')}) m ON m.portfolio = CAST(i.horizon AS VARCHAR)", f"ic_mean ic_t {MEASURES} sharpe_gap", "l_suppkey")
 def pf_horizon_comparison(s, d):
-    p = _ex(s, d, "l_suppkey")
+    p = spread(written(_ex(s, d, "l_suppkey"), "panel"), "entity")
     far = H.forward_excess(p, T.macro(p), 6).where("target is not null").select("entity", "month_idx", F.round("target", 9).alias("target"))
     return P.compare_horizons({1: p.withColumn("target", F.col("y")), 6: p.join(far, ["entity", "month_idx"])}, "pred_a", "target", "y")
 
@@ -847,8 +849,8 @@ _MLS = f"SELECT * FROM (SELECT method AS portfolio, month, avg(CASE WHEN decile
 
 
 def _all_weights(s, d):
-    monthly = _monthly(s, d)
-    scores = W.r2_table(_preds(s, d), ["model"]).select("model", F.col("r2").alias("validation_r2"))
+    monthly = written(_monthly(s, d), "monthly")
+    scores = written(W.r2_table(_preds(s, d), ["model"]).select("model", F.col("r2").alias("validation_r2")), "scores")
     every = [E.weight_table(monthly, scores, ["a", "b"], m, manual={"a": 0.3, "b": 0.7}) for m in E.METHODS]
     return reduce(DataFrame.unionByName, every)
 
@@ -981,12 +983,12 @@ def _portfolios(s, d):
 @query("tc_portfolios", _BY_TURNS, "ret turnover net")
 def tc_portfolios(s, d):
     """Gross and net returns and turnover of all portfolios in one job."""
-    return C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"]).select("portfolio", "month", "ret", "turnover", "net")
+    return C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"], returns=C.entity_returns(_panel(s, d))).select("portfolio", "month", "ret", "turnover", "net")
 
 
 @query("tc_portfolio_measures", measures_sql(f"(SELECT portfolio, month, net AS ret FROM ({_BY_TURNS}))"), MEASURES)
 def tc_portfolio_measures(s, d):
-    net = C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"])
+    net = C.long_short_with_costs(_portfolios(s, d), 10, 100, weight="weight", by=["portfolio"], returns=C.entity_returns(_panel(s, d)))
     return P.measures(net.select("portfolio", "month", F.col("net").alias("ret")))
 
 

@@ -149,10 +149,10 @@ def source_profiles(sources: Mapping[str, DataFrame], entity: str = "entity", mo
     for name, df in sources.items():
         others = [c for c in df.columns if c not in (entity, month)]
         rate = sum((F.avg(F.col(c).isNull().cast("double")) for c in others), F.lit(0.0)) / len(others) if others else F.lit(None).cast("double")
-        one = df.agg(
-            F.count(F.lit(1)).alias("n_rows"), (F.countDistinct(entity) if entity in df.columns else F.lit(None).cast("long")).alias("n_entities"),
-            F.countDistinct(month).alias("n_months"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), rate.alias("null_rate"),
-        ).select(F.lit(name).alias("source"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "*")
+        # distinct values apart: several in one aggregate multiply the rows
+        distinct = [df.select(c).distinct().agg(F.count(c).alias(n)) if c in df.columns else df.sparkSession.range(1).select(F.lit(None).cast("long").alias(n)) for c, n in ((entity, "n_entities"), (month, "n_months"))]
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), rate.alias("null_rate"))
+        one = one.crossJoin(distinct[0]).crossJoin(distinct[1]).select(F.lit(name).alias("source"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows", "n_entities", "n_months", "first_month", "last_month", "null_rate")
         out = one if out is None else out.unionByName(one)
     return out
 
