@@ -235,7 +235,7 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Data
 
 
 def to_wide(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return long.groupBy(*keys).pivot("feature", list(features)).agg(F.first("x"))
+    return long.groupBy(*keys).agg(*[F.first(F.when(F.col("feature") == f, F.col("x")), ignorenulls=True).alias(f) for f in features])
 
 
 def impute_median(long: DataFrame, by: Sequence[str] = ("month",)) -> DataFrame:
