@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.sources.scratch import discard, new_place, parts, spread, written
+from panelspark.sources.scratch import discard, new_place, parts, spread, usual, written
 
 
 def quantiles(column: str, at: Sequence[float]) -> Column:
@@ -136,8 +136,8 @@ def _interpolated(searches: dict[int, _Search], at: Sequence[float], n: int) ->
 
 def _in_order(df: DataFrame, columns: Sequence[Column | str]) -> DataFrame:
     """Rows sorted over all tasks, with ``__at``: number of the task (from bit 33 on) and row of the task."""
-    n, usual = parts(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(n, *columns) if n > usual else df.repartitionByRange(*columns)
+    n = parts(df)
+    ranges = df.repartitionByRange(n, *columns) if n > usual(df.sparkSession) else df.repartitionByRange(*columns)
     return ranges.sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id())
 
 

@@ -38,12 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def usual(spark: SparkSession) -> int:
+    """Tasks that a shuffle without a number has at least: adaptive execution merges the session's partitions, down to one a core, until each holds 64 MB of compressed rows."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def parts(df: DataFrame) -> int:
-    """Tasks for a shuffle of rows made from the files that ``df`` reads; the session's number where that is enough.
+    """Tasks for a shuffle of rows made from the files that ``df`` reads; :func:`usual` where that is enough.
 
-    A fixed number of shuffle partitions makes a task's memory grow with the input.
+    A fixed number of shuffle partitions makes a task's memory grow with the input, and
+    so does a high one that is merged again; a number that a shuffle is given stays.
     """
-    least, files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.inputFiles()
+    least, files = usual(df.sparkSession), df.inputFiles()
     if not files:
         return least
     size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
@@ -51,9 +57,9 @@ def parts(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, *columns: str, n: int | None = None) -> DataFrame:
-    """Rows of equal ``columns`` in one of ``n`` tasks (:func:`parts`); the rows as they are where the session's number is enough."""
+    """Rows of equal ``columns`` in one of ``n`` tasks (:func:`parts`); the rows as they are where :func:`usual` tasks are enough."""
     n = n or parts(df)
-    return df.repartition(n, *columns) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(n, *columns) if n > usual(df.sparkSession) else df
 
 
 def discard(spark: SparkSession, *places: str) -> None:

@@ -545,3 +545,24 @@ def test_cohort_rows_are_not_broadcast(spark, tmp_path):
     held = P.cohort_positions(spark.read.parquet(str(tmp_path / "rows")), "s", "ret", 6)
     plan = held._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [entity" in plan
+
+
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_high_session_numbers_are_not_merged_into_large_tasks(spark, tmp_path, small_tasks, many_partitions):
+    """Adaptive execution merged 200 partitions into one here, and into tasks of 64 MB of compressed rows on large tables."""
+    from panelspark.sources.scratch import parts, spread
+
+    data = [(f"m{i % 2}", i, float(i * 7919 % 1000)) for i in range(5000)]
+    spark.createDataFrame(data, "month string, entity long, s double").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    n = parts(df)
+    assert 4 < n < 200
+    assert X.written(X._in_order(df, ["s", "entity"]), "t").select(F.shiftright("__at", 33)).distinct().count() == n
+    assert X.written(spread(df, "entity").groupBy("entity").count().withColumn("t", F.spark_partition_id()), "t").select("t").distinct().count() == n
