@@ -271,12 +271,20 @@ def _distinct(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataF
 
 
 def describe_groups(df: DataFrame, group: str = "size_group", size: str = "cap") -> DataFrame:
+    """One row a group: rows, entities, months, rows a month, sizes and share of the whole.
+
+    The rows are written, as three jobs read them: sums by group and month, from which
+    all but quantiles and entities follow, a sort, and distinct entities.
+    """
     df = written(df.where(F.col(group).isNotNull()).select("entity", "month", group, size), "described")
-    monthly = df.groupBy(group, "month").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.avg("n").alias("mean_per_month"), F.min("n").alias("min_per_month"), F.max("n").alias("max_per_month"))
-    whole = df.agg(F.sum(size).alias("__all"))
-    one = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("size_min"), F.avg(size).alias("size_mean"), F.max(size).alias("size_max"), F.sum(size).alias("__s"))
-    one = one.join(_distinct(df, "entity", [group], "n_entities"), group).join(_distinct(df, "month", [group], "n_months"), group)
-    out = one.crossJoin(F.broadcast(whole)).join(monthly, group).join(group_quantiles(df, size, (0.25, 0.5, 0.75), [group]).withColumnRenamed("__q", "q"), group, "left")
+    monthly = df.groupBy(group, "month").agg(F.count(F.lit(1)).alias("n"), F.count(size).alias("k"), F.min(size).alias("low"), F.max(size).alias("high"), F.sum(size).alias("s"))
+    one = monthly.groupBy(group).agg(
+        F.sum("n").alias("n_rows"), F.count("month").alias("n_months"), F.avg("n").alias("mean_per_month"), F.min("n").alias("min_per_month"), F.max("n").alias("max_per_month"),
+        F.min("low").alias("size_min"), F.try_divide(F.sum("s"), F.sum("k")).alias("size_mean"), F.max("high").alias("size_max"), F.sum("s").alias("__s"),
+    )
+    one = written(one, "groups")
+    out = one.crossJoin(F.broadcast(one.agg(F.sum("__s").alias("__all")))).join(_distinct(df, "entity", [group], "n_entities"), group)
+    out = out.join(group_quantiles(df, size, (0.25, 0.5, 0.75), [group]).withColumnRenamed("__q", "q"), group, "left")
     return out.select(group, "n_rows", "n_entities", "n_months", "mean_per_month", "min_per_month", "max_per_month", "size_min", F.get("q", F.lit(0)).alias("size_p25"), F.get("q", F.lit(1)).alias("size_median"), "size_mean", F.get("q", F.lit(2)).alias("size_p75"), "size_max", F.try_divide("__s", "__all").alias("share_of_total"))
 
 

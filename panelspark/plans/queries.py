@@ -735,7 +735,9 @@ def pf_evaluate_groups(s, d):
 
 @query("pf_describe_groups", "SELECT size_group, n_rows, n_entities, n_months, mean_per_month, min_per_month, max_per_month, size_min, size_p25, size_median, size_mean, size_p75, size_max, total / (SELECT sum(cap) FROM panel) AS share_of_total FROM (SELECT size_group, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT month) AS n_months, min(cap) AS size_min, quantile_cont(cap, 0.25) AS size_p25, quantile_cont(cap, 0.5) AS size_median, avg(cap) AS size_mean, quantile_cont(cap, 0.75) AS size_p75, max(cap) AS size_max, sum(cap) AS total FROM grouped GROUP BY 1) JOIN (SELECT size_group, avg(n) AS mean_per_month, min(n) AS min_per_month, max(n) AS max_per_month FROM (SELECT size_group, month, count(*) AS n FROM grouped GROUP BY 1, 2) GROUP BY 1) USING (size_group)", "mean_per_month size_min size_p25 size_median size_mean size_p75 size_max share_of_total")
 def pf_describe_groups(s, d):
-    return P.describe_groups(X.size_group(_panel(s, d), X.TERCILES))
+    # read for the cuts and for the groups; it has one row per entity and month, so no copies to drop
+    rows = written(_panel(s, d).select("entity", "month", "cap"), "panel")
+    return P.describe_groups(X.size_group(rows, X.TERCILES, universe=None))
 
 
 @query("pf_group_bounds", "SELECT month, size_group, min(cap) AS size_min, quantile_cont(cap, 0.5) AS size_median, max(cap) AS size_max, count(*) AS n FROM grouped GROUP BY 1, 2", "size_min size_median size_max")

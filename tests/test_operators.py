@@ -566,3 +566,11 @@ def test_high_session_numbers_are_not_merged_into_large_tasks(spark, tmp_path, s
     assert 4 < n < 200
     assert X.written(X._in_order(df, ["s", "entity"]), "t").select(F.shiftright("__at", 33)).distinct().count() == n
     assert X.written(spread(df, "entity").groupBy("entity").count().withColumn("t", F.spark_partition_id()), "t").select("t").distinct().count() == n
+
+
+def test_described_groups_come_from_sums_by_month(spark):
+    data = [("a", 1, "m1", 1.0), ("a", 2, "m1", 3.0), ("a", 1, "m2", None), ("b", 3, "m2", 4.0), ("b", 3, None, None), (None, 4, "m1", 9.0)]
+    df = spark.createDataFrame([(e, m, g, c) for g, e, m, c in data], "entity long, month string, size_group string, cap double")
+    out = P.describe_groups(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4  # the rows themselves once, for distinct entities
+    assert sorted(rows(out)) == [("a", 3, 2, 2, 1.5, 1, 2, 1.0, 1.5, 2.0, 2.0, 2.5, 3.0, 0.5), ("b", 2, 1, 1, 1.0, 1, 1, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 0.5)]
