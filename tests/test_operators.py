@@ -574,3 +574,13 @@ def test_described_groups_come_from_sums_by_month(spark):
     out = P.describe_groups(df)
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4  # the rows themselves once, for distinct entities
     assert sorted(rows(out)) == [("a", 3, 2, 2, 1.5, 1, 2, 1.0, 1.5, 2.0, 2.0, 2.5, 3.0, 0.5), ("b", 2, 1, 1, 1.0, 1, 1, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 0.5)]
+
+
+def test_ranks_keep_their_tasks_under_high_session_numbers(spark, tmp_path, small_tasks, many_partitions):
+    data = [("a", f"m{i % 2}", float(i * 7919 % 1000), (i * 31 % 97) / 7) for i in range(5000)]
+    spark.createDataFrame(data, "model string, month string, s double, y double").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    ranked = X.average_ranks(df, ["s", "y"], ["model", "month"])
+    assert len([f for f in ranked.inputFiles() if "/ranked-" in f]) > 4  # one file of all rows before
+    old = df.withColumn("s_rank", X.average_rank("s", ["month"])).withColumn("y_rank", X.average_rank("y", ["month"]))
+    assert sorted(rows(ranked.select(old.columns))) == sorted(rows(old))
